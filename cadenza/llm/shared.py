@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many characters, so a task's memory does not follow the batch size.
@@ -59,3 +59,15 @@ def slices(texts: list[str], chars: int = SLICE_CHARS):
         total += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def span_texts(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def span_digest(found: DataFrame, base: list[str]) -> DataFrame:
+    """doc_id, n_<kind> of the base kinds, base_sha256 and spans as text, of spans array<struct<kind, start, end>> in order."""
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select("doc_id", *counts, F.sha2(span_texts(of_base), 256).alias("base_sha256"), span_texts(F.col("spans")).alias("spans"))
