@@ -9,8 +9,9 @@ coordinates give buckets. Nothing is paired within a bucket wholesale:
 2. in each bucket the member that shares most bucket places is the leader, and every other member is verified
    against it on full sets (at most one pair per bucket place);
 3. components of the verified links are found; only members of one bucket that are still in different components
-   are then verified against each other, less the pairs that the triangle inequality of the Jaccard distance
-   (each against the bucket's leader) excludes. No bucket or candidate list is capped.
+   are then verified against each other, less the pairs that two exact bounds exclude: the triangle inequality of
+   the Jaccard distance (each against the bucket's leader), and the number of a set's shingles that occur in any
+   other of these sets, beyond which no intersection can go. No bucket or candidate list is capped.
 
 Results are exact up to the banding: a pair at the threshold of 0.8 shares no bucket with probability
 (1 - 0.8**5)**32 < 4e-6.
@@ -151,18 +152,19 @@ def _set_rows(n: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, scratch: Scratch, tag: str) -> DataFrame:
-    """pairs (a, b) with shared and joint sizes of their full sets; sets are made only for documents in a pair."""
-    wanted = broadcast_if_small(scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"wanted-{tag}"), SMALL_IDS)
-    sets = scratch.keep(
-        docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInPandas(_set_rows(n), "id long, shingles array<long>"), f"sets-{tag}"
-    )
+def _sets(docs: DataFrame, ids: DataFrame, n: int, scratch: Scratch, tag: str) -> DataFrame:
+    """(id, shingles) of the documents named in ids (id)."""
+    wanted = broadcast_if_small(scratch.keep(ids.distinct(), f"wanted-{tag}"), SMALL_IDS)
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInPandas(_set_rows(n), "id long, shingles array<long>")
+    return scratch.keep(rows, f"sets-{tag}")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, tag: str) -> DataFrame:
+    """pairs (a, b) with the shared and joint sizes of their full sets, and whether they are linked."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     out = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("shared"), (F.size("sa") + F.size("sb") - both).alias("joint"))
-    out = scratch.keep(out.withColumn("linked", F.col("shared") * 100 >= F.col("joint") * percent), f"verified-{tag}")
-    scratch.drop(f"sets-{tag}")
-    return out
+    return scratch.keep(out.withColumn("linked", F.col("shared") * 100 >= F.col("joint") * percent), f"verified-{tag}")
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
@@ -217,25 +219,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     placed = scratch.keep(places.join(lead, "bucket"), "placed")
     able = placed.join(classes.select(F.col("rep").alias("leader"), F.col("n_shingles").alias("leader_n")), "leader")
     able = able.where((F.col("leader") != F.col("rep")) & (F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent))
-    first = _verified(docs, able.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), n, percent, scratch, "first")
+    pairs = scratch.keep(able.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    first = _verified(pairs, _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), n, scratch, "first"), percent, scratch, "first")
+    scratch.drop("sets-first")
     linked = first.where("linked").select("a", "b")
     found = scratch.keep(components(linked, scratch, "cc1"), "found")
 
     placed = placed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    mixed = placed.join(mixed, "bucket").join(first.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joint")).alias("away")), ["leader", "rep"], "left")
-    mixed = scratch.keep(mixed.select("bucket", "rep", "n", "component", F.when(F.col("leader") == F.col("rep"), 0.0).otherwise(F.col("away")).alias("away")), "mixed")
-    other = mixed.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "away")))
+    main = F.max(F.when(F.col("rep") == F.col("leader"), F.col("component"))).alias("main")
+    parted = placed.groupBy("bucket").agg(main, F.min("n").alias("least_n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    mixed = placed.join(parted.select("bucket", "main", "least_n"), "bucket")
+    mixed = mixed.join(first.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joint")).alias("away")), ["leader", "rep"], "left")
+    mixed = mixed.select("bucket", "rep", "n", "component", "main", "least_n", F.when(F.col("leader") == F.col("rep"), 0.0).otherwise(F.col("away")).alias("away"))
+    mixed = scratch.keep(mixed, "mixed")
+    sets = _sets(docs, mixed.select(F.col("rep").alias("id")), n, scratch, "second")
+    lone = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("in_sets"), F.min("id").alias("rep")).where("in_sets = 1")
+    own = lone.groupBy("rep").agg(F.count("*").alias("own"))
+    # no partner can share more than the shingles that any other of these sets has
+    mixed = mixed.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    mixed = scratch.keep(mixed.where(F.col("most") * (100 + percent) >= percent * (F.col("n") + F.col("least_n"))), "able")
+    other = mixed.where("component != main").select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "away", "most")))
     gap = F.coalesce(F.abs(F.col("away") - F.col("away2")), F.lit(0.0))
     again = mixed.join(other, "bucket").where(
-        (F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (gap <= 1 - percent / 100 + 1e-9)
+        (F.col("component") != F.col("component2"))
+        & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("rep2")))
+        & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+        & (F.least("most", "most2") * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
+        & (gap <= 1 - percent / 100 + 1e-9)
     )
-    again = again.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    again = again.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _verified(docs, scratch.keep(again.join(tested, ["a", "b"], "left_anti"), "again"), n, percent, scratch, "second")
+    second = _verified(scratch.keep(again.join(tested, ["a", "b"], "left_anti"), "again"), sets, percent, scratch, "second")
     linked = found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.where("linked").select("a", "b"))
     final = scratch.keep(components(linked, scratch, "cc2"), "final")
-    for name in ("places", "placed", "mixed", "again", "verified-first", "verified-second", "found"):
+    for name in ("places", "placed", "pairs", "mixed", "able", "sets-second", "again", "verified-first", "verified-second", "found"):
         scratch.drop(name)
 
     group = classes.select("fp1", "fp2", F.col("n_shingles"), "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
