@@ -68,6 +68,10 @@ def span_texts(spans: Column) -> Column:
 
 def span_digest(found: DataFrame, base: list[str]) -> DataFrame:
     """doc_id, n_<kind> of the base kinds, base_sha256 and spans as text, of spans array<struct<kind, start, end>> in order."""
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in base]
     of_base = F.filter("spans", lambda s: s["kind"].isin(base))
     return found.select("doc_id", *counts, F.sha2(span_texts(of_base), 256).alias("base_sha256"), span_texts(F.col("spans")).alias("spans"))
