@@ -55,7 +55,7 @@ class Buckets:
         seen = self.seen
         if len(seen) > _REMEMBERED:
             seen.clear()
-        for w in set(words) - seen.keys():
+        for w in {w for w in words if w not in seen}:
             seen[w] = zlib.crc32(w) % BUCKETS
         return np.array([seen[w] for w in words], dtype=np.int32)
 

@@ -16,6 +16,7 @@ import bisect
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.shared import Scratch, slices
 
 #: Distinct words whose ids a task remembers at most; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
@@ -55,22 +56,37 @@ def encoder(path: str):
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Known(dict):
+    """Ids, as bytes, of words that follow a space; a word met for the first time is encoded."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        last = word[-1:]
+        if last in (".", ",") and word[:-1].isalpha():  # letters, then one sign: two pre-tokens
+            out = self[word[:-1]] + array("I", self.encode(last)).tobytes()
+        else:
+            out = array("I", self.encode(" " + word)).tobytes()
+        self[word] = out
+        return out
+
+
 class TokenIds:
     """Token ids of texts; remembers the ids of the words it has met, up to a bound."""
 
     def __init__(self, path: str):
-        self.encode, self.seen = encoder(path).encode_ordinary, {}
+        self.encode = encoder(path).encode_ordinary
+        self.known = _Known(self.encode)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        seen, words = self.seen, _SPACE.split(text) if text else []
-        if words:
-            words[1:] = [" " + w for w in words[1:]]
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        for w in set(words) - seen.keys():
-            seen[w] = np.array(self.encode(w), dtype="<u4").tobytes()
-        return b"".join([seen[w] for w in words])
+        parts = text.split()
+        apart = parts and len(text) - sum(map(len, parts)) == len(parts) - 1  # no two white-space characters meet
+        first, *rest = text.split(" ") if apart else _SPACE.split(text)
+        return array("I", self.encode(first)).tobytes() + b"".join(map(self.known.__getitem__, rest))
 
 
 def _pieces(path: str, size: int, end_id: int):
