@@ -5,8 +5,8 @@
    the latent space. Each pass multiplies by the passages in parallel and sums small blocks; only the basis, bounded
    by the benchmark's vocabulary, reaches the driver.
 3. Every document is read whole in windows of WINDOW words, `STRIDE` apart. A window is projected and compared by
-   cosine with the benchmark passages. The part of a window's norm that lies on benchmark words bounds its cosine,
-   so windows under that bound are left out before projecting; this drops no candidate.
+   cosine with the benchmark passages. The sum of the most that each word can add to any passage's product bounds the
+   cosine, so windows under that bound are left out before projecting; this drops no candidate.
 4. Each candidate is settled by longest common subsequences of words around it: `verbatim` if most of the item stands
    there in order, `paraphrase` if half does and the item's answer (its `answer` column, else its last sentence) does.
 
@@ -32,7 +32,7 @@ from cadenza.llm.shared import Scratch, broadcast_if_small
 from cadenza.llm.wording import lcs_length
 
 BUCKETS, WINDOW, STRIDE, RANK = 1 << 16, 24, 8, 256
-COSINE, VERBATIM, PARAPHRASE = 0.4, 0.8, 0.5
+COSINE, VERBATIM, PARAPHRASE = 0.5, 0.8, 0.5
 _REMEMBERED = 1_000_000
 #: So many text hashes (some MB) may be broadcast to drop what leaked; more are joined by a shuffle.
 SMALL_IDS = 300_000
@@ -46,18 +46,20 @@ def split_words(text: str) -> list[bytes]:
 
 
 class Buckets:
-    """Hash buckets of words; remembers those it has met, up to a bound."""
+    """Hash buckets of words; remembers those it has met, up to a bound. Words of `own` get numbers from BUCKETS on."""
 
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
+    def __init__(self, own: dict[bytes, int] | None = None):
+        self.own = {w: BUCKETS + i for w, i in (own or {}).items()}
+        self.seen: dict[bytes, int] = dict(self.own)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         seen = self.seen
         if len(seen) > _REMEMBERED:
             seen.clear()
+            seen.update(self.own)
         for w in {w for w in words if w not in seen}:
             seen[w] = zlib.crc32(w) % BUCKETS
-        return np.array([seen[w] for w in words], dtype=np.int32)
+        return np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
 
 
 def word_weights(docs: DataFrame) -> np.ndarray:
@@ -165,7 +167,22 @@ def build_index(spark, items: list[Item], weights: np.ndarray, rank: int) -> Ind
 
 class Searcher:
     def __init__(self, index: Index):
-        self.index, self.bucket = index, Buckets()
+        self.index, self.code = index, Buckets(index.of_word)
+        plain = Buckets()(list(index.of_word))
+        self.square = np.concatenate((index.weights, index.weights[plain])) ** 2
+        basis, passages_t = index.basis, index.latent.T
+        most = [np.maximum(0, (basis[k : k + 1000] @ passages_t).max(axis=1)) for k in range(0, len(basis), 1000)]
+        self.most = np.concatenate((np.zeros(BUCKETS, np.float32), *most))  # the most that a word adds to any product
+
+    def cosines(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Cosines of windows with all passages in the latent space; ids: the words' places in the basis, or -1."""
+        inside = starts[:, None] + np.arange(WINDOW)
+        at = np.where(inside < ends[:, None], ids[np.minimum(inside, len(ids) - 1)], -1)
+        latent = np.zeros((len(starts), self.index.basis.shape[1]), np.float32)
+        for j in range(WINDOW):
+            real = at[:, j] >= 0
+            latent[real] += self.index.basis[at[real, j]]
+        return (latent @ self.index.latent.T) / np.sqrt(norm)[:, None]
 
     def __call__(self, text: str) -> list[tuple]:
         """(item_id, cosine, covered, answered, kind, start word) of the items found, the best place of each."""
@@ -173,23 +190,17 @@ class Searcher:
         if not words:
             return []
         ix, n = self.index, len(words)
-        ids = np.array([ix.of_word.get(w, -1) for w in words], dtype=np.int64)
-        square = ix.weights[self.bucket(words)] ** 2
-        sums, known = np.concatenate(([0.0], np.cumsum(square))), np.concatenate(([0.0], np.cumsum(np.where(ids >= 0, square, 0.0))))
+        code = self.code(words)
+        ids, square = np.where(code >= BUCKETS, code - BUCKETS, -1), self.square[code]
+        sums, most = np.concatenate(([0.0], np.cumsum(square))), np.concatenate(([0.0], np.cumsum(self.most[code], dtype=float)))
         starts = np.array([s for s, _ in passages(n, WINDOW, STRIDE)])
         ends = np.minimum(starts + WINDOW, n)
         norm = sums[ends] - sums[starts]
-        near = np.flatnonzero(known[ends] - known[starts] >= COSINE**2 * norm)
-        best: dict[int, tuple] = {}
+        near = np.flatnonzero(most[ends] - most[starts] >= (COSINE - 1e-4) * np.sqrt(norm))
+        best: dict[tuple[int, int], float] = {}
         for a in range(0, len(near), 2048):
             some = near[a : a + 2048]
-            inside = starts[some][:, None] + np.arange(WINDOW)
-            at = np.where(inside < ends[some][:, None], ids[np.minimum(inside, n - 1)], -1)
-            latent = np.zeros((len(some), ix.basis.shape[1]), np.float32)
-            for j in range(WINDOW):
-                real = at[:, j] >= 0
-                latent[real] += ix.basis[at[real, j]]
-            cosine = (latent @ ix.latent.T) / np.sqrt(norm[some])[:, None]
+            cosine = self.cosines(ids, starts[some], ends[some], norm[some])
             for r, p in zip(*np.nonzero(cosine >= COSINE)):
                 key = (int(ix.owner[p]), int(starts[some[r]]))
                 best[key] = max(best.get(key, 0.0), float(cosine[r, p]))
@@ -198,9 +209,13 @@ class Searcher:
             item = ix.items[k]
             slack = max(8, len(item.words) - WINDOW // 2)
             region = words[max(0, start - slack) : start + WINDOW + slack]
+            if sum(map(set(region).__contains__, item.words)) < PARAPHRASE * len(item.words):
+                continue  # no subsequence can be long enough
             covered = lcs_length(item.words, region) / len(item.words)
+            if covered < PARAPHRASE:
+                continue
             answered = lcs_length(item.answer, region) / max(1, len(item.answer))
-            kind = "verbatim" if covered >= VERBATIM else "paraphrase" if covered >= PARAPHRASE and answered >= VERBATIM else None
+            kind = "verbatim" if covered >= VERBATIM else "paraphrase" if answered >= VERBATIM else None
             if kind and (k not in out or (covered, cosine, -start) > (out[k][2], out[k][1], -out[k][5])):
                 out[k] = (item.item_id, cosine, covered, answered, kind, start)
         return [out[k] for k in sorted(out)]
