@@ -88,8 +88,9 @@ def fit(x: np.ndarray, good: np.ndarray, cut: float, pairs: int = 20_000, steps:
     share = [(strength[better] >= t).mean() + (strength[worse] < t).mean() for t in levels]
     best = np.flatnonzero(np.array(share) >= max(share) - 1e-12)
     threshold = float(levels[best].mean())
-    around = strength[worse][strength[worse] < threshold]
-    threshold = (threshold + float(around.max())) / 2 if len(around) else threshold
+    below, above = strength[worse][strength[worse] < threshold], strength[better][strength[better] >= threshold]
+    if len(below) and len(above):  # in the gap between the classes, nearer to the bad: a doubtful document stays
+        threshold = float(0.75 * below.max() + 0.25 * above.min())
     return Model(mean, w / spread, threshold, 3 / (float(strength.std()) + 1e-9), cut)
 
 
