@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontaminate, licenses, lines, minhash, packing, pii, quality, secrets, topk, urls
+from cadenza.llm import decontaminate, licenses, lines, minhash, oracles, packing, pii, quality, secrets, topk, urls
 from cadenza.llm.shared import span_digest
 
 
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_scan": oracles.secret_scan(), "op5_exact_top_k": oracles.TOP_K, "op6_line_dedup": oracles.LINE_DEDUP}
