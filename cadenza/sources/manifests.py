@@ -62,7 +62,8 @@ def pair_specs(spark: SparkSession, path: str) -> DataFrame:
     """source/result pairs from a JSON list, or from its "pairs" or "selected"; `output` stands in for `result`."""
     one = "array<struct<id:string,source:string,result:string,output:string>>"
     text = spark.read.text(path, wholetext=True)
-    whole = F.coalesce(F.from_json("value", one), *(F.from_json(F.get_json_object("value", f"$.{k}"), one) for k in ("pairs", "selected")))
+    bare = F.when(F.startswith(F.trim("value"), F.lit("[")), F.from_json("value", one))  # an object would be read as a list of one
+    whole = F.coalesce(bare, *(F.from_json(F.get_json_object("value", f"$.{k}"), one) for k in ("pairs", "selected")))
     return text.select(F.explode(whole).alias("p")).select("p.id", "p.source", F.coalesce("p.result", "p.output").alias("result"))
 
 

@@ -108,9 +108,8 @@ def encode(samples: np.ndarray, sample_rate: int, channels: int = 1, bits: int =
     return struct.pack("<4sI4s", b"RIFF", 4 + len(fmt) + 8 + len(raw), b"WAVE") + fmt + struct.pack("<4sI", b"data", len(raw)) + raw
 
 
-@F.pandas_udf(HEADER)
-def header(content: pd.Series) -> pd.DataFrame:
-    """The header of each file's bytes, or the reason why it has none in `error`."""
+def header(content):
+    """The header of each file's bytes as a struct column, or the reason why it has none in `error`."""
 
     def one(raw):
         try:
@@ -120,7 +119,12 @@ def header(content: pd.Series) -> pd.DataFrame:
         return (h.channels, h.sample_rate, h.bits, "float" if h.kind == _FLOAT else "int", h.block, h.data_offset, h.data_bytes, h.frames, h.frames / h.sample_rate, None)
 
     names = [f.split(":")[0] for f in HEADER[7:-1].split(",")]
-    return pd.DataFrame([one(x) for x in content], columns=names)
+
+    @F.pandas_udf(HEADER)
+    def run(raw: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in raw], columns=names)
+
+    return run(content)
 
 
 def read_wav(spark, path: str, chunk: int = 48_000):
