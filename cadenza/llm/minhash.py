@@ -10,8 +10,8 @@ coordinates give buckets. Nothing is paired within a bucket wholesale:
    against it on full sets (at most one pair per bucket place);
 3. components of the verified links are found; only members of one bucket that are still in different components
    are then verified against each other, less the pairs that two exact bounds exclude: the triangle inequality of
-   the Jaccard distance (each against the bucket's leader), and the number of a set's shingles that occur in any
-   other of these sets, beyond which no intersection can go. No bucket or candidate list is capped.
+   the Jaccard distance (each against the bucket's leader), and bitmaps of the hashed shingles, which show shingles
+   that only one set has. No bucket or candidate list is capped.
 
 Results are exact up to the banding: a pair at the threshold of 0.8 shares no bucket with probability
 (1 - 0.8**5)**32 < 4e-6.
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from cadenza.llm.shared import Scratch, broadcast_if_small, slices
 
 BANDS, ROWS = 32, 5
+#: Longs of a set's signature, a bitmap of its hashed shingles.
+SIGNATURE = 16
 #: So many ids (some MB) may be broadcast to pick the documents to verify; more are joined by a shuffle.
 SMALL_IDS = 300_000
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -147,15 +149,19 @@ def _set_rows(n: int):
             for a, b in slices(texts):
                 row, value = shingle_sets(texts[a:b], n)
                 at = np.searchsorted(row, np.arange(b - a + 1))
-                yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "shingles": [value[i:j].view(np.int64) for i, j in zip(at, at[1:])]})
+                bits = np.zeros((b - a, 64 * SIGNATURE), bool)
+                bits[row, (value % np.uint64(64 * SIGNATURE)).astype(np.int64)] = True
+                signature = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                shingles = [value[i:j].view(np.int64) for i, j in zip(at, at[1:])]
+                yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "shingles": shingles, "signature": list(signature)})
 
     return run
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int, scratch: Scratch, tag: str) -> DataFrame:
-    """(id, shingles) of the documents named in ids (id)."""
+    """(id, shingles, signature) of the documents named in ids (id)."""
     wanted = broadcast_if_small(scratch.keep(ids.distinct(), f"wanted-{tag}"), SMALL_IDS)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInPandas(_set_rows(n), "id long, shingles array<long>")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInPandas(_set_rows(n), "id long, shingles array<long>, signature array<long>")
     return scratch.keep(rows, f"sets-{tag}")
 
 
@@ -227,32 +233,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
 
     placed = placed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     main = F.max(F.when(F.col("rep") == F.col("leader"), F.col("component"))).alias("main")
-    parted = placed.groupBy("bucket").agg(main, F.min("n").alias("least_n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = placed.join(parted.select("bucket", "main", "least_n"), "bucket")
+    parted = placed.groupBy("bucket").agg(main, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    mixed = placed.join(parted.select("bucket", "main"), "bucket")
     mixed = mixed.join(first.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joint")).alias("away")), ["leader", "rep"], "left")
-    mixed = mixed.select("bucket", "rep", "n", "component", "main", "least_n", F.when(F.col("leader") == F.col("rep"), 0.0).otherwise(F.col("away")).alias("away"))
+    mixed = mixed.select("bucket", "rep", "n", "component", "main", F.when(F.col("leader") == F.col("rep"), 0.0).otherwise(F.col("away")).alias("away"))
     mixed = scratch.keep(mixed, "mixed")
     sets = _sets(docs, mixed.select(F.col("rep").alias("id")), n, scratch, "second")
-    lone = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("in_sets"), F.min("id").alias("rep")).where("in_sets = 1")
-    own = lone.groupBy("rep").agg(F.count("*").alias("own"))
-    # no partner can share more than the shingles that any other of these sets has
-    mixed = mixed.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-    mixed = scratch.keep(mixed.where(F.col("most") * (100 + percent) >= percent * (F.col("n") + F.col("least_n"))), "able")
-    other = mixed.where("component != main").select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "away", "most")))
+    mixed = mixed.join(sets.select(F.col("id").alias("rep"), "signature"), "rep")
+    other = mixed.where("component != main").select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "away", "signature")))
     gap = F.coalesce(F.abs(F.col("away") - F.col("away2")), F.lit(0.0))
+    # a bit that only one of two signatures has stands for a shingle, or more, that only that set has
+    only, only2 = (sum(F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(SIGNATURE)) for x, y in (("signature", "signature2"), ("signature2", "signature")))
     again = mixed.join(other, "bucket").where(
         (F.col("component") != F.col("component2"))
         & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("rep2")))
         & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-        & (F.least("most", "most2") * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
         & (gap <= 1 - percent / 100 + 1e-9)
+        & (F.least(F.col("n") - only, F.col("n2") - only2) * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
     )
     again = again.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _verified(scratch.keep(again.join(tested, ["a", "b"], "left_anti"), "again"), sets, percent, scratch, "second")
     linked = found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.where("linked").select("a", "b"))
     final = scratch.keep(components(linked, scratch, "cc2"), "final")
-    for name in ("places", "placed", "pairs", "mixed", "able", "sets-second", "again", "verified-first", "verified-second", "found"):
+    for name in ("places", "placed", "pairs", "mixed", "sets-second", "again", "verified-first", "verified-second", "found"):
         scratch.drop(name)
 
     group = classes.select("fp1", "fp2", F.col("n_shingles"), "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
