@@ -8,10 +8,10 @@ coordinates give buckets. Nothing is paired within a bucket wholesale:
 1. documents with equal sets are one class, of which the smallest doc_id stands for all;
 2. in each bucket the member that shares most bucket places is the leader, and every other member is verified
    against it on full sets (at most one pair per bucket place);
-3. components of the verified links are found; only members of one bucket that are still in different components
-   are then verified against each other, less the pairs that two exact bounds exclude: the triangle inequality of
-   the Jaccard distance (each against the bucket's leader), and bitmaps of the hashed shingles, which show shingles
-   that only one set has. No bucket or candidate list is capped.
+3. components of the verified links are found; only where a bucket's members are still in different components are
+   they then verified against each other (those apart from the leader's component with it, and among themselves),
+   less the pairs that an exact bound excludes: bitmaps of the hashed shingles show shingles that only one of two sets
+   has. No bucket or candidate list is capped.
 
 Results are exact up to the banding: a pair at the threshold of 0.8 shares no bucket with probability
 (1 - 0.8**5)**32 < 4e-6.
@@ -235,23 +235,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     main = F.max(F.when(F.col("rep") == F.col("leader"), F.col("component"))).alias("main")
     parted = placed.groupBy("bucket").agg(main, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     mixed = placed.join(parted.select("bucket", "main"), "bucket")
-    mixed = mixed.join(first.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joint")).alias("away")), ["leader", "rep"], "left")
-    mixed = mixed.select("bucket", "rep", "n", "component", "main", F.when(F.col("leader") == F.col("rep"), 0.0).otherwise(F.col("away")).alias("away"))
-    mixed = scratch.keep(mixed, "mixed")
+    mixed = scratch.keep(mixed.select("bucket", "rep", "n", "component", "main"), "mixed")
     sets = _sets(docs, mixed.select(F.col("rep").alias("id")), n, scratch, "second")
-    mixed = mixed.join(sets.select(F.col("id").alias("rep"), "signature"), "rep")
-    other = mixed.where("component != main").select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "away", "signature")))
-    gap = F.coalesce(F.abs(F.col("away") - F.col("away2")), F.lit(0.0))
-    # a bit that only one of two signatures has stands for a shingle, or more, that only that set has
-    only, only2 = (sum(F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(SIGNATURE)) for x, y in (("signature", "signature2"), ("signature2", "signature")))
-    again = mixed.join(other, "bucket").where(
-        (F.col("component") != F.col("component2"))
-        & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("rep2")))
-        & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-        & (gap <= 1 - percent / 100 + 1e-9)
-        & (F.least(F.col("n") - only, F.col("n2") - only2) * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
-    )
-    again = again.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    bits = [f"bits{i}" for i in range(SIGNATURE)]
+    signed = sets.select(F.col("id").alias("rep"), *(F.col("signature")[i].alias(b) for i, b in enumerate(bits)))
+    two = lambda df: df.select(*(F.col(c).alias(c if c == "bucket" else f"{c}_2") for c in df.columns))
+    # bits in which two signatures differ stand for shingles, one or more each, that only one of the sets has
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_2"))) for x in bits), F.lit(0))
+    both_n = F.col("n") + F.col("n_2")
+    able = (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent) & ((both_n - differ) * (100 + percent) >= both_n * 2 * percent)
+    apart = mixed.where("component != main").join(signed, "rep")
+    members = mixed.where("component = main").select("rep", "n", "component").distinct().join(signed, "rep")
+    outside = apart.drop("bucket", "component").distinct()
+    again = outside.join(two(members), (F.col("main") == F.col("component_2")) & able).select("rep", "rep_2")
+    again = again.unionByName(apart.join(two(apart), "bucket").where((F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & able).select("rep", "rep_2"))
+    again = again.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _verified(scratch.keep(again.join(tested, ["a", "b"], "left_anti"), "again"), sets, percent, scratch, "second")
     linked = found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.where("linked").select("a", "b"))
