@@ -104,7 +104,7 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     moments = []
     for c in ("accepted", "rejected"):
         n, x = F.sum(c), F.col("ratio")
-        moments += [n.alias(f"n_{c}"), (F.sum(F.col(c) * x) / n).alias(f"m_{c}"), (F.sum(F.col(c) * x * x) / n).alias(f"s_{c}")]
+        moments += [n.alias(f"n_{c}"), F.try_divide(F.sum(F.col(c) * x), n).alias(f"m_{c}"), F.try_divide(F.sum(F.col(c) * x * x), n).alias(f"s_{c}")]
     m = scored.where("accepted + rejected > 0").agg(*moments).first()
     threshold = 0.0
     if m["n_accepted"] and m["n_rejected"]:

@@ -37,8 +37,8 @@ def test_against_brute_force(make):
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]{24,}") is None and trigram_query("a+b") is None and trigram_query("(abc)?x") is None
     assert trigram_query("AKIA[A-Z]+") == {frozenset({"aki", "kia"})}
-    assert trigram_query("(abc|xyz)d.efg") == {frozenset({"abc", "bcd", "efg"}), frozenset({"xyz", "yzd", "efg"})}
-    assert trigram_query("(?i:api_?key)=") == {frozenset({"api", "key", "ey="})}
+    assert trigram_query("(abc|xyz)d.efg") == {frozenset({"abc", "efg"}), frozenset({"xyz", "efg"})}
+    assert trigram_query("(?i:api_?key)=") == {frozenset({"api", "key"})}
 
 
 def test_no_python_in_the_plan(make):
