@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from cadenza.plans.queries import QUERIES, SQL
+from cadenza.plans.queries import QUERIES, SQL  # filled by importing the entry
 
 DATA = os.environ.get("CADENZA_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
