@@ -221,10 +221,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
 
     weight = places.groupBy("rep").agg(F.sum("members").alias("weight"))
     ranked = places.join(weight, "rep")
-    lead = ranked.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("leader"))
+    lead = ranked.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("top"))
+    lead = lead.select("bucket", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"))
     placed = scratch.keep(places.join(lead, "bucket"), "placed")
-    able = placed.join(classes.select(F.col("rep").alias("leader"), F.col("n_shingles").alias("leader_n")), "leader")
-    able = able.where((F.col("leader") != F.col("rep")) & (F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent))
+    able = placed.where((F.col("leader") != F.col("rep")) & (F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent))
     pairs = scratch.keep(able.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     first = _verified(pairs, _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), n, scratch, "first"), percent, scratch, "first")
     scratch.drop("sets-first")
