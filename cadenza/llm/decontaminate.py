@@ -33,7 +33,7 @@ from cadenza.llm.wording import lcs_length
 
 BUCKETS, WINDOW, STRIDE, RANK = 1 << 16, 24, 8, 256
 COSINE, VERBATIM, PARAPHRASE = 0.5, 0.8, 0.5
-_REMEMBERED = 1_000_000
+_REMEMBERED = 250_000
 #: So many text hashes (some MB) may be broadcast to drop what leaked; more are joined by a shuffle.
 SMALL_IDS = 300_000
 _SCHEMA = "doc_id long, item_id long, cosine double, covered double, answered double, kind string, start_word long"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many characters, so a task's memory does not follow the batch size.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
