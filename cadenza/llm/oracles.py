@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cadenza.llm import urls
 from cadenza.llm.secrets import RULES
 
 
@@ -31,3 +32,28 @@ LINE_DEDUP = """WITH d AS (SELECT doc_id, coalesce(source, '') AS h, string_spli
  b AS (SELECT h, list(l) AS bad FROM f JOIN t USING (h) WHERE n > total * 0.02 GROUP BY h),
  k AS (SELECT doc_id, ls, CASE WHEN bad IS NULL THEN ls ELSE list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(bad, trim(x))) END AS kept FROM d LEFT JOIN b USING (h))
  SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped, CASE WHEN ls IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text FROM k"""
+
+
+def url_filter() -> str:
+    """Rules, else the ratio of two Witten-Bell character models, order by order."""
+    upper, lower = urls._UPPER, urls._LOWER
+    fits = [(what, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for what, h, p in sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), r))]
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[2]} THEN '{f[k]}'" for f in fits) + " END"
+    kept = "".join("\\" + c if not c.isalnum() else c for c in urls.SYMBOLS[2:])
+    steps, n = [], urls.ORDER
+    for k in range(1, n + 1):
+        mixed = lambda c: f"CASE WHEN n{c} + t{c} > 0 THEN (s.{c} + t{c} * p{c}) / (n{c} + t{c}) ELSE p{c} END AS p{c}"
+        steps.append(f"""s{k} AS (SELECT right(gram, {k}) AS tail, left(right(gram, {k}), {k - 1}) AS bef, sum(a) AS a, sum(b) AS b FROM t GROUP BY 1, 2),
+ c{k} AS (SELECT bef, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(b) AS nb, count(*) FILTER (b > 0) AS tb FROM s{k} GROUP BY bef),
+ o{k} AS (SELECT o.gram, {mixed("a")}, {mixed("b")} FROM o{k - 1} o JOIN s{k} s ON right(o.gram, {k}) = s.tail JOIN c{k} c ON s.bef = c.bef)""")
+    return f"""WITH u AS (SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest, regexp_replace(translate(coalesce(url, ''), '{upper}123456789', '{lower}000000000'), '[^{kept}]', '~', 'g') AS form FROM pages),
+ p AS (SELECT page_id, form, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ r AS (SELECT *, {case(1)} AS rule, {case(0)} AS v FROM p), f AS (SELECT form, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v = 'block') AS b FROM r GROUP BY form),
+ g AS (SELECT form, a, b, substr('{"^" * (n - 1)}' || form, i, {n}) AS gram FROM (SELECT *, unnest(generate_series(1, length(form))) AS i FROM f)), t AS (SELECT gram, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM g GROUP BY gram),
+ o0 AS (SELECT gram, 1.0::DOUBLE / {len(urls.SYMBOLS)} AS pa, 1.0::DOUBLE / {len(urls.SYMBOLS)} AS pb FROM t), {", ".join(steps)},
+ rt AS (SELECT gram, CASE WHEN (SELECT max(a) > 0 AND max(b) > 0 FROM t) THEN ln(pa) - ln(pb) ELSE 0 END AS ratio FROM o{n}),
+ av AS (SELECT form, avg(ratio) AS ratio FROM g JOIN rt USING (gram) GROUP BY form), sc AS (SELECT form, a, b, coalesce(ratio, 0) AS ratio FROM f LEFT JOIN av USING (form)),
+ m AS (SELECT sum(a) AS na, sum(b) AS nb, sum(a * ratio) / nullif(sum(a), 0) AS ma, sum(b * ratio) / nullif(sum(b), 0) AS mb, sum(a * ratio * ratio) / nullif(sum(a), 0) AS sa, sum(b * ratio * ratio) / nullif(sum(b), 0) AS sb FROM sc WHERE a + b > 0),
+ d AS (SELECT na, nb, ma, mb, sqrt(greatest(0, sa - ma * ma)) + 1e-9 AS da, sqrt(greatest(0, sb - mb * mb)) + 1e-9 AS db FROM m),
+ th AS (SELECT CASE WHEN na > 0 AND nb > 0 THEN (ma * db + mb * da) / (da + db) ELSE 0 END AS limit_ratio FROM d)
+ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN ratio >= limit_ratio THEN 'allow' ELSE 'block' END) AS verdict, round(ratio, 6) AS ratio FROM r JOIN sc USING (form), th"""

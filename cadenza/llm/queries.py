@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, licenses, lines, minhash, oracles, packing, pii, quality, secrets, topk, urls
 from cadenza.llm.shared import span_digest
@@ -55,7 +56,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "ratio")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("ratio", 6).alias("ratio"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": oracles.secret_scan(), "op5_exact_top_k": oracles.TOP_K, "op6_line_dedup": oracles.LINE_DEDUP}
+    return {
+        "op2_secret_scan": oracles.secret_scan(), "op5_exact_top_k": oracles.TOP_K, "op6_line_dedup": oracles.LINE_DEDUP, "op9_url_filter": oracles.url_filter(),
+    }

@@ -15,10 +15,7 @@ SLICE_CHARS = 1_000_000
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"cadenza-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/cadenza-{os.getpid()}"
     return folder.rstrip("/")
 
 
