@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.shared import Scratch, slices
 
 #: Distinct words whose ids a task remembers at most; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
