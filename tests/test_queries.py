@@ -25,7 +25,7 @@ def duck():
 
 def rows(names, values):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    plain = lambda v: "null" if v is None or (isinstance(v, float) and math.isnan(v)) else repr(v) if isinstance(v, str | bool) else f"{float(v) + 0.0:.6f}"
+    plain = lambda v: "null" if v is None or (isinstance(v, float) and math.isnan(v)) else repr(v) if isinstance(v, str | bool | list) else f"{float(v) + 0.0:.6f}"
     return sorted(tuple(plain(r[i]) for i in order) for r in values)
 
 
