@@ -5,8 +5,10 @@
    the latent space. Each pass multiplies by the passages in parallel and sums small blocks; only the basis, bounded
    by the benchmark's vocabulary, reaches the driver.
 3. Every document is read whole in windows of WINDOW words, `STRIDE` apart. A window is projected and compared by
-   cosine with the benchmark passages. The sum of the most that each word can add to any passage's product bounds the
-   cosine, so windows under that bound are left out before projecting; this drops no candidate.
+   cosine with the benchmark passages, each held against the norm that it keeps in the latent space, so that a copy
+   scores 1. Passages that keep less than `KEPT` there, as most do once the benchmark outgrows `RANK`, are looked up by
+   their heavy words instead and compared by cosine over all words. The sum of the most that each word can add to any
+   passage's product bounds the cosine, so windows under that bound are left out; this drops no candidate.
 4. Each candidate is settled by longest common subsequences of words around it: `verbatim` if most of the item stands
    there in order, `paraphrase` if half does and the item's answer (its `answer` column, else its last sentence) does.
 
@@ -33,6 +35,9 @@ from cadenza.llm.wording import lcs_length
 
 BUCKETS, WINDOW, STRIDE, RANK = 1 << 16, 24, 8, 256
 COSINE, VERBATIM, PARAPHRASE = 0.5, 0.8, 0.5
+#: The norm that a unit passage must keep in the latent space to be compared there; the norm that light words, which
+#: are not looked up, may have in one that is not.
+KEPT, LIGHT = 0.8, 0.2
 _REMEMBERED = 250_000
 #: So many text hashes (some MB) may be broadcast to drop what leaked; more are joined by a shuffle.
 SMALL_IDS = 300_000
@@ -135,8 +140,10 @@ class Index:
     items: list[Item]
     of_word: dict[bytes, int]
     basis: np.ndarray  # (words, rank), each row times the word's weight
-    latent: np.ndarray  # (passages, rank), unit rows
-    owner: np.ndarray  # the item of each passage
+    latent: np.ndarray  # (passages, rank), unit rows over the norm that each keeps
+    owner: np.ndarray  # the item of each of these passages
+    sparse: list[tuple[np.ndarray, np.ndarray]]  # words and unit weights of the passages that keep too little
+    sparse_owner: np.ndarray  # the item of each of those
     weights: np.ndarray  # by bucket
 
 
@@ -161,8 +168,50 @@ def build_index(spark, items: list[Item], weights: np.ndarray, rank: int) -> Ind
     rows = spark.createDataFrame(sparse, "ids array<int>, weights array<double>").repartition(max(1, len(sparse) // 2000))
     q = randomised_basis(rows, len(of_word), min(rank, len(sparse)))
     latent = np.array([np.asarray(a) @ q[np.asarray(ids)] for ids, a in sparse])
-    latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12
-    return Index(items, of_word, (q * weight[:, None]).astype(np.float32), latent.astype(np.float32), np.array([k for k, _, _ in spans]), weights)
+    kept = np.linalg.norm(latent, axis=1)
+    owner, fit = np.array([k for k, _, _ in spans]), kept >= KEPT
+    latent = latent[fit] / kept[fit, None] ** 2
+    rest = [(np.asarray(sparse[p][0], np.int64), np.asarray(sparse[p][1], np.float32)) for p in np.flatnonzero(~fit)]
+    return Index(items, of_word, (q * weight[:, None]).astype(np.float32), latent.astype(np.float32), owner[fit], rest, owner[~fit], weights)
+
+
+class Lookup:
+    """Postings of the heavy words of sparse passages: all passages whose cosine with a window reaches COSINE."""
+
+    def __init__(self, index: Index, weight: np.ndarray):
+        self.weight, self.many = weight, len(index.sparse)
+        self.full = [dict(zip(ids.tolist(), a.tolist())) for ids, a in index.sparse]
+        words, owners, adds = [], [], []
+        self.most = np.zeros(len(weight), np.float32)  # the most that a word adds to any product
+        for p, (ids, a) in enumerate(index.sparse):
+            np.maximum.at(self.most, ids, a * weight[ids])
+            order = np.argsort(a)
+            heavy = order[np.cumsum(a[order] ** 2) > LIGHT**2]
+            words.append(ids[heavy])
+            owners.append(np.full(len(heavy), p))
+            adds.append(a[heavy] * weight[ids[heavy]])
+        word = np.concatenate(words) if words else np.zeros(0, np.int64)
+        order = np.argsort(word, kind="stable")
+        self.first = np.searchsorted(word[order], np.arange(len(weight) + 1))
+        self.passage, self.add = (np.concatenate(x)[order] if words else np.zeros(0, np.int64) for x in (owners, adds))
+
+    def __call__(self, at: np.ndarray, norm: np.ndarray) -> list[tuple[int, int, float]]:
+        """(window, passage, cosine) over windows of word places, -1 for other words."""
+        out: list[tuple[int, int, float]] = []
+        step = max(1, (1 << 20) // max(1, self.many))
+        for lo in range(0, len(at), step):
+            some = at[lo : lo + step]
+            r, j = np.nonzero(some >= 0)
+            w = some[r, j]
+            n = self.first[w + 1] - self.first[w]
+            hit = np.repeat(self.first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sums = np.bincount(np.repeat(r, n) * self.many + self.passage[hit], self.add[hit], len(some) * self.many).reshape(len(some), self.many)
+            for r, p in zip(*np.nonzero(sums >= ((COSINE - LIGHT - 1e-4) * np.sqrt(norm[lo : lo + step]))[:, None])):
+                full = self.full[p]
+                cosine = sum(full[w] * self.weight[w] for w in some[r].tolist() if w in full) / np.sqrt(norm[lo + r])
+                if cosine >= COSINE:
+                    out.append((lo + int(r), int(p), float(cosine)))
+        return out
 
 
 class Searcher:
@@ -171,14 +220,19 @@ class Searcher:
         plain = Buckets()(list(index.of_word))
         self.square = np.concatenate((index.weights, index.weights[plain])) ** 2
         basis, passages_t = index.basis, index.latent.T
-        most = [np.maximum(0, (basis[k : k + 1000] @ passages_t).max(axis=1)) for k in range(0, len(basis), 1000)]
+        most = [(basis[k : k + 1000] @ passages_t).max(axis=1, initial=0) for k in range(0, len(basis), 1000)]
         self.most = np.concatenate((np.zeros(BUCKETS, np.float32), *most))  # the most that a word adds to any product
+        self.lookup = Lookup(index, index.weights[plain].astype(np.float32))
+        self.most_looked_up = np.concatenate((np.zeros(BUCKETS, np.float32), self.lookup.most))
 
-    def cosines(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, norm: np.ndarray) -> np.ndarray:
-        """Cosines of windows with all passages in the latent space; ids: the words' places in the basis, or -1."""
-        inside = starts[:, None] + np.arange(WINDOW)
-        at = np.where(inside < ends[:, None], ids[np.minimum(inside, len(ids) - 1)], -1)
-        latent = np.zeros((len(starts), self.index.basis.shape[1]), np.float32)
+    def near(self, most: np.ndarray, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Windows whose words may add up to COSINE."""
+        sums = np.concatenate(([0.0], np.cumsum(most[code], dtype=float)))
+        return np.flatnonzero(sums[ends] - sums[starts] >= (COSINE - 1e-4) * np.sqrt(norm))
+
+    def cosines(self, at: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Cosines of windows with passages in the latent space; at: the words' places in the basis, or -1."""
+        latent = np.zeros((len(at), self.index.basis.shape[1]), np.float32)
         for j in range(WINDOW):
             real = at[:, j] >= 0
             latent[real] += self.index.basis[at[real, j]]
@@ -192,18 +246,29 @@ class Searcher:
         ix, n = self.index, len(words)
         code = self.code(words)
         ids, square = np.where(code >= BUCKETS, code - BUCKETS, -1), self.square[code]
-        sums, most = np.concatenate(([0.0], np.cumsum(square))), np.concatenate(([0.0], np.cumsum(self.most[code], dtype=float)))
+        sums = np.concatenate(([0.0], np.cumsum(square)))
         starts = np.array([s for s, _ in passages(n, WINDOW, STRIDE)])
         ends = np.minimum(starts + WINDOW, n)
         norm = sums[ends] - sums[starts]
-        near = np.flatnonzero(most[ends] - most[starts] >= (COSINE - 1e-4) * np.sqrt(norm))
         best: dict[tuple[int, int], float] = {}
+
+        def places(some: np.ndarray) -> np.ndarray:
+            inside = starts[some][:, None] + np.arange(WINDOW)
+            return np.where(inside < ends[some][:, None], ids[np.minimum(inside, n - 1)], -1)
+
+        near = self.near(self.most, code, starts, ends, norm) if len(ix.latent) else starts[:0]
         for a in range(0, len(near), 2048):
             some = near[a : a + 2048]
-            cosine = self.cosines(ids, starts[some], ends[some], norm[some])
+            cosine = self.cosines(places(some), norm[some])
             for r, p in zip(*np.nonzero(cosine >= COSINE)):
                 key = (int(ix.owner[p]), int(starts[some[r]]))
-                best[key] = max(best.get(key, 0.0), float(cosine[r, p]))
+                best[key] = max(best.get(key, 0.0), min(1.0, float(cosine[r, p])))
+        near = self.near(self.most_looked_up, code, starts, ends, norm) if ix.sparse else starts[:0]
+        for a in range(0, len(near), 2048):
+            some = near[a : a + 2048]
+            for r, p, cosine in self.lookup(places(some), norm[some]):
+                key = (int(ix.sparse_owner[p]), int(starts[some[r]]))
+                best[key] = max(best.get(key, 0.0), cosine)
         out: dict[int, tuple] = {}
         for (k, start), cosine in best.items():
             item = ix.items[k]
@@ -230,7 +295,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: i
     blocks = max(1, -(-wanted.count() // block))
     weights, found = None, None
     for k in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about `block` items
+        rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about `block` items
         items = [Item(r["item_id"], w, split_words(r["answer"] or last_sentence(r["text"]))) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"])) if (w := split_words(r["text"]))]
         if not items:
             continue

@@ -39,6 +39,19 @@ def test_planted_items_are_found_and_clean_ones_are_not(spark, make):
     assert {(r["doc_id"], r["item_id"]) for r in find_leaks(make(texts), bench, block=2).collect()} >= {k for k, v in got.items() if v == "verbatim"}
 
 
+def test_recall_of_a_benchmark_beyond_the_rank(spark, make):
+    draw = random.Random(5)
+    items = [" ".join(draw.choice(VOCABULARY) for _ in range(draw.randint(18, 55))) + ". " + prose(6) + "." for _ in range(1000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    copies = {k: f"{prose(40)} {items[k]} {prose(40)}" if k % 2 else items[k] for k in range(0, 1000, 13)}
+    changed = {k: paraphrased(items[k]) for k in range(6, 1000, 13)}
+    texts = [*copies.values(), *changed.values(), *(prose(150) for _ in range(20))]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in find_leaks(make(texts), bench).collect()}
+    assert all(got.get((d, k)) == "verbatim" for d, k in enumerate(copies))
+    assert all((d, k) in got for d, k in enumerate(changed, len(copies)))
+    assert len(got) == len(copies) + len(changed)
+
+
 def test_basis_spans_the_leading_directions(spark):
     rows = np.random.default_rng(1).standard_normal((60, 5)) @ np.random.default_rng(2).standard_normal((5, 40))
     df = spark.createDataFrame([(list(range(40)), r.tolist()) for r in rows], "ids array<int>, weights array<double>").repartition(3)
