@@ -91,7 +91,7 @@ def candidates(text: str, digits: int) -> list[tuple[str, int, int]]:
     out = []
     for kind, pattern in LOOSE.items():
         if kind == "written_email":
-            likely = any(w in text for w in (" dot ", "[dot]", "(dot)", " DOT "))
+            likely = ("dot" in text or "DOT" in text) and ("at" in text or "AT" in text)  # as the pattern implies
         elif kind == "ip6":
             likely = text.count(":") >= 4
         else:

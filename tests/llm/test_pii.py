@@ -57,6 +57,14 @@ def test_looser_formats_and_redaction():
     assert pii.spans_of("order 4417 of 2023, page 12, total 1,299.00", model) == []
 
 
+def test_each_written_address_is_proposed_on_its_own():
+    forms = [f"joe{a}example{d}com" for a in (" at ", " AT ", "[at]", " (AT) ", "\nat\t") for d in (" dot ", " DOT ", "[DOT]", "(DOT)", "\ndot ", "\tDOT\n", " [dot]", "(dot) ")]
+    for form in forms:
+        text = f"mail {form}, thanks"
+        want = [("written_email", *m.span()) for m in pii.LOOSE["written_email"].finditer(text)]
+        assert want and pii.candidates(text, 0) == want
+
+
 def test_awkward_rows(awkward, empty):
     assert sorted(len(r["spans"]) for r in pii.find_pii(awkward).collect()) == [0] * 8
     assert pii.find_pii(empty, redact=True).count() == 0
