@@ -1,7 +1,9 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are quantised to integers, and equal ones are one point that keeps its k+1 smallest ids (a query is never
-its own neighbour, and no result needs more). Points are dealt to tasks by their nearest of some pivots, which
+Vectors are quantised to integers, and equal ones are one point that keeps its 2k first rows by id, at most k of an id
+(a query is never its own neighbour, and no result needs more). Equal queries are searched once and leave out their
+own ids, which stand in that one point, at the end; an id with several vectors leaves its own rows out as it searches.
+Points are dealt to tasks by their nearest of some pivots, which
 farthest-first traversal picks from a bounded sample; each task builds cover trees (centre, exact covering radius,
 bounded fan-out) over its points and walks them together with a cover tree over a block of queries. A pair of nodes
 is pruned when
@@ -12,8 +14,9 @@ stays under the worst k-th score of the node's queries, so far or among the samp
 `block`, each of which is sent to all tasks: its size, and the sample's, are bounded by parameters.
 
 Vectors that are null, or hold a null or a non-finite component, take no part, nor do rows with a null id. Vectors of
-unequal lengths are padded with zeros. Ties go to the smaller id; repeated ids are points of their own, but a query
-leaves out all rows of its id. An empty table gives no rows; fewer points than k give fewer rows.
+unequal lengths are padded with zeros. Ties go to the smaller id; repeated rows are neighbours as often as
+they stand there, but a query leaves out all rows of its id. A query id that is repeated has one list as in the SQL: the
+k best of all pairs of one of its rows and a row of another id. An empty table gives no rows; fewer points than k give fewer rows.
 """
 
 from __future__ import annotations
@@ -86,10 +89,13 @@ def bound(q: Node, x: Node) -> float:
 
 
 class Search:
-    """The best `keep` points of each query of a block so far, as heaps of (score, -id, point's ids)."""
+    """The best `keep` points of each query of a block so far, as heaps of (score, -id, point's ids).
 
-    def __init__(self, queries: np.ndarray, floor: np.ndarray, keep: int):
-        self.queries, self.keep, self.kth = queries, keep, floor.copy()
+    own: by query, the id whose rows take no part, or None.
+    """
+
+    def __init__(self, queries: np.ndarray, floor: np.ndarray, keep: int, own: list):
+        self.queries, self.keep, self.kth, self.own = queries, keep, floor.copy(), own
         self.best: list[list] = [[] for _ in queries]
         self.tree = cover_tree(queries, leaf=64) if len(queries) else None
 
@@ -97,7 +103,10 @@ class Search:
         scores = products(self.queries[q.points], vectors[x.points])
         for i, j in zip(*np.nonzero(scores >= self.kth[q.points][:, None])):
             at, point, score = q.points[i], x.points[j], int(scores[i, j])
-            heap, entry = self.best[at], (score, -ids[point][0], tuple(ids[point]))
+            others = tuple(ids[point]) if self.own[at] is None else tuple(i for i in ids[point] if i != self.own[at])
+            if not others:
+                continue
+            heap, entry = self.best[at], (score, -others[0], others)
             if len(heap) < self.keep:
                 heapq.heappush(heap, entry)
             elif entry > heap[0]:
@@ -141,14 +150,19 @@ def top_inner_products(
     fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = whole.where(fit).select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("q"))
 
-    first = Window.partitionBy("q").orderBy("id")
-    few = whole.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    of_id = Window.partitionBy("q", "id").orderBy("id")
+    few = whole.withColumn("n", F.row_number().over(of_id)).where(F.col("n") <= k)
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("id"))).where(F.col("n") <= 2 * k)
     points = scratch.keep(few.groupBy("q").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
-    asked = whole.where(F.col("id") % every == 0)
-    queries = scratch.keep(asked.groupBy("q").agg(F.min("id").alias("key")), "queries")
+    asked = whole.where(F.col("id") % every == 0).groupBy("id", "q").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    own = Window.partitionBy("id")
+    part = F.when(F.count("*").over(own) > 1, F.row_number().over(own.orderBy("q"))).otherwise(0)  # 0: its only vector
+    asked = scratch.keep(asked.withColumn("part", part), "asked")
+    shared = asked.where("part = 0").groupBy("q").agg(F.min("id").alias("key"), F.min("part").alias("part"))
+    queries = scratch.keep(shared.unionByName(asked.where("part > 0").select("q", F.col("id").alias("key"), "part")), "queries")
 
     total = points.count()
-    picked = points.select("q", F.xxhash64("q").alias("h")).orderBy("h").limit(sample).collect()  # a bounded sample
+    picked = points.select("q", "ids", F.xxhash64("q").alias("h")).orderBy("h").limit(sample).collect()  # a bounded sample
     known = matrix([r["q"] for r in picked])
     pivots = pivots_of(known, max(8, min(256, total // batch))) if total else known
 
@@ -167,16 +181,20 @@ def top_inner_products(
     answers = None
     blocks = -(-queries.count() // block)
     for part in range(blocks):
-        chosen = queries.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == part).collect()  # about `block` rows
-        asked_for, keys = matrix([r["q"] for r in chosen], known.shape[1]), [r["key"] for r in chosen]
+        chosen = queries.where(F.pmod(F.xxhash64("key", "part"), F.lit(blocks)) == part).collect()  # about `block` rows
+        asked_for, keys = matrix([r["q"] for r in chosen], known.shape[1]), [(r["key"], r["part"]) for r in chosen]
+        mine = [r["key"] if r["part"] else None for r in chosen]
         if not chosen:
             continue
         width = asked_for.shape[1]
         seeds = products(asked_for, np.pad(known, ((0, 0), (0, width - known.shape[1]))))
+        for at, key in enumerate(mine):
+            if key is not None:  # points of its own rows only are no lower bound
+                seeds[at, [set(r["ids"]) == {key} for r in picked]] = np.iinfo(np.int64).min
         floor = np.partition(seeds, -(k + 1), axis=1)[:, -(k + 1)] if seeds.shape[1] > k else np.full(len(chosen), np.iinfo(np.int64).min)
 
-        def search(batches: Iterator[pd.DataFrame], asked_for=asked_for, keys=keys, floor=floor) -> Iterator[pd.DataFrame]:
-            found = Search(asked_for, floor, k + 1)
+        def search(batches: Iterator[pd.DataFrame], asked_for=asked_for, keys=keys, mine=mine, floor=floor) -> Iterator[pd.DataFrame]:
+            found = Search(asked_for, floor, k + 1, mine)
             for b in batches:
                 x = matrix(b["q"], asked_for.shape[1])
                 if not len(x):
@@ -184,18 +202,23 @@ def top_inner_products(
                 if x.shape[1] > asked_for.shape[1]:
                     x = x[:, : asked_for.shape[1]]  # components that every query has as zero
                 found.walk(cover_tree(x, leaf=128), x, [list(i) for i in b["ids"]])
-            out = [(key, score, i) for key, heap in zip(keys, found.best) for score, _, ids in heap for i in ids]
-            yield pd.DataFrame(out, columns=["key", "score", "id"]).astype("int64")
+            out = [(*key, score, i) for key, heap in zip(keys, found.best) for score, _, ids in heap for i in ids]
+            yield pd.DataFrame(out, columns=["key", "part", "score", "id"]).astype("int64")
 
-        here = dealt.select("q", "ids").mapInPandas(search, "key long, score long, id long")
+        here = dealt.select("q", "ids").mapInPandas(search, "key long, part long, score long, id long")
         answers = here if answers is None else answers.unionByName(here)
     if answers is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("key").orderBy(F.desc("score"), "id")
-    top = answers.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "id", "score"))), lambda s: F.struct(s["id"].alias("id"), s["score"].alias("score")))
-    top = scratch.keep(top.groupBy("key").agg(listed.alias("top")), "top")
-    out = asked.join(queries, "q").select("id", "key").join(broadcast_if_small(top, SMALL_ANSWERS), "key")
+    best = Window.partitionBy("key", "part").orderBy(F.desc("score"), "id")
+    top = answers.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "id", "score"))), lambda s: F.struct((-s["score"]).alias("lost"), s["id"].alias("id")))
+    top = scratch.keep(top.groupBy("key", "part").agg(listed.alias("top")), "top")
+    one = asked.where("part = 0").join(queries.where("part = 0").select("q", "key"), "q").select("id", "key", "part", "times")
+    out = one.unionByName(asked.where("part > 0").select("id", F.col("id").alias("key"), "part", "times"))
+    out = out.join(broadcast_if_small(top, SMALL_ANSWERS), ["key", "part"])
     others = F.slice(F.filter("top", lambda s: s["id"] != F.col("id")), 1, k)
-    out = out.select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "hit"))
-    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), F.col("hit.score").alias("score"))
+    out = out.select("id", "part", F.slice(F.flatten(F.transform(others, lambda s: F.array_repeat(s, F.col("times")))), 1, k).alias("top"))
+    several = out.where("part > 0").groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    out = out.where("part = 0").select("id", "top").unionByName(several)
+    out = out.select(F.col("id").alias("query_id"), F.posexplode("top").alias("at", "hit"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.lost")).alias("score"))

@@ -43,3 +43,27 @@ def test_awkward_rows(spark):
     check(spark, rows)
     assert top_inner_products(spark.createDataFrame([], SCHEMA)).count() == 0
     check(spark, [(0, [1.0])])
+
+
+def pairs_brute(rows, k, every):
+    """As the SQL: the k best of all pairs of a row of the query's id and a row of another id."""
+    points = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows]
+    out = []
+    for i in sorted({i for i, _ in points if i % every == 0}):
+        best = sorted((-sum(a * b for a, b in zip(q, v)), j) for me, q in points if me == i for j, v in points if j != i)[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    vector = lambda scale=1.0: (scale * rng.standard_normal(6)).tolist()
+    rows = [(i, vector()) for i in range(1, 150) if i % 10]
+    for i, times in ((10, 2), (20, 10), (7, 9)):  # repeated rows, all among the best
+        rows += [(i, [4.0] * 6)] * times
+    for i, many in ((30, 2), (40, 10), (41, 12)):  # an id with several vectors
+        rows += [(i, [5.0 + x] + [4.0] * 5) for x in range(many)]
+    rows += [(40, [5.0] + [4.0] * 5)] * 3 + [(50, vector()), (60, [4.0] * 6)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    for more in ({}, {"sample": 20, "batch": 32, "block": 4}):
+        assert sorted(tuple(r) for r in top_inner_products(df, 5, 10, **more).collect()) == pairs_brute(rows, 5, 10)
