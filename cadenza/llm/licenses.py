@@ -1,8 +1,10 @@
 """License scans by conditional compression.
 
-A candidate block is the text around a hint word. It is compressed alone and with each template as zstandard raw
-dictionary; the more a template shortens it, the likelier the block is that notice. The best templates are confirmed
-by exact wording: how many of the template's words miss, in order, and whether every number in it stands there.
+A candidate block is the text around a hint, with white space and signs between a hint's words folded. Blocks are
+measured in words, with slack for inserted ones, and trimmed to those that match. Every template is confirmed by exact
+wording: how many of its words miss, in order, and whether every number in it stands there; most words win. A block is
+compressed alone and with the template as zstandard raw dictionary; where as many words match, the template that
+shortens it more is taken.
 
 Null and empty texts have no notice. Rows with a null doc_id are scanned too. Repeated rows are reported once each.
 A text of any length is scanned whole; only the blocks around hints are compressed.
@@ -11,6 +13,8 @@ A text of any length is scanned whole; only the blocks around hints are compress
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,41 +50,76 @@ def _words(text: str) -> list[str]:
 class Scanner:
     def __init__(self, templates: dict[str, str], hints: tuple[str, ...], most_missing: float):
         self.most = most_missing
-        self.hint = re.compile("|".join(map(re.escape, hints)))
-        self.hints = hints
+        self.hint = re.compile("|".join(r"[\W_]+".join(map(re.escape, h.split())) for h in hints))
         self.alone = zstandard.ZstdCompressor(level=3)
         raw = zstandard.DICT_TYPE_RAWCONTENT
-        self.known = [(name, text, _words(text), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.encode() + b"\n" + text.encode(), dict_type=raw))) for name, text in templates.items()]
-        self.lead = {name: max(0, min((text.lower().find(h) for h in hints if h in text.lower()), default=0)) for name, text in templates.items()}
-
-    def blocks(self, text: str, at: int):
-        """For each template the block in which it would stand, if its first hint were the one at this place."""
-        for name, template, words, zipped in self.known:
-            start = max(0, at - self.lead[name])
-            yield name, words, zipped, template, start, min(len(text), start + len(template))
+        self.known = []
+        for name, text in templates.items():
+            zipped = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.encode() + b"\n" + text.encode(), dict_type=raw))
+            begins = [m.start() for m in _WORD.finditer(text)]
+            leads = [m.start() for m in self.hint.finditer(text.lower())]
+            places = [bisect_right(begins, at) - 1 for at in leads] or [0]
+            self.known.append((name, text, _words(text), zipped, leads, min(places), max(places)))
+
+    def confirmed(self, words: list[str], here: list[str]) -> tuple[int, int, int] | None:
+        """(first, end, missing) of the tightest stretch of `here` with most of the words in order, if they suffice."""
+        least = len(words) - self.most * len(words)
+        if sum((Counter(words) & Counter(here)).values()) < least:
+            return None
+        most = lcs_length(words, here)
+        if most < least:
+            return None
+        low, high = most, len(here)
+        while low < high:  # the shortest beginning with as many
+            middle = (low + high) // 2
+            low, high = (low, middle) if lcs_length(words, here[:middle]) == most else (middle + 1, high)
+        end, low, high = low, 0, low - most
+        while low < high:  # its shortest end with as many
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if lcs_length(words, here[middle:end]) == most else (low, middle - 1)
+        known, span = set(words), here[low:end]
+
+        def stands(number: str) -> bool:
+            for at in (k for k, w in enumerate(span) if w == number):
+                while at and span[at - 1] not in known and not any(c.isdigit() for c in span[at - 1]):
+                    at -= 1
+                if not at or span[at - 1] in known:
+                    return True  # no other number stands in its place
+            return False
+
+        return (low, end, len(words) - most) if all(stands(w) for w in words if any(c.isdigit() for c in w)) else None
 
     def __call__(self, text: str) -> list[tuple]:
         low = text.lower()
         if len(low) != len(text):  # a letter whose lower case is longer; positions must stay
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        if not any(h in low for h in self.hints):
+        hits = [m.start() for m in self.hint.finditer(low)]
+        if not hits:
             return []
+        spots = [m.span() for m in _WORD.finditer(low)]
+        begins = [a for a, _ in spots]
+        said = [low[a:b] for a, b in spots]
         found = []
-        for hit in self.hint.finditer(low):
-            ranked = []
-            for name, words, zipped, template, start, end in self.blocks(text, hit.start()):
-                block = text[start:end].encode("utf-8", "surrogatepass")
-                plain = len(self.alone.compress(block))
-                ranked.append((1 - len(zipped.compress(block)) / plain, name, words, template, start, end))
-            for gain, name, words, template, start, end in sorted(ranked, key=lambda r: (-r[0], r[1]))[:3]:
-                here = _words(text[start:end])
-                missing = len(words) - lcs_length(words, here)
-                numbers = [w for w in words if any(c.isdigit() for c in w)]
-                if missing <= self.most * len(words) and all(n in here for n in numbers):
-                    found.append((gain, name, start, end, missing, text[start:end] == template))
-                    break
+        for hit in hits:
+            at = bisect_right(begins, hit) - 1
+            for name, template, words, zipped, leads, first, last in self.known:
+                spans = [(hit - k, hit - k + len(template), 0) for k in leads if hit >= k and text.startswith(template, hit - k)]
+                if not spans:
+                    slack = 2 + len(words) // 4
+                    a = max(0, at - last - slack)
+                    got = self.confirmed(words, said[a : at - first + len(words) + slack])
+                    if got is None:
+                        continue
+                    start, end = begins[a + got[0]], spots[a + got[1] - 1][1]
+                    tail = template[[m.end() for m in _WORD.finditer(template)][-1] :]
+                    spans = [(start, end + len(tail) if text.startswith(tail, end) else end, got[2])]
+                for start, end, missing in spans:
+                    block = text[start:end].encode("utf-8", "surrogatepass")
+                    gain = 1 - len(zipped.compress(block)) / len(self.alone.compress(block))
+                    found.append((gain, name, start, end, missing, text[start:end] == template, len(words) - missing))
         out: list[tuple] = []
-        for gain, name, start, end, missing, exact in sorted(found, key=lambda f: (-(f[3] - f[2]) if f[5] else 0, -f[0], f[2])):
+        # exact ones first, the longest of them; then those with most words, as a short notice may begin a longer one
+        for gain, name, start, end, missing, exact, _ in sorted(found, key=lambda f: (-(f[3] - f[2]) if f[5] else 0, -f[6], f[4], -f[0], f[2], f[1])):
             if all(end <= o[1] or start >= o[2] for o in out):
                 out.append((name, start, end, gain, missing, exact))
         return sorted(out, key=lambda o: o[1])

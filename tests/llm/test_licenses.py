@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from cadenza.llm.licenses import TEMPLATES, scan_licenses
+from cadenza.llm.licenses import HINTS, TEMPLATES, Scanner, scan_licenses
 from cadenza.llm.wording import lcs_length
 
 
@@ -20,6 +20,24 @@ def test_other_wordings(make):
     assert got == [(0, "GPL-3.0", False), (4, "reserved", True), (4, "MIT", True)]
 
 
+def test_wrapped_notices():
+    scan = Scanner(TEMPLATES, HINTS, 0.15)
+    for name, t in TEMPLATES.items():
+        for between, lead in (("\n# ", "# "), ("  ", ""), ("\n * ", "/* "), ("\n", ""), ("\t// ", "// ")):
+            for every in (1, 3):
+                words = t.split(" ")
+                notice = "".join(w + (between if k % every == 0 else " ") for k, w in enumerate(words[:-1])) + words[-1]
+                text = f"{'word ' * 60}\n{lead}{notice} and {'more ' * 60}"
+                got = [(f[0], text[f[1] : f[2]], f[4], f[5]) for f in scan(text)]
+                assert got == [(name, notice, 0, False)], (name, between, every, got)
+
+
+def test_numbers_of_other_versions():
+    scan = Scanner(TEMPLATES, HINTS, 0.15)
+    for text in ("This work is licensed under the GNU General Public License, version 2. 3 people.", "This work is licensed under the GNU General Public License, version 2, section 3."):
+        assert scan(text) == []
+
+
 def test_lcs_against_brute_force():
     def brute(a, b):
         return 0 if not a or not b else 1 + brute(a[1:], b[1:]) if a[0] == b[0] else max(brute(a[1:], b), brute(a, b[1:]))
