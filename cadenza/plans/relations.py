@@ -340,6 +340,12 @@ def gain_keyframes(spark, sf_dir):
 
 @query()
 def spaced_windows(spark, sf_dir):
-    """The five loudest ten-frame windows of each series that do not overlap."""
-    d = frames(spark, sf_dir).where("frame_idx % 5 = 0").select("user_id", "frame_idx", "event_id", "db")
-    return greedy.pick_apart(d, "user_id", "db", "event_id", "frame_idx", 10, 5).where("picked").select("user_id", "frame_idx", r("db").alias("db"))
+    """The five loudest ten-frame windows of each series that do not overlap, by their mean level."""
+    return ten_frame_windows(frames(spark, sf_dir)).select("user_id", "frame_idx", r("db").alias("db"))
+
+
+def ten_frame_windows(d):
+    """Any frame with nine after it may start a window; its level is the mean of the ten."""
+    ten = Window.partitionBy("user_id").orderBy("frame_idx").rowsBetween(0, 9)
+    d = d.select("user_id", "frame_idx", "event_id", F.count("*").over(ten).alias("n"), F.round(F.avg("db").over(ten), 9).alias("db")).where("n = 10").drop("n")
+    return greedy.pick_apart(d, "user_id", "db", "event_id", "frame_idx", 10, 5).where("picked")

@@ -176,3 +176,20 @@ def test_pairing_reasons(spark):
     b = spark.createDataFrame([("x", 9), ("y", 8), ("w", 7)], "key string, r long")
     got = {r["key"]: (r["status"], r["left_id"], r["right_id"]) for r in joins.pair_one_to_one(a, b, "key", "l", "r").collect()}
     assert got == {"x": ("paired", 1, 9), "y": ("ambiguous", None, None), "z": ("no_result", None, None), "w": ("no_source", None, None)}
+
+
+def test_ten_frame_windows_against_brute_force(spark):
+    from cadenza.plans.relations import ten_frame_windows
+
+    rng = np.random.default_rng(21)
+    series = {u: rng.standard_normal(n).round(3).tolist() for u, n in ((1, 9), (2, 10), (3, 33), (4, 200))}
+    rows = [(u, i, 1000 * u + i, x) for u, xs in series.items() for i, x in enumerate(xs)]
+    want = set()
+    for u, xs in series.items():
+        chosen = []
+        for _, at in sorted((-round(sum(xs[i : i + 10]) / 10, 9), i) for i in range(len(xs) - 9)):
+            if len(chosen) < 5 and all(abs(at - c) >= 10 for c in chosen):
+                chosen.append(at)
+        want |= {(u, at) for at in chosen}
+    got = ten_frame_windows(spark.createDataFrame(rows, "user_id long, frame_idx int, event_id long, db double")).collect()
+    assert {(r["user_id"], r["frame_idx"]) for r in got} == want and len(got) == len(want)
