@@ -22,14 +22,21 @@ def preference_pairs(rows: DataFrame, group: str, preferred: Column, features: l
     return wide.where("__yes = 1 and __no = 1").drop("__yes", "__no")
 
 
+def preferred_over_others(rows: DataFrame, group: str, preferred: Column, features: list[str]) -> DataFrame:
+    """By feature, preferred minus other, for each preferred row of a group and each other row of it; missing values count as 0."""
+    values = rows.select(group, preferred.alias("__yes"), *(F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features))
+    best = values.where("__yes").select(group, *(F.col(f).alias(f"__{f}") for f in features))
+    return best.join(values.where("not __yes"), group).select(group, *((F.col(f"__{f}") - F.col(f)).alias(f) for f in features))
+
+
 def fit(pairs: DataFrame, features: list[str], rate: float = 0.08, steps: int = 240, ridge: float = 0.0015) -> list[float]:
     """Weights after `steps` of gradient descent, each shrunk by the ridge; a preferred row is to score lower."""
-    pairs = pairs.select(*features).cache()
+    pairs = pairs.groupBy(*features).agg(F.count("*").alias("__n")).cache()  # equal differences once, with their count
     weights = [0.0] * len(features)
     try:
         for _ in range(steps):
             miss = 1 / (1 + F.exp(-score(features, weights)))  # how likely the weights have the pair the wrong way round
-            slopes = pairs.agg(*(F.avg(miss * F.col(f)).alias(f) for f in features)).first()
+            slopes = pairs.agg(*((F.sum(miss * F.col(f) * F.col("__n")) / F.sum("__n")).alias(f) for f in features)).first()
             weights = [w - rate * ((slopes[f] or 0.0) + ridge * w) for w, f in zip(weights, features)]
     finally:
         pairs.unpersist()

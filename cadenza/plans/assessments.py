@@ -110,11 +110,10 @@ def run_statistics(spark, sf_dir):
 
 @query()
 def learned_ranking(spark, sf_dir):
-    """Weights learned from each order's preferred line, applied to all lines; no SQL form for the descent."""
+    """Weights learned from each order's preferred line against all its others, applied to all lines; no SQL form for the descent."""
     from cadenza.operators import ranking
 
     names = ["instability", "onset", "jump", "swing", "sag"]
-    d = measured(spark, sf_dir).where("l_linenumber <= 2")
-    pairs = ranking.preference_pairs(d, "l_orderkey", C("l_linenumber") == 1 + C("l_orderkey") % 2, names)
-    weights = ranking.fit(pairs, names, steps=12)
+    pairs = ranking.preferred_over_others(measured(spark, sf_dir), "l_orderkey", C("l_linenumber") == 1 + C("l_orderkey") % 2, names)
+    weights = ranking.fit(pairs, names)
     return measured(spark, sf_dir).select("l_orderkey", "l_linenumber", r(ranking.score(names, weights)).alias("score"))

@@ -193,3 +193,15 @@ def test_ten_frame_windows_against_brute_force(spark):
         want |= {(u, at) for at in chosen}
     got = ten_frame_windows(spark.createDataFrame(rows, "user_id long, frame_idx int, event_id long, db double")).collect()
     assert {(r["user_id"], r["frame_idx"]) for r in got} == want and len(got) == len(want)
+
+
+def test_preferred_row_against_all_others_and_counted_differences(spark):
+    from cadenza.operators import ranking
+
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 2, 3.0), (1, 3, None), (2, 1, 5.0), (3, 2, 2.0), (4, 1, 1.0), (4, 2, 3.0)], "g long, n int, x double")
+    pairs = ranking.preferred_over_others(df, "g", F.col("n") == 1, ["x"])
+    assert sorted((r["g"], r["x"]) for r in pairs.collect()) == [(1, -2.0), (1, 1.0), (4, -2.0)]
+    w = 0.0
+    for _ in range(5):
+        w -= 0.08 * (sum(x / (1 + math.exp(-w * x)) for x in (-2.0, 1.0, -2.0)) / 3 + 0.0015 * w)
+    assert abs(ranking.fit(pairs, ["x"], steps=5)[0] - w) < 1e-12
