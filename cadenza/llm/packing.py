@@ -35,7 +35,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level BPE vocabulary of a tokenizers JSON file as a tiktoken encoding, which gives the same ids.
+    """The byte-level BPE vocabulary of a tokenizers JSON file as a tiktoken encoding, which gives the same ids, and its added tokens.
 
     In such a vocabulary a token's id is its merge rank, so the ranks are the vocabulary with its printable stand-ins
     for bytes undone. The split pattern is that of byte-level BPE's pre-tokenizer.
@@ -46,10 +46,10 @@ def encoder(path: str):
         model = json.load(f)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-    special = {t["content"] for t in model.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), added
 
 
 #: A single space between two other characters always starts a pre-token, so what lies between such spaces encodes alone.
@@ -78,11 +78,20 @@ class TokenIds:
     """Token ids of texts; remembers the ids of the words it has met, up to a bound."""
 
     def __init__(self, path: str):
-        self.encode = encoder(path).encode_ordinary
+        encoding, self.added = encoder(path)
+        self.encode = encoding.encode_ordinary
         self.known = _Known(self.encode)
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
+        """The ids as little-endian unsigned 32-bit numbers; an added token's own id where its string stands, as the tokenizer has it."""
+        if not any(map(text.__contains__, self.added)):
+            return self.plain(text)
+        return b"".join(array("I", [self.added[x]]).tobytes() if k % 2 else self.plain(x) for k, x in enumerate(self.apart.split(text)))
+
+    def plain(self, text: str) -> bytes:
+        if not text:
+            return b""
         parts = text.split()
         apart = parts and len(text) - sum(map(len, parts)) == len(parts) - 1  # no two white-space characters meet
         first, *rest = text.split(" ") if apart else _SPACE.split(text)

@@ -17,17 +17,16 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def reference_ids():
     t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-TEXTS = ["", None, "plain words here", "it 's  two   spaces\n\n and\ttabs \x1c\x85 x", "don't <|endoftext|> é ü y 🎈🎈 1,234.5", " lead and trail ", "a" * 3000, "\n".join("line %d" % i for i in range(900))]
+TEXTS = ["", None, "plain words here", "it 's  two   spaces\n\n and\ttabs \x1c\x85 x", "don't <|endoftext|> é ü y 🎈🎈 1,234.5", "<|endoftext|>first", "a  <|endoftext|><|endoftext|>  b<|endoftext|>", "near <|endoftext> |endoftext|> <|endoftext|", " lead and trail ", "a" * 3000, "\n".join("line %d" % i for i in range(900))]
 
 
 def test_ids_equal_the_tokenizer(reference_ids):
     ids = TokenIds(PATH)
     rng = random.Random(3)
-    signs = "ab Z9.,'\"\n\t  é中🎈 \x1c-_"
+    signs = [*"ab Z9.,'\"\n\t  é中🎈 \x1c-_", "<|endoftext|>"]
     for text in [t or "" for t in TEXTS] + ["".join(rng.choice(signs) for _ in range(80)) for _ in range(300)]:
         assert np.frombuffer(ids(text), "<u4").tolist() == reference_ids(text), text
 
