@@ -1,15 +1,19 @@
 """Secret scans over a trigram inverted index, with DataFrame functions only.
 
-Each rule's regular expression is turned into a Boolean query over trigrams: an AND of the trigrams of each literal
-it cannot match without, an OR over alternatives. The index holds postings (trigram, document) for the trigrams that
-some query names; postings of one conjunction are intersected per document, and only the documents that result are
-verified with the expression itself. A rule that no literal of three letters is mandatory for scans all texts.
+Each rule's regular expression is turned into a Boolean query over trigrams: an AND of trigrams that cover each literal
+it cannot match without, an OR over alternatives. The index is a table of postings (trigram, document), sorted by
+trigram within its files, that one pass over the texts fills for the trigrams that some query names. The postings of a
+conjunction's trigrams are intersected over all documents at once, and only documents in an intersection are verified
+with the expression itself. A rule that no literal of three letters is mandatory for scans all texts.
 
 Spans count code points and end exclusively. They follow from lengths: what lies between matches (split) and the
-matches themselves (regexp_extract_all) alternate.
+matches themselves (regexp_extract_all) alternate. Spans that start alike are ordered by rule; equal spans of two rules
+are both reported.
 
-Null text counts as empty and has no spans. Rows with a null doc_id are not in the index; they are scanned for every
-rule. Repeated rows are reported once each; rows of one doc_id share their candidate rules, which verifying settles.
+Null text counts as empty and has no spans; an empty table gives no rows. Rows with a null doc_id are not in the index;
+they are scanned for every rule. Repeated rows are reported once each; rows of one doc_id share their candidate rules,
+which verifying settles. Only doc_id and text are read, so other columns may have any names. The work on a text grows
+with its length and, for its matches, as their number to the power 1.5.
 """
 
 from __future__ import annotations
@@ -93,45 +97,93 @@ def trigram_query(pattern: str) -> frozenset[frozenset[str]] | None:
     ands = []
     for done, run in of(_parser.parse(pattern)):
         words = {w.lower() for w in {*done, run} if len(w) >= 3 and w.isascii()}
-        grams = frozenset(w[i : i + 3] for w in words for i in range(len(w) - 2))
+        grams = frozenset(w[i : i + 3] for w in words for i in {*range(0, len(w) - 2, 3), len(w) - 3})
         if not grams:
             return None
         ands.append(grams)
     return frozenset(x for x in ands if not any(y < x for y in ands))
 
 
+def _one_of(grams: list[str]) -> str:
+    """An expression that matches, without consuming it, any of the trigrams at a place; a test of three letter classes comes first."""
+    signs = lambda cs: "[" + "".join(c if c.isalnum() else "\\" + c for c in sorted(cs)) + "]"
+    heads = sorted({g[0] for g in grams})
+
+    def among(heads: list[str]) -> str:
+        if len(heads) <= 2:
+            return "|".join(f"{re.escape(h)}(?:{'|'.join(re.escape(g[1:]) for g in grams if g[0] == h)})" for h in heads)
+        half = len(heads) // 2
+        return "|".join(f"(?={signs(part)})(?:{among(part)})" for part in (heads[:half], heads[half:]))
+
+    return f"(?={''.join(signs({g[k] for g in grams}) for k in range(3))})(?=({among(heads)}))"
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """(gram, doc_id) for the named trigrams, whatever case they stand in."""
-    low = F.lower(F.col("text"))
-    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams)))
-    return docs.select("doc_id", F.explode(found).alias("gram"))
+    """(gram, doc_id) for the named trigrams, whatever case they stand in: one pass over each text."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_one_of(grams)), F.lit(1)))
+    return docs.select(F.explode(found).alias("gram"), "doc_id").sortWithinPartitions("gram")
 
 
-def candidates(docs: DataFrame, queries: dict[str, frozenset[frozenset[str]]]) -> DataFrame:
+def intersected(index: DataFrame, queries: dict[str, frozenset[frozenset[str]]]) -> DataFrame:
+    """(doc_id, kinds): the rules of whose conjunctions one has the document in the postings of all its trigrams."""
+    conjunctions = [(kind, sorted(grams)[:62]) for kind, query in queries.items() for grams in sorted(query, key=sorted)]
+    terms = [(g, c, kind, 1 << k, (1 << len(gs)) - 1) for c, (kind, gs) in enumerate(conjunctions) for k, g in enumerate(gs)]
+    terms = index.sparkSession.createDataFrame(terms, "gram string, conjunction int, kind string, bit long, whole long")
+    lists = index.join(F.broadcast(terms), "gram")  # as many rows as the rules have trigrams
+    hits = lists.groupBy("doc_id", "conjunction", "kind", "whole").agg(F.bit_or("bit").alias("bits")).where("bits = whole")
+    return hits.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))  # at most the rules
+
+
+def candidates(docs: DataFrame, queries: dict[str, frozenset[frozenset[str]]], scratch: Scratch) -> DataFrame:
     """(doc_id, kinds): the rules whose trigram query a document's postings satisfy."""
-    conjunctions = [(kind, sorted(grams)) for kind, query in queries.items() for grams in sorted(query, key=sorted)]
-    grams = sorted({g for _, gs in conjunctions for g in gs})
-    index = postings(docs.where("doc_id is not null"), grams)
-    hits = [F.when(F.size(F.array_intersect("grams", F.array(*map(F.lit, gs)))) == len(gs), F.lit(kind)) for kind, gs in conjunctions]
-    seen = index.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))  # at most the named trigrams
-    return seen.select("doc_id", F.array_distinct(F.array_compact(F.array(*hits))).alias("kinds")).where(F.size("kinds") > 0)
+    grams = sorted({g for query in queries.values() for gs in query for g in gs})
+    index = scratch.keep(postings(docs.where("doc_id is not null"), grams), "postings")
+    kept = scratch.keep(intersected(index, queries), "candidates")
+    scratch.drop("postings")
+    return kept
+
+
+def running_starts(gaps: Column, lengths: Column) -> Column:
+    """array<int>: where each item starts when gaps and items of the given lengths alternate.
+
+    A fold that copies its output costs the square of what it folds over, so sums run over blocks of about the square
+    root of the number of items, and within each block.
+    """
+    empty = F.expr("cast(array() as array<int>)")
+
+    def sums(xs: Column, first: Column) -> Column:
+        """first and its running sums with all of xs; one more than xs has."""
+        return F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def within(steps: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(steps) / size).cast("int") - 1), lambda k: F.slice(steps, k * size + 1, size))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        pairs = F.arrays_zip(blocks.alias("block"), F.slice(sums(totals, F.lit(0)), 1, F.size(totals)).alias("before"))
+        return F.flatten(F.transform(pairs, lambda p: F.slice(sums(p["block"], p["before"]), 2, F.size(p["block"]))))
+
+    # a start is the sum of all gaps and lengths before it: each step is a gap and the length before it
+    steps = F.zip_with(gaps, F.concat(F.array(F.lit(0)), F.slice(lengths, 1, F.size(lengths) - 1)), lambda g, n: g + n)
+    return F.when(F.size(gaps) == 0, empty).otherwise(F.element_at(F.transform(F.array(steps), within), 1))
 
 
 def match_spans(text: Column, rule: Rule) -> Column:
-    """array<struct<kind, start, end>> of the rule's leftmost non-overlapping matches that pass its length test."""
+    """array<struct<kind, start, end>> of the rule's leftmost non-overlapping matches that pass its length test.
+
+    text must hold a match.
+    """
     whole = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1))
-    tested = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(rule.group + 1))
-    gaps = F.split(text, rule.pattern, -1)
-    zipped = F.arrays_zip(F.transform(whole, F.char_length).alias("n"), F.transform(tested, F.char_length).alias("t"), F.transform(F.slice(gaps, 1, F.size(whole)), F.char_length).alias("gap"))
-    empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int,t:int>>) as out)")
+    tested = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(rule.group + 1)) if rule.group else whole
+    gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole))
+    lengths = lambda xs: F.transform(xs, F.char_length)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["n"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["t"].alias("t")))).alias("out"))
+    def spans(p: Column) -> Column:
+        zipped = F.arrays_zip(running_starts(p["gap"], p["n"]).alias("start"), p["n"].alias("n"), p["t"].alias("t"))
+        passed = F.filter(zipped, lambda s: s["t"] >= rule.least)
+        return F.transform(passed, lambda s: F.struct(F.lit(rule.kind).alias("kind"), s["start"].cast("long").alias("start"), (s["start"] + s["n"]).cast("long").alias("end")))
 
-    spans = F.aggregate(zipped, empty, step, lambda acc: acc["out"])
-    return F.transform(F.filter(spans, lambda s: s["t"] >= rule.least), lambda s: F.struct(F.lit(rule.kind).alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
+    # bound in a lambda, so that the texts are matched once
+    return F.element_at(F.transform(F.array(F.struct(lengths(gaps).alias("gap"), lengths(whole).alias("n"), lengths(tested).alias("t"))), spans), 1)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -139,7 +191,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "secrets")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    kept = scratch.keep(candidates(docs, queries), "candidates")
+    kept = candidates(docs, queries, scratch)
     joined = docs.join(broadcast_if_small(kept, SMALL_IDS), "doc_id", "left")
     none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
     parts = []

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
-from cadenza.llm.secrets import RULES, digest, find_secrets, trigram_query
+from cadenza.llm.secrets import RULES, digest, find_secrets, intersected, postings, trigram_query
 
 TEXTS = [
     "x PassWord = \"abc123XYZ\" y token: 12345 secret=short7 api-key=abcdefgh api_key:'é' apikey  :  \"aaaaaa\"",
@@ -50,3 +52,29 @@ def test_awkward_rows(awkward, empty):
     got = digest(find_secrets(awkward)).collect()
     assert len(got) == 8 and all(r["n_hex"] == 0 and r["spans"] == "" for r in got)
     assert digest(find_secrets(empty)).count() == 0
+
+
+def test_many_matches_in_one_text(make):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["token=abcdef%d" % i, "x", "é🎈", "AKIA" + "B" * 17, "deadbeef" * 4]) for i in range(100_000))
+    began = time.monotonic()
+    (got,) = digest(find_secrets(make([text]))).collect()
+    assert tuple(got[1:]) == brute(text) and time.monotonic() - began < 60
+
+
+def test_long_runs_of_one_sign(make):
+    texts = ["0" * 1_000_000, "token" * 200_000, "password= " + " " * 500_000, "AKIA" * 250_000, "-----BEGIN " + "A " * 300_000]
+    began = time.monotonic()
+    got = {r[0]: tuple(r[1:]) for r in digest(find_secrets(make(texts))).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)} and time.monotonic() - began < 60
+
+
+def test_postings_and_intersections(spark, make):
+    queries = {r.kind: q for r in RULES if (q := trigram_query(r.pattern)) is not None}
+    grams = sorted({g for q in queries.values() for c in q for g in c})
+    texts = [t or "" for t in TEXTS] + ["pas swo ord", "sec xoxb-12", "API then KEY", "eyjeyj .ey"]
+    index = postings(make(texts), grams)
+    assert sorted((r["gram"], r["doc_id"]) for r in index.collect()) == sorted((g, i) for i, t in enumerate(texts) for g in grams if g in t.lower())
+    got = {r["doc_id"]: set(r["kinds"]) for r in intersected(index, queries).collect()}
+    want = {i: {k for k, q in queries.items() if any(all(g in t.lower() for g in c) for c in q)} for i, t in enumerate(texts)}
+    assert got == {i: k for i, k in want.items() if k}
