@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from cadenza.llm import pii
 from cadenza.llm.queries import span_digest
@@ -43,18 +44,58 @@ def test_digest_counts(make):
 
 
 def test_trees_on_held_out_candidates():
-    x, y = pii.generated(1500, 77)
-    p = pii.train().probability(x)
-    assert ((p >= pii.THRESHOLD) == (y > 0)).mean() > 0.93 and abs(p.mean() - y.mean()) < 0.05
+    x, y, kinds = pii.generated(1500, 77)
+    model = pii.train()
+    assert (model.kept(x, kinds) == (y > 0)).mean() > 0.97 and abs(model.trees.probability(x).mean() - y.mean()) < 0.05
+
+
+#: Written by hand, apart from the generator: a text, and what of it is personal beyond the base kinds.
+CASES = [
+    ("You can call Maria on (415) 555-0132 after six.", ["(415) 555-0132"]), ("Fax: 212.555.0187", ["212.555.0187"]), ("my mobile is 646-555-0199, thanks", ["646-555-0199"]),
+    ("Ring the office: 020 7946 0958", ["020 7946 0958"]), ("dial 0161 496 0321 for help", ["0161 496 0321"]), ("555-867-5309", ["555-867-5309"]), ("Contact number 303 555 0144.", ["303 555 0144"]),
+    ("Her SSN is 219-09-9999.", ["219-09-9999"]), ("social security number: 078-05-1120", ["078-05-1120"]), ("SSN 457-55-5462 was leaked", ["457-55-5462"]), ("123-45-6789", ["123-45-6789"]),
+    ("Pay to DE89 3704 0044 0532 0130 00 by Friday", ["DE89 3704 0044 0532 0130 00"]), ("IBAN GB82WEST12345698765432", ["GB82WEST12345698765432"]), ("account NL91 ABNA 0417 1643 00 please", ["NL91 ABNA 0417 1643 00"]), ("FR14 2004 1010 0505 0001 3M02 606", ["FR14 2004 1010 0505 0001 3M02 606"]),
+    ("write to jane dot", []), ("Mail me: bob.jones at example dot com", ["bob.jones at example dot com"]), ("anna [at] uni-wien [dot] eu", ["anna [at] uni-wien [dot] eu"]), ("sales(at)shop(dot)de", ["sales(at)shop(dot)de"]), ("KIM AT HOST DOT ORG", ["KIM AT HOST DOT ORG"]),
+    ("host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up", ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"]), ("from fe80:1:2:3:204:61ff:fe9d:f156 today", ["fe80:1:2:3:204:61ff:fe9d:f156"]),
+    ("version 123-45-6789", []), ("order 555-123-4567 has shipped", []), ("invoice no 212-555-0187", []), ("part 078-05-1120 is out of stock", []), ("ISBN 978-3-16-148410-0", []), ("tracking 9400 1000 0000", []), ("released 2023-1105-0930", []),
+    ("ssn 000-12-3456 is not valid", []), ("666-12-3456", []), ("the mac is 00:1B:44:11:3A:B7", []), ("lasted 12:34:56:78:90 in total", []), ("it costs $555 123 4567", []), ("serial QX12 3456 7890 1234 55", []),
+    ("we met at noon dot the end", []), ("look at every dot matrix printer", []), ("add at least one dot product", []), ("in 1999, 2001 and 2010 there were 12 345 678 people", []), ("ticket 415-555-0132 closed", []),
+    ("order 4417 arrived, call 415-555-0177", ["415-555-0177"]), ("page 12: reach us at 0161 496 0111", ["0161 496 0111"]), ("build 1.234.5678 passed", []), ("ref 303-55-0144", []), ("transfer to IT60 X054 2811 1010 0000 0123 456", ["IT60 X054 2811 1010 0000 0123 456"]),
+]
+
+
+def test_precision_and_recall_on_hand_written_cases():
+    model, hit, found, wanted = pii.train(), 0, 0, 0
+    for text, want in CASES:
+        got = [text[s:e] for k, s, e in pii.spans_of(text, model) if k in pii.LOOSE]
+        hit, found, wanted = hit + len(set(got) & set(want)), found + len(got), wanted + len(want)
+    print("precision", hit / found, "recall", hit / wanted)
+    assert hit >= 0.9 * found and hit >= 0.9 * wanted
+
+
+def stretched(n):
+    return ["1" * n, "a" * n + " dot at", "-at" * (n // 3) + " dot", "555-123-4567, " * (n // 14), "+1 " * (n // 3), "1.1.1x" * (n // 6), "a@" * (n // 2), "9 " * (n // 2), "joe at x dot com, " * (n // 18)]
 
 
-def test_looser_formats_and_redaction():
+def test_long_texts_take_time_by_their_length():
     model = pii.train()
-    found = pii.spans_of(TEXTS[2], model)
-    assert {"local_phone", "national_id"} <= {k for k, *_ in found}
-    clean = pii.redacted(TEXTS[2], found)
-    assert "555-2485" not in clean and "123-45-6789" not in clean and "2024-1234" in clean
-    assert pii.spans_of("order 4417 of 2023, page 12, total 1,299.00", model) == []
+    for text in stretched(1500):
+        assert base(pii.spans_of(text, model)) == brute(text)
+    began = time.monotonic()
+    for text in stretched(300_000):
+        pii.spans_of(text, model)
+    assert time.monotonic() - began < 60
+
+
+def test_overlapping_spans_against_a_plain_list():
+    rng = random.Random(3)
+    taken, plain = pii._Taken([(5, 9), (7, 12), (20, 22)]), [(5, 9), (7, 12), (20, 22)]
+    for _ in range(500):
+        s = rng.randrange(300)
+        e = s + rng.randint(1, 9)
+        free = all(e <= a or s >= b for a, b in plain)
+        assert taken.add(s, e) == free
+        plain += [(s, e)] * free
 
 
 def test_each_written_address_is_proposed_on_its_own():
