@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
 A candidate block is the text around a hint, with white space and signs between a hint's words folded. Blocks are
-measured in words, with slack for inserted ones, and trimmed to those that match. Every template is confirmed by exact
-wording: how many of its words miss, in order, and whether every number in it stands there; most words win. A block is
-compressed alone and with the template as zstandard raw dictionary; where as many words match, the template that
-shortens it more is taken.
-
-Null and empty texts have no notice. Rows with a null doc_id are scanned too. Repeated rows are reported once each.
-A text of any length is scanned whole; only the blocks around hints are compressed.
+measured in words, with slack for inserted ones (a quarter of the template's words and two more), and trimmed to those
+that match. Every template is confirmed by exact wording: which of its words miss, in order, how many others stand
+between them, and whether every number in it stands there; most words win. A block is compressed alone and with the
+template as zstandard raw dictionary; where as many words match, the template that shortens it more is taken, then the
+one with fewer missing words, then the earlier block, then the name. Of overlapping notices the better one is reported.
+
+Null and empty texts have no notice. Rows with a null doc_id are scanned too. Repeated rows are reported once each; an
+empty table gives no rows. A text of any length is scanned whole; only the blocks around hints are compressed, and the
+work grows with the number of hints. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from cadenza.llm.shared import Taken, slices
 from cadenza.llm.wording import lcs_length
 
 #: Well-known notices.
@@ -36,11 +39,29 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "reserved": "All rights reserved.",
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Apache-2.0-text": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
 }
 #: One of these stands in every template (lower case).
-HINTS = ("license", "licence", "permission is hereby granted", "free software", "redistribution and use", "rights reserved")
+HINTS = (
+    "license", "licence", "permission is hereby granted", "permission to use", "permission is granted", "free software", "redistribution and use", "rights reserved", "public domain", "software is provided",
+)
 _WORD = re.compile(r"[\w.]*\w")
-_SCHEMA = "doc_id long, license string, start long, end long, reduction double, missing_words int, exact boolean"
+_SCHEMA = "doc_id long, license string, start long, end long, reduction double, missing_words int, inserted_words int, exact boolean"
 
 
 def _words(text: str) -> list[str]:
@@ -103,7 +124,7 @@ class Scanner:
         for hit in hits:
             at = bisect_right(begins, hit) - 1
             for name, template, words, zipped, leads, first, last in self.known:
-                spans = [(hit - k, hit - k + len(template), 0) for k in leads if hit >= k and text.startswith(template, hit - k)]
+                extra, spans = 0, [(hit - k, hit - k + len(template), 0) for k in leads if hit >= k and text.startswith(template, hit - k)]
                 if not spans:
                     slack = 2 + len(words) // 4
                     a = max(0, at - last - slack)
@@ -111,28 +132,31 @@ class Scanner:
                     if got is None:
                         continue
                     start, end = begins[a + got[0]], spots[a + got[1] - 1][1]
+                    extra = got[1] - got[0] - len(words) + got[2]
                     tail = template[[m.end() for m in _WORD.finditer(template)][-1] :]
                     spans = [(start, end + len(tail) if text.startswith(tail, end) else end, got[2])]
                 for start, end, missing in spans:
                     block = text[start:end].encode("utf-8", "surrogatepass")
                     gain = 1 - len(zipped.compress(block)) / len(self.alone.compress(block))
-                    found.append((gain, name, start, end, missing, text[start:end] == template, len(words) - missing))
-        out: list[tuple] = []
+                    found.append((gain, name, start, end, missing, text[start:end] == template, len(words) - missing, extra))
+        out, taken = [], Taken([])
         # exact ones first, the longest of them; then those with most words, as a short notice may begin a longer one
-        for gain, name, start, end, missing, exact, _ in sorted(found, key=lambda f: (-(f[3] - f[2]) if f[5] else 0, -f[6], f[4], -f[0], f[2], f[1])):
-            if all(end <= o[1] or start >= o[2] for o in out):
-                out.append((name, start, end, gain, missing, exact))
+        for gain, name, start, end, missing, exact, _, extra in sorted(found, key=lambda f: (-(f[3] - f[2]) if f[5] else 0, -f[6], f[4], -f[0], f[2], f[1])):
+            if taken.add(start, end):
+                out.append((name, start, end, gain, missing, extra, exact))
         return sorted(out, key=lambda o: o[1])
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, hints: tuple[str, ...] = HINTS, most_missing: float = 0.15) -> DataFrame:
-    """doc_id, license, start, end, reduction, missing_words, exact: one row for each notice found."""
+    """doc_id, license, start, end, reduction, missing_words, inserted_words, exact: one row for each notice found."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan = Scanner(templates, hints, most_missing)
         for batch in batches:
-            rows = [(doc, *found) for doc, text in zip(batch["doc_id"], batch["text"]) if isinstance(text, str) for found in scan(text)]
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _SCHEMA.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+            texts = batch["text"].where(batch["text"].notna(), "").tolist()
+            for a, b in slices(texts):
+                rows = [(doc, *found) for doc, text in zip(batch["doc_id"].iloc[a:b], texts[a:b]) for found in scan(text)]
+                out = pd.DataFrame(rows, columns=[x.split()[0] for x in _SCHEMA.split(", ")])
+                yield out.astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, _SCHEMA)

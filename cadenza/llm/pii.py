@@ -19,7 +19,6 @@ text are read, so other columns may have any names.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from cadenza.llm.boosting import Boosted, boost, calibrated
-from cadenza.llm.shared import slices
+from cadenza.llm.shared import Taken, slices
 
 BASE = ("email", "ip", "card", "phone")
 #: Looser formats, each a generator of candidates; the digits or signs that a text must have at least are below.
@@ -228,32 +227,11 @@ def train(sample: int = SAMPLE) -> Model:
     return Model(trees, tuple(best))
 
 
-class _Taken:
-    """Disjoint stretches of a text, in order."""
-
-    def __init__(self, spans: list[tuple[int, int]]):
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        for s, e in sorted(spans):
-            if self.ends and s < self.ends[-1]:
-                self.ends[-1] = max(self.ends[-1], e)
-            else:
-                self.starts.append(s), self.ends.append(e)
-
-    def add(self, s: int, e: int) -> bool:
-        """Take a stretch if all of it is free."""
-        at = bisect_left(self.starts, e)  # the stretches before it start before e
-        if at and self.ends[at - 1] > s:
-            return False
-        self.starts.insert(at, s), self.ends.insert(at, e)
-        return True
-
-
 def spans_of(text: str, model: Model) -> list[tuple[str, int, int]]:
     digits = len(text.encode("utf-8", "surrogatepass").translate(None, _NOT_DIGITS))
     base = base_spans(text, digits)
     if loose := candidates(text, digits):
-        taken = _Taken([(s, e) for _, s, e in base])
+        taken = Taken([(s, e) for _, s, e in base])
         x = np.array([features(text, *c) for c in loose], float)
         p, kept = model.trees.probability(x), model.kept(x, x[:, 0].astype(int))
         for k in sorted(np.flatnonzero(kept), key=lambda k: (-p[k], loose[k][1], loose[k])):

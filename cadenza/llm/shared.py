@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,24 @@ def span_digest(found: DataFrame, base: list[str]) -> DataFrame:
     counts = [count(k) for k in base]
     of_base = F.filter("spans", lambda s: s["kind"].isin(base))
     return found.select("doc_id", *counts, F.sha2(span_texts(of_base), 256).alias("base_sha256"), span_texts(F.col("spans")).alias("spans"))
+
+
+class Taken:
+    """Disjoint stretches of a text, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s), self.ends.append(e)
+
+    def add(self, s: int, e: int) -> bool:
+        """Take a stretch if all of it is free."""
+        at = bisect_left(self.starts, e)  # the stretches before it start before e
+        if at and self.ends[at - 1] > s:
+            return False
+        self.starts.insert(at, s), self.ends.insert(at, e)
+        return True

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 from cadenza.llm.licenses import HINTS, TEMPLATES, Scanner, scan_licenses
 from cadenza.llm.wording import lcs_length
 
@@ -28,8 +31,8 @@ def test_wrapped_notices():
                 words = t.split(" ")
                 notice = "".join(w + (between if k % every == 0 else " ") for k, w in enumerate(words[:-1])) + words[-1]
                 text = f"{'word ' * 60}\n{lead}{notice} and {'more ' * 60}"
-                got = [(f[0], text[f[1] : f[2]], f[4], f[5]) for f in scan(text)]
-                assert got == [(name, notice, 0, False)], (name, between, every, got)
+                got = [(f[0], text[f[1] : f[2]], *f[4:]) for f in scan(text)]
+                assert got == [(name, notice, 0, 0, False)], (name, between, every, got)
 
 
 def test_numbers_of_other_versions():
@@ -46,5 +49,49 @@ def test_lcs_against_brute_force():
         assert lcs_length(list(a), list(b)) == brute(a, b)
 
 
+def test_headers_as_files_have_them():
+    scan = Scanner(TEMPLATES, HINTS, 0.15)
+    apache = TEMPLATES["Apache-2.0-text"].split(" ")
+    lines = [" * " + " ".join(apache[k : k + 9]) for k in range(0, len(apache), 9)]
+    assert [f[0] for f in scan("/*\n" + "\n".join(lines) + "\n */\npackage x;")] == ["Apache-2.0-text"]
+    mit = TEMPLATES["MIT-text"].replace("AUTHORS OR COPYRIGHT HOLDERS", "CONTRIBUTORS").replace("free of charge, ", "wholly and entirely free of all charge, ")
+    (got,) = scan("Copyright 2020 X\n\n" + mit)
+    assert got[0] == "MIT-text" and got[4] == 4 and got[5] == 5 and not got[6]
+
+
+def brute(text):
+    """All templates that some stretch of words with a hint confirms, by trying every stretch."""
+    from cadenza.llm.licenses import _words
+
+    scan, out, words = Scanner(TEMPLATES, HINTS, 0.15), set(), _words(text)
+    for name, template in TEMPLATES.items():
+        want = _words(template)
+        for a in range(len(words)):
+            for b in range(a + 1, min(len(words), a + len(want) + 2 + len(want) // 4) + 1):
+                here = words[a:b]
+                if name not in out and lcs_length(want, here) >= 0.85 * len(want) and scan.hint.search(" ".join(here)) and scan.confirmed(want, here):
+                    out.add(name)
+    return out
+
+
+def test_changed_notices_against_brute_force():
+    rng, scan = random.Random(8), Scanner(TEMPLATES, HINTS, 0.15)
+    short = [n for n, t in TEMPLATES.items() if len(t) < 130]
+    for _ in range(60):
+        words = TEMPLATES[rng.choice(short)].split(" ")
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randint(0, 1)] = [] if rng.random() < 0.3 else [rng.choice(["the", "other", "open", "2.0", "License", "version"])]
+        text = "some words first " + " ".join(words) + " and others then"
+        got, want = {f[0] for f in scan(text)}, brute(text)
+        assert got <= want and bool(got) == bool(want), (text, got, want)
+
+
+def test_many_notices_in_one_text():
+    scan, began = Scanner(TEMPLATES, HINTS, 0.15), time.monotonic()
+    found = scan("All rights reserved. Released under the MIT License. " * 3000)
+    assert len(found) == 6000 and all(f[-1] for f in found) and time.monotonic() - began < 60
+
+
 def test_awkward_rows(awkward, empty):
     assert scan_licenses(awkward).count() == 0 and scan_licenses(empty).count() == 0

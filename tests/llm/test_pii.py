@@ -5,7 +5,7 @@ import re
 import time
 
 from cadenza.llm import pii
-from cadenza.llm.queries import span_digest
+from cadenza.llm.shared import Taken, span_digest
 
 TEXTS = [
     "mail a.b+c@x-y.co.uk, @no @ x@y z@w..com q@r.s@t.u é🎈 4111 1111 1111 1111 and 4111111111111112 or 1-2-3",
@@ -89,7 +89,7 @@ def test_long_texts_take_time_by_their_length():
 
 def test_overlapping_spans_against_a_plain_list():
     rng = random.Random(3)
-    taken, plain = pii._Taken([(5, 9), (7, 12), (20, 22)]), [(5, 9), (7, 12), (20, 22)]
+    taken, plain = Taken([(5, 9), (7, 12), (20, 22)]), [(5, 9), (7, 12), (20, 22)]
     for _ in range(500):
         s = rng.randrange(300)
         e = s + rng.randint(1, 9)
