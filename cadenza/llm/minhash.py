@@ -9,16 +9,20 @@ coordinates give buckets. Nothing is paired within a bucket wholesale:
 2. in each bucket the member that shares most bucket places is the leader, and every other member is verified
    against it on full sets (at most one pair per bucket place);
 3. components of the verified links are found; only where a bucket's members are still in different components are
-   they then verified against each other (those apart from the leader's component with it, and among themselves),
-   less the pairs that an exact bound excludes: bitmaps of the hashed shingles show shingles that only one of two sets
-   has. No bucket or candidate list is capped.
+   they then held against each other. In buckets of up to `CROWD` such members all pairs of different components count.
+   Members of larger ones (pages of one template, say) are joined on their rare shingles: with shingles ordered by how
+   many of these members have them, two sets can reach the threshold only if they share one among the first of either,
+   at places that leave enough behind them. That prefix test is exact, and what all pages share never makes a pair.
+   Bitmaps of the hashed shingles exclude more pairs exactly; the rest are verified. No bucket or list is capped.
 
 Results are exact up to the banding: a pair at the threshold of 0.8 shares no bucket with probability
 (1 - 0.8**5)**32 < 4e-6.
 
 Null text, empty text and text without words give an empty set: n_shingles 0, linked with nothing. A text with
 fewer words than n has one shingle, the whole sequence. Rows with a null doc_id take no part. Repeated rows of one
-doc_id are taken as one document each and come out as often as they came in.
+doc_id are taken as one document each and come out as often as they came in; where they have different texts, a link of
+any of them links that doc_id. Of equal documents the smallest doc_id stands for all. An empty table gives no rows. Only
+doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.shared import Scratch, broadcast_if_small, slices
@@ -37,6 +41,10 @@ BANDS, ROWS = 32, 5
 SIGNATURE = 16
 #: So many ids (some MB) may be broadcast to pick the documents to verify; more are joined by a shuffle.
 SMALL_IDS = 300_000
+#: Members of a bucket in different components up to which all their pairs are taken.
+CROWD = 64
+#: A class with more than this share of all documents is joined by broadcast; there are fewer of them than its inverse.
+HOT_SHARE = 1 / 2000
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,6 +181,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch,
     return scratch.keep(out.withColumn("linked", F.col("shared") * 100 >= F.col("joint") * percent), f"verified-{tag}")
 
 
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) less those that cannot be linked: bits in which two sets' bitmaps differ stand for shingles, one or
+    more each, that only one of them has."""
+    bits = [f"bits{i}" for i in range(SIGNATURE)]
+    signed = lambda end: sets.select(F.col("id").alias(end), F.size("shingles").alias(f"n_{end}"), *(F.col("signature")[i].alias(f"{b}_{end}") for i, b in enumerate(bits)))
+    differ = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in bits), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    return pairs.join(signed("b"), "b").join(signed("a"), "a").where((total - differ) * (100 + percent) >= total * 2 * percent).select("a", "b")
+
+
+def rare_shingle_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of members (rep, n, component) of different components whose sets may reach the threshold.
+
+    Exact prefix filter. Shingles are ordered by how many members have them, then by hash. Of two linked sets the smaller
+    one has a joint shingle among its first n - ceil(2t / (1 + t) n) + 1, the larger one among its first
+    n - ceil(t n) + 1, and behind the place of the first such shingle either has enough left. Shingles of one component
+    only are left out; per shingle, members of the largest component are not joined with each other.
+    """
+    size = members.groupBy("component").agg(F.count("*").alias("size"))
+    own = scratch.keep(members.join(size, "component"), "crowd")
+    tokens = sets.select(F.col("id").alias("rep"), "shingles").join(own, "rep").select("rep", "n", "component", "size", F.explode("shingles").alias("s"))
+    stats = tokens.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max(F.struct("size", "component"))["component"].alias("major"), F.max("component").alias("high"))
+    stats = scratch.keep(stats.where("df > 1"), "stats")  # others are first in any order and join with nothing
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "s"))
+    ranked = tokens.join(stats, "s", "left").withColumn("at", place)
+    less, more = F.ceil(F.col("n") * (2 * percent) / (100 + percent)), F.ceil(F.col("n") * percent / 100)
+    ranked = ranked.where((F.col("at") <= F.col("n") - more + 1) & (F.col("low") < F.col("high")))
+    ranked = ranked.select("s", "rep", "n", "component", "at", (F.col("component") != F.col("major")).alias("minor"), (F.col("at") <= F.col("n") - less + 1).alias("first"))
+    prefix = scratch.keep(ranked, "prefix")
+    other = prefix.select("s", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "at", "first", "minor")))
+    smaller = F.struct("n", "rep") < F.struct("n_2", "rep_2")
+    enough = F.col("first") & smaller | F.col("first_2") & ~smaller
+    left = 1 + F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
+    able = (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent) & (left * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent)
+    once = ~F.col("minor_2") | (F.col("rep") < F.col("rep_2"))
+    pairs = prefix.where("minor").join(other, "s").where((F.col("component") != F.col("component_2")) & once & enough & able)
+    return pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+
+
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), by alternating large-star and small-star steps.
 
@@ -213,7 +260,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     sketched = scratch.keep(docs.mapInPandas(_sketch_rows(n, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "sketches")
     real = sketched.where("n_shingles > 0")
 
-    classes = real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
+    classes = real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.count("*").alias("size"))
     classes = scratch.keep(classes, "classes")
     places = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowd = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
@@ -232,32 +279,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     found = scratch.keep(components(linked, scratch, "cc1"), "found")
 
     placed = placed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    main = F.max(F.when(F.col("rep") == F.col("leader"), F.col("component"))).alias("main")
-    parted = placed.groupBy("bucket").agg(main, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = placed.join(parted.select("bucket", "main"), "bucket")
-    mixed = scratch.keep(mixed.select("bucket", "rep", "n", "component", "main"), "mixed")
+    parted = placed.groupBy("bucket").agg(F.count("*").alias("crowd"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    mixed = scratch.keep(placed.join(parted.select("bucket", "crowd"), "bucket").select("bucket", "crowd", "rep", "n", "component"), "mixed")
     sets = _sets(docs, mixed.select(F.col("rep").alias("id")), n, scratch, "second")
-    bits = [f"bits{i}" for i in range(SIGNATURE)]
-    signed = sets.select(F.col("id").alias("rep"), *(F.col("signature")[i].alias(b) for i, b in enumerate(bits)))
     two = lambda df: df.select(*(F.col(c).alias(c if c == "bucket" else f"{c}_2") for c in df.columns))
-    # bits in which two signatures differ stand for shingles, one or more each, that only one of the sets has
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_2"))) for x in bits), F.lit(0))
-    both_n = F.col("n") + F.col("n_2")
-    able = (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent) & ((both_n - differ) * (100 + percent) >= both_n * 2 * percent)
-    apart = mixed.where("component != main").join(signed, "rep")
-    members = mixed.where("component = main").select("rep", "n", "component").distinct().join(signed, "rep")
-    outside = apart.drop("bucket", "component").distinct()
-    again = outside.join(two(members), (F.col("main") == F.col("component_2")) & able).select("rep", "rep_2")
-    again = again.unionByName(apart.join(two(apart), "bucket").where((F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & able).select("rep", "rep_2"))
-    again = again.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+    few = mixed.where(F.col("crowd") <= CROWD).drop("crowd")
+    able = (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent)
+    again = few.join(two(few), "bucket").where(able).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
+    crowded = scratch.keep(mixed.where(F.col("crowd") > CROWD).select("rep", "n", "component").distinct(), "crowded")
+    if not crowded.isEmpty():
+        again = again.unionByName(rare_shingle_pairs(crowded, sets, percent, scratch)).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _verified(scratch.keep(again.join(tested, ["a", "b"], "left_anti"), "again"), sets, percent, scratch, "second")
+    again = scratch.keep(again.join(tested, ["a", "b"], "left_anti"), "again")
+    second = _verified(bounded(again, sets, percent), sets, percent, scratch, "second")
     linked = found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.where("linked").select("a", "b"))
     final = scratch.keep(components(linked, scratch, "cc2"), "final")
-    for name in ("places", "placed", "pairs", "mixed", "sets-second", "again", "verified-first", "verified-second", "found"):
+    for name in ("places", "placed", "pairs", "mixed", "crowded", "crowd", "stats", "prefix", "sets-second", "wanted-first", "wanted-second", "again", "verified-first", "verified-second", "found"):
         scratch.drop(name)
 
-    group = classes.select("fp1", "fp2", F.col("n_shingles"), "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = real.select("doc_id", "fp1", "fp2", "n_shingles").join(group, ["fp1", "fp2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    same = ["fp1", "fp2", "n_shingles"]
+    group = classes.select(*same, "size", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "size", F.coalesce("component", "rep").alias("component_id"))
+    group = scratch.keep(group, "groups")
+    for name in ("classes", "final"):
+        scratch.drop(name)
+    hot = (group.agg(F.sum("size")).first()[0] or 0) * HOT_SHARE
+    every, few = real.select("doc_id", *same), F.broadcast(group.where(F.col("size") > hot).drop("size"))  # fewer than 1 / HOT_SHARE rows
+    out = every.join(few, same).unionByName(every.join(few, same, "left_anti").join(group.where(F.col("size") <= hot).drop("size"), same))
+    out = out.select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -57,3 +57,15 @@ def url_filter() -> str:
  d AS (SELECT na, nb, ma, mb, sqrt(greatest(0, sa - ma * ma)) + 1e-9 AS da, sqrt(greatest(0, sb - mb * mb)) + 1e-9 AS db FROM m),
  th AS (SELECT CASE WHEN na > 0 AND nb > 0 THEN (ma * db + mb * da) / (da + db) ELSE 0 END AS limit_ratio FROM d)
  SELECT page_id, host, path, rule, coalesce(v, CASE WHEN ratio >= limit_ratio THEN 'allow' ELSE 'block' END) AS verdict, round(ratio, 6) AS ratio FROM r JOIN sc USING (form), th"""
+
+
+def near_duplicates(n: int = 2, percent: int = 80) -> str:
+    """Shingle sets, links by their joint shingles, and the smallest doc_id reachable over links."""
+    letters = [chr(c) for c in range(65, 91)]
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{"".join(letters)}', '{"".join(letters).lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+ d AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - {n - 1}), lambda i: {shingle})) END AS s FROM w),
+ x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM d), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) - count(*) AS joint, count(*) AS shared FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= {percent} * joint UNION ALL SELECT b, a FROM p WHERE 100 * shared >= {percent} * joint),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c ON doc_id = a"""

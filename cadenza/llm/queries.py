@@ -74,4 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scan": oracles.secret_scan(), "op5_exact_top_k": oracles.TOP_K, "op6_line_dedup": oracles.LINE_DEDUP, "op9_url_filter": oracles.url_filter(),
+        "op10_minhash_near_dedup": oracles.near_duplicates(),
     }

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 
+from cadenza.llm import minhash
 from cadenza.llm.minhash import components, near_duplicates, shingle_sets, sketches
 from cadenza.llm.shared import Scratch
 
@@ -54,6 +55,39 @@ def test_against_brute_force(make):
         assert got == brute(list(enumerate(rows)), n, 80)
 
 
+def test_rare_shingle_pairs_against_brute_force(spark, make, monkeypatch):
+    monkeypatch.setattr(minhash, "CROWD", 1)  # every crowd is joined on rare shingles
+    rows = texts()
+    for n in (2, 5):
+        got = {r[0]: tuple(r[1:]) for r in near_duplicates(make(rows), n=n).collect()}
+        assert got == brute(list(enumerate(rows)), n, 80)
+
+
+def template_pages(n, own, shared=160):
+    rng = random.Random(6)
+    frame = [f"t{i}" for i in range(shared)]
+    return [" ".join(w for k, t in enumerate(frame) for w in ([t, f"w{rng.randrange(10**6)}"] if k % (shared // own) == 0 else [t])) for _ in range(n)]
+
+
+def test_pages_of_one_template_make_no_pairs(spark, make):
+    rows = template_pages(400, 40) + template_pages(300, 10) + [t + " end" for t in template_pages(40, 40)[:20]]
+    got = {r[0]: tuple(r[1:]) for r in near_duplicates(make(rows), n=2).collect()}
+    assert got == brute(list(enumerate(rows)), 2, 80)
+
+
+def test_prefix_places_leave_no_link_out(spark):
+    rng, scratch = random.Random(11), Scratch(spark, "test")
+    sets = {}
+    for i in range(150):
+        start = sets[rng.randrange(i)] if i and rng.random() < 0.7 else {rng.randrange(400) for _ in range(rng.randint(1, 60))}
+        sets[i] = {x for x in start if rng.random() > 0.1} | {rng.randrange(400) for _ in range(rng.randint(0, 4))} or {1}
+    members = spark.createDataFrame([(i, len(s), i if i % 5 else 0) for i, s in sets.items()], "rep long, n long, component long")
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, shingles array<long>")
+    got = {tuple(r) for r in minhash.rare_shingle_pairs(members, rows, 80, scratch).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and (a % 5 or b % 5) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want <= got and len(got) < 150 * 149 / 4
+
+
 def test_awkward_rows(awkward, empty):
     got = sorted(tuple(r) for r in near_duplicates(awkward, n=2).collect())
     assert [r[0] for r in got] == [1, 2, 3, 4, 5, 5, 6]
