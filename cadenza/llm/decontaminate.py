@@ -12,10 +12,13 @@
 4. Each candidate is settled by longest common subsequences of words around it: `verbatim` if most of the item stands
    there in order, `paraphrase` if half does and the item's answer (its `answer` column, else its last sentence) does.
 
-The benchmark is taken in blocks of `block` items, so what tasks hold is bounded however long it is.
+The benchmark is taken in blocks of at most `block` items and `BLOCK_WORDS` distinct words (or one longer item), so what
+the driver and tasks hold is bounded however long it is. Each block is one pass over the documents.
 
 Null or empty texts and items without words match nothing. Documents with a null doc_id are searched, too, and come
-out with a null. Repeated rows give repeated matches. An empty benchmark gives no rows.
+out with a null. Repeated rows give repeated matches. Of equally good places of an item the first is reported. An empty
+benchmark or table gives no rows. Only doc_id and text (of the benchmark: item_id, text and answer) are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import Scratch, broadcast_if_small
+from cadenza.llm.shared import Scratch, broadcast_if_small, fresh, slices
 from cadenza.llm.wording import lcs_length
 
 BUCKETS, WINDOW, STRIDE, RANK = 1 << 16, 24, 8, 256
@@ -39,8 +42,8 @@ COSINE, VERBATIM, PARAPHRASE = 0.5, 0.8, 0.5
 #: are not looked up, may have in one that is not.
 KEPT, LIGHT = 0.8, 0.2
 _REMEMBERED = 250_000
-#: So many text hashes (some MB) may be broadcast to drop what leaked; more are joined by a shuffle.
-SMALL_IDS = 300_000
+#: Characters that the driver takes of a benchmark at a time, and distinct words of a block.
+BLOCK_CHARS, BLOCK_WORDS = 20_000_000, 50_000
 _SCHEMA = "doc_id long, item_id long, cosine double, covered double, answered double, kind string, start_word long"
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
@@ -286,28 +289,44 @@ class Searcher:
         return [out[k] for k in sorted(out)]
 
 
+def item_blocks(benchmark: DataFrame, block: int) -> Iterator[list[Item]]:
+    """Items with words, in blocks of at most so many and of BLOCK_WORDS distinct words."""
+    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    wanted = benchmark.select("item_id", "text", answer.alias("answer")).where("text is not null")
+    many, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-many // block), -(-chars // BLOCK_CHARS))
+    for k in range(parts):
+        rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()  # about `block` items
+        items, known = [], set()
+        for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"])):
+            if not (words := split_words(r["text"])):
+                continue
+            if items and (len(items) >= block or len(known) + len(set(words) - known) > BLOCK_WORDS):
+                yield items
+                items, known = [], set()
+            items.append(Item(r["item_id"], words, split_words(r["answer"] or last_sentence(r["text"]))))
+            known.update(words)
+        if items:
+            yield items
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: int = 5_000) -> DataFrame:
     """doc_id, item_id, cosine, covered, answered, kind, start_word: one row for each item that a document holds."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    wanted = benchmark.select("item_id", "text", answer.alias("answer")).where("text is not null")
-    blocks = max(1, -(-wanted.count() // block))
     weights, found = None, None
-    for k in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about `block` items
-        items = [Item(r["item_id"], w, split_words(r["answer"] or last_sentence(r["text"]))) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"])) if (w := split_words(r["text"]))]
-        if not items:
-            continue
+    for items in item_blocks(benchmark, block):
         weights = word_weights(docs) if weights is None else weights
         index = build_index(spark, items, weights, rank)
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             find = Searcher(index)
             for batch in batches:
-                rows = [(doc, *hit) for doc, text in zip(batch["doc_id"], batch["text"]) if isinstance(text, str) for hit in find(text)]
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+                texts = batch["text"].where(batch["text"].notna(), "").tolist()
+                for a, b in slices(texts):
+                    rows = [(doc, *hit) for doc, text in zip(batch["doc_id"].iloc[a:b], texts[a:b]) for hit in find(text)]
+                    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+                    yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         here = docs.mapInPandas(search, _SCHEMA)
         found = here if found is None else found.unionByName(here)
@@ -318,5 +337,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; works row by row, so ids may be null or repeated."""
     scratch = Scratch(docs.sparkSession, "leaks")
     by_text = docs.select(F.xxhash64("text", F.length("text")).alias("doc_id"), "text")
-    leaked = scratch.keep(find_leaks(by_text, benchmark).select(F.col("doc_id").alias("__text")).distinct(), "leaked")
-    return docs.withColumn("__text", F.xxhash64("text", F.length("text"))).join(broadcast_if_small(leaked, SMALL_IDS), "__text", "left_anti").drop("__text")
+    (text_,) = fresh(docs.columns, "text_hash")
+    leaked = scratch.keep(find_leaks(by_text, benchmark).select(F.col("doc_id").alias(text_)).distinct(), "leaked")
+    return docs.withColumn(text_, F.xxhash64("text", F.length("text"))).join(broadcast_if_small(leaked), text_, "left_anti").drop(text_)

@@ -7,7 +7,8 @@ blank lines always stay. At most (mean lines a page) / ratio lines of a host can
 held against does not follow the host's size.
 
 Null text stays null and has no lines; empty text has one blank line. A null host counts as the empty host. Repeated
-rows count as pages of their own. All other columns pass through; input columns named n_lines or n_dropped are replaced.
+rows count as pages of their own. An empty table gives no rows. All other columns pass through, whatever their names;
+input columns named n_lines or n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import Scratch, at_most
+from cadenza.llm.shared import Scratch, fresh, is_small
 
-#: So many (host, line) hashes, about 20 bytes each, may be broadcast; more are joined by a shuffle.
-SMALL_LINES = 200_000
+#: Where the lines to drop are too many to broadcast, a host's pages are dealt to so many tasks.
+DEALT = 32
 
 
 def _key(line: Column) -> Column:
@@ -39,14 +40,18 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     """pages with the boilerplate lines taken out of the text, and n_lines and n_dropped."""
     scratch = Scratch(pages.sparkSession, "lines")
     common = scratch.keep(boilerplate(pages, host, text, ratio, min_pages), "common")
-    by_host = common.groupBy(F.col("host_key").alias("__host")).agg(F.collect_set("line_key").alias("__common"))
-    if at_most(common, SMALL_LINES):
-        by_host = F.broadcast(by_host)
-    joined = pages.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(by_host, "__host", "left")
+    host_, common_, kept_, part_ = fresh(pages.columns, "host_key", "common", "kept_lines", "part")
+    by_host = common.groupBy(F.col("host_key").alias(host_)).agg(F.collect_set("line_key").alias(common_))
+    joined = pages.withColumn(host_, F.coalesce(F.col(host).cast("string"), F.lit("")))
+    if is_small(common):
+        joined = joined.join(F.broadcast(by_host), host_, "left")
+    else:  # the pages of a large host are dealt to many tasks, each with that host's lines
+        every = by_host.withColumn(part_, F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+        joined = joined.withColumn(part_, F.pmod(F.xxhash64(F.col(text)), F.lit(DEALT)).cast("int")).join(every, [host_, part_], "left")
     lines = F.split(F.col(text), "\n")
-    stays = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__common"), _key(x)))
-    out = joined.withColumn("__kept", F.when(F.col("__common").isNull(), lines).otherwise(stays))
-    many, left = F.coalesce(F.array_size(lines), F.lit(0)).cast("long"), F.coalesce(F.array_size("__kept"), F.lit(0)).cast("long")
-    new = F.when(F.col(text).isNotNull(), F.array_join("__kept", "\n"))
+    stays = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(common_), _key(x)))
+    out = joined.withColumn(kept_, F.when(F.col(common_).isNull(), lines).otherwise(stays))
+    many, left = F.coalesce(F.array_size(lines), F.lit(0)).cast("long"), F.coalesce(F.array_size(kept_), F.lit(0)).cast("long")
+    new = F.when(F.col(text).isNotNull(), F.array_join(kept_, "\n"))
     others = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*(new.alias(c) if c == text else F.col(c) for c in others), many.alias("n_lines"), (many - left).alias("n_dropped"))

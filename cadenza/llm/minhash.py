@@ -39,8 +39,6 @@ from cadenza.llm.shared import Scratch, broadcast_if_small, slices
 BANDS, ROWS = 32, 5
 #: Longs of a set's signature, a bitmap of its hashed shingles.
 SIGNATURE = 16
-#: So many ids (some MB) may be broadcast to pick the documents to verify; more are joined by a shuffle.
-SMALL_IDS = 300_000
 #: Members of a bucket in different components up to which all their pairs are taken.
 CROWD = 64
 #: A class with more than this share of all documents is joined by broadcast; there are fewer of them than its inverse.
@@ -168,7 +166,7 @@ def _set_rows(n: int):
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int, scratch: Scratch, tag: str) -> DataFrame:
     """(id, shingles, signature) of the documents named in ids (id)."""
-    wanted = broadcast_if_small(scratch.keep(ids.distinct(), f"wanted-{tag}"), SMALL_IDS)
+    wanted = broadcast_if_small(scratch.keep(ids.distinct(), f"wanted-{tag}"))
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInPandas(_set_rows(n), "id long, shingles array<long>, signature array<long>")
     return scratch.keep(rows, f"sets-{tag}")
 

@@ -1,14 +1,17 @@
 """Quality scores of documents: Bradley-Terry ranking from preference pairs.
 
 Each labelled good document is preferred to each labelled bad one. The strength of a document is linear in features
-of its whole text, learned by logistic loss on the feature differences of sampled pairs; a quantile of the labelled
-strengths is the threshold, and strengths map to scores so that the threshold scores `cut`. Only the fit is on a
-bounded sample (`sample` labelled rows, `pairs` pairs); every document is scored on its whole text.
+of its whole text, learned by logistic loss on the feature differences of sampled pairs. The threshold is a quantile of
+the strengths of labelled documents that the fit did not see (one in four of the sample): the one that parts the classes
+best, taken a quarter of the way from the strength under it to the one over it. Strengths map to scores so that the
+threshold scores `cut`. Only the fit is on a bounded sample (`sample` labelled rows, `pairs` pairs); every document is
+scored on its whole text.
 
 Null and empty texts have the features of an empty text and get a score like any other. With no labelled row of
 either class there is nothing to prefer: every score is `cut`, so every document is kept. Labels that are null are
 not used; a document with several labels counts with the smallest. Documents with a null doc_id are scored, never
-learned from. Repeated rows are scored alike.
+learned from. Repeated rows are scored alike; a score equal to `cut` is accepted. An empty table gives no rows. Other
+columns pass; input columns named score, held_out or predicted are replaced by quality_scores and pass in keep_good.
 """
 
 from __future__ import annotations
@@ -68,8 +71,8 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(x: np.ndarray, good: np.ndarray, cut: float, pairs: int = 20_000, steps: int = 400, seed: int = 7) -> Model:
-    """Bradley-Terry by gradient descent on sampled pairs, then the quantile that parts the classes best."""
+def fit(x: np.ndarray, good: np.ndarray, cut: float, held: tuple[np.ndarray, np.ndarray] | None = None, pairs: int = 20_000, steps: int = 400, seed: int = 7) -> Model:
+    """Bradley-Terry by gradient descent on sampled pairs, then the quantile that parts the classes of held rows best."""
     width = x.shape[1] if x.ndim == 2 else FEATURES
     better, worse = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(better) or not len(worse):
@@ -83,15 +86,18 @@ def fit(x: np.ndarray, good: np.ndarray, cut: float, pairs: int = 20_000, steps:
         slope = -(d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(axis=0) + 1e-3 * w
         speed = 0.9 * speed - 0.3 * slope
         w = w + speed
-    strength = z @ w
-    levels = np.quantile(strength, np.linspace(0, 1, 1001))
-    share = [(strength[better] >= t).mean() + (strength[worse] < t).mean() for t in levels]
-    best = np.flatnonzero(np.array(share) >= max(share) - 1e-12)
-    threshold = float(levels[best].mean())
-    below, above = strength[worse][strength[worse] < threshold], strength[better][strength[better] >= threshold]
-    if len(below) and len(above):  # in the gap between the classes, nearer to the bad: a doubtful document stays
-        threshold = float(0.75 * below.max() + 0.25 * above.min())
-    return Model(mean, w / spread, threshold, 3 / (float(strength.std()) + 1e-9), cut)
+    seen, strength = (good, z @ w) if held is None else (held[1], ((held[0] - mean) / spread) @ w)
+    return Model(mean, w / spread, float(np.quantile(strength, parting(strength, seen))), 3 / (float(strength.std()) + 1e-9), cut)
+
+
+def parting(strength: np.ndarray, good: np.ndarray) -> float:
+    """The level of the quantile that parts the classes best, nearer to the strength under it: a doubtful document stays."""
+    order = np.argsort(strength, kind="stable")
+    ok, n = good[order], len(order)
+    below = np.cumsum(~ok) / max(1, (~ok).sum()) - np.cumsum(ok) / max(1, ok.sum())  # of the first k + 1 rejected
+    below[:-1][strength[order][1:] == strength[order][:-1]] = -1  # equal strengths stay together
+    k = int(below.argmax())
+    return min(1.0, (k + 0.25) / max(1, n - 1))
 
 
 def learnable(doc_id: Column) -> Column:
@@ -112,13 +118,17 @@ def train(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 6_
     rows = known.select("doc_id", "quality", feature_rows("text").alias("x")).collect()  # at most `sample` rows
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in rows], dtype=float)
-    return fit(x, np.array([r["quality"] >= 1 for r in rows], dtype=bool), cut)
+    good = np.array([r["quality"] >= 1 for r in rows], dtype=bool)
+    apart = np.arange(len(rows)) % 4 == 3
+    if all(len(set(good[part])) == 2 for part in (apart, ~apart)):
+        return fit(x[~apart], good[~apart], cut, (x[apart], good[apart]))
+    return fit(x, good, cut)
 
 
 def score_column(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        x = np.array([features(t or "") for t in text]).reshape(len(text), FEATURES)
+        x = np.array([features(t or "") for t in text]).reshape(len(text), FEATURES)  # one text at a time; the rows are short
         return pd.Series(model.scores(x))
 
     return score(text)
@@ -128,3 +138,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> Data
     """docs with held_out, score and predicted (1 where score >= cut)."""
     scored = docs.withColumn("score", score_column(train(docs, labels, cut), F.col("text")))
     return scored.withColumn("held_out", ~learnable(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
+    """The rows of docs whose score is at least cut, with their own columns."""
+    return docs.where(score_column(train(docs, labels, cut), F.col("text")) >= cut)

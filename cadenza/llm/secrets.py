@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.shared import Scratch, broadcast_if_small, span_digest
 
-#: So many candidate documents (some MB) may be broadcast; more are joined by a shuffle.
-SMALL_IDS = 300_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -192,7 +189,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     kept = candidates(docs, queries, scratch)
-    joined = docs.join(broadcast_if_small(kept, SMALL_IDS), "doc_id", "left")
+    joined = docs.join(broadcast_if_small(kept), "doc_id", "left")
     none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
     parts = []
     for rule in rules:

@@ -16,7 +16,9 @@ stays under the worst k-th score of the node's queries, so far or among the samp
 Vectors that are null, or hold a null or a non-finite component, take no part, nor do rows with a null id. Vectors of
 unequal lengths are padded with zeros. Ties go to the smaller id; repeated rows are neighbours as often as
 they stand there, but a query leaves out all rows of its id. A query id that is repeated has one list as in the SQL: the
-k best of all pairs of one of its rows and a row of another id. An empty table gives no rows; fewer points than k give fewer rows.
+k best of all pairs of one of its rows and a row of another id. An empty table gives no rows; fewer points than k give
+fewer rows. Components and scores beyond 64 bits are held at the ends of that range. Only the id and vector columns are
+read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -31,9 +33,6 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.shared import Scratch, broadcast_if_small
 
-#: Query answers that may be broadcast to give them back to equal queries (under 200 bytes each).
-SMALL_ANSWERS = 50_000
-
 
 def matrix(rows, width: int = 0) -> np.ndarray:
     """Integer vectors as a matrix padded with zeros to the widest."""
@@ -46,11 +45,15 @@ def matrix(rows, width: int = 0) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating point where no sum can leave its exact range."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Exact integer inner products; by floating point where no sum can leave its exact range, and held at the ends of
+    the 64-bit range where they would leave that."""
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * max(1, a.shape[1])
     if most < 2**52:
         return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    if most < 2**62:
+        return a @ b.T
+    ends = np.iinfo(np.int64)
+    return np.clip(a.astype(object) @ b.T.astype(object), ends.min, ends.max).astype(np.int64)
 
 
 class Node:
@@ -178,7 +181,7 @@ def top_inner_products(
     dealt = points.mapInPandas(nearest, "q array<long>, ids array<long>, pivot int").repartitionByRange(tasks, "pivot", F.xxhash64("q")).sortWithinPartitions("pivot")
     dealt = scratch.keep(dealt, "dealt")
 
-    answers = None
+    answers = None  # one table, to which each block's answers are added
     blocks = -(-queries.count() // block)
     for part in range(blocks):
         chosen = queries.where(F.pmod(F.xxhash64("key", "part"), F.lit(blocks)) == part).collect()  # about `block` rows
@@ -205,8 +208,7 @@ def top_inner_products(
             out = [(*key, score, i) for key, heap in zip(keys, found.best) for score, _, ids in heap for i in ids]
             yield pd.DataFrame(out, columns=["key", "part", "score", "id"]).astype("int64")
 
-        here = dealt.select("q", "ids").mapInPandas(search, "key long, part long, score long, id long")
-        answers = here if answers is None else answers.unionByName(here)
+        answers = scratch.add(dealt.select("q", "ids").mapInPandas(search, "key long, part long, score long, id long"), "answers")
     if answers is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("key", "part").orderBy(F.desc("score"), "id")
@@ -215,7 +217,7 @@ def top_inner_products(
     top = scratch.keep(top.groupBy("key", "part").agg(listed.alias("top")), "top")
     one = asked.where("part = 0").join(queries.where("part = 0").select("q", "key"), "q").select("id", "key", "part", "times")
     out = one.unionByName(asked.where("part > 0").select("id", F.col("id").alias("key"), "part", "times"))
-    out = out.join(broadcast_if_small(top, SMALL_ANSWERS), ["key", "part"])
+    out = out.join(broadcast_if_small(top), ["key", "part"])
     others = F.slice(F.filter("top", lambda s: s["id"] != F.col("id")), 1, k)
     out = out.select("id", "part", F.slice(F.flatten(F.transform(others, lambda s: F.array_repeat(s, F.col("times")))), 1, k).alias("top"))
     several = out.where("part > 0").groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))

@@ -9,7 +9,8 @@ URLs are normalised to SYMBOLS first (lower case, digits alike, others one sign)
 len(SYMBOLS)**ORDER grams, however many pages; counts cover all pages. Equal normal forms are scored once.
 
 A null url, or one without "://", has an empty host and path, and no rule fits it. With no page of one class all
-log ratios are 0 and everything that no rule fits is allowed. Repeated rows are judged alike; other columns pass.
+log ratios are 0 and everything that no rule fits is allowed. A ratio equal to the threshold is allowed. Repeated rows
+are judged alike; an empty table gives no rows; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +20,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import Scratch, broadcast_if_small
+from cadenza.llm.shared import Scratch, broadcast_if_small, fresh
 
 #: The contract's rules (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SYMBOLS = "^~0.-_/?=&#:%+" + string.ascii_lowercase
 ORDER = 4
-#: So many normal forms (under 100 bytes each as a rule) may be broadcast with their scores; more are shuffled.
-SMALL_FORMS = 50_000
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
@@ -85,12 +84,13 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     new = ("host", "path", "rule", "verdict", "ratio")
     rest = [c for c in pages.columns if c not in new]
     where = F.col(url)
-    parts = pages.select(*rest, F.coalesce(host_of(where), F.lit("")).alias("host"), F.coalesce(path_of(where), F.lit("")).alias("path"), normal_form(where).alias("__form"))
+    form_, by_rule_ = fresh(pages.columns, "form", "by_rule")
+    parts = pages.select(*rest, F.coalesce(host_of(where), F.lit("")).alias("host"), F.coalesce(path_of(where), F.lit("")).alias("path"), normal_form(where).alias(form_))
     name, by_rule = rule_of(F.col("host"), F.col("path"), rules)
-    parts = parts.withColumn("rule", name).withColumn("__by_rule", by_rule)
+    parts = parts.withColumn("rule", name).withColumn(by_rule_, by_rule)
 
-    counted = [F.count_if(F.col("__by_rule") == v).alias(c) for v, c in (("allow", "accepted"), ("block", "rejected"))]
-    forms = scratch.keep(parts.groupBy(F.col("__form").alias("form")).agg(*counted), "forms")
+    counted = [F.count_if(F.col(by_rule_) == v).alias(c) for v, c in (("allow", "accepted"), ("block", "rejected"))]
+    forms = scratch.keep(parts.groupBy(F.col(form_).alias("form")).agg(*counted), "forms")
     padded = F.concat(F.lit("^" * (ORDER - 1)), "form")
     gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.substr(padded, i, F.lit(ORDER))))
     each = forms.where("form != ''").select("form", "accepted", "rejected", gram.alias("gram"))
@@ -98,7 +98,7 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     both = types.agg(F.coalesce(F.max("accepted"), F.lit(0)), F.coalesce(F.max("rejected"), F.lit(0))).first()
     ratios = gram_ratios(types) if both[0] and both[1] else types.select("gram", F.lit(0.0).alias("ratio"))
     ratios = scratch.keep(ratios, "ratios")
-    scored = each.join(broadcast_if_small(ratios, SMALL_FORMS), "gram").groupBy("form").agg(F.avg("ratio").alias("ratio"))
+    scored = each.join(broadcast_if_small(ratios), "gram").groupBy("form").agg(F.avg("ratio").alias("ratio"))
     scored = scratch.keep(forms.join(scored, "form", "left").select("form", "accepted", "rejected", F.coalesce("ratio", F.lit(0.0)).alias("ratio")), "scored")
 
     moments = []
@@ -110,7 +110,7 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     if m["n_accepted"] and m["n_rejected"]:
         sd = {c: max(0.0, m[f"s_{c}"] - m[f"m_{c}"] ** 2) ** 0.5 + 1e-9 for c in ("accepted", "rejected")}
         threshold = (m["m_accepted"] * sd["rejected"] + m["m_rejected"] * sd["accepted"]) / (sd["accepted"] + sd["rejected"])
-    by_form = scored.select(F.col("form").alias("__form"), "ratio")
-    out = parts.join(broadcast_if_small(by_form, SMALL_FORMS), "__form", "left")
-    verdict = F.coalesce("__by_rule", F.when(F.col("ratio") >= threshold, "allow").otherwise("block"))
+    by_form = scored.select(F.col("form").alias(form_), "ratio")
+    out = parts.join(broadcast_if_small(by_form), form_, "left")
+    verdict = F.coalesce(by_rule_, F.when(F.col("ratio") >= threshold, "allow").otherwise("block"))
     return out.select(*rest, "host", "path", "rule", verdict.alias("verdict"), "ratio")

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from cadenza.llm.decontaminate import drop_leaks, find_leaks, passages, randomised_basis
+from cadenza.llm import decontaminate
+from cadenza.llm.decontaminate import PARAPHRASE, VERBATIM, drop_leaks, find_leaks, last_sentence, passages, randomised_basis, split_words
+from cadenza.llm.wording import lcs_length
 
 rng = random.Random(12)
 VOCABULARY = ["the", "of", "in", "and"] * 40 + ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(3000)]
@@ -69,3 +71,39 @@ def test_awkward_rows(spark, awkward, empty):
     assert got == [(None, None)]
     assert drop_leaks(awkward, bench).count() == 7 and drop_leaks(empty, bench).count() == 0
     assert find_leaks(awkward, bench.limit(0)).count() == 0
+
+
+def test_recall_against_exact_subsequences(spark, make):
+    """Every stretch of every document against every item, by longest common subsequence alone."""
+    draw = random.Random(31)
+    items = [" ".join(draw.choice(VOCABULARY) for _ in range(draw.randint(20, 45))) + ". " + " ".join(draw.choice(VOCABULARY) for _ in range(5)) + "." for _ in range(25)]
+    texts = []
+    for k in range(75):
+        words = items[k % 25].split()
+        for i in range(len(words) - 5):
+            if draw.random() < (0.05, 0.2, 0.35)[k // 25]:
+                words[i] = draw.choice(VOCABULARY)
+        texts.append(f"{prose(40)} {' '.join(words)} {prose(40)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(make(texts), bench).collect()}
+    want = set()
+    for d, text in enumerate(texts):
+        words = split_words(text)
+        for k, item in enumerate(items):
+            own, answer = split_words(item), split_words(last_sentence(item))
+            for a in range(0, len(words), 2):
+                here = words[a : a + len(own) + 8]
+                covered = lcs_length(own, here) / len(own)
+                if covered >= VERBATIM or covered >= PARAPHRASE and lcs_length(answer, here) >= VERBATIM * len(answer):
+                    want.add((d, k))
+                    break
+    print("recall", len(got & want) / len(want), "of", len(want))
+    assert len(want) >= 60 and len(got & want) >= 0.9 * len(want) and len(got - want) <= 2
+
+
+def test_blocks_are_bounded_by_items_and_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    bench = spark.createDataFrame([(i, f"w{i} x{i} y{i} the") for i in range(100)] + [(500, prose(400))], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(bench, 40))
+    assert sorted(item.item_id for b in blocks for item in b) == [*range(100), 500]
+    assert all(len(b) <= 40 and (len(b) == 1 or len({w for item in b for w in item.words}) <= 60) for b in blocks)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+from cadenza.llm import quality
 from cadenza.llm.quality import FEATURES, features, fit, quality_scores
 
 
@@ -53,3 +54,19 @@ def test_fit_orders_by_a_clear_feature():
     m = fit(x, x[:, 3] == 0, 0.3, pairs=500)
     assert (m.scores(x[50:]) >= 0.3).all() and (m.scores(x[:50]) < 0.3).all()
     assert features("").shape == (FEATURES,)
+
+
+def test_threshold_is_a_quantile_between_the_classes():
+    strength = np.array([0.1, 0.2, 0.3, 0.9, 1.0, 1.1, 1.2])
+    level = quality.parting(strength, strength > 0.5)
+    assert abs(np.quantile(strength, level) - (0.75 * 0.3 + 0.25 * 0.9)) < 1e-9
+    assert np.quantile(np.ones(5), quality.parting(np.ones(5), np.array([True, False, True, True, False]))) == 1
+
+
+def test_clashing_columns(spark, make):
+    texts, labels = corpus()
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = make(texts).selectExpr("*", "'mine' as score", "1 as predicted", "2 as held_out")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {(r["score"], r["predicted"], r["held_out"]) for r in kept.collect()} == {("mine", 1, 2)}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in quality.quality_scores(make(texts), labels).where("predicted = 1").collect())

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 
+from cadenza.llm import topk
 from cadenza.llm.topk import top_inner_products
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -67,3 +68,9 @@ def test_repeated_ids(spark):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
     for more in ({}, {"sample": 20, "batch": 32, "block": 4}):
         assert sorted(tuple(r) for r in top_inner_products(df, 5, 10, **more).collect()) == pairs_brute(rows, 5, 10)
+
+
+def test_products_beyond_64_bits_are_held_at_the_ends():
+    big = np.array([[2**62, 2**62], [-(2**62), -(2**62)], [3, 4]])
+    ends = np.iinfo(np.int64)
+    assert topk.products(big, big).tolist() == [[ends.max, ends.min, ends.max], [ends.min, ends.max, ends.min], [ends.max, ends.min, 25]]
