@@ -9,11 +9,12 @@ coordinates give buckets. Nothing is paired within a bucket wholesale:
 2. in each bucket the member that shares most bucket places is the leader, and every other member is verified
    against it on full sets (at most one pair per bucket place);
 3. components of the verified links are found; only where a bucket's members are still in different components are
-   they then held against each other. In buckets of up to `CROWD` such members all pairs of different components count.
-   Members of larger ones (pages of one template, say) are joined on their rare shingles: with shingles ordered by how
-   many of these members have them, two sets can reach the threshold only if they share one among the first of either,
-   at places that leave enough behind them. That prefix test is exact, and what all pages share never makes a pair.
-   Bitmaps of the hashed shingles exclude more pairs exactly; the rest are verified. No bucket or list is capped.
+   they then held against each other: those apart from the leader's component with it, and among themselves, as long as
+   no more than `CROWD` of them meet. Where more do (pages of one template, say), they are joined on their rare shingles:
+   with shingles ordered by how many of these members have them, two sets can reach the threshold only if they share one
+   among the first of either, at places that leave enough behind them. That prefix test is exact, and what all pages
+   share never makes a pair. Bitmaps of the hashed shingles exclude more pairs exactly; the rest are verified. No bucket
+   or list is capped.
 
 Results are exact up to the banding: a pair at the threshold of 0.8 shares no bucket with probability
 (1 - 0.8**5)**32 < 4e-6.
@@ -39,8 +40,8 @@ from cadenza.llm.shared import Scratch, broadcast_if_small, slices
 BANDS, ROWS = 32, 5
 #: Longs of a set's signature, a bitmap of its hashed shingles.
 SIGNATURE = 16
-#: Members of a bucket in different components up to which all their pairs are taken.
-CROWD = 64
+#: Members apart from a bucket's, or a component's, leader up to which each of them meets all others.
+CROWD = 200
 #: A class with more than this share of all documents is joined by broadcast; there are fewer of them than its inverse.
 HOT_SHARE = 1 / 2000
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -179,16 +180,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch,
     return scratch.keep(out.withColumn("linked", F.col("shared") * 100 >= F.col("joint") * percent), f"verified-{tag}")
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) less those that cannot be linked: bits in which two sets' bitmaps differ stand for shingles, one or
-    more each, that only one of them has."""
-    bits = [f"bits{i}" for i in range(SIGNATURE)]
-    signed = lambda end: sets.select(F.col("id").alias(end), F.size("shingles").alias(f"n_{end}"), *(F.col("signature")[i].alias(f"{b}_{end}") for i, b in enumerate(bits)))
-    differ = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in bits), F.lit(0))
-    total = F.col("n_a") + F.col("n_b")
-    return pairs.join(signed("b"), "b").join(signed("a"), "a").where((total - differ) * (100 + percent) >= total * 2 * percent).select("a", "b")
-
-
 def rare_shingle_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of members (rep, n, component) of different components whose sets may reach the threshold.
 
@@ -277,22 +268,44 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     found = scratch.keep(components(linked, scratch, "cc1"), "found")
 
     placed = placed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parted = placed.groupBy("bucket").agg(F.count("*").alias("crowd"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = scratch.keep(placed.join(parted.select("bucket", "crowd"), "bucket").select("bucket", "crowd", "rep", "n", "component"), "mixed")
+    main = F.max(F.when(F.col("rep") == F.col("leader"), F.col("component"))).alias("main")
+    parted = placed.groupBy("bucket").agg(main, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    mixed = scratch.keep(placed.join(parted.select("bucket", "main"), "bucket").select("bucket", "rep", "n", "component", "main"), "mixed")
     sets = _sets(docs, mixed.select(F.col("rep").alias("id")), n, scratch, "second")
+    apart = mixed.where("component != main")
+    inside = mixed.where("component = main").select("rep", "n", "component").distinct()
+    outside = apart.drop("bucket").distinct()
+    met = apart.groupBy("bucket").agg(F.count("*").alias("met"))
+    around = outside.groupBy("main").agg(F.count("*").alias("met"))
+    few, many = F.col("met") <= CROWD, F.col("met") > CROWD
+
+    bits = [f"bits{i}" for i in range(SIGNATURE)]
+    signed = sets.select(F.col("id").alias("rep"), *(F.col("signature")[i].alias(b) for i, b in enumerate(bits)))
     two = lambda df: df.select(*(F.col(c).alias(c if c == "bucket" else f"{c}_2") for c in df.columns))
-    few = mixed.where(F.col("crowd") <= CROWD).drop("crowd")
-    able = (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent)
-    again = few.join(two(few), "bucket").where(able).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
-    crowded = scratch.keep(mixed.where(F.col("crowd") > CROWD).select("rep", "n", "component").distinct(), "crowded")
+    # bits in which two bitmaps differ stand for shingles, one or more each, that only one of the sets has
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_2"))) for x in bits), F.lit(0))
+    both_n = F.col("n") + F.col("n_2")
+    able = (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent) & ((both_n - differ) * (100 + percent) >= both_n * 2 * percent)
+    side = apart.join(met.where(few), "bucket").select("bucket", "rep", "n", "component").join(signed, "rep")
+    again = side.join(two(side), "bucket").where((F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & able).select("rep", "rep_2")
+    near = outside.join(around.where(few), "main").select("main", "rep", "n").join(signed, "rep")
+    again = again.unionByName(near.join(two(inside.join(signed, "rep")), (F.col("main") == F.col("component_2")) & able).select("rep", "rep_2"))
+    again = again.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+
+    member = ["rep", "n", "component"]
+    crowded = apart.join(met.where(many), "bucket").select(member).unionByName(outside.join(around.where(many), "main").select(member))
+    crowded = scratch.keep(crowded.unionByName(inside.join(around.where(many).select(F.col("main").alias("component")), "component").select(member)).distinct(), "crowded")
     if not crowded.isEmpty():
-        again = again.unionByName(rare_shingle_pairs(crowded, sets, percent, scratch)).distinct()
+        rare = scratch.keep(rare_shingle_pairs(crowded, sets, percent, scratch), "rare")
+        pair = rare.join(signed.withColumnRenamed("rep", "a"), "a").join(two(signed).withColumnRenamed("rep_2", "b"), "b")
+        pair = pair.join(crowded.select(F.col("rep").alias("a"), "n"), "a").join(crowded.select(F.col("rep").alias("b"), F.col("n").alias("n_2")), "b")
+        again = again.unionByName(pair.where(able).select("a", "b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     again = scratch.keep(again.join(tested, ["a", "b"], "left_anti"), "again")
-    second = _verified(bounded(again, sets, percent), sets, percent, scratch, "second")
+    second = _verified(again, sets, percent, scratch, "second")
     linked = found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.where("linked").select("a", "b"))
     final = scratch.keep(components(linked, scratch, "cc2"), "final")
-    for name in ("places", "placed", "pairs", "mixed", "crowded", "crowd", "stats", "prefix", "sets-second", "wanted-first", "wanted-second", "again", "verified-first", "verified-second", "found"):
+    for name in ("places", "placed", "pairs", "mixed", "crowded", "crowd", "stats", "prefix", "rare", "sets-second", "wanted-first", "wanted-second", "again", "verified-first", "verified-second", "found"):
         scratch.drop(name)
 
     same = ["fp1", "fp2", "n_shingles"]

@@ -56,11 +56,10 @@ def test_against_brute_force(make):
 
 
 def test_rare_shingle_pairs_against_brute_force(spark, make, monkeypatch):
-    monkeypatch.setattr(minhash, "CROWD", 1)  # every crowd is joined on rare shingles
+    monkeypatch.setattr(minhash, "CROWD", 0)  # every crowd is joined on rare shingles
     rows = texts()
-    for n in (2, 5):
-        got = {r[0]: tuple(r[1:]) for r in near_duplicates(make(rows), n=n).collect()}
-        assert got == brute(list(enumerate(rows)), n, 80)
+    got = {r[0]: tuple(r[1:]) for r in near_duplicates(make(rows), n=2).collect()}
+    assert got == brute(list(enumerate(rows)), 2, 80)
 
 
 def template_pages(n, own, shared=160):
