@@ -42,6 +42,8 @@ BANDS, ROWS = 32, 5
 SIGNATURE = 16
 #: Members apart from a bucket's, or a component's, leader up to which each of them meets all others.
 CROWD = 200
+#: Frequent shingles of crowds, at most so many, whose places tasks work out by themselves.
+OFTEN = 100_000
 #: A class with more than this share of all documents is joined by broadcast; there are fewer of them than its inverse.
 HOT_SHARE = 1 / 2000
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -190,11 +192,29 @@ def rare_shingle_pairs(members: DataFrame, sets: DataFrame, percent: int, scratc
     """
     size = members.groupBy("component").agg(F.count("*").alias("size"))
     own = scratch.keep(members.join(size, "component"), "crowd")
-    tokens = sets.select(F.col("id").alias("rep"), "shingles").join(own, "rep").select("rep", "n", "component", "size", F.explode("shingles").alias("s"))
+    owned = sets.select(F.col("id").alias("rep"), "shingles").join(own, "rep")
+    tokens = owned.select("component", "size", F.explode("shingles").alias("s"))
     stats = tokens.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max(F.struct("size", "component"))["component"].alias("major"), F.max("component").alias("high"))
     stats = scratch.keep(stats.where("df > 1"), "stats")  # others are first in any order and join with nothing
+    often = max(1, (own.agg(F.sum("n")).first()[0] or 0) // OFTEN)
+    hot = sorted((r["s"], r["df"]) for r in stats.where(F.col("df") > often).select("s", "df").collect())  # at most OFTEN
+    hot_s, hot_df = np.array([s for s, _ in hot], np.int64), np.array([d for _, d in hot], np.int64)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Shingles with their place: 0 for those that are not frequent, of frequent ones only those in the first places."""
+        for batch in batches:
+            for rep, n, component, shingles in zip(batch["rep"], batch["n"], batch["component"], batch["shingles"]):
+                x = np.asarray(shingles, np.int64)
+                k = np.minimum(np.searchsorted(hot_s, x), max(0, len(hot_s) - 1))
+                is_hot = hot_s[k] == x if len(hot_s) else np.zeros(len(x), bool)
+                cold, k = x[~is_hot], k[is_hot]
+                k = k[np.lexsort((hot_s[k], hot_df[k]))][: max(0, n - -(-n * percent // 100) + 1 - len(cold))]
+                at = np.concatenate((np.zeros(len(cold), np.int64), len(cold) + 1 + np.arange(len(k))))
+                yield pd.DataFrame({"s": np.concatenate((cold, hot_s[k])), "rep": rep, "n": n, "component": component, "at": at})
+
+    spread = scratch.keep(owned.select("rep", "n", "component", "shingles").mapInPandas(placed, "s long, rep long, n long, component long, at long"), "spread")
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "s"))
-    ranked = tokens.join(stats, "s", "left").withColumn("at", place)
+    ranked = spread.where("at = 0").join(stats, "s", "left").withColumn("at", place).unionByName(spread.where("at > 0").join(stats, "s"))
     less, more = F.ceil(F.col("n") * (2 * percent) / (100 + percent)), F.ceil(F.col("n") * percent / 100)
     ranked = ranked.where((F.col("at") <= F.col("n") - more + 1) & (F.col("low") < F.col("high")))
     ranked = ranked.select("s", "rep", "n", "component", "at", (F.col("component") != F.col("major")).alias("minor"), (F.col("at") <= F.col("n") - less + 1).alias("first"))
@@ -305,7 +325,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     second = _verified(again, sets, percent, scratch, "second")
     linked = found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.where("linked").select("a", "b"))
     final = scratch.keep(components(linked, scratch, "cc2"), "final")
-    for name in ("places", "placed", "pairs", "mixed", "crowded", "crowd", "stats", "prefix", "rare", "sets-second", "wanted-first", "wanted-second", "again", "verified-first", "verified-second", "found"):
+    for name in ("places", "placed", "pairs", "mixed", "crowded", "crowd", "stats", "spread", "prefix", "rare", "sets-second", "wanted-first", "wanted-second", "again", "verified-first", "verified-second", "found"):
         scratch.drop(name)
 
     same = ["fp1", "fp2", "n_shingles"]
