@@ -16,9 +16,9 @@ def moving_mean(x: str, keys: list[str], radius: int, order: str = "frame_idx")
 
 
 def neighbour_mean(x: str, keys: list[str], radius: int, order: str = "frame_idx") -> Column:
-    """Centred mean without the frame itself; null if it has no neighbour."""
+    """Centred mean without the frame itself; the frame's own value if it has no neighbour."""
     w = _around(keys, order, -radius, radius)
-    return F.when(F.count(x).over(w) > 1, (F.sum(x).over(w) - F.col(x)) / (F.count(x).over(w) - 1))
+    return F.when(F.count(x).over(w) > 1, (F.sum(x).over(w) - F.col(x)) / (F.count(x).over(w) - 1)).otherwise(F.col(x))
 
 
 def shoulder_contrast(x: str, keys: list[str], near: int, far: int, least: int, order: str = "frame_idx") -> Column:

@@ -74,13 +74,20 @@ _PAIR = FR + ", p AS (SELECT user_id, frame_idx, db - 60 AS src, CASE WHEN event
 
 
 @query(_PAIR + """, m AS (SELECT *, quantile_cont(ren, 0.5) OVER (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS md FROM p),
- b AS (SELECT user_id, count(*) FILTER ((ren <= -68 AND src >= -50) OR (ren - src <= -24 AND ren <= -58 AND ren <= md - 18) OR (src >= -38 AND ren <= -54)) AS bad FROM m GROUP BY user_id)
- SELECT user_id, bad::BIGINT AS bad_frames, bad * 0.02 >= 0.35 AS severe FROM b""")
+ b AS (SELECT user_id, frame_idx FROM m WHERE (ren <= -68 AND src >= -50) OR (ren - src <= -24 AND ren <= -58 AND ren <= md - 18) OR (src >= -38 AND ren <= -54)),
+ g AS (SELECT *, sum(CASE WHEN frame_idx - pr > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY frame_idx) AS cid FROM (SELECT *, lag(frame_idx) OVER (PARTITION BY user_id ORDER BY frame_idx) AS pr FROM b)),
+ c AS (SELECT user_id, max(frame_idx) - min(frame_idx) + 1 AS len FROM g GROUP BY user_id, cid HAVING max(frame_idx) - min(frame_idx) + 1 >= 4),
+ t AS (SELECT user_id, coalesce(sum(len), 0) AS bad, coalesce(max(len), 0) AS longest, count(len) AS clusters FROM (SELECT DISTINCT user_id FROM fr) LEFT JOIN c USING (user_id) GROUP BY user_id)
+ SELECT user_id, bad::BIGINT AS bad_frames, clusters::BIGINT AS clusters, bad * 20 >= 350 OR longest * 20 >= 180 OR (clusters >= 3 AND bad * 20 >= 240) AS severe FROM t""")
 def rendered_dropouts(spark, sf_dir):
-    """Frames that a rendering lost, by series, and whether so many are severe."""
+    """Clusters of frames that a rendering lost (80 ms at least, gaps up to 60 ms bridged), by series, and whether they are severe."""
     d = frames(spark, sf_dir).select("user_id", "frame_idx", (C("db") - 60).alias("source"), F.when(C("event_id") % 9 == 0, C("db") - 110).otherwise(C("db") - 62).alias("rendered"))
-    bad = az.dropout_frames(d, KEY, "source", "rendered", 12).groupBy("user_id").agg(F.count_if("bad").alias("bad_frames"))
-    return bad.select("user_id", "bad_frames", az.dropout_severe(C("bad_frames") * 0.02, F.lit(0.0), F.lit(0)).alias("severe"))
+    clusters = runs.gap_clusters(az.dropout_frames(d, KEY, "source", "rendered", 12).where("bad"), KEY, "frame_idx", 4)
+    length = C("last") - C("first") + 1
+    lost = clusters.where(length >= 4).groupBy("user_id").agg(F.sum(length).alias("bad_frames"), F.max(length).alias("longest"), F.count("*").alias("clusters"))
+    every = d.select("user_id").distinct().join(lost, "user_id", "left").fillna(0)
+    severe = az.dropout_severe(C("bad_frames") * 20 / 1000, C("longest") * 20 / 1000, C("clusters"))
+    return every.select("user_id", "bad_frames", "clusters", severe.alias("severe"))
 
 
 @query(FR + """, c AS (SELECT user_id, frame_idx, CASE WHEN count(*) OVER a >= 4 AND count(*) OVER b >= 4 THEN db - (avg(db) OVER a + avg(db) OVER b) / 2 END AS ct FROM fr

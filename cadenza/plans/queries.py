@@ -127,7 +127,7 @@ def moving_mean(spark, sf_dir):
     return frames(spark, sf_dir).select("user_id", "frame_idx", r(windows.moving_mean("db", KEY, 2)).alias("smooth"))
 
 
-@query(FR + " SELECT user_id, frame_idx::BIGINT AS frame_idx, round(db - (sum(db) OVER w - db) / nullif(count(*) OVER w - 1, 0), 6) AS contrast FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
+@query(FR + " SELECT user_id, frame_idx::BIGINT AS frame_idx, round(db - coalesce((sum(db) OVER w - db) / nullif(count(*) OVER w - 1, 0), db), 6) AS contrast FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
 def neighbor_mean_contrast(spark, sf_dir):
     return frames(spark, sf_dir).select("user_id", "frame_idx", r(F.col("db") - windows.neighbour_mean("db", KEY, 3)).alias("contrast"))
 
@@ -199,11 +199,11 @@ def interval_complement(spark, sf_dir):
     return free.select("user_id", r("s_start", 3).alias("s_start"), r("s_end", 3).alias("s_end"))
 
 
-@query(MERGED + """, wn AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 - 1800 AS ws, epoch_us(ts) / 1e6 + 1800 AS we FROM events WHERE event_id % 7 = 0)
+@query(MERGED + """, wn AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 - 1800 AS ws, epoch_us(ts) / 1e6 + 1800 AS we FROM events)
  SELECT wn.user_id, wn.event_id, round(coalesce(sum(greatest(0, least(we, s_end) - greatest(ws, s_start))), 0) / 3600, 6) AS occupancy FROM wn LEFT JOIN mg ON wn.user_id = mg.user_id AND s_start < we AND s_end > ws GROUP BY wn.user_id, wn.event_id""")
 def occupancy_overlap_join(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    wins = table(spark, sf_dir, "events").where("event_id % 7 = 0").select("user_id", "event_id", (at - 1800).alias("w_start"), (at + 1800).alias("w_end"))
+    wins = table(spark, sf_dir, "events").select("user_id", "event_id", (at - 1800).alias("w_start"), (at + 1800).alias("w_end"))
     merged = intervals.merge(spans(spark, sf_dir), KEY, "s_start", "s_end", 60.0)
     out = intervals.occupancy(wins, merged, KEY, "event_id", 3600.0)
     return out.select("user_id", "event_id", r("occupancy").alias("occupancy"))
@@ -221,12 +221,20 @@ def tumbling_sections(spark, sf_dir):
     return sections(spark, sf_dir).select("user_id", "section", r("level").alias("level"), "frames")
 
 
-@query(SECTIONS + """ SELECT a.user_id, round(median((b.level - a.level) / (b.section - a.section)), 6) AS slope, count(*)::BIGINT AS pairs FROM se a JOIN se b ON a.user_id = b.user_id AND b.section - a.section BETWEEN 2 AND 6 GROUP BY a.user_id""")
+@query(SECTIONS + """, n AS (SELECT user_id, count(*) AS n FROM fr GROUP BY user_id), o AS (SELECT se.*, row_number() OVER (PARTITION BY se.user_id ORDER BY section) AS k, count(*) OVER (PARTITION BY se.user_id) AS many,
+ (section * 10 + least(n, section * 10 + 10)) / 2.0 AS mid FROM se JOIN n USING (user_id))
+ SELECT a.user_id, round(median((b.level - a.level) / ((b.mid - a.mid) / 60)), 6) AS slope, count(*)::BIGINT AS pairs FROM o a JOIN o b ON a.user_id = b.user_id AND b.k - a.k BETWEEN CASE WHEN a.many >= 3 THEN 2 ELSE 1 END AND 6 GROUP BY a.user_id""")
 def theil_sen_drift(spark, sf_dir):
-    """Median slope of section pairs two to six apart."""
-    s = sections(spark, sf_dir)
-    pairs = joins.lagged_pairs(s.select("user_id", "section", "level"), s.select("user_id", "section", F.col("level").alias("later")), KEY, range(2, 7), "section")
-    return pairs.groupBy("user_id").agg(r(F.median((F.col("later") - F.col("level")) / F.col("lag"))).alias("slope"), F.count("*").alias("pairs"))
+    """Median slope a minute of section pairs two to six apart (one apart where there are two sections), at a frame a second."""
+    w = Window.partitionBy("user_id")
+    ends = frames(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
+    s = sections(spark, sf_dir).join(ends, "user_id")
+    mid = (F.col("section") * 10 + F.least("n", F.col("section") * 10 + 10)) / 2
+    s = s.select("user_id", F.row_number().over(w.orderBy("section")).alias("k"), F.count("*").over(w).alias("many"), "level", mid.alias("mid"))
+    pairs = joins.lagged_pairs(s, s.select("user_id", "k", F.col("level").alias("later"), F.col("mid").alias("later_mid")), KEY, range(1, 7), "k")
+    pairs = pairs.where((F.col("lag") >= 2) | (F.col("many") < 3))
+    slope = (F.col("later") - F.col("level")) / ((F.col("later_mid") - F.col("mid")) / 60)
+    return pairs.groupBy("user_id").agg(r(F.median(slope)).alias("slope"), F.count("*").alias("pairs"))
 
 
 @query(FR + """, w AS (SELECT user_id, unnest(generate_series(greatest(0, ceil((frame_idx - 30 + 1) / 10.0)::BIGINT), frame_idx // 10)) AS win, db FROM fr), m AS (SELECT user_id, win, median(db) AS md FROM w GROUP BY user_id, win)
@@ -242,56 +250,3 @@ _BODIES = _MASK + """, c2 AS (SELECT *, CASE WHEN lag(active) OVER w IS NULL OR
 
 def bodies(spark, sf_dir) -> DataFrame:
     return runs.runs(finalized(spark, sf_dir), KEY, "active", F.avg("db").alias("body"), F.min("db").alias("low")).where("active")
-
-
-@query(_BODIES + """, j AS (SELECT user_id, abs(body - lag(body) OVER w) AS jump, s - lag(e) OVER w AS gap FROM rr WINDOW w AS (PARTITION BY user_id ORDER BY rid)),
- k AS (SELECT user_id, least(1, greatest(0, 0.82 * least(1, greatest(0, (jump - 1.8) / 4.2)) + 0.18 * least(1, greatest(0, (gap * 10 - 120) / 900.0)))) AS sc FROM j WHERE gap >= 3)
- SELECT user_id, round(quantile_cont(sc, 0.75), 6) AS jump_score, count(*)::BIGINT AS jumps FROM k GROUP BY user_id""")
-def sentence_jump(spark, sf_dir):
-    """Level jumps between consecutive runs, weighed with the pause between them."""
-    w = Window.partitionBy("user_id").orderBy("run_id")
-    jump, gap = F.abs(F.col("body") - F.lag("body").over(w)), F.col("start_frame") - F.lag("end_frame").over(w)
-    d = bodies(spark, sf_dir).select("user_id", jump.alias("jump"), gap.alias("gap")).where("gap >= 3")
-    score = sc.unit(0.82 * sc.unit((F.col("jump") - 1.8) / 4.2) + 0.18 * sc.unit((F.col("gap") * 10 - 120) / 900))
-    return d.groupBy("user_id").agg(r(pct.linear(score, 0.75)).alias("jump_score"), F.count("*").alias("jumps"))
-
-
-@query(FR + """, b AS (SELECT user_id, count(*) OVER (PARTITION BY user_id) AS n, frame_idx, db FROM fr), k AS (SELECT *, least(5, greatest(3, n // 18)) AS nb FROM b WHERE n >= 18),
- m AS (SELECT user_id, floor(((frame_idx + 1) * nb - 1) / n)::BIGINT AS bucket, avg(db) AS m FROM k GROUP BY ALL),
- d AS (SELECT user_id, m, m - lag(m) OVER (PARTITION BY user_id ORDER BY bucket) AS d, bucket FROM m),
- s AS (SELECT user_id, d, lag(d) OVER (PARTITION BY user_id ORDER BY bucket) AS pd FROM d WHERE abs(d) >= 0.65), g AS (SELECT user_id, count(*) FILTER (d * pd < 0) AS flips FROM s GROUP BY user_id),
- x AS (SELECT user_id, max(m) - min(m) AS rg FROM m GROUP BY user_id)
- SELECT x.user_id, round(least(1, greatest(0, 0.62 * least(1, greatest(0, (rg - 3) / 4.5)) + 0.38 * least(1, greatest(0, (coalesce(flips, 0) - 1) / 2.0)))), 6) AS swing FROM x LEFT JOIN g USING (user_id)""")
-def line_swing(spark, sf_dir):
-    """Swing of a series in three to five equal buckets: range, and how often strong steps change sign."""
-    n = F.count("*").over(Window.partitionBy("user_id"))
-    d = frames(spark, sf_dir).withColumn("n", n).where("n >= 18").withColumn("buckets", F.least(F.lit(5), F.greatest(F.lit(3), F.floor(F.col("n") / 18))))
-    d = d.withColumn("bucket", F.floor(((F.col("frame_idx") + 1) * F.col("buckets") - 1) / F.col("n")))
-    means = d.groupBy("user_id", "bucket").agg(F.avg("db").alias("m"))
-    w = Window.partitionBy("user_id").orderBy("bucket")
-    steps = means.withColumn("d", F.col("m") - F.lag("m").over(w))
-    flips = steps.where(F.abs("d") >= 0.65).withColumn("p", F.lag("d").over(w)).groupBy("user_id").agg(F.count_if(F.col("d") * F.col("p") < 0).alias("flips"))
-    span = means.groupBy("user_id").agg((F.max("m") - F.min("m")).alias("range"))
-    score = 0.62 * sc.unit((F.col("range") - 3) / 4.5) + 0.38 * sc.unit((F.coalesce("flips", F.lit(0)) - 1) / 2)
-    return span.join(flips, "user_id", "left").select("user_id", r(sc.unit(score)).alias("swing"))
-
-
-@query(_BODIES + """, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rid) AS n FROM rr)
- SELECT user_id, round(median(body) FILTER (n > 3) - min(body) FILTER (n <= 3), 6) AS dip, round(least(1, greatest(0, (median(body) FILTER (n > 3) - min(body) FILTER (n <= 3) - 1) / 4)), 6) AS risk FROM o GROUP BY user_id HAVING count(*) > 3""")
-def cold_open_dip(spark, sf_dir):
-    """How far the weakest of the first three runs is under the median of the later ones."""
-    d = bodies(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("run_id")))
-    dip = F.median(F.when(F.col("n") > 3, F.col("body"))) - F.min(F.when(F.col("n") <= 3, F.col("body")))
-    return d.groupBy("user_id").agg(dip.alias("dip"), F.count("*").alias("k")).where("k > 3").select("user_id", r("dip").alias("dip"), r(sc.unit((F.col("dip") - 1) / 4)).alias("risk"))
-
-
-@query(_BODIES + """, f AS (SELECT r2.user_id, r2.rid, db, frame_idx, e FROM r2 JOIN rr ON r2.user_id = rr.user_id AND r2.rid = rr.rid),
- t AS (SELECT user_id, rid, 10 * log10(avg(pow(10, db / 10)) + 1e-30) AS body, 10 * log10(avg(pow(10, db / 10)) FILTER (frame_idx >= e - 2) + 1e-30) AS tail FROM f GROUP BY user_id, rid)
- SELECT user_id, round(max(greatest(0, body - tail)), 6) AS end_dip FROM t GROUP BY user_id""")
-def end_edge_dip(spark, sf_dir):
-    """The most that a run's last frames fall under its power mean."""
-    d = runs.with_run_id(finalized(spark, sf_dir), KEY, "active").where("active")
-    end = F.max("frame_idx").over(Window.partitionBy("user_id", "run_id")) + 1
-    tail = sc.power_mean_db(F.when(F.col("frame_idx") >= F.col("end") - 2, F.col("db")))
-    dips = d.withColumn("end", end).groupBy("user_id", "run_id").agg((sc.power_mean_db(F.col("db")) - tail).alias("dip"))
-    return dips.groupBy("user_id").agg(r(F.max(F.greatest(F.lit(0.0), "dip"))).alias("end_dip"))

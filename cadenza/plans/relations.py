@@ -20,7 +20,7 @@ def lag_autocorrelation(spark, sf_dir):
     return c.select("user_id", "lag", "pairs", r("correlation").alias("correlation"))
 
 
-@query(FR + """, l AS (SELECT unnest(generate_series(-5, 5)) AS lag), p AS (SELECT a.user_id, lag, b.db - a.db AS d FROM fr a, l, fr b WHERE a.user_id + 1 = b.user_id AND b.frame_idx = a.frame_idx + lag AND a.user_id % 2 = 0),
+@query(FR + """, l AS (SELECT unnest(generate_series(-5, 5)) AS lag), p AS (SELECT a.user_id, lag, b.db - a.db AS d FROM fr a, l, fr b WHERE a.user_id + 1 = b.user_id AND b.frame_idx = a.frame_idx + lag),
  m AS (SELECT *, median(d) OVER (PARTITION BY user_id, lag) AS md FROM p), s AS (SELECT user_id, lag, median(abs(d - md)) AS disp, count(*) AS n FROM m GROUP BY user_id, lag HAVING count(*) >= 20),
  k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(disp, 9), abs(lag), lag) AS rk FROM s)
  SELECT user_id, lag::BIGINT AS lag, round(disp, 6) AS dispersion, n::BIGINT AS pairs FROM k WHERE rk = 1""")
@@ -28,19 +28,20 @@ def lag_alignment(spark, sf_dir):
     """The lag at which a series and the next one differ by the steadiest offset: least median absolute deviation."""
     d = frames(spark, sf_dir).select("user_id", "frame_idx", "db")
     right = d.select((F.col("user_id") - 1).alias("user_id"), "frame_idx", F.col("db").alias("other"))
-    pairs = joins.lagged_pairs(d.where("user_id % 2 = 0"), right, KEY, range(-5, 6)).select("user_id", "lag", (F.col("other") - F.col("db")).alias("d"))
+    pairs = joins.lagged_pairs(d, right, KEY, range(-5, 6)).select("user_id", "lag", (F.col("other") - F.col("db")).alias("d"))
     spread = pairs.withColumn("m", F.median("d").over(Window.partitionBy("user_id", "lag"))).groupBy("user_id", "lag").agg(F.median(F.abs(F.col("d") - F.col("m"))).alias("dispersion"), F.count("*").alias("pairs")).where("pairs >= 20")
     best = runs.top_per_group(spread, KEY, [F.round("dispersion", 9), F.abs("lag"), F.col("lag")], 1)
     return best.select("user_id", "lag", r("dispersion").alias("dispersion"), "pairs")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS nl, min(c_custkey) AS l FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS nr, min(s_suppkey) AS rr FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1)
- SELECT coalesce(a.k, b.k)::BIGINT AS nation, coalesce(nl, 0)::BIGINT AS n_left, coalesce(nr, 0)::BIGINT AS n_right, CASE WHEN nl = 1 AND nr = 1 THEN l END::BIGINT AS left_id, CASE WHEN nl = 1 AND nr = 1 THEN rr END::BIGINT AS right_id,
+@query("""WITH a AS (SELECT c_custkey AS k, count(*) AS nl, min(c_custkey) AS l FROM customer GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS nr, min(o_orderkey) AS rr FROM orders GROUP BY 1)
+ SELECT coalesce(a.k, b.k)::BIGINT AS customer, coalesce(nl, 0)::BIGINT AS n_left, coalesce(nr, 0)::BIGINT AS n_right, CASE WHEN nl = 1 AND nr = 1 THEN l END::BIGINT AS left_id, CASE WHEN nl = 1 AND nr = 1 THEN rr END::BIGINT AS right_id,
  CASE WHEN nl = 1 AND nr = 1 THEN 'paired' WHEN nl IS NULL THEN 'no_source' WHEN nr IS NULL THEN 'no_result' ELSE 'ambiguous' END AS status FROM a FULL JOIN b ON a.k = b.k""")
 def pair_full_outer(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_custkey % 40 = 0").select(big("c_nationkey").alias("nation"), "c_custkey")
-    b = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(big("s_nationkey").alias("nation"), "s_suppkey")
-    return joins.pair_one_to_one(a, b, "nation", "c_custkey", "s_suppkey")
+    """Customers with their only order; those with several are ambiguous, those with none have no result."""
+    a = table(spark, sf_dir, "customer").select(big("c_custkey").alias("customer"), "c_custkey")
+    b = table(spark, sf_dir, "orders").select(big("o_custkey").alias("customer"), "o_orderkey")
+    return joins.pair_one_to_one(a, b, "customer", "c_custkey", "o_orderkey")
 
 
 @query("""WITH p AS (SELECT o_custkey, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'before' ELSE 'after' END AS role, o_orderkey, o_totalprice FROM orders),
@@ -71,9 +72,10 @@ LINES = """WITH li AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS insta
  CASE WHEN l_partkey % 6 <> 0 THEN l_tax * 12 END AS compression, CASE WHEN l_suppkey % 7 <> 0 THEN (l_suppkey % 11) / 11.0 END AS echo, (l_partkey % 2) * 0.5 AS clip FROM lineitem)"""
 
 
-def measured(spark, sf_dir) -> DataFrame:
+def measured(spark, sf_dir, *others: str) -> DataFrame:
     c = F.col
     return table(spark, sf_dir, "lineitem").select(
+        *others,
         "l_orderkey", "l_linenumber", (c("l_quantity") / 50).alias("instability"), F.when(c("l_linenumber") % 3 != 0, c("l_discount") * 10).alias("onset"), (c("l_tax") * 10).alias("jump"),
         F.when(c("l_partkey") % 4 != 0, (c("l_partkey") % 100) / 100.0).alias("swing"), ((c("l_suppkey") % 10) / 10.0).alias("sag"), ((c("l_partkey") % 7) / 7.0).alias("end_fade"), ((c("l_suppkey") % 3) / 3.0).alias("breath"),
         F.when(c("l_suppkey") % 5 != 0, c("l_discount") * 8).alias("pause"), ((c("l_linenumber") % 5) / 5.0).alias("click"), F.when(c("l_partkey") % 6 != 0, c("l_tax") * 12).alias("compression"),
