@@ -115,12 +115,18 @@ def run_statistics(spark, sf_dir):
     return bodies(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("runs"), r(F.stddev_pop("body")).alias("sigma"), r(F.max("body") - F.min("body")).alias("spread"))
 
 
-@query()
+_NAMES = ["instability", "onset", "jump", "swing", "sag"]
+_MISS = "(n / (1 + exp(-(" + " + ".join(f"d{k} * w{k}" for k in range(5)) + "))))"
+
+
+@query(LINES.replace("WITH li", "WITH RECURSIVE li", 1) + f""", z AS (SELECT l_orderkey, l_linenumber, {", ".join(f"coalesce({x}, 0)::DOUBLE AS f{k}" for k, x in enumerate(_NAMES))} FROM li),
+ pr AS MATERIALIZED (SELECT {", ".join(f"a.f{k} - b.f{k} AS d{k}" for k in range(5))}, count(*) AS n FROM z a JOIN z b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 + a.l_orderkey % 2 AND b.l_linenumber <> 1 + b.l_orderkey % 2 GROUP BY 1, 2, 3, 4, 5),
+ st AS (SELECT 0 AS step, {", ".join(f"0::DOUBLE AS w{k}" for k in range(5))} UNION ALL SELECT step + 1, {", ".join(f"w{k} - 0.08::DOUBLE * (sum({_MISS} * d{k}) / sum(n) + 0.0015::DOUBLE * w{k})" for k in range(5))} FROM st, pr WHERE step < 240 GROUP BY step, {", ".join(f"w{k}" for k in range(5))})
+ SELECT l_orderkey, l_linenumber, round({" + ".join(f"f{k} * w{k}" for k in range(5))}, 6) AS score FROM z, st WHERE step = 240""")
 def learned_ranking(spark, sf_dir):
-    """Weights learned from each order's preferred line against all its others, applied to all lines; no SQL form for the descent."""
+    """Weights learned from each order's preferred line against all its others, applied to all lines."""
     from cadenza.operators import ranking
 
-    names = ["instability", "onset", "jump", "swing", "sag"]
-    pairs = ranking.preferred_over_others(measured(spark, sf_dir), "l_orderkey", C("l_linenumber") == 1 + C("l_orderkey") % 2, names)
-    weights = ranking.fit(pairs, names)
-    return measured(spark, sf_dir).select("l_orderkey", "l_linenumber", r(ranking.score(names, weights)).alias("score"))
+    pairs = ranking.preferred_over_others(measured(spark, sf_dir), "l_orderkey", C("l_linenumber") == 1 + C("l_orderkey") % 2, _NAMES)
+    weights = ranking.fit(pairs, _NAMES)
+    return measured(spark, sf_dir).select("l_orderkey", "l_linenumber", r(ranking.score(_NAMES, weights)).alias("score"))

@@ -308,39 +308,71 @@ def sample_envelope(spark, sf_dir):
     return d.select("vec_id", *(r(F.col("e")[k]).alias(f"e{k}") for k in range(8)))
 
 
-@query()
+#: SQL of sequential rules walks the series frame by frame in a recursive query.
+WALK = FR.replace("WITH fr", "WITH RECURSIVE fr", 1)
+_FILTER = signals.high_pass(64.0, 4.0, 0.7071)
+_B0, _B1, _B2, _A1, _A2 = (f"({c!r}::DOUBLE)" for c in _FILTER)
+
+
+@query(f"""WITH RECURSIVE st AS (SELECT vec_id, embedding AS v, 1 AS i, embedding[1]::DOUBLE AS x1, 0::DOUBLE AS x2, {_B0} * embedding[1]::DOUBLE AS y1, 0::DOUBLE AS y2 FROM embeddings
+ UNION ALL SELECT vec_id, v, i + 1, v[i + 1]::DOUBLE, x1, {_B0} * v[i + 1]::DOUBLE + {_B1} * x1 + {_B2} * x2 - {_A1} * y1 - {_A2} * y2, y1 FROM st WHERE i < len(v)) SELECT vec_id, (i - 1)::BIGINT AS sample, round(y1, 6) AS filtered FROM st""")
 def biquad_filter(spark, sf_dir):
-    """A recursive filter over each array; no SQL form, tested against an independent loop."""
-    out = signals.biquad(F.col("embedding"), signals.high_pass(64.0, 4.0, 0.7071))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(out, lambda v: F.round(v, 6)).alias("filtered"))
+    """A recursive filter over each array, one row a sample."""
+    out = table(spark, sf_dir, "embeddings").select("vec_id", signals.biquad_long(_FILTER)("embedding").alias("filtered"))
+    return out.select("vec_id", F.posexplode("filtered").alias("sample", "filtered")).select("vec_id", big("sample").alias("sample"), r("filtered").alias("filtered"))
+
+
+_HYSTERESIS = WALK + """, nf AS (SELECT user_id, quantile_cont(db - 70, 0.25) AS fl FROM fr GROUP BY user_id),
+ lv AS (SELECT fr.user_id, frame_idx AS i, db - 70 AS db, avg(db - 70) OVER (PARTITION BY fr.user_id ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x, least(-24, greatest(-58, fl + 11.5)) AS op, least(-26, greatest(-60, fl + 8.5)) AS cl, fl + 14 AS so FROM fr JOIN nf USING (user_id)),
+ cf AS MATERIALIZED (SELECT *, x >= op AND count(*) FILTER (x >= cl) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) >= 4 AS sure FROM lv),
+ st AS (SELECT user_id, 0::BIGINT AS i, sure AS act, CASE WHEN sure THEN 14 ELSE 0 END AS hold, false AS used FROM cf WHERE i = 0
+ UNION ALL SELECT user_id, i, CASE WHEN act THEN h >= 0 ELSE sure END, CASE WHEN act THEN greatest(h, 0) WHEN sure THEN 14 ELSE 0 END, act AND h >= 0 AND soft FROM (
+  SELECT c.user_id, c.i, act, sure, x < op AND x < cl AND x >= so AND db >= so AS soft, CASE WHEN x >= op THEN 14 WHEN x >= cl THEN greatest(hold, 7) WHEN x >= so AND db >= so THEN CASE WHEN used THEN hold ELSE greatest(hold, 18) END - 1
+  ELSE hold - CASE WHEN cl - x >= 8 THEN 3 WHEN cl - x >= 4 THEN 2 ELSE 1 END END AS h FROM st JOIN cf c ON c.user_id = st.user_id AND c.i = st.i + 1)),
+ r0 AS (SELECT user_id, i, act, i - row_number() OVER (PARTITION BY user_id, act ORDER BY i) AS g FROM st), a0 AS (SELECT user_id, i, act AND count(*) OVER (PARTITION BY user_id, act, g) >= 6 AS act FROM r0),
+ r1 AS (SELECT user_id, i, act, i - row_number() OVER (PARTITION BY user_id, act ORDER BY i) AS g FROM a0),
+ e1 AS (SELECT *, count(*) OVER w AS len, min(i) OVER w AS first, max(i) OVER w AS last, max(i) OVER (PARTITION BY user_id) AS most FROM r1 WINDOW w AS (PARTITION BY user_id, act, g))
+ SELECT user_id, i::BIGINT AS frame_idx, act OR (len <= 9 AND first > 0 AND last < most) AS active FROM e1"""
 
 
-@query()
+@query(_HYSTERESIS)
 def hysteresis_mask(spark, sf_dir):
     """The sequential mask; its passes after the state machine are those of bridge_gaps."""
     return masks.activity_mask(frames(spark, sf_dir).withColumn("db", F.col("db") - 70), "user_id").select("user_id", "frame_idx", "active")
 
 
-@query()
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+ st AS (SELECT *, 0 AS part, o_totalprice AS total, 1 AS items FROM o WHERE k = 1
+ UNION ALL SELECT o_custkey, o_orderkey, x, k, part + new::INT, CASE WHEN new THEN x ELSE total + x END, CASE WHEN new THEN 1 ELSE items + 1 END FROM (
+  SELECT o.o_custkey, o.o_orderkey, o.o_totalprice AS x, o.k, part, total, items, total + o.o_totalprice > 500000 OR items >= 8 AS new FROM st JOIN o ON o.o_custkey = st.o_custkey AND o.k = st.k + 1))
+ SELECT o_custkey, o_orderkey, o_totalprice, part::INT AS part FROM st""")
 def next_fit_parts(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return greedy.next_fit_parts(d, "o_custkey", ["o_orderkey"], "o_totalprice", 500_000.0, 8)
 
 
-@query()
+@query(WALK + """, st AS (SELECT user_id, 0::BIGINT AS i, CASE WHEN db > 30 THEN 0::BIGINT END AS last, db > 30 AS event FROM fr WHERE frame_idx = 0
+ UNION ALL SELECT user_id, i, CASE WHEN ev THEN i ELSE last END, ev FROM (SELECT f.user_id, f.frame_idx AS i, last, f.db > 30 AND (last IS NULL OR f.frame_idx - last > 4) AS ev FROM st JOIN fr f ON f.user_id = st.user_id AND f.frame_idx = st.i + 1))
+ SELECT user_id, i AS frame_idx FROM st WHERE event""")
 def refractory_events(spark, sf_dir):
     d = frames(spark, sf_dir).select("user_id", "frame_idx", (F.col("db") > 30).alias("loud"))
     return greedy.refractory(d, "user_id", "frame_idx", "loud", 4).where("event").select("user_id", "frame_idx")
 
 
-@query()
+@query(WALK + """, st AS (SELECT user_id, 0::BIGINT AS i, db AS last, true AS new FROM fr WHERE frame_idx = 0
+ UNION ALL SELECT f.user_id, f.frame_idx, CASE WHEN abs(f.db - last) >= 6 THEN f.db ELSE last END, abs(f.db - last) >= 6 FROM st JOIN fr f ON f.user_id = st.user_id AND f.frame_idx = st.i + 1)
+ SELECT user_id, i AS frame_idx, round(last, 6) AS db FROM st WHERE new""")
 def gain_keyframes(spark, sf_dir):
     """Values that differ enough from the one emitted last."""
     d = frames(spark, sf_dir).select("user_id", "frame_idx", "db")
     return greedy.keyframes(d, "user_id", "frame_idx", "db", 6.0).where("emitted").select("user_id", "frame_idx", r("db").alias("db"))
 
 
-@query()
+@query(WALK + """, t AS (SELECT user_id, frame_idx, event_id, count(*) OVER w AS n, round(avg(db) OVER w, 9) AS m FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+ c AS MATERIALIZED (SELECT user_id, frame_idx, m, row_number() OVER (PARTITION BY user_id ORDER BY m DESC, event_id) AS k FROM t WHERE n = 10),
+ st AS (SELECT user_id, k, [frame_idx] AS chosen FROM c WHERE k = 1
+ UNION ALL SELECT c.user_id, c.k, CASE WHEN len(chosen) < 5 AND len(list_filter(chosen, lambda x: abs(x - c.frame_idx) < 10)) = 0 THEN list_append(chosen, c.frame_idx) ELSE chosen END FROM st JOIN c ON c.user_id = st.user_id AND c.k = st.k + 1),
+ p AS (SELECT user_id, unnest(arg_max(chosen, k)) AS frame_idx FROM st GROUP BY user_id) SELECT p.user_id, p.frame_idx::BIGINT AS frame_idx, round(m, 6) AS db FROM p JOIN c ON c.user_id = p.user_id AND c.frame_idx = p.frame_idx""")
 def spaced_windows(spark, sf_dir):
     """The five loudest ten-frame windows of each series that do not overlap, by their mean level."""
     return ten_frame_windows(frames(spark, sf_dir)).select("user_id", "frame_idx", r("db").alias("db"))
