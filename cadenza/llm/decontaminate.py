@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import Scratch, broadcast_if_small, fresh, slices
+from cadenza.llm.shared import Scratch, broadcast_if_small, fresh, returns_memory, slices
 from cadenza.llm.wording import lcs_length
 
 BUCKETS, WINDOW, STRIDE, RANK = 1 << 16, 24, 8, 256
@@ -41,7 +41,7 @@ COSINE, VERBATIM, PARAPHRASE = 0.5, 0.8, 0.5
 #: The norm that a unit passage must keep in the latent space to be compared there; the norm that light words, which
 #: are not looked up, may have in one that is not.
 KEPT, LIGHT = 0.8, 0.2
-_REMEMBERED = 250_000
+_REMEMBERED = 100_000
 #: Characters that the driver takes of a benchmark at a time, and distinct words of a block.
 BLOCK_CHARS, BLOCK_WORDS = 20_000_000, 50_000
 _SCHEMA = "doc_id long, item_id long, cosine double, covered double, answered double, kind string, start_word long"
@@ -73,6 +73,7 @@ class Buckets:
 def word_weights(docs: DataFrame) -> np.ndarray:
     """Inverse document frequencies by bucket, counted over all documents."""
 
+    @returns_memory
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, rows, bucket = np.zeros(BUCKETS, np.int64), 0, Buckets()
         for batch in batches:
@@ -112,6 +113,7 @@ def randomised_basis(rows: DataFrame, width: int, rank: int, rounds: int = 2, se
     chunk = 512
     for _ in range(rounds):
 
+        @returns_memory
         def multiply(batches: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
             y = np.zeros((width, rank))
             for b in batches:
@@ -319,6 +321,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: i
         weights = word_weights(docs) if weights is None else weights
         index = build_index(spark, items, weights, rank)
 
+        @returns_memory
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             find = Searcher(index)
             for batch in batches:

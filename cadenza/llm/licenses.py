@@ -23,7 +23,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from cadenza.llm.shared import Taken, slices
+from cadenza.llm.shared import Taken, returns_memory, slices
 from cadenza.llm.wording import lcs_length
 
 #: Well-known notices.
@@ -150,6 +150,7 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, hints: tuple[str, ...] = HINTS, most_missing: float = 0.15) -> DataFrame:
     """doc_id, license, start, end, reduction, missing_words, inserted_words, exact: one row for each notice found."""
 
+    @returns_memory
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan = Scanner(templates, hints, most_missing)
         for batch in batches:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import Scratch, broadcast_if_small, slices
+from cadenza.llm.shared import Scratch, broadcast_if_small, returns_memory, slices
 
 BANDS, ROWS = 32, 5
 #: Longs of a set's signature, a bitmap of its hashed shingles.
@@ -130,6 +130,7 @@ def band_keys(sketch: np.ndarray, bands: int, per: int) -> np.ndarray:
 
 
 def _sketch_rows(n: int, bands: int, per: int):
+    @returns_memory
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].where(batch["text"].notna(), "").tolist()
@@ -152,6 +153,7 @@ def _sketch_rows(n: int, bands: int, per: int):
 
 
 def _set_rows(n: int):
+    @returns_memory
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].where(batch["text"].notna(), "").tolist()
@@ -200,6 +202,7 @@ def rare_shingle_pairs(members: DataFrame, sets: DataFrame, percent: int, scratc
     hot = sorted((r["s"], r["df"]) for r in stats.where(F.col("df") > often).select("s", "df").collect())  # at most OFTEN
     hot_s, hot_df = np.array([s for s, _ in hot], np.int64), np.array([d for _, d in hot], np.int64)
 
+    @returns_memory
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Shingles with their place: 0 for those that are not frequent, of frequent ones only those in the first places."""
         for batch in batches:

@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import Scratch, slices
+from cadenza.llm.shared import Scratch, returns_memory, slices
 
 #: Distinct words whose ids a task remembers at most; then it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
@@ -99,6 +99,7 @@ class TokenIds:
 
 
 def _pieces(path: str, size: int, end_id: int):
+    @returns_memory
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of, task, count = TokenIds(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         tail = np.array([end_id], "<u4").tobytes()

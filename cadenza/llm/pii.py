@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from cadenza.llm.boosting import Boosted, boost, calibrated
-from cadenza.llm.shared import Taken, slices
+from cadenza.llm.shared import Taken, returns_memory, slices
 
 BASE = ("email", "ip", "card", "phone")
 #: Looser formats, each a generator of candidates; the digits or signs that a text must have at least are below.
@@ -256,6 +256,7 @@ def find_pii(docs: DataFrame, redact: bool = False) -> DataFrame:
     model = train()
     schema = "doc_id long, spans array<struct<kind:string,start:long,end:long>>" + ", text string" * redact
 
+    @returns_memory
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].where(batch["text"].notna(), "").tolist()

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts are handled in slices of about this many characters, so a task's memory does not follow the batch size.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 400_000
 
 
 #: A side estimated to hold no more than this may be broadcast.
@@ -95,6 +98,22 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def returns_memory(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over batches after which its Python worker, which later tasks use again, gives free memory back."""
+
+    @wraps(run)
+    def mapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return mapped
+
+
 def slices(texts: list[str], chars: int = SLICE_CHARS):
     """(from, to) ranges of the list with about so many characters each; a longer text stands alone."""
     start = total = 0
