@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import texts as tx
 from cadenza.operators import candidates as cd
-from cadenza.operators import segments
+from cadenza.operators import delivery, segments
 from cadenza.plans.queries import FR, KEY, RUNS, active, frames, query, r, table
 
 C = F.col
@@ -171,3 +171,32 @@ def gain_motion(spark, sf_dir):
 def bundle_bytes(spark, sf_dir):
     name = F.concat(F.lit("take_"), C("l_partkey").cast("string"), F.lit(".wav"))
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(r(segments.bundle_bytes(C("l_extendedprice") - 2000, name), 4).alias("bytes"))
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 <> 0 THEN -l_quantity / 2 END AS tg, -l_quantity / 3 - l_discount * 50 AS ms, l_quantity / 4 AS rq, -55 - l_linenumber AS sf, l_discount * 10 AS sc, -70 + l_quantity / 5 AS fl, l_tax * 12 AS cf,
+ l_extendedprice / 1000 AS st, l_quantity / 10 - 0.5 AS se FROM lineitem)
+ SELECT l_orderkey, l_linenumber, round(coalesce(least(10.5, greatest(0, tg + 1.35 - ms)), 0), 6) AS makeup, round(rq + sqrt(least(1, sc) * least(1, cf)) * (least(rq, greatest(0, greatest(-60, sf + 0.85) - fl)) - rq), 6) AS lane,
+ CASE WHEN se <= 0 THEN 0 WHEN st * 100 >= 6000 THEN 6000 ELSE greatest(0, floor(st * 1000 / 10) - 1) END::BIGINT AS frame_start, CASE WHEN se <= 0 THEN 0 WHEN st * 100 >= 6000 THEN 6000 ELSE least(6000, ceil((st + se) * 1000 / 10 - 0.5) + 1) END::BIGINT AS frame_end,
+ (44 + 4 * ceil(greatest(0, se) * 48000))::BIGINT AS bytes FROM d""")
+def delivery_levels(spark, sf_dir):
+    q = C("l_quantity")
+    start, seconds = C("l_extendedprice") / 1000, q / 10 - 0.5
+    d = table(spark, sf_dir, "lineitem").withColumn("f", delivery.frame_range(start, seconds, F.lit(10.0), F.lit(6000.0)))
+    return d.select(
+        "l_orderkey", "l_linenumber", r(delivery.makeup_db(F.when(C("l_partkey") % 5 != 0, -q / 2), -q / 3 - C("l_discount") * 50)).alias("makeup"),
+        r(delivery.noise_lane_db(q / 4, F.lit(-55) - C("l_linenumber"), C("l_discount") * 10, q / 5 - 70, C("l_tax") * 12)).alias("lane"),
+        "f.frame_start", "f.frame_end", delivery.wav_bytes(seconds, F.lit(48000.0)).alias("bytes"),
+    )
+
+
+_POWER = "10 * log10(list_sum(list_transform(b[{a}:{z}], lambda x: 10 ** (x / 10))) / {n} + 1e-30)"
+
+
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE * 20) AS b FROM embeddings)
+ SELECT vec_id, round({_POWER.format(a=1, z=3, n=3)} - {_POWER.format(a=4, z=6, n=3)}, 5) AS low, round({_POWER.format(a=7, z=8, n=2)} - {_POWER.format(a=4, z=6, n=3)}, 5) AS high,
+ CASE WHEN b[8] - b[7] >= 2 THEN 'high_center' WHEN b[8] - b[7] <= -2 THEN 'low_center' ELSE 'balanced' END AS placement FROM e""")
+def spectrum_tilts(spark, sf_dir):
+    """Eight components of each vector taken as the levels of eight bands."""
+    bands = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 20)
+    d = table(spark, sf_dir, "embeddings").select("vec_id", delivery.tilts_db(bands).alias("t"), delivery.de_esser_placement(bands).alias("placement"))
+    return d.select("vec_id", r("t.low", 5).alias("low"), r("t.high", 5).alias("high"), "placement")
