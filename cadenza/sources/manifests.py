@@ -42,9 +42,11 @@ def unzip(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bundles(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """Manifests of ZIP bundles, one row for each candidate. Other schema versions are left out."""
+    """Manifests of ZIP bundles, one row for each candidate. One of another schema version, or none at all, ends the job with its bundle's name."""
     texts = unzip(spark, path).where(F.col("member").endswith("manifest.json")).select("bundle", F.col("content").cast("string").alias("text"))
-    return explode_candidates(texts.select("bundle", F.from_json("text", MANIFEST).alias("m")).select("bundle", "m.*"), version)
+    found = texts.select("bundle", F.from_json("text", MANIFEST).alias("m")).select("bundle", "m.*")
+    refused = F.raise_error(F.concat(F.lit("unsupported review bundle schema in "), "bundle")).cast("boolean")
+    return _exploded(found.where(F.when(F.col("schemaVersion") == version, True).otherwise(refused)))
 
 
 def read_manifests(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
@@ -54,7 +56,11 @@ def read_manifests(spark: SparkSession, path: str, version: int = 1) -> DataFram
 
 
 def explode_candidates(manifests: DataFrame, version: int) -> DataFrame:
-    rows = manifests.where(F.col("schemaVersion") == version).select("bundle", "bundleId", F.explode("candidates").alias("c"))
+    return _exploded(manifests.where(F.col("schemaVersion") == version))
+
+
+def _exploded(manifests: DataFrame) -> DataFrame:
+    rows = manifests.select("bundle", "bundleId", F.explode("candidates").alias("c"))
     return rows.select("bundle", "bundleId", "c.*")
 
 

@@ -52,9 +52,13 @@ def test_bundles_and_manifests(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("manifest.json", json.dumps(bundle()))
         z.writestr("audio/a.wav", b"1234")
-    with zipfile.ZipFile(tmp_path / "y.zip", "w") as z:
-        z.writestr("manifest.json", json.dumps(bundle(2)))
-    got = manifests.read_bundles(spark, str(tmp_path)).orderBy("role").collect()
+    (tmp_path / "other").mkdir()
+    for name, text in (("y", json.dumps(bundle(2))), ("z", "{nope")):
+        with zipfile.ZipFile(tmp_path / "other" / f"{name}.zip", "w") as z:
+            z.writestr("manifest.json", text)
+        with pytest.raises(Exception, match=f"unsupported review bundle schema in .*{name}.zip"):
+            manifests.read_bundles(spark, str(tmp_path / "other" / f"{name}.zip")).collect()
+    got = manifests.read_bundles(spark, str(tmp_path / "x.zip")).orderBy("role").collect()
     assert [(r["bundleId"], r["role"]) for r in got] == [("b1", "challenger"), ("b1", "winner")] and got[1]["qc"] == {"risk": 0.2}
     assert {r["member"]: r["bytes"] for r in manifests.unzip(spark, str(tmp_path)).where("member like 'audio%'").collect()} == {"audio/a.wav": 4}
     (tmp_path / "deep" / "er").mkdir(parents=True)
