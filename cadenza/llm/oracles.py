@@ -69,3 +69,28 @@ def near_duplicates(n: int = 2, percent: int = 80) -> str:
  e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= {percent} * joint UNION ALL SELECT b, a FROM p WHERE 100 * shared >= {percent} * joint),
  r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
  SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c ON doc_id = a"""
+
+
+def spelling_variants() -> str:
+    """Words with the contract's slips (crc32 byte by byte, from its polynomial), near words by shared deletions."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""WITH RECURSIVE t(i, k, c) AS (SELECT i, 0, i::UBIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, {step} FROM t WHERE k < 8), tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+ d AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+') AS rs FROM documents),
+ o AS (SELECT doc, run, count(*) AS n FROM (SELECT doc, unnest(rs) AS run FROM d) GROUP BY doc, run),
+ h AS (SELECT run, n, xor(list_reduce(list_transform(range(1, octet_length(encode(doc || ':' || run)) + 1), lambda i: ('0x' || substr(hex(encode(doc || ':' || run)), 2 * i - 1, 2))::UBIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::INT + 1]), 4294967295::UBIGINT), 4294967295) AS h FROM o, tab),
+ s AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+ w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+ x AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w), y AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM x),
+ p AS (SELECT a.word, b.word AS other, b.n AS m FROM y a JOIN y b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM y a JOIN w b ON a.cut = b.word UNION SELECT b.word, a.word, a.n FROM y a JOIN w b ON a.cut = b.word),
+ g AS (SELECT word, count(*) AS k, max(m) AS top FROM p GROUP BY word), b AS (SELECT p.word, min(other) AS best FROM p JOIN g ON p.word = g.word AND m = top GROUP BY p.word),
+ f AS MATERIALIZED (SELECT w.word, n, coalesce(k, 0)::BIGINT AS n_near, CASE WHEN top >= 10 * n THEN best END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n FROM w LEFT JOIN g ON w.word = g.word LEFT JOIN b ON w.word = b.word),
+ q(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT q.word, f.form FROM q JOIN f ON f.word = q.tip WHERE f.form IS NOT NULL)
+ SELECT f.word, f.form, q.tip AS root, f.n, f.n_near, f.form_n FROM f JOIN q ON f.word = q.word JOIN f e ON e.word = q.tip AND e.form IS NULL"""
+
+
+HARD_NEGATIVES = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_dot_product(a.q, b.q)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score QUALIFY rank <= 10"""

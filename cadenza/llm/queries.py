@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, licenses, lines, minhash, oracles, packing, pii, quality, secrets, topk, urls
+from cadenza.llm import decontaminate, licenses, lines, minhash, negatives, oracles, packing, pii, quality, secrets, topk, toxicity, urls, variants
 from cadenza.llm.shared import span_digest
 
 
@@ -63,10 +63,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_best_fit_packing, op2_secret_scan, op3_quality_classifier, op4_license_scan, op5_exact_top_k, op6_line_dedup,
         op7_pii, op8_benchmark_decontamination, op9_url_filter, op10_minhash_near_dedup,
+        op11_spelling_variants, op12_hard_negatives, op13_toxicity,
     )
     return {f.__name__: f for f in ops}
 
@@ -74,5 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scan": oracles.secret_scan(), "op5_exact_top_k": oracles.TOP_K, "op6_line_dedup": oracles.LINE_DEDUP, "op9_url_filter": oracles.url_filter(),
-        "op10_minhash_near_dedup": oracles.near_duplicates(),
+        "op10_minhash_near_dedup": oracles.near_duplicates(), "op11_spelling_variants": oracles.spelling_variants(), "op12_hard_negatives": oracles.HARD_NEGATIVES,
     }
