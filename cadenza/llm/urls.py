@@ -10,7 +10,8 @@ len(SYMBOLS)**ORDER grams, however many pages; counts cover all pages. Equal nor
 
 A null url, or one without "://", has an empty host and path, and no rule fits it. With no page of one class all
 log ratios are 0 and everything that no rule fits is allowed. A ratio equal to the threshold is allowed. Repeated rows
-are judged alike; an empty table gives no rows; other columns pass, whatever their names.
+are judged alike; an empty table gives no rows; other columns pass, whatever their names. A url of any length is judged
+whole, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -90,16 +91,17 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     parts = parts.withColumn("rule", name).withColumn(by_rule_, by_rule)
 
     counted = [F.count_if(F.col(by_rule_) == v).alias(c) for v, c in (("allow", "accepted"), ("block", "rejected"))]
-    forms = scratch.keep(parts.groupBy(F.col(form_).alias("form")).agg(*counted), "forms")
+    # grams carry a number, not the form: a row of every gram with a long url would be its square
+    forms = scratch.keep(parts.groupBy(F.col(form_).alias("form")).agg(*counted).withColumn("number", F.monotonically_increasing_id()), "forms")
     padded = F.concat(F.lit("^" * (ORDER - 1)), "form")
-    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.substr(padded, i, F.lit(ORDER))))
-    each = forms.where("form != ''").select("form", "accepted", "rejected", gram.alias("gram"))
+    gram = F.explode(F.regexp_extract_all(padded, F.lit("(?=(.{%d}))" % ORDER), F.lit(1)))  # walks the url once
+    each = forms.where("form != ''").select("number", "accepted", "rejected", gram.alias("gram"))
     types = scratch.keep(each.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "grams")
     both = types.agg(F.coalesce(F.max("accepted"), F.lit(0)), F.coalesce(F.max("rejected"), F.lit(0))).first()
     ratios = gram_ratios(types) if both[0] and both[1] else types.select("gram", F.lit(0.0).alias("ratio"))
     ratios = scratch.keep(ratios, "ratios")
-    scored = each.join(broadcast_if_small(ratios), "gram").groupBy("form").agg(F.avg("ratio").alias("ratio"))
-    scored = scratch.keep(forms.join(scored, "form", "left").select("form", "accepted", "rejected", F.coalesce("ratio", F.lit(0.0)).alias("ratio")), "scored")
+    scored = each.join(broadcast_if_small(ratios), "gram").groupBy("number").agg(F.avg("ratio").alias("ratio"))
+    scored = scratch.keep(forms.join(scored, "number", "left").select("form", "accepted", "rejected", F.coalesce("ratio", F.lit(0.0)).alias("ratio")), "scored")
 
     moments = []
     for c in ("accepted", "rejected"):

@@ -77,3 +77,13 @@ def test_one_class_only_and_empty(spark):
     one = judge_urls(spark.createDataFrame([(1, "http://a.com/"), (2, "http://b.org/"), (None, None)], "page_id long, url string")).collect()
     assert {r["verdict"] for r in one} == {"allow"} and {r["ratio"] for r in one} == {0.0}
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_very_long_urls(spark):
+    """A megabyte of url takes time by its length."""
+    import time
+
+    rows = [(k, f"http://a{k}.com/" + f"xy{k}z/" * 40_000) for k in range(4)] + [(9, "http://q.net/es/" + "ä" * 300_000), (10, "http://r.com/")]
+    began = time.monotonic()
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string")).select("page_id", "verdict").collect()
+    assert len(got) == 6 and time.monotonic() - began < 60
