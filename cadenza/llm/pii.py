@@ -30,7 +30,7 @@ from cadenza.llm.boosting import Boosted, boost, calibrated
 from cadenza.llm.shared import Taken, returns_memory, slices
 
 BASE = ("email", "ip", "card", "phone")
-#: Looser formats, each a generator of candidates; the digits or signs that a text must have at least are below.
+#: Looser formats, each a generator of candidates.
 LOOSE = {
     "written_email": re.compile(r"(?<![\w.+-])[\w.+-]{1,64}\s?[\[(]?\b(?:at|AT)\b[\])]?\s?[\w-]{1,63}\s?[\[(]?\b(?:dot|DOT)\b[\])]?\s?[A-Za-z]{2,}", re.ASCII),
     "local_phone": re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}", re.ASCII),
@@ -38,6 +38,8 @@ LOOSE = {
     "account": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII),
     "ip6": re.compile(r"(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}", re.ASCII),
 }
+#: The digits that a span of a kind has at least, by its pattern.
+DIGITS = {"local_phone": 8, "national_id": 9, "account": 2}
 KINDS = (*BASE, *LOOSE)
 SAMPLE = 6_000
 #: Beginnings of words that make a value near them likelier, and words that make it less likely, to be personal.
@@ -107,7 +109,7 @@ def candidates(text: str, digits: int) -> list[tuple[str, int, int]]:
         elif kind == "ip6":
             likely = text.count(":") >= 4
         else:
-            likely = digits >= 7
+            likely = digits >= DIGITS[kind]
         if likely:
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
     return out

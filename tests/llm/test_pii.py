@@ -109,3 +109,25 @@ def test_each_written_address_is_proposed_on_its_own():
 def test_awkward_rows(awkward, empty):
     assert sorted(len(r["spans"]) for r in pii.find_pii(awkward).collect()) == [0] * 8
     assert pii.find_pii(empty, redact=True).count() == 0
+
+
+def test_a_span_alone_is_proposed():
+    """No gate asks for more of a text than the span itself has."""
+    from cadenza.llm.pii import LOOSE, _digits, candidates
+
+    alone = {
+        "written_email": "jo at example dot org", "local_phone": "22-333-4444"[:11], "national_id": "123-45-6789", "account": "GB75WESTABCDEFGHIJKLMN", "ip6": "fe80:a:b:c:d",
+    }
+    assert set(alone) == set(LOOSE)
+    for kind, span in alone.items():
+        for text in (span, f"please see {span} today"):
+            assert kind in {k for k, *_ in candidates(text, len(_digits(text)))}, text
+
+
+def test_account_without_other_digits():
+    from cadenza.llm.pii import spans_of, train
+
+    model = train()
+    span = "GB75WESTABCDEFGHIJKLMN"
+    for text in (f"please use iban {span} today", f"please use iban {span} today, room 4821 floor 99"):
+        assert ("account", text.index(span), text.index(span) + len(span)) in spans_of(text, model)
