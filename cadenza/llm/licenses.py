@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-A candidate block is the text around a hint, with white space and signs between a hint's words folded. Blocks are
-measured in words, with slack for inserted ones (a quarter of the template's words and two more), and trimmed to those
-that match. Every template is confirmed by exact wording: which of its words miss, in order, how many others stand
-between them, and whether every number in it stands there; most words win. A block is compressed alone and with the
-template as zstandard raw dictionary; where as many words match, the template that shortens it more is taken, then the
-one with fewer missing words, then the earlier block, then the name. Of overlapping notices the better one is reported.
+A candidate block is the text around a hint, with white space and signs between a hint's words folded; its size in words
+follows each template's, with slack for inserted ones (a quarter of the template's words and two more). Every block's
+words are compressed alone and with every template as zstandard raw dictionary, and all blocks of a text are ranked by the bytes
+that the template saves. In that order, and without a cap, a winner is confirmed by exact wording: which of the
+template's words miss, in order, how many others stand between them, and whether every number in it stands there.
+Templates that save nearly as much (`CLOSE`) on the same hint are told apart by the differences of their wording. A
+confirmed notice takes its stretch of the text, and hints inside it are done with.
 
 Null and empty texts have no notice. Rows with a null doc_id are scanned too. Repeated rows are reported once each; an
 empty table gives no rows. A text of any length is scanned whole; only the blocks around hints are compressed, and the
@@ -15,9 +16,11 @@ work grows with the number of hints. Only doc_id and text are read, so other col
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 import zstandard
@@ -61,6 +64,8 @@ HINTS = (
     "license", "licence", "permission is hereby granted", "permission to use", "permission is granted", "free software", "redistribution and use", "rights reserved", "public domain", "software is provided",
 )
 _WORD = re.compile(r"[\w.]*\w")
+#: The share of the bytes saved within which templates count as equally good until their wording is compared.
+CLOSE = 0.1
 _SCHEMA = "doc_id long, license string, start long, end long, reduction double, missing_words int, inserted_words int, exact boolean"
 
 
@@ -68,19 +73,37 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _folded(words: list[str]) -> bytes:
+    """Words one space apart: how a notice is wrapped or commented does not change what it compresses to."""
+    return " ".join(words).encode("utf-8", "surrogatepass")
+
+
+@dataclass(frozen=True)
+class Known:
+    """A template, its words, its compressor, where hints stand in it (characters; first and last word), and what follows its last word."""
+
+    name: str
+    text: str
+    words: list[str]
+    zipped: zstandard.ZstdCompressor
+    leads: list[int]
+    first: int
+    last: int
+    tail: str
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], hints: tuple[str, ...], most_missing: float):
         self.most = most_missing
         self.hint = re.compile("|".join(r"[\W_]+".join(map(re.escape, h.split())) for h in hints))
         self.alone = zstandard.ZstdCompressor(level=3)
-        raw = zstandard.DICT_TYPE_RAWCONTENT
-        self.known = []
+        self.known: list[Known] = []
         for name, text in templates.items():
-            zipped = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.encode() + b"\n" + text.encode(), dict_type=raw))
-            begins = [m.start() for m in _WORD.finditer(text)]
+            own = zstandard.ZstdCompressionDict(_folded(_words(text)) + b"\n" + _folded(_words(text)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            spots = [m.span() for m in _WORD.finditer(text)]
             leads = [m.start() for m in self.hint.finditer(text.lower())]
-            places = [bisect_right(begins, at) - 1 for at in leads] or [0]
-            self.known.append((name, text, _words(text), zipped, leads, min(places), max(places)))
+            places = [bisect_right([a for a, _ in spots], at) - 1 for at in leads] or [0]
+            self.known.append(Known(name, text, _words(text), zstandard.ZstdCompressor(level=3, dict_data=own), leads, min(places), max(places), text[spots[-1][1] :]))
 
     def confirmed(self, words: list[str], here: list[str]) -> tuple[int, int, int] | None:
         """(first, end, missing) of the tightest stretch of `here` with most of the words in order, if they suffice."""
@@ -120,30 +143,48 @@ class Scanner:
         spots = [m.span() for m in _WORD.finditer(low)]
         begins = [a for a, _ in spots]
         said = [low[a:b] for a, b in spots]
-        found = []
+        ranked, plain = [], {}
         for hit in hits:
             at = bisect_right(begins, hit) - 1
-            for name, template, words, zipped, leads, first, last in self.known:
-                extra, spans = 0, [(hit - k, hit - k + len(template), 0) for k in leads if hit >= k and text.startswith(template, hit - k)]
-                if not spans:
-                    slack = 2 + len(words) // 4
-                    a = max(0, at - last - slack)
-                    got = self.confirmed(words, said[a : at - first + len(words) + slack])
-                    if got is None:
-                        continue
-                    start, end = begins[a + got[0]], spots[a + got[1] - 1][1]
-                    extra = got[1] - got[0] - len(words) + got[2]
-                    tail = template[[m.end() for m in _WORD.finditer(template)][-1] :]
-                    spans = [(start, end + len(tail) if text.startswith(tail, end) else end, got[2])]
-                for start, end, missing in spans:
-                    block = text[start:end].encode("utf-8", "surrogatepass")
-                    gain = 1 - len(zipped.compress(block)) / len(self.alone.compress(block))
-                    found.append((gain, name, start, end, missing, text[start:end] == template, len(words) - missing, extra))
+            for k, known in enumerate(self.known):
+                slack = 2 + len(known.words) // 4
+                a, b = max(0, at - known.last - slack), min(len(said), at - known.first + len(known.words) + slack)
+                block = _folded(said[a:b])
+                if (a, b) not in plain:
+                    plain[a, b] = len(self.alone.compress(block))
+                ranked.append((plain[a, b] - len(known.zipped.compress(block)), hit, k, a, b))
+        ranked.sort(key=lambda r: (-r[0], r[1], self.known[r[2]].name))
+        by_hit: dict[int, list[tuple]] = {}
+        for r in ranked:
+            by_hit.setdefault(r[1], []).append(r)
+
+        @cache
+        def reading(hit: int, k: int, a: int, b: int) -> tuple | None:
+            """(start, end, missing, inserted, exact) of the template's wording in the block, if it is confirmed."""
+            known = self.known[k]
+            for lead in known.leads:
+                if hit >= lead and text.startswith(known.text, hit - lead):
+                    return hit - lead, hit - lead + len(known.text), 0, 0, True
+            got = self.confirmed(known.words, said[a:b])
+            if got is None:
+                return None
+            start, end = begins[a + got[0]], spots[a + got[1] - 1][1]
+            if text.startswith(known.tail, end):
+                end += len(known.tail)
+            return start, end, got[2], got[1] - got[0] - len(known.words) + got[2], text[start:end] == known.text
+
         out, taken = [], Taken([])
-        # exact ones first, the longest of them; then those with most words, as a short notice may begin a longer one
-        for gain, name, start, end, missing, exact, _, extra in sorted(found, key=lambda f: (-(f[3] - f[2]) if f[5] else 0, -f[6], f[4], -f[0], f[2], f[1])):
+        for saved, hit, *where in ranked:
+            if taken.covers(hit) or (read := reading(hit, *where)) is None:
+                continue
+            # templates that shorten the block nearly as much are told apart by their wording
+            rivals = [(r, got) for r in by_hit[hit] if saved - CLOSE * saved <= r[0] <= saved and (got := reading(hit, *r[2:])) is not None]
+            (_, _, k, _, _), read = min(rivals, key=lambda x: (x[1][2] + x[1][3], -x[0][0], self.known[x[0][2]].name))
+            start, end, missing, inserted, exact = read
             if taken.add(start, end):
-                out.append((name, start, end, gain, missing, extra, exact))
+                block = _folded(said[bisect_left(begins, start) : bisect_left(begins, end)])
+                reduction = 1 - len(self.known[k].zipped.compress(block)) / len(self.alone.compress(block))
+                out.append((self.known[k].name, start, end, reduction, missing, inserted, exact))
         return sorted(out, key=lambda o: o[1])
 
 

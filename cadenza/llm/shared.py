@@ -7,7 +7,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -154,6 +154,10 @@ class Taken:
             else:
                 self.starts.append(s), self.ends.append(e)
 
+    def covers(self, place: int) -> bool:
+        at = bisect_right(self.starts, place)
+        return bool(at) and self.ends[at - 1] > place
+
     def add(self, s: int, e: int) -> bool:
         """Take a stretch if all of it is free."""
         at = bisect_left(self.starts, e)  # the stretches before it start before e
