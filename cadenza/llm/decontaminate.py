@@ -9,11 +9,15 @@
    scores 1. Passages that keep less than `KEPT` there, as most do once the benchmark outgrows `RANK`, are looked up by
    their heavy words instead and compared by cosine over all words. The sum of the most that each word can add to any
    passage's product bounds the cosine, so windows under that bound are left out; this drops no candidate.
-4. Each candidate is settled by longest common subsequences of words around it: `verbatim` if most of the item stands
+4. A window also holds other words, so an item shorter than it may lie under the bound however exact the copy. Such
+   items are looked up by their rarest words, one of which any copy of `VERBATIM` of the item must hold, and settled by
+   longest common subsequences within stretches of their own length and a quarter more. No copy of them is missed.
+5. Each other candidate is settled by longest common subsequences of words around it: `verbatim` if most of the item stands
    there in order, `paraphrase` if half does and the item's answer (its `answer` column, else its last sentence) does.
 
-The benchmark is taken in blocks of at most `block` items and `BLOCK_WORDS` distinct words (or one longer item), so what
-the driver and tasks hold is bounded however long it is. Each block is one pass over the documents.
+The benchmark is taken in blocks of at most `block` items and `BLOCK_WORDS` distinct words (or one longer item). Each block
+is one pass over the documents, whose matches are written before the next block's index is built, so what the driver and
+tasks hold is bounded however long the benchmark is.
 
 Null or empty texts and items without words match nothing. Documents with a null doc_id are searched, too, and come
 out with a null. Repeated rows give repeated matches. Of equally good places of an item the first is reported. An empty
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,24 +114,24 @@ def randomised_basis(rows: DataFrame, width: int, rank: int, rounds: int = 2, se
     and blocks of the sums are added up by key.
     """
     rank = min(rank, width)
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, rank)))[0]
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, rank), np.float32))[0]
     chunk = 512
     for _ in range(rounds):
 
         @returns_memory
         def multiply(batches: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
-            y = np.zeros((width, rank))
+            y = np.zeros((width, rank), np.float32)
             for b in batches:
                 for ids, weights in zip(b["ids"], b["weights"]):
-                    at, a = np.asarray(ids, np.int64), np.asarray(weights, float)
+                    at, a = np.asarray(ids, np.int64), np.asarray(weights, np.float32)
                     np.add.at(y, at, a[:, None] * (a @ q[at])[None, :])
             yield pd.DataFrame({"part": range(0, width, chunk), "sums": [y[k : k + chunk].tobytes() for k in range(0, width, chunk)]})
 
         def add(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"part": part["part"].iloc[:1], "sums": [sum(np.frombuffer(s) for s in part["sums"]).tobytes()]})
+            return pd.DataFrame({"part": part["part"].iloc[:1], "sums": [np.sum([np.frombuffer(s, np.float32) for s in part["sums"]], axis=0, dtype=float).astype(np.float32).tobytes()]})
 
         parts = rows.mapInPandas(multiply, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").collect()
-        y = np.concatenate([np.frombuffer(r["sums"]).reshape(-1, rank) for r in sorted(parts, key=lambda r: r["part"])])
+        y = np.concatenate([np.frombuffer(r["sums"], np.float32).reshape(-1, rank) for r in sorted(parts, key=lambda r: r["part"])])
         q = np.linalg.qr(y)[0]
     return q
 
@@ -219,6 +224,61 @@ class Lookup:
         return out
 
 
+class Short:
+    """Items shorter than a window, by the rarest of their words that no copy can lack altogether."""
+
+    def __init__(self, index: Index, weight: np.ndarray):
+        self.items, self.weight = index.items, weight
+        anchors: dict[int, list[int]] = {}
+        for k, item in enumerate(index.items):
+            if len(item.words) < WINDOW:
+                ids = sorted((index.of_word[w] for w in item.words), key=lambda i: (-weight[i], i))
+                for i in set(ids[: len(ids) - self.needed(item) + 1]):
+                    anchors.setdefault(i, []).append(k)
+        self.anchors = anchors
+        self.marked = np.zeros(len(weight) + 1, bool)  # the last one: words that the benchmark lacks
+        self.marked[list(anchors)] = True
+
+    @staticmethod
+    def needed(item: Item) -> int:
+        return max(1, int(np.ceil(VERBATIM * len(item.words) - 1e-9)))
+
+    def __call__(self, words: list[bytes], ids: np.ndarray, square: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
+        """(item, start, covered, cosine) of the best stretch around each hit of each item."""
+        spots: dict[int, list[int]] = {}
+        for p in np.flatnonzero(self.marked[ids]).tolist():
+            for k in self.anchors[int(ids[p])]:
+                spots.setdefault(k, []).append(p)
+        for k, places in spots.items():
+            item = self.items[k]
+            own, need = set(item.words), self.needed(item)
+            span = len(item.words) + len(item.words) // 4
+            best, done = None, -1
+            for p in places:
+                lo, hi = max(0, p - span + 1, done), min(len(words), p + span)
+                if sum(map(own.__contains__, words[lo:hi])) < need or lcs_length(item.words, words[lo:hi]) < need:
+                    continue
+                for start in range(lo, max(lo, min(p, hi - need)) + 1):
+                    if words[start] in own and (n := lcs_length(item.words, words[start : start + span])) >= need and (best is None or n > best[0]):
+                        best = n, start
+                done = p + 1  # stretches up to here have been tried
+                if best and best[0] == len(item.words):
+                    break
+            if best:
+                n, start = best
+                yield k, start, n / len(item.words), self.cosine(item, words[start : start + span], square[start : start + span])
+
+    def cosine(self, item: Item, here: list[bytes], square: np.ndarray) -> float:
+        """Of the item with the stretch, each word weighed by its squared weight."""
+        weigh = dict(zip(here, square.tolist()))
+        a, b = Counter(item.words), Counter(here)
+        dot = sum(n * b[w] * weigh[w] for w, n in a.items() if w in b)
+        # words of the item that are not there have about the weight of those that are
+        mean = sum(weigh.values()) / len(weigh)
+        norms = sum(n * n * weigh.get(w, mean) for w, n in a.items()) * sum(n * n * weigh[w] for w, n in b.items())
+        return min(1.0, dot / float(np.sqrt(norms))) if norms > 0 else 0.0
+
+
 class Searcher:
     def __init__(self, index: Index):
         self.index, self.code = index, Buckets(index.of_word)
@@ -229,6 +289,7 @@ class Searcher:
         self.most = np.concatenate((np.zeros(BUCKETS, np.float32), *most))  # the most that a word adds to any product
         self.lookup = Lookup(index, index.weights[plain].astype(np.float32))
         self.most_looked_up = np.concatenate((np.zeros(BUCKETS, np.float32), self.lookup.most))
+        self.short = Short(index, index.weights[plain])
 
     def near(self, most: np.ndarray, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, norm: np.ndarray) -> np.ndarray:
         """Windows whose words may add up to COSINE."""
@@ -275,6 +336,9 @@ class Searcher:
                 key = (int(ix.sparse_owner[p]), int(starts[some[r]]))
                 best[key] = max(best.get(key, 0.0), cosine)
         out: dict[int, tuple] = {}
+        for k, start, covered, cosine in self.short(words, ids, square):
+            answered = lcs_length(ix.items[k].answer, words[start : start + 2 * WINDOW]) / max(1, len(ix.items[k].answer))
+            out[k] = (ix.items[k].item_id, cosine, covered, answered, "verbatim", start)
         for (k, start), cosine in best.items():
             item = ix.items[k]
             slack = max(8, len(item.words) - WINDOW // 2)
@@ -316,8 +380,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: i
     """doc_id, item_id, cosine, covered, answered, kind, start_word: one row for each item that a document holds."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    weights, found = None, None
+    weights, here, found, scratch = None, None, None, Scratch(spark, "matches")
     for items in item_blocks(benchmark, block):
+        if here is not None:
+            found = scratch.add(here, "found")  # and the index of the block before is let go
         weights = word_weights(docs) if weights is None else weights
         index = build_index(spark, items, weights, rank)
 
@@ -332,8 +398,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: i
                     yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         here = docs.mapInPandas(search, _SCHEMA)
-        found = here if found is None else found.unionByName(here)
-    return spark.createDataFrame([], _SCHEMA) if found is None else found
+    if here is None:
+        return spark.createDataFrame([], _SCHEMA)
+    return here if found is None else scratch.add(here, "found")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
