@@ -10,7 +10,7 @@
    their heavy words instead and compared by cosine over all words. The sum of the most that each word can add to any
    passage's product bounds the cosine, so windows under that bound are left out; this drops no candidate.
 4. A window also holds other words, so an item shorter than it may lie under the bound however exact the copy. Such
-   items are looked up by their rarest words, one of which any copy of `VERBATIM` of the item must hold, and settled by
+   items are looked up by their rarest words, two of which any copy of `VERBATIM` of the item must hold, and settled by
    longest common subsequences within stretches of their own length and a quarter more. No copy of them is missed.
 5. Each other candidate is settled by longest common subsequences of words around it: `verbatim` if most of the item stands
    there in order, `paraphrase` if half does and the item's answer (its `answer` column, else its last sentence) does.
@@ -225,34 +225,48 @@ class Lookup:
 
 
 class Short:
-    """Items shorter than a window, by the rarest of their words that no copy can lack altogether."""
+    """Items shorter than a window, by two of the rarest of their words, of which no copy can lack all but one."""
 
     def __init__(self, index: Index, weight: np.ndarray):
-        self.items, self.weight = index.items, weight
+        self.items = index.items
+        self.span = np.array([len(i.words) + len(i.words) // 4 for i in index.items], np.int64)
+        self.lone = np.array([len(i.words) == 1 for i in index.items], bool)
         anchors: dict[int, list[int]] = {}
         for k, item in enumerate(index.items):
             if len(item.words) < WINDOW:
                 ids = sorted((index.of_word[w] for w in item.words), key=lambda i: (-weight[i], i))
-                for i in set(ids[: len(ids) - self.needed(item) + 1]):
+                for i in set(ids[: len(ids) - self.needed(item) + 2]):
                     anchors.setdefault(i, []).append(k)
-        self.anchors = anchors
-        self.marked = np.zeros(len(weight) + 1, bool)  # the last one: words that the benchmark lacks
-        self.marked[list(anchors)] = True
+        many = np.zeros(len(weight) + 1, np.int64)  # the last one: words that the benchmark lacks
+        for i, found in anchors.items():
+            many[i] = len(found)
+        self.marked, self.first = many > 0, np.concatenate(([0], np.cumsum(many)))
+        self.item = np.array([k for i in sorted(anchors) for k in anchors[i]], np.int64)
 
     @staticmethod
     def needed(item: Item) -> int:
         return max(1, int(np.ceil(VERBATIM * len(item.words) - 1e-9)))
 
+    def places(self, ids: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Items with the places from which on two of their rare words lie within one stretch."""
+        p = np.flatnonzero(self.marked[ids])
+        if not len(p):
+            return
+        n = self.first[ids[p] + 1] - self.first[ids[p]]
+        item = self.item[np.repeat(self.first[ids[p]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], np.repeat(p, n)[order]
+        near = self.lone[item]
+        near[:-1] |= (item[1:] == item[:-1]) & (at[1:] - at[:-1] < self.span[item[1:]])
+        item, at = item[near], at[near]
+        for k in np.unique(item).tolist():
+            yield k, at[item == k].tolist()
+
     def __call__(self, words: list[bytes], ids: np.ndarray, square: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
         """(item, start, covered, cosine) of the best stretch around each hit of each item."""
-        spots: dict[int, list[int]] = {}
-        for p in np.flatnonzero(self.marked[ids]).tolist():
-            for k in self.anchors[int(ids[p])]:
-                spots.setdefault(k, []).append(p)
-        for k, places in spots.items():
-            item = self.items[k]
+        for k, places in self.places(ids):
+            item, span = self.items[k], int(self.span[k])
             own, need = set(item.words), self.needed(item)
-            span = len(item.words) + len(item.words) // 4
             best, done = None, -1
             for p in places:
                 lo, hi = max(0, p - span + 1, done), min(len(words), p + span)
