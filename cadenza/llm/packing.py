@@ -16,7 +16,6 @@ import bisect
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.shared import Scratch, returns_memory, slices
 
-#: Distinct words whose ids a task remembers at most; then it starts anew.
-REMEMBERED = 100_000
+#: Texts from this length on are encoded without a list of Python numbers.
+LONG = 1_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
@@ -52,50 +51,23 @@ def encoder(path: str):
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), added
 
 
-#: A single space between two other characters always starts a pre-token, so what lies between such spaces encodes alone.
-_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Known(dict):
-    """Ids, as bytes, of words that follow a space; a word met for the first time is encoded."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        last = word[-1:]
-        if last in (".", ",") and word[:-1].isalpha():  # letters, then one sign: two pre-tokens
-            out = self[word[:-1]] + array("I", self.encode(last)).tobytes()
-        else:
-            out = array("I", self.encode(" " + word)).tobytes()
-        self[word] = out
-        return out
-
-
 class TokenIds:
-    """Token ids of texts; remembers the ids of the words it has met, up to a bound."""
+    """Token ids of texts."""
 
     def __init__(self, path: str):
-        encoding, self.added = encoder(path)
-        self.encode = encoding.encode_ordinary
-        self.known = _Known(self.encode)
+        self.encoding, self.added = encoder(path)
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers; an added token's own id where its string stands, as the tokenizer has it."""
         if not any(map(text.__contains__, self.added)):
             return self.plain(text)
-        return b"".join(array("I", [self.added[x]]).tobytes() if k % 2 else self.plain(x) for k, x in enumerate(self.apart.split(text)))
+        return b"".join(np.array([self.added[x]], "<u4").tobytes() if k % 2 else self.plain(x) for k, x in enumerate(self.apart.split(text)))
 
     def plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split()
-        apart = parts and len(text) - sum(map(len, parts)) == len(parts) - 1  # no two white-space characters meet
-        first, *rest = text.split(" ") if apart else _SPACE.split(text)
-        return array("I", self.encode(first)).tobytes() + b"".join(map(self.known.__getitem__, rest))
+        if len(text) < LONG:
+            return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()  # the same, without a list
 
 
 def _pieces(path: str, size: int, end_id: int):

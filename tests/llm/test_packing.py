@@ -78,3 +78,15 @@ def test_awkward_rows(awkward, empty):
     assert sum(r["doc_id"] == 5 for r in got) == 2
     assert [r["length"] for r in got if r["doc_id"] in (1, 2)] == [1, 1]
     assert pack(empty, PATH).count() == 0
+
+
+def test_long_texts_have_the_same_ids(monkeypatch):
+    from cadenza.llm.queries import tokenizer_path
+
+    from cadenza.llm import packing
+
+    ids = packing.TokenIds(tokenizer_path())
+    texts = ["", " ", "a  b\n\nc. d, é 🎈 don't 12 345", "word " * 5000, "\t\n x"]
+    short = [ids(t) for t in texts]
+    monkeypatch.setattr(packing, "LONG", 0)
+    assert [ids(t) for t in texts] == short
