@@ -70,7 +70,7 @@ class Buckets:
         if len(seen) > _REMEMBERED:
             seen.clear()
             seen.update(self.own)
-        for w in {w for w in words if w not in seen}:
+        for w in set(words).difference(seen):
             seen[w] = zlib.crc32(w) % BUCKETS
         return np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
 
