@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.sources.tables import kept
+
 
 def score(features: list[str], weights: list[float], intercept: float = 0.0) -> Column:
     return sum((F.coalesce(F.col(f), F.lit(0.0)) * w for f, w in zip(features, weights)), F.lit(float(intercept)))
@@ -31,18 +33,10 @@ def preferred_over_others(rows: DataFrame, group: str, preferred: Column, featur
 
 def fit(pairs: DataFrame, features: list[str], rate: float = 0.08, steps: int = 240, ridge: float = 0.0015) -> list[float]:
     """Weights after `steps` of gradient descent, each shrunk by the ridge; a preferred row is to score lower."""
-    pairs = _kept(pairs.groupBy(*features).agg(F.count("*").alias("__n")))  # equal differences once, with their count
+    pairs = kept(pairs.groupBy(*features).agg(F.count("*").alias("__n")), "pairs")  # equal differences once, with their count
     weights = [0.0] * len(features)
     for _ in range(steps):
         miss = 1 / (1 + F.exp(-score(features, weights)))  # how likely the weights have the pair the wrong way round
         slopes = pairs.agg(*((F.sum(miss * F.col(f) * F.col("__n")) / F.sum("__n")).alias(f) for f in features)).first()
         weights = [w - rate * ((slopes[f] or 0.0) + ridge * w) for w, f in zip(weights, features)]
     return weights
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that the cluster names, which a lost executor does not take along; else in memory."""
-    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.cache()
