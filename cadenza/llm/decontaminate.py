@@ -28,7 +28,6 @@ columns may have any names.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.minhash import word_hashes
 from cadenza.llm.shared import Scratch, broadcast_if_small, fresh, returns_memory, slices
 from cadenza.llm.wording import lcs_length
 
@@ -46,7 +46,8 @@ COSINE, VERBATIM, PARAPHRASE = 0.5, 0.8, 0.5
 #: The norm that a unit passage must keep in the latent space to be compared there; the norm that light words, which
 #: are not looked up, may have in one that is not.
 KEPT, LIGHT = 0.8, 0.2
-_REMEMBERED = 100_000
+#: Bytes of a text that are hashed at a time.
+_PART = 2_000_000
 #: Characters that the driver takes of a benchmark at a time, and distinct words of a block.
 BLOCK_CHARS, BLOCK_WORDS = 20_000_000, 50_000
 _SCHEMA = "doc_id long, item_id long, cosine double, covered double, answered double, kind string, start_word long"
@@ -58,21 +59,32 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split()
 
 
-class Buckets:
-    """Hash buckets of words; remembers those it has met, up to a bound. Words of `own` get numbers from BUCKETS on."""
+def hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and 64-bit hashes of the words of a cleaned text, part by part, so that a long one takes little memory."""
+    starts, values, at = [], [], 0
+    while at < len(blob):
+        end = len(blob) if len(blob) - at <= _PART else blob.rfind(b" ", at, at + _PART) + 1 or blob.find(b" ", at + _PART) + 1 or len(blob)
+        start, value = word_hashes(blob[at:end])
+        starts.append(start + at)
+        values.append(value)
+        at = end
+    return (np.concatenate(starts), np.concatenate(values)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
-    def __init__(self, own: dict[bytes, int] | None = None):
-        self.own = {w: BUCKETS + i for w, i in (own or {}).items()}
-        self.seen: dict[bytes, int] = dict(self.own)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > _REMEMBERED:
-            seen.clear()
-            seen.update(self.own)
-        for w in set(words).difference(seen):
-            seen[w] = zlib.crc32(w) % BUCKETS
-        return np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, one after the other, and where each text's begin and the last one's end."""
+    blobs = [t.encode("utf-8", "surrogatepass").translate(_CLEAN) for t in texts]
+    ends = np.cumsum([len(b) + 1 for b in blobs])
+    start, value = hashes(b" ".join(blobs))
+    return value, np.concatenate(([0], np.searchsorted(start, ends)))
+
+
+def buckets(value: np.ndarray) -> np.ndarray:
+    return (value & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return hashes(b" ".join(words))[1]
 
 
 def word_weights(docs: DataFrame) -> np.ndarray:
@@ -80,12 +92,14 @@ def word_weights(docs: DataFrame) -> np.ndarray:
 
     @returns_memory
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows, bucket = np.zeros(BUCKETS, np.int64), 0, Buckets()
+        total, rows = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for text in batch["text"]:
-                rows += 1
-                if isinstance(text, str) and text:
-                    total[np.unique(bucket(list(set(split_words(text)))))] += 1
+            texts = batch["text"].where(batch["text"].notna(), "").tolist()
+            rows += len(texts)
+            for a, b in slices(texts):
+                value, edges = words_of(texts[a:b])
+                once = np.unique(np.repeat(np.arange(b - a), np.diff(edges)) * BUCKETS + buckets(value))
+                total += np.bincount(once % BUCKETS, minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], rows)})
 
@@ -167,8 +181,7 @@ def build_index(spark, items: list[Item], weights: np.ndarray, rank: int) -> Ind
     for item in items:
         for w in item.words:
             of_word.setdefault(w, len(of_word))
-    bucket = Buckets()
-    weight = weights[bucket(list(of_word))]
+    weight = weights[buckets(hashes_of(list(of_word)))]
     spans = [(k, s, e) for k, item in enumerate(items) for s, e in passages(len(item.words), WINDOW, WINDOW // 2)]
     sparse = []
     for k, s, e in spans:
@@ -295,20 +308,29 @@ class Short:
 
 class Searcher:
     def __init__(self, index: Index):
-        self.index, self.code = index, Buckets(index.of_word)
-        plain = Buckets()(list(index.of_word))
-        self.square = np.concatenate((index.weights, index.weights[plain])) ** 2
+        self.index, self.square = index, index.weights**2  # by bucket
+        own = hashes_of(list(index.of_word))
+        self.order = np.argsort(own)
+        self.own = own[self.order]
+        self.likely = np.zeros(BUCKETS, bool)
+        self.likely[buckets(own)] = True
+        weight = index.weights[buckets(own)]
         basis, passages_t = index.basis, index.latent.T
         most = [(basis[k : k + 1000] @ passages_t).max(axis=1, initial=0) for k in range(0, len(basis), 1000)]
-        self.most = np.concatenate((np.zeros(BUCKETS, np.float32), *most))  # the most that a word adds to any product
-        self.lookup = Lookup(index, index.weights[plain].astype(np.float32))
-        self.most_looked_up = np.concatenate((np.zeros(BUCKETS, np.float32), self.lookup.most))
-        self.short = Short(index, index.weights[plain])
-
-    def near(self, most: np.ndarray, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, norm: np.ndarray) -> np.ndarray:
-        """Windows whose words may add up to COSINE."""
-        sums = np.concatenate(([0.0], np.cumsum(most[code], dtype=float)))
-        return np.flatnonzero(sums[ends] - sums[starts] >= (COSINE - 1e-4) * np.sqrt(norm))
+        self.most = np.concatenate((*most, np.zeros(1, np.float32)))  # the most that a word adds to any product; last: any other word
+        self.lookup = Lookup(index, weight.astype(np.float32))
+        self.most_looked_up = np.concatenate((self.lookup.most, np.zeros(1, np.float32)))
+        self.short = Short(index, weight)
+
+    def places(self, value: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """The words' places in the basis, or -1."""
+        ids = np.full(len(value), -1, np.int64)
+        some = np.flatnonzero(self.likely[bucket])
+        if len(self.own):
+            at = np.minimum(np.searchsorted(self.own, value[some]), len(self.own) - 1)
+            same = self.own[at] == value[some]
+            ids[some[same]] = self.order[at[same]]
+        return ids
 
     def cosines(self, at: np.ndarray, norm: np.ndarray) -> np.ndarray:
         """Cosines of windows with passages in the latent space; at: the words' places in the basis, or -1."""
@@ -318,36 +340,60 @@ class Searcher:
             latent[real] += self.index.basis[at[real, j]]
         return (latent @ self.index.latent.T) / np.sqrt(norm)[:, None]
 
-    def __call__(self, text: str) -> list[tuple]:
-        """(item_id, cosine, covered, answered, kind, start word) of the items found, the best place of each."""
-        words = split_words(text)
-        if not words:
-            return []
-        ix, n = self.index, len(words)
-        code = self.code(words)
-        ids, square = np.where(code >= BUCKETS, code - BUCKETS, -1), self.square[code]
+    def __call__(self, texts: list[str]) -> Iterator[tuple[int, tuple]]:
+        """(number of the text, match) of some texts: a match is (item_id, cosine, covered, answered, kind, start word).
+
+        The bound on the cosine is held against the windows of all texts at once; only texts with a window that may reach
+        it, or with rare words of a short item near each other, are looked at one by one.
+        """
+        value, edges = words_of(texts)
+        bucket = buckets(value)
+        ids, square = self.places(value, bucket), self.square[bucket]
+        n = np.diff(edges)
+        many = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(np.int64))
+        owner = np.repeat(np.arange(len(texts)), many)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        starts = edges[owner] + np.minimum(nth * STRIDE, np.maximum(n[owner] - WINDOW, 0))
+        ends = np.minimum(starts + WINDOW, edges[owner + 1])
         sums = np.concatenate(([0.0], np.cumsum(square)))
-        starts = np.array([s for s, _ in passages(n, WINDOW, STRIDE)])
-        ends = np.minimum(starts + WINDOW, n)
         norm = sums[ends] - sums[starts]
+
+        def able(most: np.ndarray) -> np.ndarray:
+            reach = np.concatenate(([0.0], np.cumsum(most[ids], dtype=float)))
+            return reach[ends] - reach[starts] >= (COSINE - 1e-4) * np.sqrt(norm)
+
+        none = np.zeros(len(owner), bool)
+        near, near_sparse = able(self.most) if len(self.index.latent) else none, able(self.most_looked_up) if self.index.sparse else none
+        marked = np.zeros(len(texts), bool)
+        marked[owner[near | near_sparse]] = True
+        rare = np.concatenate(([0], np.cumsum(self.short.marked[ids])))
+        marked |= rare[edges[1:]] > rare[edges[:-1]]
+        first = np.concatenate(([0], np.cumsum(many)))
+        for d in np.flatnonzero(marked):
+            a, b, lo, hi = edges[d], edges[d + 1], first[d], first[d + 1]
+            windows = [(starts[lo:hi][some[lo:hi]] - a, norm[lo:hi][some[lo:hi]]) for some in (near, near_sparse)]
+            for found in self.matches(texts[d], ids[a:b], square[a:b], *windows):
+                yield int(d), found
+
+    def matches(self, text: str, ids: np.ndarray, square: np.ndarray, near: tuple, near_sparse: tuple) -> list[tuple]:
+        """The items found in a text, the best place of each; near: starts and norms of its windows under each bound."""
+        ix, n, words = self.index, len(ids), split_words(text)
         best: dict[tuple[int, int], float] = {}
 
-        def places(some: np.ndarray) -> np.ndarray:
-            inside = starts[some][:, None] + np.arange(WINDOW)
-            return np.where(inside < ends[some][:, None], ids[np.minimum(inside, n - 1)], -1)
+        def places(starts: np.ndarray) -> np.ndarray:
+            inside = starts[:, None] + np.arange(WINDOW)
+            return np.where(inside < n, ids[np.minimum(inside, n - 1)], -1)
 
-        near = self.near(self.most, code, starts, ends, norm) if len(ix.latent) else starts[:0]
-        for a in range(0, len(near), 2048):
-            some = near[a : a + 2048]
-            cosine = self.cosines(places(some), norm[some])
+        for k in range(0, len(near[0]), 2048):
+            starts, norm = (x[k : k + 2048] for x in near)
+            cosine = self.cosines(places(starts), norm)
             for r, p in zip(*np.nonzero(cosine >= COSINE)):
-                key = (int(ix.owner[p]), int(starts[some[r]]))
+                key = (int(ix.owner[p]), int(starts[r]))
                 best[key] = max(best.get(key, 0.0), min(1.0, float(cosine[r, p])))
-        near = self.near(self.most_looked_up, code, starts, ends, norm) if ix.sparse else starts[:0]
-        for a in range(0, len(near), 2048):
-            some = near[a : a + 2048]
-            for r, p, cosine in self.lookup(places(some), norm[some]):
-                key = (int(ix.sparse_owner[p]), int(starts[some[r]]))
+        for k in range(0, len(near_sparse[0]), 2048):
+            starts, norm = (x[k : k + 2048] for x in near_sparse)
+            for r, p, cosine in self.lookup(places(starts), norm):
+                key = (int(ix.sparse_owner[p]), int(starts[r]))
                 best[key] = max(best.get(key, 0.0), cosine)
         out: dict[int, tuple] = {}
         for k, start, covered, cosine in self.short(words, ids, square):
@@ -407,7 +453,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: i
             for batch in batches:
                 texts = batch["text"].where(batch["text"].notna(), "").tolist()
                 for a, b in slices(texts):
-                    rows = [(doc, *hit) for doc, text in zip(batch["doc_id"].iloc[a:b], texts[a:b]) for hit in find(text)]
+                    ids = batch["doc_id"].iloc[a:b].tolist()
+                    rows = [(ids[d], *hit) for d, hit in find(texts[a:b])]
                     out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
                     yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 

@@ -162,3 +162,13 @@ def test_clashing_columns(spark, make):
     bench = spark.createDataFrame([(7, item, "x", 1)], "item_id long, text string, kind string, doc_id long")
     assert [(r["doc_id"], r["item_id"]) for r in find_leaks(docs, bench).collect()] == [(0, 7)]
     assert drop_leaks(docs, bench).columns == docs.columns and drop_leaks(docs, bench).count() == 1
+
+
+def test_hashes_by_parts(monkeypatch):
+    texts = ["", "one", " a  b ", "x" * 300, " ".join(f"w{i}" for i in range(200)), "é ü-ß 🎈"]
+    value, edges = decontaminate.words_of(texts)
+    assert np.diff(edges).tolist() == [len(split_words(t)) for t in texts]
+    assert len(set(value.tolist())) == len({w for t in texts for w in split_words(t)})
+    monkeypatch.setattr(decontaminate, "_PART", 40)
+    again = decontaminate.words_of(texts)
+    assert (again[0] == value).all() and (again[1] == edges).all()
