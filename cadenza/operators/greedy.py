@@ -1,79 +1,60 @@
 """Greedy, order-dependent plans: next-fit parts, chunk plans, non-overlapping picks, refractory events, keyframes.
 
-Each is a small sequential rule over one ordered group, run as a grouped map; groups are spread by Spark.
+Each is a small rule over one series in order, with its state handed from batch to batch; series are spread by Spark.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-
-def _grouped(df: DataFrame, key: str, order: list[str], name: str, kind: str, rule) -> DataFrame:
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        return group.assign(**{name: rule(group)})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {name} {kind}"
-    return df.groupBy(key).applyInPandas(one, schema)
+from cadenza.operators.sequential import stepwise
 
 
 def next_fit_parts(df: DataFrame, key: str, order: list[str], size: str, most_size: float, most_items: int) -> DataFrame:
     """part: items in order fill a part until the next one would exceed its size or count; one too large stands alone."""
 
-    def rule(g: pd.DataFrame) -> list[int]:
-        out, part, total, items = [], 0, 0.0, 0
-        for x in g[size]:
-            if items and (total + x > most_size or items >= most_items):
-                part, total, items = part + 1, 0.0, 0
-            total, items = total + x, items + 1
-            out.append(part)
-        return out
+    def step(row: tuple, state: tuple) -> tuple:
+        (x,), (part, total, items) = row, state
+        if items and (total + x > most_size or items >= most_items):
+            part, total, items = part + 1, 0.0, 0
+        return part, (part, total + x, items + 1)
 
-    return _grouped(df, key, order, "part", "int", rule)
+    return stepwise(df, [key], order, [size], "part", "int", step, (0, 0.0, 0))
 
 
 def refractory(df: DataFrame, key: str, order: str, flag: str, rest: int) -> DataFrame:
     """event: a flagged frame counts unless a counted one came within `rest` frames before it."""
 
-    def rule(g: pd.DataFrame) -> list[bool]:
-        out, last = [], None
-        for at, hit in zip(g[order], g[flag]):
-            counted = bool(hit) and (last is None or at - last > rest)
-            last = at if counted else last
-            out.append(counted)
-        return out
+    def step(row: tuple, last) -> tuple:
+        at, hit = row
+        counted = bool(hit) and (last is None or at - last > rest)
+        return counted, at if counted else last
 
-    return _grouped(df, key, [order], "event", "boolean", rule)
+    return stepwise(df, [key], [order], [order, flag], "event", "boolean", step, None)
 
 
 def pick_apart(df: DataFrame, key: str, score: str, tie: str, start: str, length: float, most: int) -> DataFrame:
     """picked: by descending score, windows [start, start + length) that overlap none picked before, at most `most`."""
 
-    def rule(g: pd.DataFrame) -> list[bool]:
-        chosen: list[float] = []
-        picked = set()
-        for row, at in g.sort_values([score, tie], ascending=[False, True], kind="stable")[start].items():
-            if len(chosen) < most and all(abs(at - c) >= length for c in chosen):
-                chosen.append(at)
-                picked.add(row)
-        return [row in picked for row in g.index]
+    def step(row: tuple, chosen: tuple) -> tuple:
+        (at,) = row
+        picked = len(chosen) < most and all(abs(at - c) >= length for c in chosen)
+        return picked, (*chosen, at) if picked else chosen
 
-    return _grouped(df, key, [start, tie], "picked", "boolean", rule)
+    return stepwise(df, [key], [F.desc(score), F.col(tie)], [start], "picked", "boolean", step, ())
 
 
 def keyframes(df: DataFrame, key: str, order: str, value: str, least: float) -> DataFrame:
     """emitted: the first value, and each that differs by `least` from the one emitted last."""
 
-    def rule(g: pd.DataFrame) -> list[bool]:
-        out, last = [], None
-        for x in g[value]:
-            emit = last is None or abs(x - last) >= least
-            last = x if emit else last
-            out.append(emit)
-        return out
+    def step(row: tuple, last) -> tuple:
+        (x,) = row
+        emit = last is None or abs(x - last) >= least
+        return emit, x if emit else last
 
-    return _grouped(df, key, [order], "emitted", "boolean", rule)
+    return stepwise(df, [key], [order], [value], "emitted", "boolean", step, None)
 
 
 def plan_chunks(pauses: DataFrame, key: str, start: str, end: str, total: str, target: float, slack: float) -> DataFrame:

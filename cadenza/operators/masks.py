@@ -1,4 +1,4 @@
-"""Activity masks by hysteresis. The state machine is sequential, so one series is one grouped-map call."""
+"""Activity masks by hysteresis. The state machine is sequential; its state is handed over the sorted batches of a series."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.scalar import is_finite
 from cadenza.operators.runs import finalize_mask
+from cadenza.operators.sequential import over_sorted, schema_with
 
 
 @dataclass(frozen=True)
@@ -38,50 +40,92 @@ def smoothed(db: np.ndarray) -> np.ndarray:
     return (sums[high] - sums[low]) / (high - low)
 
 
-def hysteresis(db: np.ndarray, floor: float, h: Hysteresis = Hysteresis()) -> np.ndarray:
+class Gate:
     """Open on a confirmed level, stay while the hold lasts; the further below closing, the faster it runs out."""
-    opens, closes = (float(np.clip(floor + lift, *span)) for lift, span in ((h.open_lift, h.open_range), (h.close_lift, h.close_range)))
-    level, soft = smoothed(db), floor + h.soft_margin
-    loud = np.concatenate(([0], np.cumsum(level >= closes)))
-    reach = np.minimum(np.arange(len(level)) + h.confirm + 2, len(level))
-    confirmed = (level >= opens) & (loud[reach] - loud[: len(level)] >= h.confirm)
-    mask, active, hold, soft_used = np.zeros(len(level), bool), False, 0, False
-    for i, x in enumerate(level):
-        if not active:
-            if confirmed[i]:
-                active, hold, mask[i] = True, h.hold, True
-            continue
-        if x >= opens:
-            hold, soft_used = h.hold, False
-        elif x >= closes:
-            hold, soft_used = max(hold, int(np.ceil(h.hold * 0.45))), False
-        elif x >= soft and db[i] >= soft:
-            if not soft_used:
-                hold, soft_used = max(hold, h.soft_hold), True
-            hold -= 1
+
+    def __init__(self, floor: float, h: Hysteresis = Hysteresis()):
+        self.h, self.soft = h, floor + h.soft_margin
+        self.opens, self.closes = (float(np.clip(floor + lift, *span)) for lift, span in ((h.open_lift, h.open_range), (h.close_lift, h.close_range)))
+        self.active, self.hold, self.soft_used = False, 0, False
+
+    @property
+    def ahead(self) -> int:
+        """Frames after one that decide about it."""
+        return self.h.confirm + 2
+
+    def confirmed(self, level: np.ndarray) -> np.ndarray:
+        loud = np.concatenate(([0], np.cumsum(level >= self.closes)))
+        reach = np.minimum(np.arange(len(level)) + self.ahead, len(level))
+        return (level >= self.opens) & (loud[reach] - loud[: len(level)] >= self.h.confirm)
+
+    def step(self, x: float, raw: float, confirmed: bool) -> bool:
+        h = self.h
+        if not self.active:
+            if confirmed:
+                self.active, self.hold = True, h.hold
+            return self.active
+        if x >= self.opens:
+            self.hold, self.soft_used = h.hold, False
+        elif x >= self.closes:
+            self.hold, self.soft_used = max(self.hold, int(np.ceil(h.hold * 0.45))), False
+        elif x >= self.soft and raw >= self.soft:
+            if not self.soft_used:
+                self.hold, self.soft_used = max(self.hold, h.soft_hold), True
+            self.hold -= 1
         else:
-            soft_used = False
-            hold -= 3 if closes - x >= 8 else 2 if closes - x >= 4 else 1
-        if hold < 0:
-            active, hold, soft_used = False, 0, False
+            self.soft_used = False
+            self.hold -= 3 if self.closes - x >= 8 else 2 if self.closes - x >= 4 else 1
+        if self.hold < 0:
+            self.active, self.hold, self.soft_used = False, 0, False
+        return self.active
+
+    def steps(self, db: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The next frames a to b of db, which also has what lies around them."""
+        level = smoothed(db)
+        sure = self.confirmed(level)
+        return np.array([self.step(*x) for x in zip(level[a:b], db[a:b], sure[a:b])], bool)
+
+
+def hysteresis(db: np.ndarray, floor: float, h: Hysteresis = Hysteresis()) -> np.ndarray:
+    return Gate(floor, h).steps(db, 0, len(db))
+
+
+class _Opened:
+    """Frames wait until those that decide about them are there; one frame before them stays for the smoothing."""
+
+    def __init__(self, db: str, h: Hysteresis):
+        self.db, self.h, self.gate, self.before, self.rows = db, h, None, 0, None
+
+    def _emit(self, rest: int) -> pd.DataFrame | None:
+        ready = len(self.rows) - self.before - rest
+        if ready <= 0:
+            return None
+        level = self.rows[self.db].to_numpy(float)
+        mask = self.gate.steps(np.where(np.isfinite(level), level, -120.0), self.before, self.before + ready)
+        out = self.rows.iloc[self.before : self.before + ready].drop(columns="__floor").assign(active=mask)
+        self.rows, self.before = self.rows.iloc[self.before + ready - 1 :], 1
+        return out
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame | None:
+        if self.gate is None:
+            self.gate, self.rows = Gate(float(rows["__floor"].iloc[0]), self.h), rows
         else:
-            mask[i] = True
-    return mask
+            self.rows = pd.concat([self.rows, rows])
+        return self._emit(self.gate.ahead)
 
+    def end(self) -> pd.DataFrame | None:
+        return self._emit(0)
 
-def activity_mask(frames: DataFrame, key: str, db: str = "db", floor_percent: float = 0.25, h: Hysteresis = Hysteresis(), order: str = "frame_idx") -> DataFrame:
-    """key, order, db, active: the noise floor is a percentile of the series; then short runs go and gaps close."""
 
-    def one(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values(order)
-        level = series[db].to_numpy(float)
-        known = level[np.isfinite(level)]
-        floor = float(np.quantile(known, floor_percent)) if len(known) else -120.0
-        return series.assign(active=hysteresis(np.where(np.isfinite(level), level, -120.0), floor, h))
+def activity_mask(frames: DataFrame, key: str, db: str = "db", floor_percent: float = 0.25, h: Hysteresis = Hysteresis(), order: str = "frame_idx") -> DataFrame:
+    """key, order, db, active: the noise floor is a percentile of the series; then short runs go and gaps close.
 
+    Levels that are null or not finite count as -120 dB and not for the floor.
+    """
     slim = frames.select(key, order, db)
-    schema = f"{slim.schema.simpleString()[7:-1].replace(':', ' ')}, active boolean"
-    masked = slim.groupBy(key).applyInPandas(one, schema)
+    floor = F.percentile(F.when(is_finite(F.col(db)), F.col(db)), F.lit(floor_percent))
+    d = slim.withColumn("__floor", F.coalesce(floor.over(Window.partitionBy(key)), F.lit(-120.0)))
+    masked = over_sorted(d, [key], [order], lambda: _Opened(db, h), schema_with(slim, "active boolean"))
     return finalize_mask(masked, [key], "active", h.least_run, h.bridge, order)
 
 
