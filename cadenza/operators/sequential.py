@@ -43,8 +43,8 @@ def over_sorted(df: DataFrame, keys: list[str], order: list[str | Column], make:
                 continue
             starts = key_starts(batch, keys)
             for a, b in zip(starts, [*starts[1:], len(batch)]):
-                here = batch.iloc[a : a + 1]
-                if rule is None or len(key_starts(pd.concat([last, here])[keys], keys)) > 1:
+                here = tuple(None if pd.isna(v) else v for v in (batch[k].iat[a] for k in keys))
+                if rule is None or here != last:
                     if rule is not None and (rest := rule.end()) is not None:
                         yield rest
                     rule, last = make(), here
