@@ -50,7 +50,7 @@ def soft_limit_negative(gain: Column, limit: float) -> Column:
 
 def soft_plus(x: Column, knee: float) -> Column:
     z = x / knee
-    return F.when(z > 40, x).when(z < -40, 0.0).otherwise(knee * F.log1p(F.exp(F.least(z, F.lit(40.0)))))
+    return F.when(x.isNull(), None).when(z > 40, x).when(z < -40, 0.0).otherwise(knee * F.log1p(F.exp(F.least(z, F.lit(40.0)))))
 
 
 def all_present(value: Column, *evidence: Column, default: float = 0.0) -> Column:
