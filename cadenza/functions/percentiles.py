@@ -26,6 +26,20 @@ def lower_median(x: Column) -> Column:
     return F.element_at(F.sort_array(F.collect_list(x)), F.floor((F.count(x) + 1) / 2).cast("int"))
 
 
+def ranked(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """df with nearest-rank percentiles of its groups as columns: {out: (column, p)}.
+
+    Ranks come from windows that sort a group and spill, so no group is held as a list. Nulls do not count.
+    """
+    part = Window.partitionBy(*keys)
+    for value in dict.fromkeys(v for v, _ in wanted.values()):
+        n = F.count(value).over(part)
+        df = df.withColumn("__at", F.row_number().over(part.orderBy(F.col(value).asc_nulls_last()))).withColumn("__many", n)
+        for out, p in ((o, p) for o, (v, p) in wanted.items() if v == value):
+            df = df.withColumn(out, F.max(F.when(F.col("__at") == F.floor(p * (F.col("__many") - 1) + 0.5) + 1, F.col(value))).over(part))
+    return df.drop("__at", "__many")
+
+
 def _usable(df: DataFrame, value: str, weight: str) -> DataFrame:
     ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(value) < float("inf"))
     return df.where(ok & (F.col(weight) > 0) & (F.col(weight) < float("inf")))

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import percentiles as pct
 from cadenza.functions import scalar as sc
 from cadenza.operators import runs
 
@@ -20,12 +21,15 @@ C = F.col
 #: Shoulders of a valley (ms) and how much of it is filled; context of an event (ms), how much of it counts,
 #: knee, the gain at which half is at stake, headroom; window of a trend (ms), most lift, usual fade and its softness,
 #: shares that may be recovered, knee; shoulders and centre of a valley that recurs (ms), share filled, most lift, knee,
-#: evidence from and in full, frames a unit of it, steepest slope of a lift by frame.
+#: evidence from and in full, frames a unit of it, steepest slope of a lift by frame; window of a word (ms), percentile it
+#: is held against, share recovered, most lift, knee, where a low stretch is too long to be words (ms), shoulder and core of
+#: a crest (ms), contrast a lift may add, and how much more where levels are unstable.
 INNER_MS, OUTER_MS, FILL = 60, 140, 0.7
 CONTEXT_MS, LENDING, EVENT_KNEE, AUTHORITY_DB, HEADROOM_DB = 240, 0.25, 0.35, 6.0, 0.5
 TREND_MS, MOST_LIFT, USUAL_FADE, SOFTNESS, LEAST_SHARE, MOST_SHARE, TREND_KNEE = 100, 3.2, 9.0, 4.0, 0.12, 0.28, 0.18
 LEAST_SAMPLES, MOST_SAMPLES = 4, 20
 WIDE_INNER_MS, WIDE_OUTER_MS, CENTRE_MS, WIDE_FILL, WIDE_LIFT, WIDE_KNEE, FROM_DB, FULL_DB, RARITY, SLOPE = 90, 240, 40, 0.6, 4.0, 0.5, 0.75, 6.0, 0.04, 0.24
+WORD_MS, WORD_RANK, WORD_SHARE, WORD_LIFT, WORD_KNEE, LONG_MS, LONGEST_MS, SHOULDER_MS, CORE_MS, CONTRAST, MORE_CONTRAST = 300, 0.7, 0.62, 3.6, 0.6, 1000, 1800, 400, 60, 1.18, 0.22
 
 
 def _steps(ms: float, frame_ms: float, least: int) -> int:
@@ -195,3 +199,91 @@ def recover_valleys(frames: DataFrame, keys: list[str], source: str, level: str,
     long = C(body) & (C("__bad") == 0) & (F.count("*").over(part) > 2 * outer)
     lifted = F.when(long, F.least(F.lit(most_gain), C(gain) + spread_lifts(C("__lift"), by))).otherwise(C(gain))
     return d.withColumn(out, lifted).drop("__run", "__bad", "__dug", "__lift")
+
+
+def hold_slopes(lift: Column, by: list[str], slope: float = SLOPE) -> Column:
+    """The largest curve under `lift` that moves by at most `slope` a frame and is 0 just outside its run."""
+    w = Window.partitionBy(*by).orderBy("frame_idx")
+    at, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(*by))
+    up = F.min(lift - C("frame_idx") * slope).over(w.rowsBetween(Window.unboundedPreceding, 0)) + C("frame_idx") * slope
+    down = F.min(lift + C("frame_idx") * slope).over(w.rowsBetween(0, Window.unboundedFollowing)) - C("frame_idx") * slope
+    return F.least(up, down, at * slope, (n - at + 1) * slope)
+
+
+def flatten_crests(frames: DataFrame, by: list[str], lift: str, instability: float | Column = 0.5, frame_ms: float = 10.0) -> DataFrame:
+    """frames with `lift` lowered, twice, to what lies around it plus a small contrast; runs (`by`) of two shoulders stay."""
+    shoulder, core = _steps(SHOULDER_MS, frame_ms, 5), _steps(CORE_MS, frame_ms, 1)
+    if core >= shoulder:
+        return frames
+    w = Window.partitionBy(*by).orderBy("frame_idx")
+    sides = w.rowsBetween(-shoulder, -core - 1), w.rowsBetween(core + 1, shoulder)
+    hint = instability if isinstance(instability, Column) else F.lit(instability)
+    most = CONTRAST + MORE_CONTRAST * sc.unit(hint)
+    many = F.count("*").over(Window.partitionBy(*by))
+    d = frames
+    for _ in range(2):
+        around = (F.avg(lift).over(sides[0]) + F.avg(lift).over(sides[1])) / 2
+        inner = (F.row_number().over(w) > shoulder) & (F.lead(F.lit(1), shoulder).over(w) == 1)
+        d = d.withColumn("__flat", F.when(inner, F.least(C(lift), around + most)).otherwise(C(lift)))
+        d = d.withColumn(lift, F.when(many > 2 * shoulder, hold_slopes(C("__flat"), by)).otherwise(C(lift)))
+    return d.drop("__flat")
+
+
+def stabilize_words(frames: DataFrame, keys: list[str], source: str, level: str, gain: str, body: str, floor: str, most_gain: float, instability: float = 0.5, frame_ms: float = 10.0, out: str = "gain") -> DataFrame:
+    """frames with `out`: lifts of words that are low against their run's usual level, if several are.
+
+    Source and body level must agree on what is low, and what the gain lifts already counts. One low stretch alone, however
+    deep, gets nothing; a stretch counts most at the length of words. Runs shorter than 300 ms keep their gains, and so do
+    runs with a level or gain that is missing or not finite.
+    """
+    size = _steps(WORD_MS, frame_ms, 1)
+    half = max(1, size // 2)
+    by = [*keys, "__run"]
+    part = Window.partitionBy(*by)
+    near = part.orderBy("frame_idx").rowsBetween(-half, half)
+    over = lambda v: F.greatest(F.lit(0.0), F.when(v > 0, sc.soft_plus(v, WORD_KNEE) - WORD_KNEE * math.log(2)))
+    mean = lambda x: 10 * F.log10(F.avg(F.pow(F.lit(10.0), x / 10)).over(near) + 1e-30)
+    raw, own, plan = _finite(C(source)), _finite(C(level)), _finite(C(gain))
+    d = runs.with_run_id(frames, keys, body, out="__run").withColumns({"__raw": raw, "__own": own, "__n": F.count("*").over(part), "__bad": F.max((raw.isNull() | own.isNull() | plan.isNull()).cast("int")).over(part)})
+    d = d.withColumns({"__s": mean(C("__raw")), "__b": mean(C("__own")), "__o": mean(C("__own") + plan)})
+    wanted = {f"__p{c}": (f"__{c}", WORD_RANK) for c in ("s", "b", "o", "raw", "own")} | {"__p10": ("__b", 0.1), "__p90": ("__b", 0.9)}
+    d = pct.ranked(d, by, wanted)
+    low = F.least(over(C("__ps") - C("__s")), over(C("__pb") - C("__b")))
+    lacking = over(F.least(F.lit(WORD_LIFT), low * WORD_SHARE) - (low - over(C("__po") - C("__o"))))
+    voiced = 1 - 0.6 * sc.smooth_ramp(C("__s") - C("__b"), 6, 12)
+    above = 1 / (1 + F.exp(-(C("__b") - (C(floor) + 8)) / 4))
+    d = d.withColumn("__lift", F.when(low > 0, F.least(F.lit(WORD_LIFT), lacking) * above * voiced).otherwise(0.0))
+    d = d.withColumn("__on", F.coalesce((C("__praw") > C("__raw")) & (C("__pown") > C("__own")), F.lit(False)))
+    d = runs.with_run_id(d, by, "__on", out="__unit")
+    unit = Window.partitionBy(*by, "__unit")
+    ms = F.count("*").over(unit) * frame_ms
+    d = d.withColumn("__worth", F.when(C("__on"), F.pow(sc.smooth_ramp(ms, 0, WORD_MS), 4) * (1 - 0.75 * sc.smooth_ramp(ms, LONG_MS, LONGEST_MS))).otherwise(0.0))
+    d = d.withColumn("__weight", F.sum(C("__lift") * C("__worth")).over(unit))
+    total, most = F.sum(C("__lift") * C("__worth")).over(part), F.max("__weight").over(part)
+    again = F.when(total > 0, sc.smooth_ramp(1 - most / total, 0, 0.5)).otherwise(0.0)
+    spread = F.greatest(F.lit(0.0), C("__p90") - C("__p10"))
+    moved = (0.68 + 0.29 * min(1.0, max(0.0, instability))) / (1 + F.exp(-(spread - 5) / 2)) * (1 - 0.12 * sc.smooth_ramp(spread, 12, 20))
+    d = d.withColumn("__lift", F.coalesce(C("__lift") * C("__worth") * again * moved, F.lit(0.0)))
+    d = flatten_crests(d.withColumn("__lift", spread_lifts(C("__lift"), by)), by, "__lift", instability, frame_ms)
+    good = C(body) & (C("__bad") == 0) & (C("__n") >= size)
+    fixed = F.when(good, F.least(F.lit(most_gain), C(gain) + C("__lift"))).otherwise(C(gain))
+    return d.withColumn(out, fixed).drop("__run", "__raw", "__own", "__n", "__bad", "__s", "__b", "__o", *wanted, "__lift", "__on", "__unit", "__worth", "__weight")
+
+
+def keep_edges(frames: DataFrame, keys: list[str], established: str, candidate: str, body: str, out: str = "gain") -> DataFrame:
+    """frames with `out`: the candidate gain in speech, lowered until no step is steeper than that of the established
+    curve or 0.24 dB, whichever is more. Frames whose run misses a gain keep the candidate.
+
+    A curve below given steps is a window identity: with the steps added up, it is the least of what the frames before and
+    after allow.
+    """
+    by = [*keys, "__run"]
+    w = Window.partitionBy(*by).orderBy("frame_idx")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    old, new = _finite(C(established)), _finite(C(candidate))
+    d = runs.with_run_id(frames, keys, body, out="__run").withColumn("__bad", F.max((old.isNull() | new.isNull()).cast("int")).over(Window.partitionBy(*by)))
+    step = F.when(F.row_number().over(w) > 1, F.greatest(F.lit(SLOPE), F.abs(old - F.lag(old).over(w)))).otherwise(0.0)
+    d = d.withColumn("__step", step).withColumn("__sum", F.sum("__step").over(back))
+    d = d.withColumn("__up", F.min(new - C("__sum")).over(back) + C("__sum"))
+    held = F.min(C("__up") + C("__sum")).over(ahead) - C("__sum")
+    return d.withColumn(out, F.when(C(body) & (C("__bad") == 0), F.least(held, C(candidate))).otherwise(C(candidate))).drop("__run", "__bad", "__step", "__sum", "__up")

@@ -74,9 +74,60 @@ _CENTRE = "abs(b.i - a.i) <= 2"
  least(avg(b.db) FILTER ({_SIDE} AND b.i < a.i), avg(b.db) FILTER ({_SIDE} AND b.i > a.i)) AS ss, least(avg(b.bo) FILTER ({_SIDE} AND b.i < a.i), avg(b.bo) FILTER ({_SIDE} AND b.i > a.i)) AS sb
  FROM pl a JOIN q b ON b.user_id = a.user_id AND b.rid = a.rid AND abs(b.i - a.i) <= 24 AND a.i - 24 >= a.s AND a.i + 24 < a.e AND a.n > 48 GROUP BY a.user_id, a.rid, a.i),
  al AS (SELECT *, least(sb - cb, ss - cs) AS x FROM cc), cv AS (SELECT *, greatest(0, ({_soft("x", 0.5)}) - 0.5 * ln(2)) AS c FROM al), rp AS (SELECT *, least(1, greatest(0, (c - 0.75) / 5.25)) AS t FROM cv),
- rw AS (SELECT user_id, rid, sum(t * t * (3 - 2 * t)) AS w FROM rp GROUP BY user_id, rid), rq AS (SELECT q.user_id, q.rid, q.i, q.g, coalesce(least(4, c * 0.6), 0) * coalesce(w / (w + n * 0.04), 0) AS l FROM q LEFT JOIN rp USING (user_id, rid, i) LEFT JOIN rw USING (user_id, rid))
+ rw AS (SELECT user_id, rid, sum(t * t * (3 - 2 * t)) AS w FROM rp GROUP BY user_id, rid), rq AS (SELECT q.user_id, q.rid, q.i, q.g, least(4, coalesce(c, 0) * 0.6) * coalesce(w / (w + n * 0.04), 0) AS l FROM q LEFT JOIN rp USING (user_id, rid, i) LEFT JOIN rw USING (user_id, rid))
  SELECT a.user_id AS series, a.i::BIGINT AS frame_idx, round(least({HIGH}, any_value(a.g) + max(b.l - 0.24 * abs(a.i - b.i))), 6) AS gain FROM rq a JOIN rq b ON b.user_id = a.user_id AND b.rid = a.rid AND abs(a.i - b.i) <= 20 GROUP BY a.user_id, a.i""")
 def recurrent_valleys(spark, sf_dir):
     """The body's level is the series' own with a ripple, so that both must agree on a valley."""
     d = planned(spark, sf_dir).withColumn("speech_body", C("db") + 3 * F.sin(C("frame_idx") / 7))
     return _shown(painting.recover_valleys(d, KEYS, "db", "speech_body", "gain", "active", HIGH))
+
+
+def _ramp(x: str) -> str:
+    return f"(least(1, greatest(0, {x})) ** 2 * (3 - 2 * least(1, greatest(0, {x}))))"
+
+
+def _over(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN greatest(0, ({_soft(x, 0.6)}) - 0.6 * ln(2)) ELSE 0 END"
+
+
+def _rank(x: str, p: float) -> str:
+    return f"list_sort(list({x}))[(floor({p}::DOUBLE * (count(*) - 1) + 0.5) + 1)::BIGINT]"
+
+
+def _hold(source: str, out: str) -> str:
+    return f"""{out} AS (SELECT a.user_id, a.i, any_value(a.k) AS k, any_value(a.n) AS n, CASE WHEN any_value(a.n) > 80 THEN least(min(b.l + 0.24 * abs(a.i - b.i)), any_value(a.k) * 0.24, (any_value(a.n) - any_value(a.k) + 1) * 0.24) ELSE any_value(a.l) END AS l FROM {source} a JOIN {source} b ON b.user_id = a.user_id AND abs(a.i - b.i) <= 20 GROUP BY a.user_id, a.i)"""
+
+
+def _crest(source: str, out: str) -> str:
+    return f"{out} AS (SELECT user_id, i, k, n, CASE WHEN n > 80 AND k > 40 AND k + 40 <= n THEN least(l, (avg(l) OVER (w ROWS BETWEEN 40 PRECEDING AND 7 PRECEDING) + avg(l) OVER (w ROWS BETWEEN 7 FOLLOWING AND 40 FOLLOWING)) / 2 + 1.29) ELSE l END AS l FROM {source} WINDOW w AS (PARTITION BY user_id ORDER BY i))"
+
+
+_NEARBY = "10 * log10(avg(pow(10, ({}) / 10)) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) + 1e-30)"
+WORDS = PLAN + f""", wa AS (SELECT user_id, i, db, nfl, g, db + 3 * sin(i / 7.0::DOUBLE) AS bo FROM pg), wl AS (SELECT *, {_NEARBY.format("db")} AS ls, {_NEARBY.format("bo")} AS lb, {_NEARBY.format("bo + g")} AS lo FROM wa),
+ wp AS (SELECT user_id, count(*) AS n, {_rank("ls", 0.7)} AS ps, {_rank("lb", 0.7)} AS pb, {_rank("lo", 0.7)} AS po, {_rank("db", 0.7)} AS pr, {_rank("bo", 0.7)} AS pw, {_rank("lb", 0.1)} AS p10, {_rank("lb", 0.9)} AS p90 FROM wl GROUP BY user_id),
+ w1 AS (SELECT *, least({_over("(ps - ls)")}, {_over("(pb - lb)")}) AS low, {_over("(po - lo)")} AS od, pr > db AND pw > bo AS act FROM wl JOIN wp USING (user_id)), w2 AS (SELECT *, least(3.6, low * 0.62) - (low - od) AS v FROM w1),
+ w3 AS (SELECT *, CASE WHEN low > 0 THEN least(3.6, {_over("v")}) / (1 + exp(-(lb - (nfl + 8)) / 4)) * (1 - 0.6 * {_ramp("(ls - lb - 6) / 6")}) ELSE 0 END AS rq, row_number() OVER (PARTITION BY user_id ORDER BY i) AS k, row_number() OVER (PARTITION BY user_id ORDER BY i) - row_number() OVER (PARTITION BY user_id, act ORDER BY i) AS isl FROM w2),
+ w4 AS (SELECT *, count(*) OVER (PARTITION BY user_id, act, isl) * 10.0::DOUBLE AS ms FROM w3), w5 AS (SELECT *, CASE WHEN act THEN pow({_ramp("ms / 300")}, 4) * (1 - 0.75 * {_ramp("(ms - 1000) / 800")}) ELSE 0 END AS wo FROM w4),
+ w6 AS (SELECT user_id, sum(w) AS tot, max(w) AS top FROM (SELECT user_id, act, isl, sum(rq * wo) AS w FROM w5 GROUP BY ALL) GROUP BY user_id),
+ w7 AS (SELECT user_id, i, k, n, rq * wo * CASE WHEN tot > 0 THEN {_ramp("(1 - top / tot) / 0.5")} ELSE 0 END * 0.825 / (1 + exp(-(p90 - p10 - 5) / 2)) * (1 - 0.12 * {_ramp("(p90 - p10 - 12) / 8")}) AS l FROM w5 JOIN w6 USING (user_id)),
+ w8 AS (SELECT a.user_id, a.i, any_value(a.k) AS k, any_value(a.n) AS n, max(b.l - 0.24 * abs(a.i - b.i)) AS l FROM w7 a JOIN w7 b ON b.user_id = a.user_id AND abs(a.i - b.i) <= 20 GROUP BY a.user_id, a.i),
+ {_crest("w8", "crs1")}, {_hold("crs1", "crs2")}, {_crest("crs2", "crs3")}, {_hold("crs3", "crs4")}, wx AS (SELECT user_id, i, g, least({HIGH}, g + CASE WHEN n >= 30 THEN l ELSE 0 END) AS gain FROM crs4 JOIN wa USING (user_id, i))"""
+
+
+def words(spark, sf_dir):
+    """The words stage, each long series taken as one run."""
+    d = planned(spark, sf_dir).withColumn("speech_body", C("db") + 3 * F.sin(C("frame_idx") / 7)).withColumn("active", F.lit(True))
+    return painting.stabilize_words(d, KEYS, "db", "speech_body", "gain", "active", "floor", HIGH, out="lifted")
+
+
+@query(WORDS + " SELECT user_id AS series, i::BIGINT AS frame_idx, round(gain, 6) AS gain FROM wx")
+def word_levels(spark, sf_dir):
+    return _shown(words(spark, sf_dir).drop("gain").withColumnRenamed("lifted", "gain"))
+
+
+@query(PLAN + """, ca AS (SELECT user_id, i, g, g + 2 * sin(i / 2.0::DOUBLE) AS c FROM pg), sm AS (SELECT *, sum(greatest(0.24, coalesce(abs(g - pv), 0)) ) OVER (PARTITION BY user_id ORDER BY i) AS a FROM (SELECT *, lag(g) OVER (PARTITION BY user_id ORDER BY i) AS pv FROM ca))
+ SELECT a.user_id AS series, a.i::BIGINT AS frame_idx, round(min(b.c + abs(a.a - b.a)), 6) AS gain FROM sm a JOIN sm b ON b.user_id = a.user_id AND abs(a.i - b.i) <= 120 GROUP BY a.user_id, a.i""")
+def kept_edges(spark, sf_dir):
+    """A plan with a ripple of 2 dB, held to the plan's own steps; beyond 120 frames the ripple cannot matter."""
+    d = planned(spark, sf_dir).withColumn("active", F.lit(True)).withColumn("rippled", C("gain") + 2 * F.sin(C("frame_idx") / 2))
+    return _shown(painting.keep_edges(d, KEYS, "gain", "rippled", "active"))

@@ -207,6 +207,99 @@ def test_recurrent_valleys(spark):
     assert max(w - v[1] for w, v in zip(want[1], made[1])) > 1
 
 
+def hold(x):
+    n = len(x)
+    return [min([x[j] + 0.24 * abs(i - j) for j in range(n)] + [0.24 * (i + 1), 0.24 * (n - i)]) for i in range(n)]
+
+
+def crests(x, hint):
+    if len(x) <= 80:
+        return x
+    for _ in range(2):
+        was = x
+        x = [min(v, (sum(was[i - 40 : i - 6]) + sum(was[i + 7 : i + 41])) / 68 + 1.18 + 0.22 * hint) if 40 <= i < len(was) - 40 else v for i, v in enumerate(was)]
+        x = hold(x)
+    return x
+
+
+def test_crests(spark):
+    rng = random.Random(3)
+    made = {1: [3 * math.sin(i / 9) ** 2 + rng.uniform(0, 1) for i in range(200)], 2: [2.0] * 80, 3: [2.0] * 81, 4: [1.5]}
+    d = spark.createDataFrame([(k, i, v) for k, s in made.items() for i, v in enumerate(s)], "k int, frame_idx long, fixed double")
+    same(found(painting.flatten_crests(d, ["k"], "fixed", 0.3)), {k: crests(s, 0.3) for k, s in made.items()})
+
+
+def words(s, a, b, voice, floor, hint):
+    """The lifts of a run by the definition."""
+    n = b - a
+    over = lambda v: soft(v, 0.6) - soft(0, 0.6) if v > 0 else 0.0
+    mean = lambda x, i: 10 * math.log10(sum(10 ** (v / 10) for v in x[max(0, i - 15) : i + 16]) / len(x[max(0, i - 15) : i + 16]))
+    rank = lambda x, p: sorted(x)[nearest(p * (len(x) - 1))]
+    raw, own = [v[0] for v in s[a:b]], voice[a:b]
+    made = [o + v[1] for o, v in zip(own, s[a:b])]
+    ls, lb, lo = ([mean(x, i) for i in range(n)] for x in (raw, own, made))
+    lift, on = [0.0] * n, []
+    for i in range(n):
+        on.append(rank(raw, 0.7) > raw[i] and rank(own, 0.7) > own[i])
+        low = min(over(rank(ls, 0.7) - ls[i]), over(rank(lb, 0.7) - lb[i]))
+        if low > 0:
+            left = over(min(3.6, low * 0.62) - (low - over(rank(lo, 0.7) - lo[i])))
+            lift[i] = min(3.6, left) / (1 + math.exp(-(lb[i] - floor - 8) / 4)) * (1 - 0.6 * ramp((ls[i] - lb[i] - 6) / 6))
+    units, i = [], 0
+    while i < n:
+        j = i
+        while j < n and on[j] == on[i]:
+            j += 1
+        if on[i]:
+            ms = (j - i) * 10
+            units.append((i, j, ramp(ms / 300) ** 4 * (1 - 0.75 * ramp((ms - 1000) / 800))))
+        i = j
+    weights = [sum(lift[i:j]) * w for i, j, w in units]
+    again = ramp((1 - max(weights) / sum(weights)) / 0.5) if sum(weights) > 0 else 0
+    spread = rank(lb, 0.9) - rank(lb, 0.1)
+    again *= (0.68 + 0.29 * hint) / (1 + math.exp(-(spread - 5) / 2)) * (1 - 0.12 * ramp((spread - 12) / 8))
+    part = [0.0] * n
+    for i, j, w in units:
+        part[i:j] = [x * w * again for x in lift[i:j]]
+    return crests([max(part[j] - 0.24 * abs(i - j) for j in range(n)) for i in range(n)], hint)
+
+
+def test_words(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    level = lambda i: -25 + rng.uniform(-1, 1) - (11 if i % 90 < 35 else 0)
+    made = {1: [(level(i), math.sin(i / 30), i not in (300, 330)) for i in range(420)], 2: [(level(i), None if i == 5 else 1.0, True) for i in range(90)], 3: [(-30.0 + i % 5, 11.0, True) for i in range(29)], 4: [(-25.0 - (12 if 60 <= i < 95 else 0), 0.0, True) for i in range(160)]}
+    voice = {k: [v[0] + math.sin(i) for i, v in enumerate(s)] for k, s in made.items()}
+    rows = [(k, i, *v, voice[k][i]) for k, s in made.items() for i, v in enumerate(s)]
+    d = spark.createDataFrame(rows, "k int, frame_idx long, db double, plan double, speech boolean, voice double").withColumn("floor", F.lit(-60.0))
+    want = {}
+    for k, s in made.items():
+        want[k] = [v[1] for v in s]
+        for a, b in spans(s):
+            if b - a >= 30 and ok(*(v[1] for v in s[a:b])):
+                want[k][a:b] = [min(HIGH, v[1] + x) for v, x in zip(s[a:b], words(s, a, b, voice[k], -60.0, 0.4))]
+    same(found(painting.stabilize_words(d, ["k"], "db", "voice", "plan", "speech", "floor", HIGH, 0.4, out="fixed")), want)
+    assert max(w - v[1] for w, v in zip(want[1], made[1])) > 0.5
+
+
+def test_edges(spark):
+    rng = random.Random(9)
+    made = {1: [(rng.uniform(-1, 1), rng.uniform(-2, 4), i not in (50, 51)) for i in range(120)], 2: [(0.0, 5.0, True)], 3: [(0.0, None if i == 3 else 5.0 * (i % 2), True) for i in range(9)]}
+    d = spark.createDataFrame([(k, i, *v) for k, s in made.items() for i, v in enumerate(s)], "k int, frame_idx long, old double, new double, speech boolean")
+    want = {}
+    for k, s in made.items():
+        want[k] = x = [v[1] for v in s]
+        for a, b in spans(s):
+            if ok(*x[a:b]):
+                step = lambda i: max(0.24, abs(s[i][0] - s[i - 1][0]))  # noqa: B023, E731
+                for i in range(a + 1, b):
+                    x[i] = min(x[i], x[i - 1] + step(i))
+                for i in range(b - 2, a - 1, -1):
+                    x[i] = min(x[i], x[i + 1] + step(i + 1))
+    same(found(painting.keep_edges(d, ["k"], "old", "new", "speech", out="fixed")), want)
+
+
 def test_no_rows(spark):
     from pyspark.sql import functions as F
 
