@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import percentiles as pct
 from cadenza.functions import scalar as sc
 from cadenza.operators import runs
+from cadenza.operators.windows import onward
 
 C = F.col
 #: Shoulders of a valley (ms) and how much of it is filled; context of an event (ms), how much of it counts,
@@ -168,7 +169,7 @@ def spread_lifts(lift: Column, by: list[str], slope: float = SLOPE) -> Column:
     """The least curve over `lift` that moves by at most `slope` a frame: a line falls to both sides of each frame."""
     w = Window.partitionBy(*by).orderBy("frame_idx")
     up = F.max(lift + C("frame_idx") * slope).over(w.rowsBetween(Window.unboundedPreceding, 0)) - C("frame_idx") * slope
-    down = F.max(lift - C("frame_idx") * slope).over(w.rowsBetween(0, Window.unboundedFollowing)) + C("frame_idx") * slope
+    down = F.max(lift - C("frame_idx") * slope).over(onward(by)) + C("frame_idx") * slope
     return F.greatest(up, down)
 
 
@@ -206,7 +207,7 @@ def hold_slopes(lift: Column, by: list[str], slope: float = SLOPE) -> Column:
     w = Window.partitionBy(*by).orderBy("frame_idx")
     at, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(*by))
     up = F.min(lift - C("frame_idx") * slope).over(w.rowsBetween(Window.unboundedPreceding, 0)) + C("frame_idx") * slope
-    down = F.min(lift + C("frame_idx") * slope).over(w.rowsBetween(0, Window.unboundedFollowing)) - C("frame_idx") * slope
+    down = F.min(lift + C("frame_idx") * slope).over(onward(by)) - C("frame_idx") * slope
     return F.least(up, down, at * slope, (n - at + 1) * slope)
 
 
@@ -279,7 +280,7 @@ def keep_edges(frames: DataFrame, keys: list[str], established: str, candidate:
     """
     by = [*keys, "__run"]
     w = Window.partitionBy(*by).orderBy("frame_idx")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), onward(by)
     old, new = _finite(C(established)), _finite(C(candidate))
     d = runs.with_run_id(frames, keys, body, out="__run").withColumn("__bad", F.max((old.isNull() | new.isNull()).cast("int")).over(Window.partitionBy(*by)))
     step = F.when(F.row_number().over(w) > 1, F.greatest(F.lit(SLOPE), F.abs(old - F.lag(old).over(w)))).otherwise(0.0)

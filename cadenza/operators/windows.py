@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,12 @@ def _around(keys: list[str], order: str, a: int, b: int):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(a, b)
 
 
+def onward(keys: list[str], order: str = "frame_idx") -> WindowSpec:
+    """From a frame to the end of its series, as a prefix of the reversed order: Spark adds a frame to a prefix, but works
+    out one that ends with the series anew for each row."""
+    return Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def moving_mean(x: str, keys: list[str], radius: int, order: str = "frame_idx") -> Column:
     """Centred mean, cut at the edges."""
     return F.avg(x).over(_around(keys, order, -radius, radius))
@@ -32,7 +38,7 @@ def active_distance(active: Column, keys: list[str], order: str = "frame_idx") -
     """Frames to the nearest active one; null in a series without any."""
     here = F.when(active, F.col(order))
     back = F.last(here, ignorenulls=True).over(_around(keys, order, Window.unboundedPreceding, 0))
-    ahead = F.first(here, ignorenulls=True).over(_around(keys, order, 0, Window.unboundedFollowing))
+    ahead = F.last(here, ignorenulls=True).over(onward(keys, order))
     return F.least(F.col(order) - back, ahead - F.col(order))
 
 
@@ -43,7 +49,7 @@ def slew_majorant(x: str, keys: list[str], step: float, order: str = "frame_idx"
     """
     i = F.col(order)
     forward = F.max(F.col(x) + step * i).over(_around(keys, order, Window.unboundedPreceding, 0)) - step * i
-    backward = F.max(F.col(x) - step * i).over(_around(keys, order, 0, Window.unboundedFollowing)) + step * i
+    backward = F.max(F.col(x) - step * i).over(onward(keys, order)) + step * i
     return F.greatest(forward, backward)
 
 
@@ -51,7 +57,7 @@ def slew_minorant(x: str, keys: list[str], step: float, order: str = "frame_idx"
     """The greatest curve under x that rises by at most `step` a frame in either direction."""
     i = F.col(order)
     forward = F.min(F.col(x) - step * i).over(_around(keys, order, Window.unboundedPreceding, 0)) + step * i
-    backward = F.min(F.col(x) + step * i).over(_around(keys, order, 0, Window.unboundedFollowing)) - step * i
+    backward = F.min(F.col(x) + step * i).over(onward(keys, order)) - step * i
     return F.least(forward, backward)
 
 
