@@ -21,6 +21,8 @@ def long_run(spark, n=300):
 
 @pytest.mark.parametrize("made", [
     lambda d: painting.keep_edges(d, ["series"], "gain", "other", "on"),
+    lambda d: d.select(painting.spread_lifts(C("gain"), ["series"]), painting.hold_slopes(C("gain"), ["series"])),
+    lambda d: painting.flatten_crests(d, ["series"], "gain"),
     lambda d: d.select(windows.active_distance(C("on"), ["series"])),
     lambda d: d.select(windows.slew_majorant("gain", ["series"], 0.1), windows.slew_minorant("gain", ["series"], 0.1)),
 ])
