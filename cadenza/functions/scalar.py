@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x with x worked out once, however often f names it: expressions stay as long as they are written."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 

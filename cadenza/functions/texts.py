@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cadenza.functions.scalar import clamp, half_up
+from cadenza.functions.scalar import clamp, half_up, let
 
 # White space inside a class, signs that file names may not hold, names that a system reserves, and
 # the words that mark a log line as important or a failure as worth a second try.
@@ -151,17 +151,19 @@ def is_recoverable(message: Column) -> Column:
 def clean_text(value: Column, fallback: str = "", most: int = 280) -> Column:
     """One line without control characters, cut to `most` characters; the fallback for null and for nothing left."""
     line = F.substring(trim(_replaced(value, (r"[\x00-\x1f\x7f]", " "), (rf"[{SPACE}]+", " "))), 1, most)
-    return F.when(line != "", line).otherwise(F.lit(fallback))
+    return let(line, lambda x: F.when(x != "", x).otherwise(F.lit(fallback)))
 
 
 def loose_number(value: Column) -> Column:
     """The number that a text writes, to three decimals with halves up; an empty text is 0, what is no number null."""
-    x = trim(value)
-    in_base = lambda base: F.conv(F.substr(x, F.lit(3)), base, 10).cast("double")
-    number = F.when(x == "", 0.0).when(x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), x.try_cast("double"))
-    for sign, digits, base in (("x", "0-9a-f", 16), ("o", "0-7", 8), ("b", "01", 2)):
-        number = number.when(x.rlike(rf"(?i)^0{sign}[{digits}]+\z"), in_base(base))
-    return F.when(F.abs(number) < float("inf"), F.floor(number * 1000 + 0.5) / 1000)
+    def number(x: Column) -> Column:
+        in_base = lambda base: F.conv(F.substr(x, F.lit(3)), base, 10).cast("double")
+        out = F.when(x == "", 0.0).when(x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), x.try_cast("double"))
+        for sign, digits, base in (("x", "0-9a-f", 16), ("o", "0-7", 8), ("b", "01", 2)):
+            out = out.when(x.rlike(rf"(?i)^0{sign}[{digits}]+\z"), in_base(base))
+        return out
+
+    return let(let(trim(value), number), lambda n: F.when(F.abs(n) < float("inf"), F.floor(n * 1000 + 0.5) / 1000))
 
 
 def pair_spec(spec: Column) -> Column:

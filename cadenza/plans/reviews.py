@@ -16,7 +16,8 @@ _LAST = ',\n"adaptiveDirectives": {"warmthDb": %s,\n"levelerBias": %s}}]}'
 
 def answers(spark, sf_dir):
     """orders with answer: plain, fenced, within prose, with commas too many, with commas missing, or cut off."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = o.repartition(3 * spark.sparkContext.defaultParallelism, "o_orderkey")  # few bytes a row, but much work
     warmth = ((C("o_custkey") % 50 - 25) / 10).cast("string")
     warmth = F.when(C("o_orderkey") % 2 == 1, F.concat(F.lit('"'), warmth, F.lit('"'))).otherwise(warmth)
     verdict = F.when(C("o_orderstatus") == "F", "risky").when(C("o_orderstatus") == "O", "ready").otherwise("unknown")
@@ -33,9 +34,9 @@ def answers(spark, sf_dir):
     return o.select("o_orderkey", "o_custkey", text.alias("answer"))
 
 
-def reviewed(spark, sf_dir):
+def reviewed(spark, sf_dir, *fields: str):
     d = answers(spark, sf_dir).withColumn("v", reviews.parsed(C("answer")))
-    return d.select("o_orderkey", "o_custkey", reviews.review(C("v")).alias("review"))
+    return d.select("o_orderkey", "o_custkey", reviews.review(C("v"), *fields).alias("review"))
 
 
 EXPECTED = """WITH ex AS (SELECT o_orderkey, o_custkey, o_orderkey % 6 < 5 AS fine, CASE o_orderstatus WHEN 'F' THEN 'risky' WHEN 'O' THEN 'ready' ELSE 'adjust' END AS verdict, least(1, o_custkey % 140 / 100.0::DOUBLE) AS confidence,
@@ -45,7 +46,7 @@ EXPECTED = """WITH ex AS (SELECT o_orderkey, o_custkey, o_orderkey % 6 < 5 AS fi
 @query(EXPECTED + """ SELECT o_orderkey, CASE WHEN fine THEN verdict END AS verdict, CASE WHEN fine THEN round(confidence, 6) END AS confidence, CASE WHEN fine THEN array_to_string(rails, '|') END AS guardrails, CASE WHEN fine THEN file_name END AS file_name,
  CASE WHEN fine THEN round(warmth, 6) END AS warmth, CASE WHEN fine THEN round(leveler, 6) END AS leveler, CASE WHEN fine THEN abs(warmth) >= 0.05 OR abs(leveler) >= 0.05 END AS moved FROM ex""")
 def mended_reviews(spark, sf_dir):
-    d = reviewed(spark, sf_dir)
+    d = reviewed(spark, sf_dir, "verdict", "guardrails", "perFileProfiles")
     first = F.get(C("review")["perFileProfiles"], F.lit(0))
     directives = first["adaptiveDirectives"]
     return d.select(
@@ -59,7 +60,7 @@ def mended_reviews(spark, sf_dir):
  SELECT o_custkey, ['ready', 'adjust', 'risky'][w + 1] AS verdict, round(least(1, c), 6) AS confidence, parts, guardrails FROM g JOIN l USING (o_custkey)""")
 def merged_reviews(spark, sf_dir):
     """A customer's orders as the parts of one review."""
-    d = reviews.merge_chunks(reviewed(spark, sf_dir), ["o_custkey"], "o_orderkey", "review")
+    d = reviews.merge_chunks(reviewed(spark, sf_dir, *reviews.MERGED), ["o_custkey"], "o_orderkey", "review")
     return d.select("o_custkey", "verdict", r("confidence").alias("confidence"), "parts", F.array_join("guardrails", "|").alias("guardrails"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.functions import reviews
 from cadenza.operators import painting, windows
 
 C = F.col
@@ -40,3 +41,17 @@ def test_kept_edges_of_a_run(spark):
     for k in range(len(held) - 2, -1, -1):
         held[k] = min(held[k], held[k + 1] + step[k])
     assert max(abs(a - r["held"]) for a, r in zip(held, rows)) < 1e-9
+
+
+def test_answers_are_parsed_once_when_merged(spark):
+    """A filter on the reviews would be pushed to the source with all the parsing in it."""
+    rows = [(1, 2, '{"verdict": "risky", "guardrails": ["b"]}'), (1, 1, '{"verdict": "ready", "guardrails": ["a"]}'), (1, 3, "none"), (2, 1, "none")]
+    d = spark.createDataFrame(rows, "k int, at int, answer string").withColumn("v", reviews.parsed(C("answer")))
+    d = reviews.merge_chunks(d.select("k", "at", reviews.review(C("v"), *reviews.MERGED).alias("review")), ["k"], "at", "review")
+    assert not [line for line in plan(d).splitlines() if "Filter" in line and "RLIKE" in line]
+    assert [(r["k"], r["verdict"], r["parts"], r["guardrails"]) for r in d.collect()] == [(1, "risky", 2, ["a", "b"])]
+
+
+def test_review_of_named_fields(spark):
+    d = spark.createDataFrame([('{"verdict": "risky", "confidence": 0.5}',)], "answer string").withColumn("v", reviews.parsed(C("answer")))
+    assert d.select(reviews.review(C("v"), "verdict").alias("r")).select("r.*").columns == ["verdict", "confidence"]
