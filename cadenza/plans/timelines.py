@@ -62,7 +62,8 @@ def merged_segments(spark, sf_dir):
 
     speech, silences, _ = hours(spark, sf_dir)
     parts = speech.withColumn("process", F.lit(True)).unionByName(silences.withColumn("process", F.lit(False)))
-    parts = parts.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("s_start")) - 1).alias("segment"), C("s_start").alias("seg_start"), C("s_end").alias("seg_end"), "process")
+    # a span without length starts with the silence after it and comes first
+    parts = parts.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("s_start", "s_end")) - 1).alias("segment"), C("s_start").alias("seg_start"), C("s_end").alias("seg_end"), "process")
     parts = parts.withColumns({"trim_in_ms": F.lit(0), "trim_out_ms": F.lit(0), "guarded": F.lit(False)})
     d = rendering.merge_for_risk(parts, KEY, 6.0, 20)
     return d.select("user_id", "segment", "parts", r("seg_start").alias("seg_start"), r("seg_end").alias("seg_end"), "process")
