@@ -40,6 +40,11 @@ def power_mean_db(db: Column) -> Column:
     return 10 * F.log10(F.avg(F.pow(F.lit(10.0), db / 10)) + 1e-30)
 
 
+def ordered_sum(x: Column) -> Column:
+    """Aggregate: the sum from the smallest up, the same to the last bit however rows are dealt; for small groups."""
+    return F.aggregate(F.sort_array(F.collect_list(x)), F.lit(0.0), lambda a, v: a + v)
+
+
 def smooth_ramp(x: Column, start: float, full: float) -> Column:
     """3t^2 - 2t^3 of how far x is from start to full."""
     t = unit((x - start) / (full - start))

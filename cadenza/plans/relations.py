@@ -140,7 +140,7 @@ def rule_assessment(spark, sf_dir):
     c, ending, conf = F.col, F.col("ending"), F.col("conf")
     d = gated(spark, sf_dir).groupBy("l_orderkey").agg(
         F.count_if((ending > 0.8) & (conf > 0.7)).alias("cf"), F.count_if((ending > 0.8) & (conf <= 0.7)).alias("f"), F.count_if(ending.between(0.45, 0.65)).alias("mw"),
-        F.count_if(conf > 0.9).alias("w"), F.sum("penalty").alias("pen"), (F.max("off") * 500).alias("learned"),
+        F.count_if(conf > 0.9).alias("w"), sc.ordered_sum(c("penalty")).alias("pen"), (F.max("off") * 500).alias("learned"),
     )
     d = d.withColumn("risk", scoring.assessment_risk(*(c(x) for x in ("cf", "f", "mw", "w", "pen", "learned"))))
     d = d.withColumn("rival", F.when(c("l_orderkey") % 2 == 0, c("risk") * 0.7))

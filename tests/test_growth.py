@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import reviews
+from cadenza.functions import scalar as sc
 from cadenza.operators import painting, windows
+from cadenza.plans import timelines
 
 C = F.col
 
@@ -55,3 +57,23 @@ def test_answers_are_parsed_once_when_merged(spark):
 def test_review_of_named_fields(spark):
     d = spark.createDataFrame([('{"verdict": "risky", "confidence": 0.5}',)], "answer string").withColumn("v", reviews.parsed(C("answer")))
     assert d.select(reviews.review(C("v"), "verdict").alias("r")).select("r.*").columns == ["verdict", "confidence"]
+
+
+def test_sums_do_not_depend_on_how_rows_are_dealt(spark):
+    values = [0.1, 0.7, 1e16, 0.3, -1e16, 0.2]
+    ways = [values, values[::-1], values[3:] + values[:3]]
+    got = {spark.createDataFrame([(v,) for v in way], "x double").repartition(3).agg(sc.ordered_sum(C("x"))).first()[0] for way in ways}
+    assert len(got) == 1
+
+
+def test_span_without_length_comes_before_its_silence(spark, monkeypatch):
+    speech = spark.createDataFrame([(1, 5.0, 5.0), (1, 0.0, 2.0), (1, 9.0, 10.0)], "user_id int, s_start double, s_end double")
+    silences = spark.createDataFrame([(1, 5.0, 9.0), (1, 2.0, 5.0)], "user_id int, s_start double, s_end double")
+    orders = [(a, b) for a in (speech, speech.orderBy("s_end")) for b in (silences, silences.orderBy("s_end"))]
+    for a, b in orders + [(b, a) for a, b in orders]:
+        monkeypatch.setattr(timelines, "hours", lambda *_, a=a, b=b: (a, b, None))
+        rows = sorted(timelines.merged_segments(spark, None).collect())
+        spans = {(r["seg_start"], r["seg_end"]) for r in rows}
+        assert len(rows) == 5 and (5.0, 5.0) in spans
+        place = {(r["seg_start"], r["seg_end"]): r["segment"] for r in rows}
+        assert place[5.0, 5.0] == 2 and place[5.0, 9.0] == 3
