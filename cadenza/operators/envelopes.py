@@ -60,11 +60,12 @@ def alignment(source: DataFrame, candidate: DataFrame, keys: list[str], frame_ms
     """
     most = int(SEARCH_MS // frame_ms)
     n = source.groupBy(*keys).agg((F.max("frame_idx") + 1).alias("__ns")).join(candidate.groupBy(*keys).agg((F.max("frame_idx") + 1).alias("__nc")), keys)
-    heard = source.where("support").select(*keys, "frame_idx", C("frame_db").alias("__a"))
-    pairs = joins.lagged_pairs(heard.where("__a is not null"), candidate.select(*keys, "frame_idx", C("frame_db").alias("__b")).where("__b is not null"), keys, range(-most, most + 1)).join(n, keys)
+    heard = source.where("support").select(*keys, "frame_idx", C("frame_db").alias("__a")).where("__a is not null").join(n, keys)
     start = F.greatest(F.lit(0), -C("lag"))
     stride = F.greatest(F.lit(1), F.floor((F.least("__ns", C("__nc") - C("lag")) - start) / SAMPLES))
-    taken = pairs.where((C("frame_idx") - start) % stride == 0).select(*keys, "lag", (C("__b") - C("__a")).alias("__d"))
+    other = candidate.select(*keys, "frame_idx", C("frame_db").alias("__b")).where("__b is not null")
+    pairs = joins.lagged_pairs(heard, other, keys, range(-most, most + 1), taken=(C("frame_idx") - start) % stride == 0)
+    taken = pairs.select(*keys, "lag", (C("__b") - C("__a")).alias("__d"))
     spread = taken.withColumn("__m", F.median("__d").over(Window.partitionBy(*keys, "lag"))).groupBy(*keys, "lag").agg(F.median(F.abs(C("__d") - C("__m"))).alias("score"), F.count("*").alias("pairs"))
     listed = spread.where(C("pairs") >= LEAST_FRAMES).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lag", "score"))).alias("__all"))  # a lag each
     zero = F.filter("__all", lambda s: s["lag"] == 0)[0]

@@ -28,9 +28,14 @@ def before_after(df: DataFrame, key: str, role: Column, order: list[Column], met
     return picked.select(key, *cols)
 
 
-def lagged_pairs(left: DataFrame, right: DataFrame, keys: list[str], lags: range, order: str = "frame_idx") -> DataFrame:
-    """left joined to right shifted by each lag: right frame = left frame + lag. The lag list is a literal."""
+def lagged_pairs(left: DataFrame, right: DataFrame, keys: list[str], lags: range, order: str = "frame_idx", taken: Column | None = None) -> DataFrame:
+    """left joined to right shifted by each lag: right frame = left frame + lag. The lag list is a literal.
+
+    `taken`, of left's columns and lag, says which pairs are wanted; the others are not made, nor shuffled.
+    """
     shifted = left.select("*", F.explode(F.array(*(F.lit(k).cast("long") for k in lags))).alias("lag"))
+    if taken is not None:
+        shifted = shifted.where(taken)
     return shifted.withColumn("__at", F.col(order) + F.col("lag")).join(right.withColumnRenamed(order, "__at"), [*keys, "__at"]).drop("__at")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import reviews
 from cadenza.functions import scalar as sc
-from cadenza.operators import painting, windows
+from cadenza.operators import joins, painting, windows
 from cadenza.plans import timelines
 
 C = F.col
@@ -77,3 +77,22 @@ def test_span_without_length_comes_before_its_silence(spark, monkeypatch):
         assert len(rows) == 5 and (5.0, 5.0) in spans
         place = {(r["seg_start"], r["seg_end"]): r["segment"] for r in rows}
         assert place[5.0, 5.0] == 2 and place[5.0, 9.0] == 3
+
+
+def test_pairs_that_are_not_taken_are_not_shuffled(spark):
+    d = long_run(spark).select("series", "frame_idx", "gain")
+    other, taken = d.withColumnRenamed("gain", "later"), (C("frame_idx") + C("lag")) % 7 == 0
+    few = joins.lagged_pairs(d, other, ["series"], range(-2, 3), taken=taken)
+    every = joins.lagged_pairs(d, other, ["series"], range(-2, 3)).where(taken)
+    assert sorted(few.collect()) == sorted(every.collect())
+    lines = plan(few).splitlines()
+    assert min(k for k, line in enumerate(lines) if "% 7" in line) > min(k for k, line in enumerate(lines) if "Join" in line)
+
+
+def test_alignment_of_long_series_shuffles_few_pairs(spark):
+    from cadenza.operators import envelopes
+
+    d = long_run(spark, 30).select("series", "frame_idx", C("gain").alias("frame_db"), F.lit(True).alias("support"))
+    lines = plan(envelopes.alignment(d, d, ["series"], 20.0)).splitlines()
+    stride = [k for k, line in enumerate(lines) if "Filter" in line and "20000" in line]
+    assert stride and all(any("Generate" in line for line in lines[k : k + 3]) for k in stride)
