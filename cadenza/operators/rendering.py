@@ -19,6 +19,8 @@ from cadenza.operators import intervals, sequential
 TARGET, MOST, EARLIEST, LEAST_SILENCE, LONG_SILENCE = 30.0, 42.0, 0.55, 0.4, 0.5
 PAD_IN, PAD_IN_GUARDED, PAD_OUT, PAD_OUT_GUARDED, TAIL, TAIL_GUARDED = 160, 240, 320, 580, 140, 220
 LEAST_SPEECH = 0.01
+#: Cuts that wait to be handed back together.
+_HELD = 1_000
 
 
 class _Cuts:
@@ -26,7 +28,7 @@ class _Cuts:
 
     def __init__(self, keys: list[str], start: str, end: str, total: str, target: float, most: float):
         self.keys, self.columns, self.total, self.target, self.most = keys, (start, end), total, target, most
-        self.cursor, self.number, self.spans, self.row = 0.0, 0, [], None
+        self.cursor, self.number, self.spans, self.found, self.row = 0.0, 0, [], [], None
 
     def _settle(self, upto: float) -> list[tuple]:
         out, whole = [], float(self.length)
@@ -43,29 +45,30 @@ class _Cuts:
             self.spans = [s for s in self.spans if s[1] >= cut]
         return out
 
-    def _rows(self, found: list[tuple]) -> pd.DataFrame | None:
-        if not found:
+    def _rows(self, rest: int = 0) -> pd.DataFrame | None:
+        if len(self.found) <= rest:
             return None
-        out = pd.DataFrame(found, columns=["segment", "seg_start", "seg_end", "quiet_start", "quiet_end"])
-        for k in self.keys:
-            out[k] = pd.Series([self.row[k]] * len(out), dtype=object if self.row[k] is None else None)
-        return out[[*self.keys, *out.columns[:5]]]
+        out = {k: pd.Series([v] * len(self.found), dtype=object if v is None else None) for k, v in self.row.items()}
+        out |= zip(("segment", "seg_start", "seg_end", "quiet_start", "quiet_end"), zip(*self.found))
+        self.found = []
+        return pd.DataFrame(out)
 
     def feed(self, rows: pd.DataFrame) -> pd.DataFrame | None:
         if self.row is None:
-            self.row, self.length = rows.iloc[0], rows[self.total].iloc[0]
-        found = []
+            self.row, self.length = {k: rows[k].iat[0] for k in self.keys}, rows[self.total].iat[0]
         if not (math.isfinite(self.length) and self.length > 0):
             return None
         for a, b in zip(*(rows[c] for c in self.columns)):
             if a == a and b == b:  # a series without silences comes as one row of nulls
-                found += self._settle(a)
+                self.found += self._settle(a)
                 self.spans.append((a, b))
-        return self._rows(found)
+        return self._rows(_HELD)
 
     def end(self) -> pd.DataFrame | None:
-        return self._rows(self._settle(math.inf)) if math.isfinite(self.length) and self.length > 0 else None
-
+        if not (math.isfinite(self.length) and self.length > 0):
+            return None
+        self.found += self._settle(math.inf)
+        return self._rows()
 
 
 def cuts(silences: DataFrame, lengths: DataFrame, keys: list[str], start: str, end: str, total: str, target: float = TARGET, most: float = MOST) -> DataFrame:

@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 
 
+#: Rows that are handed back at a time.
+_ROWS = 5_000
+
+
 class Rule(Protocol):
     """A fresh one serves each series. Both methods may give back rows, or None."""
 
@@ -33,10 +37,26 @@ def key_starts(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def gathered(frames: Iterator[pd.DataFrame], rows: int = _ROWS) -> Iterator[pd.DataFrame]:
+    """The same rows in fewer frames: what short series give back is put together."""
+    held, many = [], 0
+    for d in frames:
+        held.append(d)
+        many += len(d)
+        if many >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, many = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def over_sorted(df: DataFrame, keys: list[str], order: list[str | Column], make: Callable[[], Rule], schema: str) -> DataFrame:
     """What the rules made by `make` give back for the rows of each series in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return gathered(walked(batches))
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, rule = None, None
         for batch in batches:
             if not len(batch):
@@ -53,7 +73,10 @@ def over_sorted(df: DataFrame, keys: list[str], order: list[str | Column], make:
         if rule is not None and (rest := rule.end()) is not None:
             yield rest
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # a fixed number of parts: by their bytes Spark would leave the work of many short series to one task
+    spark = df.sparkSession
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def schema_with(df: DataFrame, *more: str) -> str:

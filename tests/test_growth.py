@@ -96,3 +96,14 @@ def test_alignment_of_long_series_shuffles_few_pairs(spark):
     lines = plan(envelopes.alignment(d, d, ["series"], 20.0)).splitlines()
     stride = [k for k, line in enumerate(lines) if "Filter" in line and "20000" in line]
     assert stride and all(any("Generate" in line for line in lines[k : k + 3]) for k in stride)
+
+
+def test_rows_of_short_series_are_handed_back_together():
+    import pandas as pd
+
+    from cadenza.operators import sequential
+
+    short = [pd.DataFrame({"k": [n], "x": [0.5]}) for n in range(100)]
+    out = list(sequential.gathered(iter(short), 40))
+    assert [len(d) for d in out] == [40, 40, 20] and pd.concat(out)["k"].tolist() == list(range(100))
+    assert list(sequential.gathered(iter([]), 40)) == []
