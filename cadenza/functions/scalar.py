@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,3 +83,10 @@ def null_aware_mean(*pairs: tuple[Column, float]) -> Column:
     total = sum((F.when(x.isNotNull(), F.lit(w)).otherwise(0.0) for x, w in pairs), F.lit(0.0))
     value = sum((F.coalesce(x * w, F.lit(0.0)) for x, w in pairs), F.lit(0.0))
     return F.when(total > 0, value / total)
+
+
+def with_facts(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """df with the other columns of facts (one row for each key); null keys are equal to each other."""
+    named = facts.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys))
+    return df.join(named, on, how).drop(*(f"__key_{k}" for k in keys))

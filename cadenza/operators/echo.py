@@ -12,8 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import percentiles as pct
 from cadenza.functions import scalar as sc
-from cadenza.operators import runs, sequential
+from cadenza.operators import blocks, sequential
 
 C = F.col
 #: The tap's range, the least current sample, mix and stride; of tails the least run before them, where they
@@ -58,40 +59,39 @@ def delay_blend(frames: DataFrame, taps: DataFrame, keys: list[str], size: int,
     return d.withColumn(samples, F.when(F.abs(tap) >= LEAST_TAP, cut).otherwise(plain)).drop("__first", "__back", "__tap")
 
 
-def _since(frames: DataFrame, keys: list[str]) -> DataFrame:
+def _since(frames: DataFrame, keys: list[str], run: str | None = None) -> DataFrame:
     """frames (with speech) with __since (frames since speech; null before any) and __run (frames of the last run of it)."""
-    d = runs.with_run_id(frames, keys, "speech", out="__id")
-    back = Window.partitionBy(*keys).orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.count("*").over(Window.partitionBy(*keys, "__id"))
-    d = d.withColumn("__size", size).withColumn("__in", C("frame_idx") - F.min("frame_idx").over(Window.partitionBy(*keys, "__id")) + 1)
-    last = lambda x: F.last(F.when(C("speech"), x), ignorenulls=True).over(back)
-    return d.withColumn("__since", C("frame_idx") - last(C("frame_idx"))).withColumn("__run", last(C("__size"))).drop("__id", "__size")
+    d = blocks.with_run_id(frames, keys, "speech", out="__id") if run is None else frames.withColumn("__id", C(run))
+    sizes = d.groupBy(*keys, "__id").agg(F.count("*").alias("__size"), F.min("frame_idx").alias("__first"))
+    d = sc.with_facts(d, sizes, [*keys, "__id"]).withColumn("__in", C("frame_idx") - C("__first") + 1)
+    d = blocks.last_known(d, keys, {"__last": F.when(C("speech"), C("frame_idx")), "__run": F.when(C("speech"), C("__size"))})
+    return d.withColumn("__since", C("frame_idx") - C("__last")).drop("__id", "__size", "__first", "__last")
 
 
 def _closing(n: Column, depth: float, floor: float, start: int, full: int) -> Column:
     return F.greatest(F.lit(floor), 1 - depth * sc.unit(n / max(1, full - start)))
 
 
-def strict_targets(frames: DataFrame, keys: list[str], o: dict = STRICT) -> DataFrame:
+def strict_targets(frames: DataFrame, keys: list[str], o: dict = STRICT, run: str | None = None) -> DataFrame:
     """frames (with speech) with target: after a run of speech the gain closes within a few frames."""
-    d = _since(frames, keys)
+    d = _since(frames, keys, run)
     tail = ~C("speech") & (C("__run") >= o["least_run"]) & (C("__since") >= o["start"])
     closing = _closing(C("__since") - o["start"], o["depth"], o["floor"], o["start"], o["full"])
     return d.withColumn("target", F.when(tail, closing).otherwise(1.0)).drop("__since", "__run", "__in")
 
 
-def finishing_targets(frames: DataFrame, keys: list[str], frame_ms: float, db: str = "db", o: dict = FINISH) -> DataFrame:
+def finishing_targets(frames: DataFrame, keys: list[str], frame_ms: float, db: str = "db", o: dict = FINISH, run: str | None = None) -> DataFrame:
     """frames (with speech and a level) with target: the gain closes slowly after speech, and on speech that decays away
     from its body (the series' p85) with no strong frame to come within 260 ms."""
-    w = Window.partitionBy(*keys)
-    ordered = w.orderBy("frame_idx")
-    d = _since(frames, keys).withColumn("__body", F.percentile(db, F.lit(0.85)).over(w))
-    strong = C(db) >= C("__body") - BODY_DROP
     ahead = max(o["full"], math.floor(AHEAD_MS / frame_ms + 0.5))
-    coming = F.coalesce(F.max(strong.cast("int")).over(ordered.rowsBetween(1, ahead - 1)), F.lit(0)) > 0
-    last = F.last(F.when(C("speech") & strong, C("frame_idx")), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    away = F.coalesce(C("frame_idx") - last, C("frame_idx") + 10_000)  # a series starts far from any body
-    d = d.withColumn("__away", away).withColumn("__coming", coming)
+    next_ones = Window.partitionBy(*keys, "__block").orderBy("frame_idx").rowsBetween(1, ahead - 1)
+    d = sc.with_facts(_since(frames, keys, run), pct.placed(frames, keys, {"__body": (db, 0.85)}).drop("__n"), keys)
+    strong = C(db) >= C("__body") - BODY_DROP
+    d = blocks.last_known(d, keys, {"__last": F.when(C("speech") & strong, C("frame_idx"))})
+    d = blocks.beside_blocks(d, ahead)
+    coming = F.coalesce(F.max(strong.cast("int")).over(next_ones), F.lit(0)) > 0
+    away = F.coalesce(C("frame_idx") - C("__last"), C("frame_idx") + 10_000)  # a series starts far from any body
+    d = blocks.of_blocks(d.withColumn("__away", away).withColumn("__coming", coming)).drop("__last")
     closing = lambda n: _closing(n - o["start"], o["depth"], o["floor"], o["start"], o["full"])
     decays = C("speech") & ~strong & (C("__in") >= o["least_run"]) & (C("__away") >= o["start"]) & (C(db) <= C("__body") - TAIL_DROP) & ~C("__coming")
     tail = ~C("speech") & (C("__run") >= o["least_run"]) & (C("__since") >= o["start"])
@@ -100,13 +100,21 @@ def finishing_targets(frames: DataFrame, keys: list[str], frame_ms: float, db: s
 
 
 def asymmetric(frames: DataFrame, keys: list[str], target: str, attack: float, release: float, out: str = "gain", start: float = 1.0) -> DataFrame:
-    """frames with a curve that goes a share of the way to its target each frame: `attack` downward, `release` upward."""
+    """frames with a curve that goes a share of the way to its target each frame: `attack` downward, `release` upward.
+
+    What a gain was fades by the slower of the two shares each frame: a block that starts as many frames earlier as leave
+    1e-17 of it gives the same gains, so long series are dealt by blocks.
+    """
 
     def step(row: tuple, last: float) -> tuple:
         now = last + (row[0] - last) * (attack if row[0] < last else release)
         return now, now
 
-    return sequential.stepwise(frames, keys, ["frame_idx"], [target], out, "double", step, start)
+    slowest = 1 - min(attack, release)
+    if slowest >= 1:  # a gain that stays where it is has no end to its memory
+        return sequential.stepwise(frames, keys, ["frame_idx"], [target], out, "double", step, start)
+    d = blocks.beside_blocks(frames, math.ceil(math.log(1e-17) / math.log(slowest)) if slowest > 0 else 1)
+    return blocks.of_blocks(sequential.stepwise(d, [*keys, "__block"], ["frame_idx"], [target], out, "double", step, start))
 
 
 def apply_gains(frames: DataFrame, keys: list[str], samples: str = "samples", gain: str = "gain") -> DataFrame:

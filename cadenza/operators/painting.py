@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import percentiles as pct
 from cadenza.functions import scalar as sc
-from cadenza.operators import runs
+from cadenza.operators import blocks, runs
 from cadenza.operators.windows import onward
+from cadenza.sources.tables import kept
 
 C = F.col
 #: Shoulders of a valley (ms) and how much of it is filled; context of an event (ms), how much of it counts,
@@ -41,7 +42,12 @@ def _finite(x: Column) -> Column:
     return F.when(sc.is_finite(x), x.cast("double"))
 
 
-def relax_valleys(frames: DataFrame, keys: list[str], source: str, gain: str, body: str, frame_ms: float = 10.0, out: str = "gain") -> DataFrame:
+def _numbered(frames: DataFrame, keys: list[str], body: str, run: str | None) -> DataFrame:
+    """frames with __run; `run` is a column that numbers the runs already, so that nothing is put in order by series."""
+    return runs.with_run_id(frames, keys, body, out="__run") if run is None else frames.withColumn("__run", C(run))
+
+
+def relax_valleys(frames: DataFrame, keys: list[str], source: str, gain: str, body: str, frame_ms: float = 10.0, out: str = "gain", run: str | None = None) -> DataFrame:
     """frames with `out`: the gain, lifted where it digs a short valley into speech.
 
     A valley is measured from the lower of two shoulders, 60 to 140 ms away on both sides; what the source has of it
@@ -52,7 +58,7 @@ def relax_valleys(frames: DataFrame, keys: list[str], source: str, gain: str, bo
     w = Window.partitionBy(*keys, "__run").orderBy("frame_idx")
     sides = w.rowsBetween(-outer, -inner), w.rowsBetween(inner, outer)
     level, plan = _finite(C(source)), _finite(C(gain))
-    d = runs.with_run_id(frames, keys, body, out="__run")
+    d = _numbered(frames, keys, body, run)
     d = d.withColumn("__s", F.when(plan.isNotNull(), level)).withColumn("__o", level + plan)
     whole = lambda c, side: F.when(F.count(c).over(side) == outer - inner + 1, F.avg(c).over(side))
     for k, side in enumerate(sides):
@@ -81,12 +87,12 @@ def event_level(frames: DataFrame, by: list[str], source: str, frame_ms: float)
     return 10 * F.log10(F.greatest(F.lit(0.0), weighted(power) / weighted(F.when(power.isNotNull(), 1.0))) + 1e-30)
 
 
-def limit_authority(frames: DataFrame, keys: list[str], source: str, gain: str, body: str, target_db: float | Column, frame_ms: float = 10.0, out: str = "gain") -> DataFrame:
+def limit_authority(frames: DataFrame, keys: list[str], source: str, gain: str, body: str, target_db: float | Column, frame_ms: float = 10.0, out: str = "gain", run: str | None = None) -> DataFrame:
     """frames with `out`: lifts in speech cut to what an event still lacks of the target level.
 
     A loud event within a quiet run keeps its own level; nothing falls below it, and cuts stay as they are.
     """
-    d = runs.with_run_id(frames, keys, body, out="__run")
+    d = _numbered(frames, keys, body, run)
     d = d.withColumn("__around", event_level(d, [*keys, "__run"], source, frame_ms))
     level, plan = _finite(C(source)), _finite(C(gain))
     here = level + (C("__around") - level) * LENDING
@@ -148,14 +154,14 @@ def run_trends(frames: DataFrame, by: list[str], level: str, gain: str, frame_ms
     return d.select(*by, rising.alias("rising"), F.when((trend > 0) & (wanted > 0), F.least(F.lit(MOST_LIFT), wanted / apart)).alias("lift"))
 
 
-def balance_trends(frames: DataFrame, keys: list[str], level: str, gain: str, body: str, floor: str, most_gain: float, frame_ms: float = 10.0, out: str = "gain") -> DataFrame:
+def balance_trends(frames: DataFrame, keys: list[str], level: str, gain: str, body: str, floor: str, most_gain: float, frame_ms: float = 10.0, out: str = "gain", run: str | None = None) -> DataFrame:
     """frames with `out`: a smooth lift of the weak end of runs whose level rises or falls far and steadily.
 
     The lift fades near the noise floor and ends at `most_gain`; it never lowers a gain within that.
     """
     by = [*keys, "__run"]
     part = Window.partitionBy(*by)
-    d = runs.with_run_id(frames, keys, body, out="__run")
+    d = _numbered(frames, keys, body, run)
     d = d.withColumn("__n", F.count("*").over(part)).withColumn("__at", C("frame_idx") - F.min("frame_idx").over(part))
     d = d.join(run_trends(d.where(C(body)), by, level, gain, frame_ms).withColumnsRenamed({"rising": "__rising", "lift": "__lift"}), by, "left")
     ramp = sc.smooth_ramp(C("__at") / F.greatest(F.lit(1), C("__n") - 1), 0, 1)
@@ -173,7 +179,7 @@ def spread_lifts(lift: Column, by: list[str], slope: float = SLOPE) -> Column:
     return F.greatest(up, down)
 
 
-def recover_valleys(frames: DataFrame, keys: list[str], source: str, level: str, gain: str, body: str, most_gain: float, frame_ms: float = 10.0, out: str = "gain") -> DataFrame:
+def recover_valleys(frames: DataFrame, keys: list[str], source: str, level: str, gain: str, body: str, most_gain: float, frame_ms: float = 10.0, out: str = "gain", run: str | None = None) -> DataFrame:
     """frames with `out`: lifts of short valleys that source and body level share and that recur within a run.
 
     A lift grows with the run's evidence by length and leans on slopes of 0.24 dB a frame. A series with a level or gain
@@ -186,7 +192,7 @@ def recover_valleys(frames: DataFrame, keys: list[str], source: str, level: str,
     part = Window.partitionBy(*by)
     w = part.orderBy("frame_idx")
     bad = F.max((_finite(C(source)).isNull() | _finite(C(level)).isNull() | _finite(C(gain)).isNull()).cast("int"))
-    d = runs.with_run_id(frames, keys, body, out="__run").withColumn("__bad", bad.over(Window.partitionBy(*keys)))
+    d = sc.with_facts(_numbered(frames, keys, body, run), kept(frames.groupBy(*keys).agg(bad.alias("__bad")), "missing"), keys)
 
     def dug(x: Column) -> Column:
         sides = F.avg(x).over(w.rowsBetween(-outer, -inner - 1)), F.avg(x).over(w.rowsBetween(inner + 1, outer))
@@ -202,17 +208,24 @@ def recover_valleys(frames: DataFrame, keys: list[str], source: str, level: str,
     return d.withColumn(out, lifted).drop("__run", "__bad", "__dug", "__lift")
 
 
-def hold_slopes(lift: Column, by: list[str], slope: float = SLOPE) -> Column:
-    """The largest curve under `lift` that moves by at most `slope` a frame and is 0 just outside its run."""
+def hold_slopes(lift: Column, by: list[str], slope: float = SLOPE, at: Column | None = None, n: Column | None = None) -> Column:
+    """The largest curve under `lift` that moves by at most `slope` a frame and is 0 just outside its run.
+
+    A frame's place in its run (from 1) and the run's length are given where `by` is a part of a run.
+    """
     w = Window.partitionBy(*by).orderBy("frame_idx")
-    at, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(*by))
+    if at is None:
+        at, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(*by))
     up = F.min(lift - C("frame_idx") * slope).over(w.rowsBetween(Window.unboundedPreceding, 0)) + C("frame_idx") * slope
     down = F.min(lift + C("frame_idx") * slope).over(onward(by)) - C("frame_idx") * slope
     return F.least(up, down, at * slope, (n - at + 1) * slope)
 
 
-def flatten_crests(frames: DataFrame, by: list[str], lift: str, instability: float | Column = 0.5, frame_ms: float = 10.0) -> DataFrame:
-    """frames with `lift` lowered, twice, to what lies around it plus a small contrast; runs (`by`) of two shoulders stay."""
+def flatten_crests(frames: DataFrame, by: list[str], lift: str, instability: float | Column = 0.5, frame_ms: float = 10.0, at: Column | None = None, n: Column | None = None) -> DataFrame:
+    """frames with `lift` lowered, twice, to what lies around it plus a small contrast; runs (`by`) of two shoulders stay.
+
+    `at` and `n` as in hold_slopes.
+    """
     shoulder, core = _steps(SHOULDER_MS, frame_ms, 5), _steps(CORE_MS, frame_ms, 1)
     if core >= shoulder:
         return frames
@@ -220,17 +233,17 @@ def flatten_crests(frames: DataFrame, by: list[str], lift: str, instability: flo
     sides = w.rowsBetween(-shoulder, -core - 1), w.rowsBetween(core + 1, shoulder)
     hint = instability if isinstance(instability, Column) else F.lit(instability)
     most = CONTRAST + MORE_CONTRAST * sc.unit(hint)
-    many = F.count("*").over(Window.partitionBy(*by))
+    many = F.count("*").over(Window.partitionBy(*by)) if n is None else n
+    inner = (F.row_number().over(w) > shoulder) & (F.lead(F.lit(1), shoulder).over(w) == 1) if at is None else (at > shoulder) & (at + shoulder <= n)
     d = frames
     for _ in range(2):
         around = (F.avg(lift).over(sides[0]) + F.avg(lift).over(sides[1])) / 2
-        inner = (F.row_number().over(w) > shoulder) & (F.lead(F.lit(1), shoulder).over(w) == 1)
         d = d.withColumn("__flat", F.when(inner, F.least(C(lift), around + most)).otherwise(C(lift)))
-        d = d.withColumn(lift, F.when(many > 2 * shoulder, hold_slopes(C("__flat"), by)).otherwise(C(lift)))
+        d = d.withColumn(lift, F.when(many > 2 * shoulder, hold_slopes(C("__flat"), by, at=at, n=n)).otherwise(C(lift)))
     return d.drop("__flat")
 
 
-def stabilize_words(frames: DataFrame, keys: list[str], source: str, level: str, gain: str, body: str, floor: str, most_gain: float, instability: float = 0.5, frame_ms: float = 10.0, out: str = "gain") -> DataFrame:
+def stabilize_words(frames: DataFrame, keys: list[str], source: str, level: str, gain: str, body: str, floor: str, most_gain: float, instability: float = 0.5, frame_ms: float = 10.0, out: str = "gain", run: str | None = None) -> DataFrame:
     """frames with `out`: lifts of words that are low against their run's usual level, if several are.
 
     Source and body level must agree on what is low, and what the gain lifts already counts. One low stretch alone, however
@@ -240,35 +253,46 @@ def stabilize_words(frames: DataFrame, keys: list[str], source: str, level: str,
     size = _steps(WORD_MS, frame_ms, 1)
     half = max(1, size // 2)
     by = [*keys, "__run"]
-    part = Window.partitionBy(*by)
-    near = part.orderBy("frame_idx").rowsBetween(-half, half)
+    near = Window.partitionBy(*by, "__block").orderBy("frame_idx").rowsBetween(-half, half)
     over = lambda v: F.greatest(F.lit(0.0), F.when(v > 0, sc.soft_plus(v, WORD_KNEE) - WORD_KNEE * math.log(2)))
     mean = lambda x: 10 * F.log10(F.avg(F.pow(F.lit(10.0), x / 10)).over(near) + 1e-30)
     raw, own, plan = _finite(C(source)), _finite(C(level)), _finite(C(gain))
-    d = runs.with_run_id(frames, keys, body, out="__run").withColumns({"__raw": raw, "__own": own, "__n": F.count("*").over(part), "__bad": F.max((raw.isNull() | own.isNull() | plan.isNull()).cast("int")).over(part)})
-    d = d.withColumns({"__s": mean(C("__raw")), "__b": mean(C("__own")), "__o": mean(C("__own") + plan)})
+    d = blocks.beside_blocks(_numbered(frames, keys, body, run).withColumns({"__raw": raw, "__own": own}), half)
+    d = kept(blocks.of_blocks(d.withColumns({"__s": mean(C("__raw")), "__b": mean(C("__own")), "__o": mean(C("__own") + plan)})), "words")
+    bad = F.max((C("__raw").isNull() | C("__own").isNull() | plan.isNull()).cast("int")).alias("__bad")
     wanted = {f"__p{c}": (f"__{c}", WORD_RANK) for c in ("s", "b", "o", "raw", "own")} | {"__p10": ("__b", 0.1), "__p90": ("__b", 0.9)}
-    d = pct.ranked(d, by, wanted)
-    low = F.least(over(C("__ps") - C("__s")), over(C("__pb") - C("__b")))
-    lacking = over(F.least(F.lit(WORD_LIFT), low * WORD_SHARE) - (low - over(C("__po") - C("__o"))))
+    facts = sc.with_facts(pct.placed(d, by, wanted, nearest=True), d.groupBy(*by).agg(F.min("frame_idx").alias("__start"), bad), by)
+    d = sc.with_facts(d, kept(facts, "usual"), by)
+    # what is named several times gets a column of its own: expressions stay short
+    d = d.withColumns({f"__v{c}": C(f"__p{c}") - C(f"__{c}") for c in "sbo"})
+    d = d.withColumns({"__low": F.least(over(C("__vs")), over(C("__vb"))), "__od": over(C("__vo"))})
+    d = d.withColumn("__lacking", F.least(F.lit(WORD_LIFT), C("__low") * WORD_SHARE) - (C("__low") - C("__od")))
     voiced = 1 - 0.6 * sc.smooth_ramp(C("__s") - C("__b"), 6, 12)
     above = 1 / (1 + F.exp(-(C("__b") - (C(floor) + 8)) / 4))
-    d = d.withColumn("__lift", F.when(low > 0, F.least(F.lit(WORD_LIFT), lacking) * above * voiced).otherwise(0.0))
+    d = d.withColumn("__lift", F.when(C("__low") > 0, F.least(F.lit(WORD_LIFT), over(C("__lacking"))) * above * voiced).otherwise(0.0))
     d = d.withColumn("__on", F.coalesce((C("__praw") > C("__raw")) & (C("__pown") > C("__own")), F.lit(False)))
-    d = runs.with_run_id(d, by, "__on", out="__unit")
-    unit = Window.partitionBy(*by, "__unit")
-    ms = F.count("*").over(unit) * frame_ms
-    d = d.withColumn("__worth", F.when(C("__on"), F.pow(sc.smooth_ramp(ms, 0, WORD_MS), 4) * (1 - 0.75 * sc.smooth_ramp(ms, LONG_MS, LONGEST_MS))).otherwise(0.0))
-    d = d.withColumn("__weight", F.sum(C("__lift") * C("__worth")).over(unit))
-    total, most = F.sum(C("__lift") * C("__worth")).over(part), F.max("__weight").over(part)
-    again = F.when(total > 0, sc.smooth_ramp(1 - most / total, 0, 0.5)).otherwise(0.0)
     spread = F.greatest(F.lit(0.0), C("__p90") - C("__p10"))
     moved = (0.68 + 0.29 * min(1.0, max(0.0, instability))) / (1 + F.exp(-(spread - 5) / 2)) * (1 - 0.12 * sc.smooth_ramp(spread, 12, 20))
-    d = d.withColumn("__lift", F.coalesce(C("__lift") * C("__worth") * again * moved, F.lit(0.0)))
-    d = flatten_crests(d.withColumn("__lift", spread_lifts(C("__lift"), by)), by, "__lift", instability, frame_ms)
+    d = d.withColumn("__moved", moved).drop("__raw", "__own", "__s", "__b", "__o", "__vs", "__vb", "__vo", "__low", "__od", "__lacking", *wanted)
+    d = kept(blocks.with_run_id(d, by, "__on", out="__unit"), "units")
+    ms = F.count("*") * frame_ms
+    worth = F.when(F.max("__on"), F.pow(sc.smooth_ramp(ms, 0, WORD_MS), 4) * (1 - 0.75 * sc.smooth_ramp(ms, LONG_MS, LONGEST_MS))).otherwise(0.0)
+    units = d.groupBy(*by, "__unit").agg(worth.alias("__worth"), F.sum("__lift").alias("__sum"))
+    weight = C("__sum") * C("__worth")
+    total, most = F.sum(weight), F.max(weight)
+    again = F.when(total > 0, sc.smooth_ramp(1 - most / total, 0, 0.5)).otherwise(0.0)
+    d = sc.with_facts(d, units.drop("__sum"), [*by, "__unit"])
+    d = sc.with_facts(d, kept(units.groupBy(*by).agg(again.alias("__again")), "recurrence"), by)
+    d = d.withColumn("__lift", F.coalesce(C("__lift") * C("__worth") * C("__again") * C("__moved"), F.lit(0.0)))
+    # lifts lie within 0 and WORD_LIFT, so a slope ends within so many frames, and a crest looks one shoulder further
+    reach = 3 * (math.ceil(WORD_LIFT / SLOPE) + 1) + 2 * _steps(SHOULDER_MS, frame_ms, 5)
+    part = [*by, "__block"]
+    d = blocks.beside_blocks(d, reach)
+    d = d.withColumn("__lift", spread_lifts(C("__lift"), part))
+    d = blocks.of_blocks(flatten_crests(d, part, "__lift", instability, frame_ms, C("frame_idx") - C("__start") + 1, C("__n")))
     good = C(body) & (C("__bad") == 0) & (C("__n") >= size)
     fixed = F.when(good, F.least(F.lit(most_gain), C(gain) + C("__lift"))).otherwise(C(gain))
-    return d.withColumn(out, fixed).drop("__run", "__raw", "__own", "__n", "__bad", "__s", "__b", "__o", *wanted, "__lift", "__on", "__unit", "__worth", "__weight")
+    return d.withColumn(out, fixed).select(*frames.columns, *([out] if out not in frames.columns else []))
 
 
 def keep_edges(frames: DataFrame, keys: list[str], established: str, candidate: str, body: str, out: str = "gain") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.percentiles import linear
-from cadenza.functions.scalar import power_mean_db, unit
+from cadenza.functions.scalar import power_mean_db, unit, with_facts
 from cadenza.operators import runs as rn
 
 #: Least frames of a run in which levels may swing; strong steps between its parts; decibels and
@@ -43,13 +43,17 @@ def frames_of(ms: float, frame_ms: float) -> int:
     return int(ms / frame_ms + 0.5)
 
 
-def in_runs(frames: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """The frames of runs, with the run's number k (from 0), start s, length len, the place a in it, and n_runs."""
-    d = rn.with_run_id(frames, keys, flag).where(flag)
-    run, series = Window.partitionBy(*keys, "run_id"), Window.partitionBy(*keys)
-    d = d.withColumn("s", F.min("frame_idx").over(run)).withColumn("len", F.count("*").over(run)).withColumn("a", F.col("frame_idx") - F.col("s"))
-    d = d.withColumn("k", F.dense_rank().over(series.orderBy("run_id")) - 1).withColumn("before", F.row_number().over(series.orderBy("frame_idx")) - 1 - F.col("a"))
-    return d.withColumn("n_runs", F.max("k").over(series) + 1)
+def in_runs(frames: DataFrame, keys: list[str], flag: str, run: str | None = None) -> DataFrame:
+    """The frames of runs, with the run's number k (from 0), start s, length len, the place a in it, and n_runs.
+
+    `run`: a column that numbers the runs already. Only runs, one row each, are put in order by series.
+    """
+    d = (rn.with_run_id(frames, keys, flag) if run is None else frames.withColumnRenamed(run, "run_id")).where(flag)
+    order = Window.partitionBy(*keys).orderBy("s")
+    found = d.groupBy(*keys, "run_id").agg(F.min("frame_idx").alias("s"), F.count("*").alias("len"))
+    before = F.sum("len").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("len")
+    found = found.withColumn("k", F.row_number().over(order) - 1).withColumn("before", before).withColumn("n_runs", F.count("*").over(Window.partitionBy(*keys)))
+    return with_facts(d, found, [*keys, "run_id"]).withColumn("a", F.col("frame_idx") - F.col("s"))
 
 
 def _trim(length: Column) -> Column:

@@ -8,6 +8,7 @@ from cadenza.operators import echo
 from cadenza.plans.quality_reports import KEYS, LONG, long_series
 from cadenza.plans.queries import query, r
 from cadenza.plans.sample_signals import CHUNK, SIGNAL, chunks
+from cadenza.sources.tables import kept
 
 C, DELAY = F.col, 100
 _TAP = SIGNAL + f""", pr AS (SELECT a.series, a.i, a.x, b.x AS b FROM s a JOIN s b ON b.series = a.series AND b.i = a.i - {DELAY}),
@@ -48,9 +49,9 @@ TAILS = LONG.replace("WITH fr AS", "WITH RECURSIVE fr AS", 1) + f""", lw AS (SEL
 @query(TAILS + " SELECT user_id AS series, i::BIGINT AS frame_idx, round(st, 6) AS strict_target, round(sg, 6) AS strict_gain, round(ft, 6) AS finish_target, round(fg, 6) AS finish_gain FROM gn WHERE i >= 0")
 def tail_gains(spark, sf_dir):
     """Targets and gains of the strict and of the finishing pass, at frames of 10 ms."""
-    d = long_series(spark, sf_dir).select("series", "frame_idx", "db", C("active").alias("speech"))
-    d = echo.strict_targets(d, KEYS).withColumnRenamed("target", "strict_target")
+    d = long_series(spark, sf_dir).select("series", "frame_idx", "db", C("active").alias("speech"), "run_id")
+    d = echo.strict_targets(d, KEYS, run="run_id").withColumnRenamed("target", "strict_target")
+    d = kept(echo.finishing_targets(d, KEYS, 10.0, run="run_id").withColumnRenamed("target", "finish_target").drop("run_id"), "targets")
     d = echo.asymmetric(d, KEYS, "strict_target", echo.STRICT["attack"], echo.STRICT["release"], "strict_gain")
-    d = echo.finishing_targets(d, KEYS, 10.0).withColumnRenamed("target", "finish_target")
     d = echo.asymmetric(d, KEYS, "finish_target", _O["attack"], _O["release"], "finish_gain")
     return d.select("series", "frame_idx", *(r(c).alias(c) for c in ("strict_target", "strict_gain", "finish_target", "finish_gain")))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalar as sc
-from cadenza.operators import painting
-from cadenza.plans.quality_reports import KEYS, LONG, long_series
+from cadenza.operators import blocks, painting
+from cadenza.plans.quality_reports import KEYS, LONG, long_levels, long_series
 from cadenza.plans.queries import query, r
+from cadenza.sources.tables import kept
 
 C = F.col
 NEAR, LOW, HIGH = 10, -9.0, 12.0
@@ -18,11 +19,10 @@ PLAN = LONG + f""", ta AS (SELECT user_id, median(db) AS tg, quantile_cont(db, 0
  pl AS (SELECT pg.*, rid, s, e, i - s AS ix, e - s AS n FROM pg JOIN rr ON rr.user_id = pg.user_id AND i >= s AND i < e)"""
 
 
-def planned(spark, sf_dir):
-    part = Window.partitionBy("series")
-    near = part.orderBy("frame_idx").rowsBetween(-NEAR, NEAR)
-    d = long_series(spark, sf_dir).select("series", "frame_idx", "db", "active").withColumn("target", F.median("db").over(part)).withColumn("floor", F.percentile("db", F.lit(0.25)).over(part))
-    return d.withColumn("gain", sc.clamp(C("target") - F.avg("db").over(near), LOW, HIGH))
+def planned(d):
+    near = Window.partitionBy("series", "__block").orderBy("frame_idx").rowsBetween(-NEAR, NEAR)
+    d = blocks.beside_blocks(d.drop("frames"), NEAR)
+    return kept(blocks.of_blocks(d.withColumn("gain", sc.clamp(C("target") - F.avg("db").over(near), LOW, HIGH))), "planned")
 
 
 def _shown(d):
@@ -33,7 +33,7 @@ def _shown(d):
  FROM pl a LEFT JOIN pl b ON b.user_id = a.user_id AND b.rid = a.rid AND abs(b.i - a.i) BETWEEN 6 AND 14 AND a.i - 14 >= a.s AND a.i + 14 < a.e GROUP BY a.user_id, a.i)
  SELECT user_id AS series, i::BIGINT AS frame_idx, round(g + 0.7 * coalesce(CASE WHEN ls IS NOT NULL THEN greatest(0, least(least(lo, ro) - db - g, least(lo, ro) - db - g - (least(ls, rs) - db))) END, 0), 6) AS gain FROM sh""")
 def valley_relaxation(spark, sf_dir):
-    return _shown(painting.relax_valleys(planned(spark, sf_dir), KEYS, "db", "gain", "active"))
+    return _shown(painting.relax_valleys(planned(long_series(spark, sf_dir)), KEYS, "db", "gain", "active", run="run_id"))
 
 
 def _soft(x: str, knee: float) -> str:
@@ -45,7 +45,7 @@ def _soft(x: str, knee: float) -> str:
  ev AS (SELECT *, tg + 0.5 - (db + (ar - db) * 0.25) AS lack FROM cx), bu AS (SELECT *, up - ({_soft("lack", 0.35)}) AS over FROM ev)
  SELECT user_id AS series, i::BIGINT AS frame_idx, round(dn + greatest(0, up - ({_soft("over", 0.35)}) * pow(up, 4) / (pow(up, 4) + 1296)), 6) AS gain FROM bu""")
 def event_authority(spark, sf_dir):
-    return _shown(painting.limit_authority(planned(spark, sf_dir), KEYS, "db", "gain", "active", C("target")))
+    return _shown(painting.limit_authority(planned(long_series(spark, sf_dir)), KEYS, "db", "gain", "active", C("target"), run="run_id"))
 
 
 _POWER = "10 * log10(avg(pow(10, db / 10)){} + 1e-30)"
@@ -63,7 +63,7 @@ TRENDS = PLAN + f""", tw AS (SELECT *, greatest(1, least(10, n // 4)) AS tw FROM
 
 @query(TRENDS + f" SELECT user_id AS series, i::BIGINT AS frame_idx, round(CASE WHEN lift IS NULL THEN g ELSE least({HIGH}, g + greatest(0, lift * CASE WHEN ris THEN 1 - sh ELSE sh END / (1 + exp(-(db - (nfl + 8)) / 4)))) END, 6) AS gain FROM f3")
 def trend_balance(spark, sf_dir):
-    return _shown(painting.balance_trends(planned(spark, sf_dir), KEYS, "db", "gain", "active", "floor", HIGH))
+    return _shown(painting.balance_trends(planned(long_series(spark, sf_dir)), KEYS, "db", "gain", "active", "floor", HIGH, run="run_id"))
 
 
 _SIDE = "abs(b.i - a.i) BETWEEN 10 AND 24"
@@ -78,8 +78,8 @@ _CENTRE = "abs(b.i - a.i) <= 2"
  SELECT a.user_id AS series, a.i::BIGINT AS frame_idx, round(least({HIGH}, any_value(a.g) + max(b.l - 0.24 * abs(a.i - b.i))), 6) AS gain FROM rq a JOIN rq b ON b.user_id = a.user_id AND b.rid = a.rid AND abs(a.i - b.i) <= 20 GROUP BY a.user_id, a.i""")
 def recurrent_valleys(spark, sf_dir):
     """The body's level is the series' own with a ripple, so that both must agree on a valley."""
-    d = planned(spark, sf_dir).withColumn("speech_body", C("db") + 3 * F.sin(C("frame_idx") / 7))
-    return _shown(painting.recover_valleys(d, KEYS, "db", "speech_body", "gain", "active", HIGH))
+    d = planned(long_series(spark, sf_dir)).withColumn("speech_body", C("db") + 3 * F.sin(C("frame_idx") / 7))
+    return _shown(painting.recover_valleys(d, KEYS, "db", "speech_body", "gain", "active", HIGH, run="run_id"))
 
 
 def _ramp(x: str) -> str:
@@ -116,8 +116,8 @@ WORDS = PLAN + f""", wa AS (SELECT user_id, i, db, nfl, g, db + 3 * sin(i / 7.0:
 
 def words(spark, sf_dir):
     """The words stage, each long series taken as one run."""
-    d = planned(spark, sf_dir).withColumn("speech_body", C("db") + 3 * F.sin(C("frame_idx") / 7)).withColumn("active", F.lit(True))
-    return painting.stabilize_words(d, KEYS, "db", "speech_body", "gain", "active", "floor", HIGH, out="lifted")
+    d = planned(long_levels(spark, sf_dir)).withColumn("speech_body", C("db") + 3 * F.sin(C("frame_idx") / 7)).withColumn("active", F.lit(True)).withColumn("run_id", F.lit(0))
+    return painting.stabilize_words(d, KEYS, "db", "speech_body", "gain", "active", "floor", HIGH, out="lifted", run="run_id")
 
 
 @query(WORDS + " SELECT user_id AS series, i::BIGINT AS frame_idx, round(gain, 6) AS gain FROM wx")
@@ -129,5 +129,5 @@ def word_levels(spark, sf_dir):
  SELECT a.user_id AS series, a.i::BIGINT AS frame_idx, round(min(b.c + abs(a.a - b.a)), 6) AS gain FROM sm a JOIN sm b ON b.user_id = a.user_id AND abs(a.i - b.i) <= 120 GROUP BY a.user_id, a.i""")
 def kept_edges(spark, sf_dir):
     """A plan with a ripple of 2 dB, held to the plan's own steps; beyond 120 frames the ripple cannot matter."""
-    d = planned(spark, sf_dir).withColumn("active", F.lit(True)).withColumn("rippled", C("gain") + 2 * F.sin(C("frame_idx") / 2))
+    d = planned(long_levels(spark, sf_dir)).withColumn("active", F.lit(True)).withColumn("rippled", C("gain") + 2 * F.sin(C("frame_idx") / 2))
     return _shown(painting.keep_edges(d, KEYS, "gain", "rippled", "active"))

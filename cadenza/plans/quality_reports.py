@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions import percentiles as pct
 from cadenza.functions import scalar as sc
-from cadenza.operators import frames as fr
-from cadenza.operators import masks, runs
+from cadenza.operators import blocks
 from cadenza.operators import quality_report as qr
 from cadenza.plans.queries import _BODIES, query, r, table
 from cadenza.plans.relations import LINES, measured
+from cadenza.sources.tables import kept
 
 C, MS = F.col, 10.0
 KEYS = ["series"]
@@ -32,14 +33,27 @@ def _trim(length: str) -> str:
 _POWER = "10 * log10(avg(pow(10, db / 10)) + 1e-30)"
 
 
-def long_series(spark, sf_dir):
+def long_levels(spark, sf_dir):
+    """series, frame_idx, db, floor and target (the series' quartile and median), frames (how many).
+
+    A series is as long as the table, so every step is dealt by blocks of it.
+    """
     e = table(spark, sf_dir, "events").select((C("user_id") % 4).alias("series"), "event_id", "ts", "value")
-    d = fr.indexed(e, KEYS, ["ts", "event_id"]).withColumn("db", sc.to_db(C("value")))
-    return runs.finalize_mask(masks.percentile_mask(d, "series", "db", 0.25, 6.0), KEYS, "active", 3, 8)
+    d = blocks.indexed(e.withColumn("db", sc.to_db(C("value"))), KEYS, ["ts", "event_id"]).select("series", "frame_idx", "db")
+    d = kept(d, "levels")
+    d = sc.with_facts(d.where("series IS NOT NULL"), pct.placed(d, KEYS, {"floor": ("db", 0.25), "target": ("db", 0.5)}), KEYS)
+    return d.withColumnRenamed("__n", "frames")
+
+
+def long_series(spark, sf_dir):
+    """The same with active and run_id."""
+    d = long_levels(spark, sf_dir).withColumn("active", C("db") >= C("floor") + 6.0)
+    d = kept(blocks.finalize_mask(d, KEYS, "active", 3, 8, "frames"), "masked")
+    return kept(blocks.with_run_id(d, KEYS, "active"), "series")
 
 
-def placed(spark, sf_dir):
-    return qr.in_runs(long_series(spark, sf_dir), KEYS, "active")
+def placed(d):
+    return qr.in_runs(d, KEYS, "active", "run_id")
 
 
 @query(LONG + _SERIES + """, q AS (SELECT user_id, rid, s, e - s AS len, least(5, greatest(3, (e - s) // 18)) AS nb FROM rr WHERE e - s >= 80), bk AS (SELECT *, unnest(generate_series(0, nb - 1)) AS b FROM q),
@@ -49,8 +63,8 @@ def placed(spark, sf_dir):
  + f" v AS (SELECT user_id, quantile_cont({_unit(_unit('(rg - 3) / 4.5') + ' * 0.62 + ' + _unit('(turns - 1) / 2.0') + ' * 0.38')}, 0.75) AS x FROM t GROUP BY user_id) SELECT sr.user_id AS series, round(coalesce(x, 0), 6) AS swing FROM sr LEFT JOIN v USING (user_id)")
 def line_swing(spark, sf_dir):
     """Swing within runs of at least 80 frames: range of three to five parts, and how often strong steps turn."""
-    d = long_series(spark, sf_dir).select("series").distinct()
-    return d.join(qr.line_swing(placed(spark, sf_dir), KEYS, "db"), "series", "left").select("series", r(F.coalesce("swing", F.lit(0.0))).alias("swing"))
+    d = long_series(spark, sf_dir)
+    return d.select("series").distinct().join(qr.line_swing(placed(d), KEYS, "db"), "series", "left").select("series", r(F.coalesce("swing", F.lit(0.0))).alias("swing"))
 
 
 _RUN_TRIM = _trim("e - s")
@@ -67,7 +81,7 @@ def sentence_jump(spark, sf_dir):
     """Level jumps between consecutive runs' bodies, weighed with the pause between them; finer where speech is sparse."""
     d = long_series(spark, sf_dir)
     duty = d.groupBy("series").agg((100 * F.avg(C("active").cast("double"))).alias("duty"))
-    jump = qr.sentence_jump(qr.in_runs(d, KEYS, "active"), KEYS, "db", MS, duty)
+    jump = qr.sentence_jump(placed(d), KEYS, "db", MS, duty)
     return duty.join(jump, "series", "left").select("series", r(F.coalesce("jump", F.lit(0.0))).alias("jump"))
 
 
@@ -79,7 +93,8 @@ def sentence_jump(spark, sf_dir):
  SELECT user_id AS series, round(coalesce(x, 0), 6) AS dip, round({_unit('(coalesce(x, 0) - 1) / 4')}, 6) AS risk FROM v""")
 def cold_open_dip(spark, sf_dir):
     """How far the weakest run of the first 2.5 seconds of speech is under the median of the runs after them."""
-    d = long_series(spark, sf_dir).select("series").distinct().join(qr.cold_open(placed(spark, sf_dir), KEYS, "db", MS), "series", "left").fillna(0.0, ["cold_open"])
+    d = long_series(spark, sf_dir)
+    d = d.select("series").distinct().join(qr.cold_open(placed(d), KEYS, "db", MS), "series", "left").fillna(0.0, ["cold_open"])
     return d.select("series", r("cold_open").alias("dip"), r(sc.unit((C("cold_open") - qr.DIP_FLOOR_DB) / qr.DIP_SPAN_DB)).alias("risk"))
 
 
@@ -88,14 +103,15 @@ def cold_open_dip(spark, sf_dir):
  v AS (SELECT t.user_id, max(body - tail) AS x FROM t JOIN b ON t.user_id = b.user_id AND t.rid = b.rid GROUP BY t.user_id) SELECT sr.user_id AS series, round(greatest(0, coalesce(x, 0)), 6) AS end_dip FROM sr LEFT JOIN v USING (user_id)""")
 def end_edge_dip(spark, sf_dir):
     """The most by which the last 150 ms of a run are under the 450 ms before them."""
-    d = long_series(spark, sf_dir).select("series").distinct().join(qr.end_edge_dip(placed(spark, sf_dir), KEYS, "db", MS), "series", "left")
+    d = long_series(spark, sf_dir)
+    d = d.select("series").distinct().join(qr.end_edge_dip(placed(d), KEYS, "db", MS), "series", "left")
     return d.select("series", r(F.coalesce("end_dip", F.lit(0.0))).alias("end_dip"))
 
 
 @query(LONG + f" SELECT rr.user_id AS series, s::BIGINT AS start_frame, (e - s)::BIGINT AS frames, CASE WHEN e - s >= 12 THEN round(10 * log10(avg(pow(10, fr.db / 10)) FILTER (frame_idx >= s + {_RUN_TRIM} AND frame_idx < e - {_RUN_TRIM}) + 1e-30), 6) END AS body FROM rr JOIN fr ON fr.user_id = rr.user_id AND frame_idx >= s AND frame_idx < e GROUP BY rr.user_id, s, e")
 def run_bodies(spark, sf_dir):
     """The level of each run's body without its edges."""
-    d = qr.edge_trimmed_bodies(placed(spark, sf_dir), KEYS, "db")
+    d = qr.edge_trimmed_bodies(placed(long_series(spark, sf_dir)), KEYS, "db")
     return d.select("series", C("s").cast("long").alias("start_frame"), C("len").alias("frames"), r("body").alias("body"))
 
 
