@@ -44,11 +44,12 @@ def ranked(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]])
 
 
 #: Of `placed`: how far around a rank an approximate percentile looks, its accuracy, and the size from which it is asked.
-_BESIDE, _ACCURACY, _MANY = 0.005, 10_000, 10_000
+_BESIDE, _ACCURACY, _MANY = 0.005, 2_000, 10_000
 
 
-def placed(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], nearest: bool = False) -> DataFrame:
-    """keys, __n (rows) and exact percentiles {out: (value, p)} of groups of any size: linear, or of the nearest rank.
+def placed(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], nearest: bool = False, also: tuple[Column, ...] = ()) -> DataFrame:
+    """keys, __n (rows), the aggregates `also`, and exact percentiles {out: (value, p)} of groups of any size: linear, or of
+    the nearest rank.
 
     Approximate percentiles just below and above a rank leave one row in a hundred of a large group; how many are under
     them is counted, and only those between are sorted. df is read three times. Nulls do not count.
@@ -57,21 +58,23 @@ def placed(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]],
     outs = list(wanted)
     unit = lambda x: min(1.0, max(0.0, x))
     brackets = {v: [b for o in outs if wanted[o][0] == v for b in (unit(wanted[o][1] - _BESIDE), unit(wanted[o][1] + _BESIDE))] for v in values}
-    facts = [F.count("*").alias("__n")]
+    facts = [F.count("*").alias("__n"), *also]
     for k, v in enumerate(values):
         odd = F.count_if(F.isnan(F.col(v).cast("double")))
         facts += [F.count(v).alias(f"__many{k}"), F.when((F.count(v) >= _MANY) & (odd == 0), F.percentile_approx(v, brackets[v], _ACCURACY)).alias(f"__q{k}")]
     facts = kept(df.groupBy(*keys).agg(*facts), "brackets")  # of known size, so that Spark broadcasts them if they are few
-    d = with_facts(df.select(*keys, *values), facts, keys)
+    shown = [c for c in facts.columns if c not in keys and not c.startswith(("__many", "__q"))]
+    d = with_facts(df.select(*keys, *values), facts.drop(*shown), keys)
     under, between = [], []
     for j, o in enumerate(outs):
         v, k = wanted[o][0], values.index(wanted[o][0])
         at = 2 * [x for x in outs if wanted[x][0] == v].index(o)
         low, high = F.col(f"__q{k}")[at], F.col(f"__q{k}")[at + 1]
         under.append(F.count_if((F.col(v) < low)).alias(f"__under{j}"))
-        between.append(F.struct(F.lit(j).alias("j"), F.when(low.isNull() | F.col(v).between(low, high), F.col(v).cast("double")).alias("x")))
+        here = F.when(low.isNull() | F.col(v).between(low, high), F.col(v).cast("double"))
+        between.append(F.when(here.isNotNull(), F.struct(F.lit(j).alias("j"), here.alias("x"))))
     facts = with_facts(facts, d.groupBy(*keys).agg(*under), keys)
-    inside = d.select(*keys, F.explode(F.array(*between)).alias("__s")).select(*keys, "__s.j", "__s.x").where("x IS NOT NULL").groupBy(*keys, "j", "x").agg(F.count("*").alias("__c"))
+    inside = d.select(*keys, F.explode(F.array_compact(F.array(*between))).alias("__s")).select(*keys, "__s.j", "__s.x").groupBy(*keys, "j", "x").agg(F.count("*").alias("__c"))
     upto = F.sum("__c").over(Window.partitionBy(*keys, "j").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     pick = lambda name: F.element_at(F.array(*(F.col(f"{name}{j}" if name == "__under" else f"__many{values.index(wanted[o][0])}") for j, o in enumerate(outs))), F.col("j") + 1)
     share = F.element_at(F.array(*(F.lit(float(wanted[o][1])) for o in outs)), F.col("j") + 1)
@@ -82,7 +85,7 @@ def placed(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]],
     mixed = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
     mixed = mixed.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("__at") - F.col("__at")) * F.col("a") + (F.col("__at") - F.floor("__at")) * F.col("b"))
     found = found.withColumn("__v", mixed).groupBy(*keys).agg(*(F.max(F.when(F.col("j") == j, F.col("__v"))).alias(o) for j, o in enumerate(outs)))
-    return kept(with_facts(facts.select(*keys, "__n"), found, keys), "percentiles")
+    return kept(with_facts(facts.select(*keys, *shown), found, keys), "percentiles")
 
 
 def _usable(df: DataFrame, value: str, weight: str) -> DataFrame:

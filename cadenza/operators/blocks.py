@@ -6,8 +6,13 @@ as many frames beside it (`beside_blocks`); what a whole series decides is worke
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions.scalar import with_facts
 from cadenza.sources.tables import kept
@@ -29,6 +34,30 @@ def of_blocks(df: DataFrame) -> DataFrame:
     return df.where("__home").drop("__home", "__block")
 
 
+def worked_out(df: DataFrame, keys: list[str], run: str, reach: int, work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], reads: list[str], made: dict[str, str], order: str = "frame_idx") -> DataFrame:
+    """df with `__block` and the columns `made` ({name: double or int}), which `work` gives for the frames of a run in NumPy.
+
+    It gets a run's part of a block with `reach` frames beside it, in order: the columns it reads as doubles (NaN for null)
+    and `home`, true for the block's own frames. NaN is null again.
+    """
+    d = beside_blocks(df, reach, order)
+    schema = T.StructType([f for f in d.schema.fields if f.name != "__home"] + [T.StructField(n, T.DoubleType() if t == "double" else T.IntegerType()) for n, t in made.items()])
+
+    def of_block(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(run, "ascending"), (order, "ascending")]).combine_chunks()
+        runs = table[run].to_numpy()
+        edges = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+        home = table["__home"].to_numpy()
+        read = {n: table[n].cast(pa.float64()).to_numpy() for n in reads}
+        parts = [work({n: x[a:b] for n, x in read.items()} | {"home": home[a:b]}) for a, b in zip(edges, edges[1:])]
+        for n, t in made.items():
+            x = np.concatenate([part[n] for part in parts])
+            table = table.append_column(n, pa.array(x, pa.float64(), from_pandas=True) if t == "double" else pa.array(x, pa.int32()))
+        return table.filter(table["__home"]).drop_columns(["__home"])
+
+    return d.groupBy(*keys, "__block").applyInArrow(of_block, schema)
+
+
 def indexed(df: DataFrame, keys: list[str], order: list[str], out: str = "frame_idx") -> DataFrame:
     """As frames.indexed, for long series: rows are dealt by ranges of their order and counted by range.
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,6 +244,93 @@ def flatten_crests(frames: DataFrame, by: list[str], lift: str, instability: flo
     return d.drop("__flat")
 
 
+def _ramp(x: np.ndarray, start: float, full: float) -> np.ndarray:
+    t = np.clip((x - start) / (full - start), 0.0, 1.0)
+    return t * t * (3 - 2 * t)
+
+
+def _power_mean(half: int):
+    """Work of blocks.worked_out: levels around a frame, as the mean of their power over `half` frames on both sides."""
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        known = ~np.isnan(x)
+        around = lambda v: np.lib.stride_tricks.sliding_window_view(np.pad(v, half), 2 * half + 1).sum(axis=1)
+        many = around(known.astype(np.float64))
+        with np.errstate(all="ignore"):
+            level = 10 * np.log10(around(np.where(known, np.power(10.0, x / 10), 0.0)) / many + 1e-30)
+        return np.where(many > 0, level, np.nan)
+
+    return lambda read: {"__s": mean(read["__raw"]), "__b": mean(read["__own"]), "__o": mean(read["__own"] + read["__plan"])}
+
+
+def _stretches(frame_ms: float):
+    """Work of blocks.worked_out: each frame's lift by what its low stretch is worth. The last frame of a stretch's part in
+    a block has its sum, and whether it begins (1) or ends (2) at the block's edge, where it may go on."""
+
+    def work(read: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        on, home = read["__on"] > 0, read["home"]
+        n = len(on)
+        starts = np.concatenate(([0], np.flatnonzero(on[1:] != on[:-1]) + 1))
+        ends = np.append(starts[1:], n)
+        ms = (ends - starts) * frame_ms
+        worth = np.where(on[starts], _ramp(ms, 0, WORD_MS) ** 4 * (1 - 0.75 * _ramp(ms, LONG_MS, LONGEST_MS)), 0.0)
+        lift = read["__all"] * np.repeat(worth, ends - starts)
+        total, edge = np.full(n, np.nan), np.zeros(n, np.int32)
+        at = np.flatnonzero(home)
+        if len(at):
+            first, last = at[0], at[-1]
+            inside = on[starts] & (ends > first) & (starts <= last)
+            a, b = np.maximum(starts[inside], first), np.minimum(ends[inside], last + 1)
+            so_far = np.array([lift[x:y].sum() for x, y in zip(a, b)])
+            total[b - 1] = so_far
+            edge[b - 1] = (a == first) + 2 * (b == last + 1)
+        return {"__lift": lift, "__sum": total, "__edge": edge}
+
+    return work
+
+
+def _recurring(d: DataFrame, by: list[str]) -> DataFrame:
+    """by, __again: how far the lifts are shared out among stretches, 0 if all is in one. Stretches that go over blocks are
+    put together from one row a block."""
+    open_at = lambda *edges: F.max(F.when(C("__edge").isin(*edges), C("__sum")))
+    d = d.groupBy(*by, "__block").agg(F.sum("__sum").alias("__total"), open_at(0).alias("__inner"), open_at(1, 3).alias("__head"), open_at(2).alias("__tail"), open_at(3).alias("__through"))
+    goes_on = F.lag(C("__through").isNotNull() | C("__tail").isNotNull()).over(Window.partitionBy(*by).orderBy("__block"))
+    pieces = F.array(F.struct(F.lit(0).alias("at"), "__head", (~F.coalesce(goes_on, F.lit(False))).alias("new")), F.struct(F.lit(1).alias("at"), C("__tail").alias("__head"), F.lit(True).alias("new")))
+    p = d.withColumn("__p", pieces).select(*by, "__block", "__total", "__inner", F.explode("__p").alias("__p")).select(*by, "__block", "__total", "__inner", "__p.at", "__p.new", C("__p.__head").alias("__sum"))
+    w = Window.partitionBy(*by).orderBy("__block", "at").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("__chain", F.sum((C("new") & C("__sum").isNotNull()).cast("int")).over(w))
+    p = p.groupBy(*by, "__chain").agg(F.sum("__sum").alias("__sum"), F.max("__inner").alias("__inner"), F.sum(F.when(C("at") == 0, C("__total"))).alias("__total"))
+    total, most = F.sum("__total"), F.greatest(F.max("__sum"), F.max("__inner"))
+    return p.groupBy(*by).agg(F.when(total > 0, sc.smooth_ramp(1 - most / total, 0, 0.5)).otherwise(0.0).alias("__again"))
+
+
+def _settled(most: float, frame_ms: float):
+    """Work of blocks.worked_out: `__lift` spread by slopes and without crests, as spread_lifts and flatten_crests have it."""
+    shoulder, core = _steps(SHOULDER_MS, frame_ms, 5), _steps(CORE_MS, frame_ms, 1)
+
+    def held(x: np.ndarray, slope: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        up = np.minimum.accumulate(x - slope) + slope
+        down = np.minimum.accumulate((x + slope)[::-1])[::-1] - slope
+        return np.minimum(np.minimum(up, down), np.minimum(at, n - at + 1) * SLOPE)
+
+    def work(read: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x, at, n = read["__lift"], read["frame_idx"] - read["__start"] + 1, read["__n"]
+        slope = read["frame_idx"] * SLOPE
+        x = np.maximum(np.maximum.accumulate(x + slope) - slope, np.maximum.accumulate((x - slope)[::-1])[::-1] + slope)
+        k = np.arange(len(x))
+        inner = (at > shoulder) & (at + shoulder <= n)
+        sides = [(np.clip(k + a, 0, len(x)), np.clip(k + b, 0, len(x))) for a, b in ((-shoulder, -core), (core + 1, shoulder + 1))]
+        for _ in range(2 if core < shoulder else 0):
+            so_far = np.concatenate(([0.0], np.cumsum(x)))
+            with np.errstate(all="ignore"):
+                around = sum((so_far[b] - so_far[a]) / (b - a) for a, b in sides) / 2
+            flat = np.where(inner, np.fmin(x, around + most), x)
+            x = np.where(n > 2 * shoulder, held(flat, slope, at, n), x)
+        return {"__settled": x}
+
+    return work
+
+
 def stabilize_words(frames: DataFrame, keys: list[str], source: str, level: str, gain: str, body: str, floor: str, most_gain: float, instability: float = 0.5, frame_ms: float = 10.0, out: str = "gain", run: str | None = None) -> DataFrame:
     """frames with `out`: lifts of words that are low against their run's usual level, if several are.
 
@@ -253,16 +341,14 @@ def stabilize_words(frames: DataFrame, keys: list[str], source: str, level: str,
     size = _steps(WORD_MS, frame_ms, 1)
     half = max(1, size // 2)
     by = [*keys, "__run"]
-    near = Window.partitionBy(*by, "__block").orderBy("frame_idx").rowsBetween(-half, half)
     over = lambda v: F.greatest(F.lit(0.0), F.when(v > 0, sc.soft_plus(v, WORD_KNEE) - WORD_KNEE * math.log(2)))
-    mean = lambda x: 10 * F.log10(F.avg(F.pow(F.lit(10.0), x / 10)).over(near) + 1e-30)
     raw, own, plan = _finite(C(source)), _finite(C(level)), _finite(C(gain))
-    d = blocks.beside_blocks(_numbered(frames, keys, body, run).withColumns({"__raw": raw, "__own": own}), half)
-    d = kept(blocks.of_blocks(d.withColumns({"__s": mean(C("__raw")), "__b": mean(C("__own")), "__o": mean(C("__own") + plan)})), "words")
-    bad = F.max((C("__raw").isNull() | C("__own").isNull() | plan.isNull()).cast("int")).alias("__bad")
+    d = _numbered(frames, keys, body, run).withColumns({"__raw": raw, "__own": own, "__plan": plan})
+    levels = dict.fromkeys(("__s", "__b", "__o"), "double")
+    d = kept(blocks.worked_out(d, keys, "__run", half, _power_mean(half), ["__raw", "__own", "__plan"], levels).drop("__block"), "words")
+    bad = F.max((C("__raw").isNull() | C("__own").isNull() | C("__plan").isNull()).cast("int")).alias("__bad")
     wanted = {f"__p{c}": (f"__{c}", WORD_RANK) for c in ("s", "b", "o", "raw", "own")} | {"__p10": ("__b", 0.1), "__p90": ("__b", 0.9)}
-    facts = sc.with_facts(pct.placed(d, by, wanted, nearest=True), d.groupBy(*by).agg(F.min("frame_idx").alias("__start"), bad), by)
-    d = sc.with_facts(d, kept(facts, "usual"), by)
+    d = sc.with_facts(d, pct.placed(d, by, wanted, nearest=True, also=(F.min("frame_idx").alias("__start"), bad)), by)
     # what is named several times gets a column of its own: expressions stay short
     d = d.withColumns({f"__v{c}": C(f"__p{c}") - C(f"__{c}") for c in "sbo"})
     d = d.withColumns({"__low": F.least(over(C("__vs")), over(C("__vb"))), "__od": over(C("__vo"))})
@@ -270,28 +356,23 @@ def stabilize_words(frames: DataFrame, keys: list[str], source: str, level: str,
     voiced = 1 - 0.6 * sc.smooth_ramp(C("__s") - C("__b"), 6, 12)
     above = 1 / (1 + F.exp(-(C("__b") - (C(floor) + 8)) / 4))
     d = d.withColumn("__lift", F.when(C("__low") > 0, F.least(F.lit(WORD_LIFT), over(C("__lacking"))) * above * voiced).otherwise(0.0))
-    d = d.withColumn("__on", F.coalesce((C("__praw") > C("__raw")) & (C("__pown") > C("__own")), F.lit(False)))
+    d = d.withColumn("__on", F.coalesce((C("__praw") > C("__raw")) & (C("__pown") > C("__own")), F.lit(False)).cast("int"))
     spread = F.greatest(F.lit(0.0), C("__p90") - C("__p10"))
     moved = (0.68 + 0.29 * min(1.0, max(0.0, instability))) / (1 + F.exp(-(spread - 5) / 2)) * (1 - 0.12 * sc.smooth_ramp(spread, 12, 20))
-    d = d.withColumn("__moved", moved).drop("__raw", "__own", "__s", "__b", "__o", "__vs", "__vb", "__vo", "__low", "__od", "__lacking", *wanted)
-    d = kept(blocks.with_run_id(d, by, "__on", out="__unit"), "units")
-    ms = F.count("*") * frame_ms
-    worth = F.when(F.max("__on"), F.pow(sc.smooth_ramp(ms, 0, WORD_MS), 4) * (1 - 0.75 * sc.smooth_ramp(ms, LONG_MS, LONGEST_MS))).otherwise(0.0)
-    units = d.groupBy(*by, "__unit").agg(worth.alias("__worth"), F.sum("__lift").alias("__sum"))
-    weight = C("__sum") * C("__worth")
-    total, most = F.sum(weight), F.max(weight)
-    again = F.when(total > 0, sc.smooth_ramp(1 - most / total, 0, 0.5)).otherwise(0.0)
-    d = sc.with_facts(d, units.drop("__sum"), [*by, "__unit"])
-    d = sc.with_facts(d, kept(units.groupBy(*by).agg(again.alias("__again")), "recurrence"), by)
-    d = d.withColumn("__lift", F.coalesce(C("__lift") * C("__worth") * C("__again") * C("__moved"), F.lit(0.0)))
+    d = d.withColumns({"__moved": F.coalesce(moved, F.lit(0.0)), "__all": F.coalesce("__lift", F.lit(0.0))})
+    d = d.select(*frames.columns, "__run", "__start", "__n", "__bad", "__moved", "__on", "__all")
+    # a stretch of the greatest length that tells is worth the same as any longer one
+    longest = math.ceil(LONGEST_MS / frame_ms) + 1
+    worth = blocks.worked_out(d, keys, "__run", longest, _stretches(frame_ms), ["__all", "__on"], {"__lift": "double", "__sum": "double", "__edge": "int"})
+    d = kept(worth.drop("__all", "__on"), "stretches")
+    d = sc.with_facts(d.drop("__block", "__sum", "__edge"), kept(_recurring(d, by), "recurrence"), by)
+    d = d.withColumn("__lift", C("__lift") * C("__again") * C("__moved"))
     # lifts lie within 0 and WORD_LIFT, so a slope ends within so many frames, and a crest looks one shoulder further
     reach = 3 * (math.ceil(WORD_LIFT / SLOPE) + 1) + 2 * _steps(SHOULDER_MS, frame_ms, 5)
-    part = [*by, "__block"]
-    d = blocks.beside_blocks(d, reach)
-    d = d.withColumn("__lift", spread_lifts(C("__lift"), part))
-    d = blocks.of_blocks(flatten_crests(d, part, "__lift", instability, frame_ms, C("frame_idx") - C("__start") + 1, C("__n")))
+    contrast = CONTRAST + MORE_CONTRAST * min(1.0, max(0.0, instability))
+    d = blocks.worked_out(d, keys, "__run", reach, _settled(contrast, frame_ms), ["__lift", "frame_idx", "__start", "__n"], {"__settled": "double"})
     good = C(body) & (C("__bad") == 0) & (C("__n") >= size)
-    fixed = F.when(good, F.least(F.lit(most_gain), C(gain) + C("__lift"))).otherwise(C(gain))
+    fixed = F.when(good, F.least(F.lit(most_gain), C(gain) + C("__settled"))).otherwise(C(gain))
     return d.withColumn(out, fixed).select(*frames.columns, *([out] if out not in frames.columns else []))
 
 

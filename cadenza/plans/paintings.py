@@ -19,10 +19,12 @@ PLAN = LONG + f""", ta AS (SELECT user_id, median(db) AS tg, quantile_cont(db, 0
  pl AS (SELECT pg.*, rid, s, e, i - s AS ix, e - s AS n FROM pg JOIN rr ON rr.user_id = pg.user_id AND i >= s AND i < e)"""
 
 
-def planned(d):
+def planned(d, again: bool = True):
+    """Frames with a plan that follows their level; kept where they are read again."""
     near = Window.partitionBy("series", "__block").orderBy("frame_idx").rowsBetween(-NEAR, NEAR)
     d = blocks.beside_blocks(d.drop("frames"), NEAR)
-    return kept(blocks.of_blocks(d.withColumn("gain", sc.clamp(C("target") - F.avg("db").over(near), LOW, HIGH))), "planned")
+    d = blocks.of_blocks(d.withColumn("gain", sc.clamp(C("target") - F.avg("db").over(near), LOW, HIGH)))
+    return kept(d, "planned") if again else d
 
 
 def _shown(d):
@@ -116,7 +118,7 @@ WORDS = PLAN + f""", wa AS (SELECT user_id, i, db, nfl, g, db + 3 * sin(i / 7.0:
 
 def words(spark, sf_dir):
     """The words stage, each long series taken as one run."""
-    d = planned(long_levels(spark, sf_dir)).withColumn("speech_body", C("db") + 3 * F.sin(C("frame_idx") / 7)).withColumn("active", F.lit(True)).withColumn("run_id", F.lit(0))
+    d = planned(long_levels(spark, sf_dir), again=False).withColumn("speech_body", C("db") + 3 * F.sin(C("frame_idx") / 7)).withColumn("active", F.lit(True)).withColumn("run_id", F.lit(0))
     return painting.stabilize_words(d, KEYS, "db", "speech_body", "gain", "active", "floor", HIGH, out="lifted", run="run_id")
 
 

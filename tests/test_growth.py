@@ -34,6 +34,21 @@ def test_no_window_to_the_end_from_each_frame(spark, made):
     assert "currentrow$(), unboundedfollowing$()" not in plan(made(long_run(spark)))
 
 
+def test_words_without_windows_over_frames(spark):
+    """A block's frames go through NumPy once a step; windows over them took most of the time."""
+    d = long_run(spark, 600).withColumns({"run": F.lit(0), "floor": F.lit(-50.0)})
+    assert "Window" not in plan(painting.stabilize_words(d, ["series"], "other", "other", "gain", "on", "floor", 12.0, run="run", out="out"))
+
+
+def test_stretch_over_three_blocks_is_one(spark):
+    """Its parts are added up: alone in its series it gets nothing, beside another as large it gets its share."""
+    rows = [("one", b, s, e) for b, s, e in ((0, 1.0, 2), (1, 2.0, 3), (2, 1.5, 1))] + [("two", b, s, e) for b, s, e in ((0, 2.0, 0), (0, 1.0, 2), (1, 1.0, 1))] + [("apart", b, s, e) for b, s, e in ((0, 1.0, 2), (1, 1.0, 2), (1, 0.5, 0))]
+    d = spark.createDataFrame(rows, "k string, __block long, __sum double, __edge int")
+    again = {r["k"]: r["__again"] for r in painting._recurring(d, ["k"]).collect()}
+    t = (1 - 1.0 / 2.5) / 0.5
+    assert again["one"] == 0 and again["two"] == 1 and again["apart"] == (1.0 if t >= 1 else t * t * (3 - 2 * t))
+
+
 def test_kept_edges_of_a_run(spark):
     rows = painting.keep_edges(long_run(spark), ["series"], "gain", "other", "on", out="held").orderBy("frame_idx").collect()
     held = [r["other"] for r in rows]
