@@ -118,3 +118,38 @@ def test_threshold():
     z, bad = np.array([0.0, 1.0, 2.0, 5.0, 6.0]), np.array([False, False, False, True, True])
     assert parting(z, bad, 0.2) == 3.5
     assert parting(np.array([1.0, 1.0]), np.array([False, True]), 0.5) == 1.0
+
+
+def test_all_labelled_rows_are_learned_from(spark, tables, monkeypatch):
+    """In many parts, each row once: the network and the centres are not those of the first rows alone."""
+    rows, docs, labels = tables
+    monkeypatch.setattr(toxicity, "PART", 90)
+    read = []
+    plain = toxicity.calibrated
+    monkeypatch.setattr(toxicity, "calibrated", lambda *a: read.append(a[5].sum()) or plain(*a))
+    model, again = toxicity.train(docs, labels), toxicity.train(docs, labels)
+    learned = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(learned) / 5 < read[0] < len(learned) / 3
+    assert np.array_equal(model.net.table, again.net.table) and np.array_equal(model.thresholds, again.thresholds)
+    new = texts(300, 17)
+    right = [(s >= 0.5) == b for (_, _, b), s in zip(new, model.scores([t for _, t, _ in new], Vocabulary()))]
+    assert sum(right) / len(right) > 0.95
+
+
+def test_long_texts_are_learned_from(spark, tables):
+    """All toxic ones have over 100,000 characters."""
+    _, docs, labels = tables
+    clean = " ".join(t for _, t, b in texts(1200, 21) if not b)
+    clean = (clean * (1 + 101_000 // len(clean)))[:101_000]
+    longer = docs.where("doc_id < 60").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" " + clean))).otherwise(F.col("text")))
+    assert toxicity.train(longer, labels) is not None
+
+
+def test_places_over_pieces(model, monkeypatch):
+    some = [t for _, t, _ in texts(40, 9)]
+    vocabulary = Vocabulary()
+    docs = vocabulary(some)
+    pooled, places = model.net.places(docs, np.array(vocabulary.rows))
+    monkeypatch.setattr(toxicity, "_PIECE_WORDS", 4)
+    again, others = model.net.places(docs, np.array(vocabulary.rows))
+    assert np.allclose(pooled, again, atol=1e-5) and pooled.shape == (40, 36) and sum((a == b).mean() for a, b in zip(places, others)) > 2.9
