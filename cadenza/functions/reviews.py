@@ -161,14 +161,17 @@ CONTROL_RULES: dict[str, Rule] = {
 }
 
 
-def review(v: Column, *fields: str) -> Column:
-    """The review in a parsed answer as a struct; null for null. With `fields`, only those and the confidence.
+def review(v: Column, *fields: str, of_file: tuple[str, ...] = ()) -> Column:
+    """The review in a parsed answer as a struct; null for null. With `fields`, only those and the confidence; with
+    `of_file`, of each file only those, its name and its confidence.
 
     Give it a column that holds `parsed(...)`, so that a text is parsed once. A file without a name is called by its
     place; one without a confidence has that of the whole. Spark does not leave out fields that nothing reads: name those
     that are read.
     """
     rules = {n: rule for n, rule in REVIEW_RULES.items() if not fields or n in (*fields, "confidence")}
+    if of_file and "perFileProfiles" in rules:
+        rules["perFileProfiles"] = list_of({n: rule for n, rule in FILE_RULES.items() if n in (*of_file, "fileName", "confidence")}, FILES)
 
     def named(f: Column, i: Column, all_sure: Column) -> Column:
         name = F.when(f["fileName"] == "", F.concat(F.lit("file-"), (i + 1).cast("string"), F.lit(".wav"))).otherwise(f["fileName"])

@@ -34,9 +34,9 @@ def answers(spark, sf_dir):
     return o.select("o_orderkey", "o_custkey", text.alias("answer"))
 
 
-def reviewed(spark, sf_dir, *fields: str):
+def reviewed(spark, sf_dir, *fields: str, of_file: tuple[str, ...] = ()):
     d = answers(spark, sf_dir).withColumn("v", reviews.parsed(C("answer")))
-    return d.select("o_orderkey", "o_custkey", reviews.review(C("v"), *fields).alias("review"))
+    return d.select("o_orderkey", "o_custkey", reviews.review(C("v"), *fields, of_file=of_file).alias("review"))
 
 
 EXPECTED = """WITH ex AS (SELECT o_orderkey, o_custkey, o_orderkey % 6 < 5 AS fine, CASE o_orderstatus WHEN 'F' THEN 'risky' WHEN 'O' THEN 'ready' ELSE 'adjust' END AS verdict, least(1, o_custkey % 140 / 100.0::DOUBLE) AS confidence,
@@ -46,7 +46,7 @@ EXPECTED = """WITH ex AS (SELECT o_orderkey, o_custkey, o_orderkey % 6 < 5 AS fi
 @query(EXPECTED + """ SELECT o_orderkey, CASE WHEN fine THEN verdict END AS verdict, CASE WHEN fine THEN round(confidence, 6) END AS confidence, CASE WHEN fine THEN array_to_string(rails, '|') END AS guardrails, CASE WHEN fine THEN file_name END AS file_name,
  CASE WHEN fine THEN round(warmth, 6) END AS warmth, CASE WHEN fine THEN round(leveler, 6) END AS leveler, CASE WHEN fine THEN abs(warmth) >= 0.05 OR abs(leveler) >= 0.05 END AS moved FROM ex""")
 def mended_reviews(spark, sf_dir):
-    d = reviewed(spark, sf_dir, "verdict", "guardrails", "perFileProfiles")
+    d = reviewed(spark, sf_dir, "verdict", "guardrails", "perFileProfiles", of_file=("adaptiveDirectives",))
     first = F.get(C("review")["perFileProfiles"], F.lit(0))
     directives = first["adaptiveDirectives"]
     return d.select(

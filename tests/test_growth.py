@@ -122,3 +122,11 @@ def test_rows_of_short_series_are_handed_back_together():
     out = list(sequential.gathered(iter(short), 40))
     assert [len(d) for d in out] == [40, 40, 20] and pd.concat(out)["k"].tolist() == list(range(100))
     assert list(sequential.gathered(iter([]), 40)) == []
+
+
+def test_review_of_named_fields_of_a_file(spark):
+    """The other rules of a file are not worked out when nothing reads them."""
+    d = spark.createDataFrame([('{"verdict": "risky", "confidence": 0.5, "perFileProfiles": [{"adaptiveDirectives": {"warmthDb": "1.5"}}]}',)], "answer string").withColumn("v", reviews.parsed(C("answer")))
+    few = d.select(reviews.review(C("v"), "perFileProfiles", of_file=("adaptiveDirectives",))["perFileProfiles"][0].alias("f")).select("f.*")
+    whole = d.select(reviews.review(C("v"))["perFileProfiles"][0].alias("f")).select("f.*")
+    assert few.columns == ["fileName", "confidence", "adaptiveDirectives"] and few.collect() == whole.select(*few.columns).collect()
