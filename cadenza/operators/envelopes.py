@@ -11,19 +11,25 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions import scalar as sc
 from cadenza.functions.percentiles import linear
-from cadenza.operators import joins, runs
+from cadenza.operators import blocks, joins, runs
+from cadenza.sources.tables import kept
 
 C = F.col
 #: Milliseconds, decibels, counts and shares of the comparison.
 SECTION_MS, SECTION_LAG, SHOULDER_MS, CORE_MS, LEAST_SHOULDER_MS, NEAR_MS, SEARCH_MS = 10_000, 6, 400, 60, 80, 20, 250
 BETTER_DB, SPIKE_DB, EXPRESSIVE_DB, CREST_DB, FLAT_SHARE, FLAT_DB = 0.05, 1.5, 2.5, 6.0, 0.55, 2.0
 LEAST_FRAMES, SUPPORT_DB, WINDOW_MS, HOP_MS, SUPPORTED, QUIET_DB, LEAST_WINDOWS, WORSE_DB, EDGE_SHARE = 20, 24.0, 300, 100, 0.8, 18.0, 5, 0.5, 0.2
-EXPRESSIVE_GAP_MS, SPIKE_GAP_MS, MOST_EVENTS, SAMPLES = 80, 100, 5, 20_000
+EXPRESSIVE_GAP_MS, SPIKE_GAP_MS, MOST_EVENTS = 80, 100, 5
+#: Of a block's sorted values every so many-th bounds the ranks of the rest.
+STEP = 128
 LEVELS = ("frame_db", "peak_db", "body_db")
 
 
@@ -51,28 +57,117 @@ def support(frames: DataFrame, keys: list[str], body: str = "body_db") -> DataFr
     return d.withColumn("support", F.when(C("__many") >= LEAST_FRAMES, near).otherwise(C("speech"))).drop("__middle", "__many")
 
 
+def _paired_blocks(source: DataFrame, candidate: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, a, b: of each block of frames the source's levels with support and the candidate's, at equal places, with
+    `most` frames of the candidate beside the block; NaN where there is none."""
+    at = (C("frame_idx") - C("__block") * blocks.SIZE + most).cast("int").alias("__at")
+    none, level = F.lit(None).cast("double"), C("frame_db").cast("double")
+    heard = source.where("support").withColumn("__block", F.floor(C("frame_idx") / blocks.SIZE)).select(*keys, "__block", at, level.alias("a"), none.alias("b"))
+    other = blocks.beside_blocks(candidate, most).select(*keys, "__block", at, none.alias("a"), level.alias("b"))
+    both = heard.unionByName(other)
+    schema = T.StructType([*(both.schema[k] for k in keys), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in "ab")])
+
+    def of_block(table: pa.Table) -> pa.Table:
+        where, out = table["__at"].to_numpy(), {k: table[k].slice(0, 1) for k in keys}
+        for c in "ab":
+            x = table[c].to_numpy()
+            known, levels = ~np.isnan(x), np.full(int(where.max()) + 1, np.nan)
+            levels[where[known]] = x[known]
+            out[c] = pa.array([levels], pa.list_(pa.float64()))
+        return pa.table(out)
+
+    return both.groupBy(*keys, "__block").applyInArrow(of_block, schema)
+
+
+def _of_lags(paired: DataFrame, keys: list[str], most: int, work: Callable[..., dict[str, np.ndarray]], made: list[str], facts: DataFrame | None = None) -> DataFrame:
+    """keys, lag and the columns `made`: what `work` gives for a block's sorted differences at each lag, or for their
+    distances from `middle`, if the facts (keys, lag, and columns that work gets too) have it."""
+    given = facts is not None
+    if given:
+        named = [c for c in facts.columns if c not in keys]
+        paired = paired.join(facts.groupBy(*keys).agg(F.collect_list(F.struct(*named)).alias("__facts")), keys)
+    fields = [T.StructField("lag", T.LongType()), *(T.StructField(c, T.DoubleType() if c == "x" else T.LongType()) for c in made)]
+
+    def differences(a: np.ndarray, b: np.ndarray, lag: int) -> np.ndarray:
+        at = np.flatnonzero(~np.isnan(a))
+        at = at[at + lag < len(b)]  # the first place is `most`
+        d = b[at + lag] - a[at]
+        return d[~np.isnan(d)]
+
+    def of_batch(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in "ab")
+                known = {f["lag"]: f for f in batch.column("__facts")[i].as_py()} if given else dict.fromkeys(range(-most, most + 1), {})
+                parts = []
+                for lag, fact in known.items():
+                    d = differences(a, b, lag)
+                    if len(d):
+                        found = work(np.sort(np.abs(d - fact["middle"]) if "middle" in fact else d), fact)
+                        parts.append({"lag": np.full(len(found["x"]), lag), **found})
+                if parts:
+                    cols = {c: np.concatenate([p[c] for p in parts]) for c in ("lag", *made)}
+                    same = pa.array(np.full(len(cols["lag"]), i))
+                    yield pa.RecordBatch.from_pydict({k: batch.column(k).take(same) for k in keys} | {c: pa.array(v, pa.float64() if c == "x" else pa.int64()) for c, v in cols.items()})
+
+    schema = T.StructType([*(paired.schema[k] for k in keys), *fields])
+    return paired.mapInArrow(of_batch, schema)
+
+
+def _steps(x: np.ndarray, _fact: dict) -> dict[str, np.ndarray]:
+    """Every STEP-th of sorted values and the last, with how many there are from the one before and up to the next."""
+    at = np.unique(np.append(np.arange(0, len(x), STEP), len(x) - 1))
+    return {"x": x[at], "since": np.diff(at, prepend=-1), "until": np.diff(at, append=len(x))}
+
+
+def _between(x: np.ndarray, fact: dict) -> dict[str, np.ndarray]:
+    """The values of the bracket with their counts, after one entry for those under it."""
+    first, last = np.searchsorted(x, fact["low"], "left"), np.searchsorted(x, fact["high"], "right")
+    values, counts = np.unique(x[first:last], return_counts=True)
+    return {"x": np.append(-np.inf, values), "many": np.append(first, counts)}
+
+
+def _medians(paired: DataFrame, keys: list[str], most: int, facts: DataFrame | None = None) -> DataFrame:
+    """keys, lag, pairs, median of all differences at a lag, or of their distances from the facts' middle.
+
+    Steps through each block's sorted values bound every rank: the median lies between two of them with few values between,
+    and only those are sorted together.
+    """
+    by = Window.partitionBy(*keys, "lag").orderBy("x")
+    middle = (C("pairs") - 1) / 2
+    steps = _of_lags(paired, keys, most, _steps, ["x", "since", "until"], facts)
+    steps = steps.groupBy(*keys, "lag", "x").agg(F.sum("since").alias("since"), F.sum("until").alias("until"))
+    steps = steps.withColumn("pairs", F.sum("since").over(Window.partitionBy(*keys, "lag")))
+    under = F.coalesce(F.sum("until").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most so many are less
+    upto = F.sum("since").over(by.rowsBetween(Window.unboundedPreceding, 0))  # at least so many are not more
+    steps = steps.withColumns({"under": under, "upto": upto})
+    low, high = F.max(F.when(C("under") <= F.floor(middle), C("x"))), F.min(F.when(C("upto") > F.ceil(middle), C("x")))
+    bracket = steps.groupBy(*keys, "lag").agg(F.first("pairs").alias("pairs"), low.alias("low"), high.alias("high"))
+    bracket = kept(bracket if facts is None else bracket.join(facts.select(*keys, "lag", "middle"), [*keys, "lag"]), "brackets")
+    inside = _of_lags(paired, keys, most, _between, ["x", "many"], bracket).groupBy(*keys, "lag", "x").agg(F.sum("many").alias("many"))
+    inside = inside.withColumn("upto", F.sum("many").over(by.rowsBetween(Window.unboundedPreceding, 0))).join(bracket.select(*keys, "lag", "pairs"), [*keys, "lag"])
+    holds = lambda rank: F.max(F.when((rank >= C("upto") - C("many")) & (rank < C("upto")), C("x")))
+    found = inside.groupBy(*keys, "lag").agg(F.first("pairs").alias("pairs"), holds(F.floor(middle)).alias("__a"), holds(F.ceil(middle)).alias("__b"))
+    return kept(found.select(*keys, "lag", "pairs", (C("__a") * 0.5 + C("__b") * 0.5).alias("median")), "medians")
+
+
 def alignment(source: DataFrame, candidate: DataFrame, keys: list[str], frame_ms: float) -> DataFrame:
     """keys, lag, improvement: how many frames later the candidate is, and what the error fell by against no lag.
 
-    The error is the median distance of the levels' differences from their median, over source frames with support (at
-    least 20 of them, every n-th of very long series). A lag replaces the best before it if it is 0.05 dB better, or as
-    good and nearer to none. Without a score at no lag the lag is 0 and the improvement null.
+    The error is the median distance of the levels' differences from their median, over all source frames with support (at
+    least 20 of them). A lag replaces the best before it if it is 0.05 dB better, or as good and nearer to none. Without a
+    score at no lag the lag is 0 and the improvement null.
     """
     most = int(SEARCH_MS // frame_ms)
-    n = source.groupBy(*keys).agg((F.max("frame_idx") + 1).alias("__ns")).join(candidate.groupBy(*keys).agg((F.max("frame_idx") + 1).alias("__nc")), keys)
-    heard = source.where("support").select(*keys, "frame_idx", C("frame_db").alias("__a")).where("__a is not null").join(n, keys)
-    start = F.greatest(F.lit(0), -C("lag"))
-    stride = F.greatest(F.lit(1), F.floor((F.least("__ns", C("__nc") - C("lag")) - start) / SAMPLES))
-    other = candidate.select(*keys, "frame_idx", C("frame_db").alias("__b")).where("__b is not null")
-    pairs = joins.lagged_pairs(heard, other, keys, range(-most, most + 1), taken=(C("frame_idx") - start) % stride == 0)
-    taken = pairs.select(*keys, "lag", (C("__b") - C("__a")).alias("__d"))
-    spread = taken.withColumn("__m", F.median("__d").over(Window.partitionBy(*keys, "lag"))).groupBy(*keys, "lag").agg(F.median(F.abs(C("__d") - C("__m"))).alias("score"), F.count("*").alias("pairs"))
+    paired = kept(_paired_blocks(source, candidate, keys, most), "paired")
+    middles = _medians(paired, keys, most).withColumnRenamed("median", "middle")
+    spread = _medians(paired, keys, most, middles.select(*keys, "lag", "middle")).withColumnRenamed("median", "score")
     listed = spread.where(C("pairs") >= LEAST_FRAMES).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lag", "score"))).alias("__all"))  # a lag each
     zero = F.filter("__all", lambda s: s["lag"] == 0)[0]
     better = lambda b, s: (s["score"] < b["score"] - BETTER_DB) | ((F.abs(s["score"] - b["score"]) <= 1e-9) & (F.abs(s["lag"]) < F.abs(b["lag"])))
     best = F.when(zero.isNotNull(), F.aggregate(F.filter("__all", lambda s: s["lag"] != 0), zero, lambda b, s: F.when(better(b, s), s).otherwise(b)))
     found = listed.select(*keys, best.alias("__best"), zero["score"].alias("__zero"))
-    every = n.select(*keys).join(found, keys, "left")
+    every = source.select(*keys).distinct().join(candidate.select(*keys).distinct(), keys).join(found, keys, "left")
     return every.select(*keys, F.coalesce("__best.lag", F.lit(0)).cast("long").alias("lag"), F.when(C("__zero").isNotNull(), F.greatest(F.lit(0.0), C("__zero") - C("__best.score"))).alias("improvement"))
 
 

@@ -223,3 +223,22 @@ def test_too_little_evidence(spark):
     assert b["body_frames"] == 7 and b["s_floor"] is None
     none = spark.createDataFrame([], SCHEMA)
     assert env.aligned(none, none, ["k"], MS, spoken)[0].count() == 0
+
+
+@pytest.mark.parametrize("grain", [1e-6, 0.5])
+def test_every_frame_of_long_series_counts(spark, grain):
+    """Over 40,000 frames: the error is that of all pairs, not of every n-th, also where many differences are equal."""
+    n, late = 45_000, 3
+    rng = np.random.default_rng(7)
+    level = np.round(rng.normal(-30, 6, n) / grain) * grain
+    after = np.round((0.7 * np.concatenate([rng.normal(-30, 6, late), level]) + rng.normal(0, 2, n + late)) / grain) * grain
+    heard = rng.random(n) < 0.8
+    source = spark.createDataFrame([(1, i, float(x), bool(s)) for i, (x, s) in enumerate(zip(level, heard))], "k int, frame_idx long, frame_db double, support boolean")
+    candidate = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(after)], "k int, frame_idx long, frame_db double")
+
+    def error(lag):
+        d = (after[late * (lag > 0) : n + late * (lag > 0)] - level)[heard]
+        return np.median(np.abs(d - np.median(d)))
+
+    ((_, lag, improvement),) = env.alignment(source, candidate, ["k"], MS).collect()
+    assert lag == late and improvement == pytest.approx(error(0) - error(late), abs=1e-12)
