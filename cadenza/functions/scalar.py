@@ -42,8 +42,16 @@ def power_mean_db(db: Column) -> Column:
 
 
 def ordered_sum(x: Column) -> Column:
-    """Aggregate: the sum from the smallest up, the same to the last bit however rows are dealt; for small groups."""
-    return F.aggregate(F.sort_array(F.collect_list(x)), F.lit(0.0), lambda a, v: a + v)
+    """Aggregate: the sum from the smallest up with what each step's rounding lost added at the end, the same to the last
+    bit however rows are dealt, and as near to the exact sum as a double comes (but for lost bits lost again); for small groups."""
+
+    def step(acc: Column, v: Column) -> Column:
+        total = acc["total"] + v
+        lost = F.when(F.abs(acc["total"]) >= F.abs(v), (acc["total"] - total) + v).otherwise((v - total) + acc["total"])
+        return F.struct(total.alias("total"), (acc["lost"] + lost).alias("lost"))
+
+    whole = lambda acc: F.when(F.abs(acc["total"]) == float("inf"), acc["total"]).otherwise(acc["total"] + acc["lost"])
+    return F.aggregate(F.sort_array(F.collect_list(x)), F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("lost")), step, whole)
 
 
 def smooth_ramp(x: Column, start: float, full: float) -> Column:

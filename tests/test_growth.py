@@ -130,3 +130,22 @@ def test_review_of_named_fields_of_a_file(spark):
     few = d.select(reviews.review(C("v"), "perFileProfiles", of_file=("adaptiveDirectives",))["perFileProfiles"][0].alias("f")).select("f.*")
     whole = d.select(reviews.review(C("v"))["perFileProfiles"][0].alias("f")).select("f.*")
     assert few.columns == ["fileName", "confidence", "adaptiveDirectives"] and few.collect() == whole.select(*few.columns).collect()
+
+
+def test_sums_lose_nothing_to_rounding(spark):
+    import math
+
+    cases = [[0.1, 0.7, 1e16, 0.3, -1e16, 0.2], [0.1] * 10, [1e-9, 3.3, 1e9], [math.inf, 1.0], [7.5]]
+    d = spark.createDataFrame([(k, v) for k, values in enumerate(cases) for v in values], "k int, x double")
+    got = {r["k"]: r["s"] for r in d.groupBy("k").agg(sc.ordered_sum(C("x")).alias("s")).collect()}
+    assert got == {k: math.fsum(values) for k, values in enumerate(cases)}
+
+
+def test_verdict_at_a_gap_of_exactly_its_limit(spark, tmp_path):
+    """An order of sf0.1 whose penalties, summed plainly from the smallest up, miss the limit by their last bit."""
+    from cadenza.plans import relations
+
+    rows = [(2, 18112, 48, 4, 15.0, 0.09, 0.04), (2, 13956, 423, 2, 42.0, 0.02, 0.06), (2, 1007, 734, 5, 14.0, 0.08, 0.01)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in relations.rule_assessment(spark, str(tmp_path)).collect()] == [(2, 0.733333, "challenger")]
