@@ -242,3 +242,17 @@ def test_every_frame_of_long_series_counts(spark, grain):
 
     ((_, lag, improvement),) = env.alignment(source, candidate, ["k"], MS).collect()
     assert lag == late and improvement == pytest.approx(error(0) - error(late), abs=1e-12)
+
+
+def test_long_series_are_paired_by_the_lag_of_all_frames(spark):
+    """All measures are taken on these pairs. Every second frame fits best without a lag, more of the others with one of two."""
+    n = 41_000
+    rng = np.random.default_rng(3)
+    i, near = np.arange(n), rng.normal(0, 0.1, n)
+    level = np.where((i % 2 == 1) | (rng.random(n) < 0.6), rng.uniform(-45, -15, n), -75.0)
+    after = np.where(i % 2 == 0, level, np.roll(level, 2)) + near
+    tables = [spark.createDataFrame([(1, k, float(x), float(x) + 3, float(x) - 2) for k, x in enumerate(v)], SCHEMA) for v in (level, after)]
+    frames, lags = env.aligned(*tables, ["k"], MS, spoken)
+    assert [r["lag"] for r in lags.collect()] == [2]
+    close = F.avg((F.abs(F.col("s_frame") - F.col("c_frame")) < 1).cast("int"))
+    assert frames.where("speech").agg(close).first()[0] > 0.6
